@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import setsketch
+from tessella.llm import raking, setsketch, sharding
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,8 +17,20 @@ def op7_setsketch_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.near_duplicates(_documents(spark, sf_dir))
 
 
+def op5_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raking.mixing_report(_documents(spark, sf_dir))
+
+
+def op9_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_by_bytes(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_raked_mixture": op5_raked_mixture,
+    "op9_sampled_splitters": op9_sampled_splitters,
     "op7_setsketch_near_dup": op7_setsketch_near_dup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_raked_mixture": raking.mixing_sql(),
+}
