@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import raking, setsketch, sharding
+from tessella.llm import lines, packing, raking, setsketch, sharding
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op6_differencing_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_sequences(_documents(spark, sf_dir))
+
+
 def op7_setsketch_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.near_duplicates(_documents(spark, sf_dir))
 
@@ -25,10 +29,16 @@ def op9_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(_documents(spark, sf_dir))
 
 
+def op10_patience_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_dedup_report(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_raked_mixture": op5_raked_mixture,
-    "op9_sampled_splitters": op9_sampled_splitters,
+    "op6_differencing_packing": op6_differencing_packing,
     "op7_setsketch_near_dup": op7_setsketch_near_dup,
+    "op9_sampled_splitters": op9_sampled_splitters,
+    "op10_patience_line_dedup": op10_patience_line_dedup,
 }
 
 ORACLES: dict[str, str] = {
