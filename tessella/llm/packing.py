@@ -59,7 +59,7 @@ class Encoder:
         if not text:
             return np.zeros(0, np.uint32)
         if _PLAIN.fullmatch(text) and "<|" not in text:
-            return self.same.encode_to_numpy(text)
+            return np.array(self.same.encode_ordinary(text), np.uint32)
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
