@@ -35,7 +35,7 @@ from tessella.llm.common import text_slices
 
 CAPACITY = 1024
 #: Remainders that are packed together.
-BLOCK = 2048
+BLOCK = 512
 
 #: Texts on which both libraries' patterns agree: Latin letters and printable ASCII.
 _PLAIN = re.compile(r"[\t\n -~À-ÖØ-öø-ſ]*")
@@ -115,9 +115,10 @@ def packed(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
     windows = -(-sum(sizes) // capacity)
     while True:
         found = differenced(sizes, max(1, windows))
-        if all(sum(sizes[i] for i in w) <= capacity for w in found):
+        excess = sum(max(0, sum(sizes[i] for i in w) - capacity) for w in found)
+        if not excess:
             return found
-        windows += max(1, windows // 200)
+        windows += max(1, excess // capacity)
 
 
 def _packer(vocabulary: str, ranks: str, capacity: int):
