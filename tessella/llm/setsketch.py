@@ -4,21 +4,24 @@ A document is the set of its distinct `width`-word shingles (A-Z lowered, words
 space). Documents are linked when their exact Jaccard similarity is at least `similarity`; a group is a
 connected component of links and keeps its smallest id.
 
-Registers: for each of `BANDS * ROWS` hash functions the smallest exponential variate over the set,
+Registers: for each of `REGISTERS` hash functions the smallest exponential variate over the set,
 on a logarithmic scale (base `BASE`) and truncated to 16 bits, so that sketches of parts merge by
 maximum. Documents that agree in all registers of a band are candidates. At a similarity of 0.8 a pair is
-missed with probability (1 - 0.8**5)**30 < 1e-5. A pair goes on to the exact check unless the joint
+missed with probability (1 - 0.8**4)**20 < 3e-5. A pair goes on to the exact check unless the joint
 maximum-likelihood estimate of its similarity lies `DEVIATIONS` standard deviations below the threshold.
 
 Within a bucket no pairs are emitted: members are joined with one hub, its smallest id. Buckets that
 overlap form a cluster. Where a cluster isn't yet one component, the members outside its largest component
-are compared with all its members in blocks of `BLOCK`, each pair of blocks in a task of its own; a block
-pair gives out a spanning forest of its verified links. So every candidate is decided, whatever a cluster's
-size, in bounded memory.
+are compared with all its members in blocks of about `BLOCK_BYTES`, each pair of blocks in a group of its
+own; a block pair gives out a spanning forest of its verified links. So every candidate is decided,
+whatever a cluster's size, in bounded memory.
+
+Nodes are distinct shingle sets, so exact copies are one node and rows of one id with different texts are
+different nodes. Texts are not shuffled while the nodes that share a bucket are few enough to broadcast.
 
 Defined results. Null or blank text: empty set, linked with nothing. Fewer words than `width`: one shingle
-of the whole sequence. Repeated ids: one row for each input row; rows of equal id are one node. Null id:
-its own class, with a null component. Empty table: no rows. Extra columns are ignored by `near_duplicates`
+of the whole sequence. Repeated rows: one output row each, in one class. Rows without an id link nothing and
+are kept, with a null component. Empty table: no rows. Extra columns are ignored by `near_duplicates`
 and kept by `drop_near_duplicates`.
 """
 
@@ -35,16 +38,19 @@ from pyspark.sql import functions as F
 from tessella.llm.common import durable, mix, shingle_sets, text_slices
 from tessella.llm.components import connected_components
 
-BANDS, ROWS = 30, 5
+REGISTERS = 128
+BANDS, ROWS = 20, 4
 BASE, RATE, TOP = 1.02, 20.0, 65535
-#: Members of a cluster that one task compares with as many others.
-BLOCK = 256
+#: Bytes of sets and sketches that are compared with as many others at a time.
+BLOCK_BYTES = 2 << 20
+#: Ids up to this number are broadcast to find their texts; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 #: Standard deviations below the threshold at which an estimate still leads to the exact check.
 DEVIATIONS = 5
 
 _SEEDS = np.random.default_rng(7)
-_XOR = _SEEDS.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)[:, None]
-_MUL = (_SEEDS.integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
+_XOR = _SEEDS.integers(0, 2**32, REGISTERS, dtype=np.uint32)[:, None]
+_MUL = (_SEEDS.integers(0, 2**31, REGISTERS, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
 
 
 def registers(shingles: np.ndarray) -> np.ndarray:
@@ -76,37 +82,36 @@ def joint_estimate(n_a: np.ndarray, n_b: np.ndarray, above: np.ndarray, below: n
     return np.take_along_axis(grid, likelihood.argmax(axis=0)[None, :], 0)[0]
 
 
+def node_of(shingles: np.ndarray) -> int:
+    """A signed 64-bit name of a set."""
+    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
 def _sketches(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch):
-                sizes, prints, bands, sketches = [], [], [], []
+                sizes, nodes, sketches = [], [], []
                 for shingles in shingle_sets(part.column("text"), width):
                     sizes.append(len(shingles))
-                    if not len(shingles):
-                        prints.append(None), bands.append(None), sketches.append(None)
-                        continue
-                    prints.append(hashlib.blake2b(shingles.tobytes(), digest_size=16).digest())
-                    k = registers(shingles)
-                    key = np.arange(1, BANDS + 1, dtype=np.uint64)
-                    for column in k.reshape(BANDS, ROWS).T:
-                        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + column)
-                    bands.append(key.view(np.int64))
-                    sketches.append(k.tobytes())
+                    nodes.append(node_of(shingles) if len(shingles) else None)
+                    sketches.append(registers(shingles).tobytes() if len(shingles) else None)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
-                    names=["doc_id", "n_shingles", "print", "bands", "sketch"],
+                    [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sketches, pa.binary())], names=["doc_id", "n_shingles", "node", "sketch"]
                 )
 
     return run
 
 
 def _sets(width: int):
+    """The sets of the texts of given nodes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch):
-                found = [s.tobytes() for s in shingle_sets(part.column("text"), width)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found, pa.binary())], names=["id", "members"])
+                found = [(node_of(s), s.tobytes()) for s in shingle_sets(part.column("text"), width)]
+                same = pa.array([a == b for (a, _), b in zip(found, part.column("node").to_pylist(), strict=True)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([m for _, m in found], pa.binary())], names=["node", "members"]).filter(same)
 
     return run
 
@@ -151,7 +156,7 @@ def _forest(share: int, least: float):
 
     def run(group: pa.Table) -> pa.Table:
         minor = group.filter(group.column("is_minor"))
-        ids, parts = (group.column(c).to_numpy() for c in ("id", "part"))
+        ids, parts = (group.column(c).to_numpy() for c in ("node", "part"))
         sizes = group.column("n_shingles").to_numpy().astype(np.float64)
         sketches = np.stack([np.frombuffer(x, np.uint16) for x in group.column("sketch").to_pylist()])
         sets = [np.frombuffer(x, np.uint64) for x in group.column("members").to_pylist()]
@@ -185,51 +190,57 @@ def _forest(share: int, least: float):
 def near_duplicates(docs: DataFrame, width: int = 4, similarity: float = 0.8) -> DataFrame:
     """doc_id, n_shingles, component_id and kept (doc_id is its component's smallest id) for each row."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketched = durable(docs.mapInArrow(_sketches(width), "doc_id long, n_shingles long, print binary, bands array<long>, sketch binary"))
-
-    # Exact copies: one representative for each distinct set.
-    sets = sketched.where("doc_id is not null and print is not null").groupBy("print")
-    first = durable(sets.agg(F.min(F.struct("doc_id", "n_shingles", "bands", "sketch")).alias("x")).select("print", "x.*"))
-    nodes = first.select(F.col("doc_id").alias("id"), "n_shingles", "sketch")
-
-    bucket_rows = first.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
-    hubs = durable(bucket_rows.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub"))
-    shared = durable(bucket_rows.join(hubs, "key"))  # the rows of buckets with two members or more
-    members = durable(shared.select("id").distinct())
-    full = durable(docs.join(members, docs.doc_id == members.id, "left_semi").mapInArrow(_sets(width), "id long, members binary").dropDuplicates(["id"]))
-
+    sketched = durable(docs.mapInArrow(_sketches(width), "doc_id long, n_shingles long, node long, sketch binary"))
     share = round(similarity * 100)
-    least = similarity - DEVIATIONS * (similarity * (1 - similarity) / (BANDS * ROWS)) ** 0.5
-
-    # Each member of a bucket with the bucket's hub.
-    pairs = durable(shared.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
-    a = nodes.select(F.col("id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("sketch").alias("sketch_a"))
-    b = nodes.select(F.col("id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("sketch").alias("sketch_b"))
-    sized = pairs.join(a, "a").join(b, "b").where(F.least("n_a", "n_b") * 100 >= share * F.greatest("n_a", "n_b"))
+    least = similarity - DEVIATIONS * (similarity * (1 - similarity) / REGISTERS) ** 0.5
+
+    # Exact copies are one node, with the smallest id.
+    low = durable(sketched.where("doc_id is not null and node is not null").groupBy("node").agg(F.min("doc_id").alias("low")))
+    nodes = durable(sketched.join(low, "node").where("doc_id = low").dropDuplicates(["node"]).select("node", "low", "n_shingles", "sketch"))
+
+    # Buckets of two nodes or more, each with its hub.
+    band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sketch"), i * (2 * ROWS) + 1, F.lit(2 * ROWS))))
+    rows = nodes.select("node", F.explode(band).alias("key"))
+    hubs = durable(rows.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select("key", "hub"))
+    pairs = durable(rows.join(hubs, "key").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
+
+    # The full sets of nodes in such buckets.
+    wanted = durable(nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", F.col("low").alias("doc_id")))
+    n_wanted = wanted.count()
+    full = durable(docs.join(F.broadcast(wanted) if n_wanted <= BROADCAST_IDS else wanted, "doc_id").mapInArrow(_sets(width), "node long, members binary"))
+    if full.count() > n_wanted:  # repeated rows
+        full = durable(full.dropDuplicates(["node"]))
+
+    sides = {
+        k: (nodes.select(F.col("node").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("sketch").alias(f"sketch_{k}")), full.select(F.col("node").alias(k), F.col("members").alias(f"set_{k}"))) for k in ("a", "b")
+    }
+    sized = pairs.join(sides["a"][0], "a").join(sides["b"][0], "b").where(F.least("n_a", "n_b") * 100 >= share * F.greatest("n_a", "n_b"))
     likely = sized.mapInArrow(_likely(least), "a long, b long")
-    x, y = full.select(F.col("id").alias("a"), F.col("members").alias("set_a")), full.select(F.col("id").alias("b"), F.col("members").alias("set_b"))
-    links = durable(likely.join(x, "a").join(y, "b").mapInArrow(_verified(share), "a long, b long"))
+    links = durable(likely.join(sides["a"][1], "a").join(sides["b"][1], "b").mapInArrow(_verified(share), "a long, b long"))
 
     # Clusters that aren't one component yet: minor members against all, block by block.
-    part = connected_components(links).select("id", F.col("component_id").alias("part"))
-    cluster = connected_components(pairs).select("id", F.col("component_id").alias("cluster"))
-    placed = durable(cluster.join(part, "id", "left").select("id", "cluster", F.coalesce("part", "id").alias("part")))
-    parts = placed.groupBy("cluster", "part").agg(F.count("*").alias("n"))
-    split = durable(parts.groupBy("cluster").agg(F.sum("n").alias("size"), F.max(F.struct("n", "part")).alias("most"), F.count("*").alias("parts")).where("parts > 1"))
-    spread = lambda n: F.pmod(F.xxhash64("id"), n)
-    blocks = F.ceil(F.col("size") / BLOCK)
-    open_rows = durable(
-        placed.join(split, "cluster").select("id", "cluster", "part", (F.col("part") != F.col("most.part")).alias("minor"), blocks.alias("all_blocks"), F.ceil((F.col("size") - F.col("most.n")) / BLOCK).alias("minor_blocks"))
-    ).join(nodes, "id").join(full, "id")
+    part = connected_components(links).select(F.col("id").alias("node"), F.col("component_id").alias("part"))
+    cluster = connected_components(pairs).select(F.col("id").alias("node"), F.col("component_id").alias("cluster"))
+    placed = cluster.join(part, "node", "left").join(nodes.select("node", "n_shingles"), "node").select("node", "cluster", F.coalesce("part", "node").alias("part"), (2 * REGISTERS + 8 * F.col("n_shingles")).alias("bytes"))
+    placed = durable(placed)
+    parts = placed.groupBy("cluster", "part").agg(F.sum("bytes").alias("bytes"))
+    split = durable(parts.groupBy("cluster").agg(F.sum("bytes").alias("bytes"), F.max(F.struct("bytes", "part")).alias("most"), F.count("*").alias("parts")).where("parts > 1"))
+    split = split.select("cluster", "most.part", F.ceil(F.col("bytes") / BLOCK_BYTES).alias("all_blocks"), F.ceil((F.col("bytes") - F.col("most.bytes")) / BLOCK_BYTES).alias("minor_blocks"))
+    open_rows = placed.join(split.withColumnRenamed("part", "most"), "cluster").select("node", "cluster", "part", (F.col("part") != F.col("most")).alias("minor"), "all_blocks", "minor_blocks")
+    open_rows = durable(open_rows).join(nodes.select("node", "n_shingles", "sketch"), "node").join(full, "node")
+    spread = lambda n: F.pmod(F.xxhash64("node"), n)
     of_all = open_rows.withColumn("block", spread(F.col("all_blocks"))).withColumn("minor_block", F.explode(F.sequence(F.lit(0), F.col("minor_blocks") - 1))).withColumn("is_minor", F.lit(False))
     of_minor = open_rows.where("minor").withColumn("minor_block", spread(F.col("minor_blocks"))).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1))).withColumn("is_minor", F.lit(True))
-    columns = ["cluster", "minor_block", "block", "id", "part", "is_minor", "n_shingles", "sketch", "members"]
+    columns = ["cluster", "minor_block", "block", "node", "part", "is_minor", "n_shingles", "sketch", "members"]
     more = of_all.select(columns).union(of_minor.select(columns)).groupBy("cluster", "minor_block", "block").applyInArrow(_forest(share, least), "a long, b long")
     labels = connected_components(durable(links.union(more)))
 
-    component = first.select("print", F.col("doc_id").alias("id")).join(labels, "id", "left").select("print", F.coalesce("component_id", "id").alias("component"))
-    out = sketched.select("doc_id", "n_shingles", "print").join(durable(component), "print", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    # A component is named by the smallest id of its nodes.
+    labelled = low.join(labels.withColumnRenamed("id", "node"), "node", "left").select("node", "low", F.coalesce("component_id", "node").alias("component"))
+    names = durable(labelled.groupBy("component").agg(F.min("low").alias("component_id")))
+    named = durable(labelled.join(names, "component").select("node", "component_id"))
+    out = sketched.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")).join(named, "node", "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -239,7 +250,6 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.
     """
     verdict = near_duplicates(docs, width, similarity).where("not kept").select("doc_id").distinct()
     named = docs.where("doc_id is not null").join(durable(verdict), "doc_id", "left_anti").select(docs.columns)
-    copies = named.groupBy("doc_id").count().where("count > 1")
-    if not copies.isEmpty():
-        named = named.dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null"))
+    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return named.unionByName(docs.where("doc_id is null"))
+    return named.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
