@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import lines, ordinal, packing, raking, setsketch, sharding
+from tessella.llm import lines, ordinal, packing, raking, setsketch, sharding, weak_labels
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op1_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinal.toxicity_report(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op3_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_labels.quality_verdicts(_documents(spark, sf_dir))
+
+
 def op5_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raking.mixing_report(_documents(spark, sf_dir))
 
@@ -39,6 +43,7 @@ def op10_patience_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ordinal_toxicity": op1_ordinal_toxicity,
+    "op3_weak_supervision": op3_weak_supervision,
     "op5_raked_mixture": op5_raked_mixture,
     "op6_differencing_packing": op6_differencing_packing,
     "op7_setsketch_near_dup": op7_setsketch_near_dup,
