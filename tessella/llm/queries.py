@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import lines, ordinal, packing, raking, setsketch, sharding, weak_labels
+from tessella.llm import licenses, lines, ordinal, packing, raking, setsketch, sharding, weak_labels
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op5_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raking.mixing_report(_documents(spark, sf_dir))
 
 
+def op8_suffix_automaton_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(_documents(spark, sf_dir)).drop("spans")
+
+
 def op9_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(_documents(spark, sf_dir))
 
@@ -47,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_raked_mixture": op5_raked_mixture,
     "op6_differencing_packing": op6_differencing_packing,
     "op7_setsketch_near_dup": op7_setsketch_near_dup,
+    "op8_suffix_automaton_licenses": op8_suffix_automaton_licenses,
     "op9_sampled_splitters": op9_sampled_splitters,
     "op10_patience_line_dedup": op10_patience_line_dedup,
 }
