@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import licenses, lines, ordinal, packing, raking, setsketch, sharding, weak_labels
+from tessella.llm import impact_index, licenses, lines, ordinal, packing, pseudonyms, raking, setsketch, sharding, weak_labels
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,10 +25,18 @@ def op1_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinal.toxicity_report(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op2_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.pseudonym_report(_documents(spark, sf_dir))
+
+
 def op3_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak_labels.quality_verdicts(_documents(spark, sf_dir))
 
 
+def op4_impact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact_index.exact_top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op5_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raking.mixing_report(_documents(spark, sf_dir))
 
@@ -47,7 +55,9 @@ def op10_patience_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ordinal_toxicity": op1_ordinal_toxicity,
+    "op2_feistel_pseudonyms": op2_feistel_pseudonyms,
     "op3_weak_supervision": op3_weak_supervision,
+    "op4_impact_top_k": op4_impact_top_k,
     "op5_raked_mixture": op5_raked_mixture,
     "op6_differencing_packing": op6_differencing_packing,
     "op7_setsketch_near_dup": op7_setsketch_near_dup,
@@ -57,5 +67,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op4_impact_top_k": impact_index.top_k_sql(),
     "op5_raked_mixture": raking.mixing_sql(),
 }
