@@ -9,12 +9,8 @@ from tessella.llm.common import durable
 
 
 def _star(edges: DataFrame) -> DataFrame:
-    """Hang each (u, v) of u's neighbours on the smallest of u and its neighbours.
-
-    The minima are materialised, so that the join back has plain shuffles on both sides and adaptive
-    execution can split a hub that holds a large share of all edges.
-    """
-    low = durable(edges.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low")))
+    """Hang each (u, v) of u's neighbours on low, the smallest of u and its neighbours."""
+    low = edges.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
     return edges.join(low, "u")
 
 
@@ -30,7 +26,6 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _star(both).where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).where("u <> v").distinct()
-        large = durable(large)
         small = _star(large)
         edges = durable(small.select(F.explode(F.array(F.struct("u", F.col("low").alias("v")), F.struct(F.col("v").alias("u"), F.col("low").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

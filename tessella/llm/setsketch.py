@@ -224,7 +224,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, similarity: float = 0.8) ->
     placed = cluster.join(part, "node", "left").join(nodes.select("node", "n_shingles"), "node").select("node", "cluster", F.coalesce("part", "node").alias("part"), (2 * REGISTERS + 8 * F.col("n_shingles")).alias("bytes"))
     placed = durable(placed)
     parts = placed.groupBy("cluster", "part").agg(F.sum("bytes").alias("bytes"))
-    split = durable(parts.groupBy("cluster").agg(F.sum("bytes").alias("bytes"), F.max(F.struct("bytes", "part")).alias("most"), F.count("*").alias("parts")).where("parts > 1"))
+    split = parts.groupBy("cluster").agg(F.sum("bytes").alias("bytes"), F.max(F.struct("bytes", "part")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
     split = split.select("cluster", "most.part", F.ceil(F.col("bytes") / BLOCK_BYTES).alias("all_blocks"), F.ceil((F.col("bytes") - F.col("most.bytes")) / BLOCK_BYTES).alias("minor_blocks"))
     open_rows = placed.join(split.withColumnRenamed("part", "most"), "cluster").select("node", "cluster", "part", (F.col("part") != F.col("most")).alias("minor"), "all_blocks", "minor_blocks")
     open_rows = durable(open_rows).join(nodes.select("node", "n_shingles", "sketch"), "node").join(full, "node")
@@ -237,7 +237,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, similarity: float = 0.8) ->
 
     # A component is named by the smallest id of its nodes.
     labelled = low.join(labels.withColumnRenamed("id", "node"), "node", "left").select("node", "low", F.coalesce("component_id", "node").alias("component"))
-    names = durable(labelled.groupBy("component").agg(F.min("low").alias("component_id")))
+    names = labelled.groupBy("component").agg(F.min("low").alias("component_id"))
     named = durable(labelled.join(names, "component").select("node", "component_id"))
     out = sketched.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")).join(named, "node", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
