@@ -69,7 +69,7 @@ def fnv1a(text: Column) -> Column:
 
 def normalized_provenance(entries: Column) -> Column:
     """Distinct, trimmed, non-empty strings in order."""
-    return F.array_sort(F.array_distinct(F.filter(F.transform(entries, F.trim), lambda e: e.isNotNull() & (e != ""))))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(entries, lambda e: F.trim(e)), lambda e: e.isNotNull() & (e != ""))))
 
 
 def bounded_message(text: Column) -> Column:

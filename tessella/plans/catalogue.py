@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import color, scalars
-from tessella.operators import editing, fusion, gate, kernels, raster
+from tessella.operators import editing, fusion, gate, kernels, planning, raster
 from tessella.sources import views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -526,3 +526,109 @@ def jsonl_append_unique(spark, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id")
     fresh = events.where("event_id % 3 = 0").groupBy("user_id").agg(F.min("event_id").alias("event_id"))
     return fresh.join(events.where("event_id % 3 <> 0").select("user_id"), "user_id", "left_anti").select("event_id", "user_id")
+
+
+# Planning
+
+
+def _spread(spark, sf_dir):
+    mask = views.mask(spark, sf_dir)
+    on = F.when(F.col("v") >= 0.5, 1.0)
+    return mask.groupBy("image_id").agg(F.coalesce(F.avg(F.coalesce(on, F.lit(0.0))), F.lit(0.0)).alias("share"), F.coalesce(F.avg(on * (F.col("x") + 0.5) / 8), F.lit(0.5)).alias("cx"), F.coalesce(F.avg(on * (F.col("y") + 0.5) / 8), F.lit(0.5)).alias("cy"))
+
+
+_SPREAD = "spread AS (SELECT image_id, avg(CAST(v >= 0.5 AS INT)) AS share, coalesce(avg((x + 0.5e0) / 8) FILTER (v >= 0.5), 0.5) AS cx, coalesce(avg((y + 0.5e0) / 8) FILTER (v >= 0.5), 0.5) AS cy FROM mask GROUP BY image_id)"
+_CANVAS = "canvas AS (SELECT image_id, size, size * size AS beads, greatest(0, least(1, 1 - abs(share - 0.55) / 0.55)) * 0.45 + 0.55 AS subject, greatest(0, least(1, 1 - sqrt(pow(cx - 0.5, 2) + pow(cy - 0.48, 2)) / 0.6)) AS composition, size * size / 9216e0 AS cost FROM spread, (VALUES (32), (48), (64)) s(size))"
+
+
+@_query(_with(_MASK, _SPREAD, _CANVAS) + f"SELECT image_id, size, CAST(beads AS BIGINT) AS beads, {_r4('subject')} AS subject, {_r4('composition')} AS composition, {_r4('greatest(0, least(1, 0.38 + 0.18 * subject + 0.16 * composition + 0.28 - 0.3 * cost - 0.1 * sqrt(cost)))')} AS total FROM canvas")
+def canvas_plans(spark, sf_dir):
+    out = planning.canvas_plans(_spread(spark, sf_dir), [64, 32, 48, 32])
+    return out.select("image_id", "size", "beads", *(r4(F.col(c)).alias(c) for c in ("subject", "composition", "total")))
+
+
+@_query(_with(_LANDMARK) + f"SELECT image_id, 'eye-' || s AS landmark_id, size, CAST(least(4, greatest(1, floor(size * size / 1024e0 * 2 + 0.5))) AS BIGINT) AS allocated, true AS feasible, {_r4('''1.5 * CASE WHEN priority = 'hard' THEN 1.25 ELSE 1 END * confidence''')} AS weight FROM landmark, (VALUES (16), (32)) z(size)")
+def feature_budgets(spark, sf_dir):
+    sized = views.landmark(spark, sf_dir).withColumn("size", F.explode(F.array(F.lit(16), F.lit(32))))
+    return planning.feature_budgets(sized, F.col("size")).select("image_id", "landmark_id", "size", "allocated", "feasible", r4(F.col("weight")).alias("weight"))
+
+
+@_query(
+    _with(_MASK, "three AS (SELECT m.label AS image_id, x, y, v, image_id % 3 AS ord, CASE image_id % 3 WHEN 0 THEN 1e0 WHEN 1 THEN 0.9e0 ELSE 0.8e0 END AS confidence FROM mask m)")
+    + "SELECT image_id, x, y, region FROM (SELECT image_id, x, y, ord AS region, row_number() OVER (PARTITION BY image_id, x, y ORDER BY v * confidence DESC, ord) AS nth FROM three WHERE v * confidence > 0.4) WHERE nth = 1"
+)
+def region_ids(spark, sf_dir):
+    three = F.col("image_id") % 3
+    regions = views.mask(spark, sf_dir).select(F.col("label").alias("image_id"), "x", "y", "v", three.alias("ord"), F.when(three == 0, 1.0).when(three == 1, 0.9).otherwise(0.8).alias("confidence"))
+    return planning.region_ids(regions).withColumn("image_id", F.col("image_id").cast("int"))
+
+
+@_query(
+    _with(_MASK, _LANDMARK)
+    + f"""SELECT m.image_id, m.x, m.y, {_r4("greatest(0.75 + 1.25 * m.v, coalesce(max(1 + CASE WHEN priority = 'hard' THEN 2 ELSE 1 END * k.confidence), 0))")} AS weight
+ FROM mask m LEFT JOIN landmark k ON m.image_id = k.image_id AND abs(m.x - k.x) <= k.grid_radius AND abs(m.y - k.y) <= k.grid_radius GROUP BY m.image_id, m.x, m.y, m.v"""
+)
+def importance_weights(spark, sf_dir):
+    out = planning.importance_weights(views.mask(spark, sf_dir).select("image_id", "x", "y", F.col("v").alias("importance")), views.landmark(spark, sf_dir))
+    return out.withColumn("weight", r4(F.col("weight")))
+
+
+def _score_sql() -> str:
+    parts = []
+    for style, (*_, bias) in color.STYLES.items():
+        fw, cw = (0.24, 0.05) if style == "faithful" else (0.18, 0.11)
+        total = f"(fid * {fw} + pf * 0.09 + structure * 0.22 + feature * 0.18 * conf + clean * 0.14 + craft * {cw} + canvas * 0.08) / (0.82 + 0.18 * conf) + {bias}"
+        parts.append(f"SELECT image_id, valid, image_id || ':{style}' AS candidate_id, '{style}' AS style, greatest(0, least(1, {total})) AS total FROM m")
+    return " UNION ALL ".join(parts)
+
+
+_CANDIDATES = (
+    """m0 AS (SELECT p_partkey AS image_id, p_partkey % 4 <> 0 AS valid, p_partkey % 50 / 1e0 AS src, p_partkey % 31 / 1e0 AS ref, p_partkey % 17 / 1e0 AS pl, p_partkey % 10 / 10e0 AS structure, p_partkey % 7 / 7e0 AS feature, p_partkey % 3 / 2e0 AS conf,
+ p_partkey % 23 AS isolated, p_partkey % 29 AS stripes, 1024 AS cells, p_partkey % 24 AS colors, p_partkey % 5 / 5e0 AS canvas FROM part),
+m AS (SELECT *, 1 / (1 + (0.35 * src + 0.65 * ref) / 15) AS fid, 1 / (1 + pl / 15) AS pf, greatest(0, least(1, 1 - (2 * isolated + stripes) / 1024e0)) AS clean, greatest(0, least(1, 1 - 0.25 * colors / 24e0 - isolated / 1024e0)) AS craft FROM m0),
+c AS ("""
+    + _score_sql()
+    + ")"
+)
+
+
+@_query(_with(_CANDIDATES) + f"SELECT image_id, candidate_id, style, valid, CAST(nth AS INTEGER) AS nth, {_r4('total')} AS total FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY valid DESC, total DESC, candidate_id) AS nth FROM c) WHERE nth <= 3")
+def candidate_rank(spark, sf_dir):
+    k = F.col("p_partkey")
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    measures = part.select(
+        k.alias("image_id"), (k % 4 != 0).alias("valid"), (k % 50).cast("double").alias("source"), (k % 31).cast("double").alias("reference"), (k % 17).cast("double").alias("plan"), (k % 10 / 10).alias("structure"), (k % 7 / 7).alias("feature"),
+        (k % 3 / 2).alias("confidence"), (k % 23).alias("isolated"), (k % 29).alias("stripes"), F.lit(1024).alias("cells"), (k % 24).alias("colors"), (k % 5 / 5).alias("canvas"),
+    )
+    return planning.ranked(planning.scored_styles(measures, 24), 3).select("image_id", "candidate_id", "style", "valid", "nth", r4(F.col("total")).alias("total"))
+
+
+@_query()
+def adapt_pattern(spark, sf_dir):
+    pixels, colors = views.pixel(spark, sf_dir), raster.palette_rows(views.palette(spark, sf_dir))
+    labs = F.array(*(F.struct(*(F.lit(float(p["lab"][k])).alias(k) for k in ("l", "a", "b"))) for p in colors))
+    costs = pixels.select("image_id", "x", "y", F.transform(labs, lambda c: color.delta_e76(color.lab(*map(F.col, "rgb")), c)).alias("costs"))
+    fixed = F.when((F.col("x") == 3) & (F.col("y") == 3), 1)
+    cells = _assigned(spark, sf_dir).join(costs, ["image_id", "x", "y"]).select("*", fixed.alias("fixed"), (F.col("y") < 6).alias("editable"))
+    return planning.adapted(cells, most_changes=12)
+
+
+@_query(
+    _with(_INTERACTION)
+    + """SELECT 'known category' AS rule, count(*) FILTER (category NOT IN ('portrait', 'pet', 'illustration', 'object')) AS n FROM interaction UNION ALL SELECT 'rated if confirmed', count(*) FILTER (NOT coalesce(outcome <> 'confirmed' OR subject_ok IS NOT NULL, false)) FROM interaction
+ UNION ALL SELECT 'quick', count(*) FILTER (NOT coalesce(duration_ms <= 5000, false)) FROM interaction"""
+)
+def validate_rules(spark, sf_dir):
+    rules = {"known category": F.col("category").isin("portrait", "pet", "illustration", "object"), "rated if confirmed": (F.col("outcome") != "confirmed") | F.col("subject_ok").isNotNull(), "quick": F.col("duration_ms") <= 5000}
+    return planning.violations(views.interaction(spark, sf_dir), rules)
+
+
+@_query(_with(_EVIDENCE) + "SELECT * EXCLUDE nth FROM (SELECT *, CASE WHEN evidence_id % 4 = 0 THEN 'manual' ELSE 'automatic' END AS kind, row_number() OVER (PARTITION BY image_id ORDER BY evidence_id % 4 = 0 DESC, confidence DESC, evidence_id) AS nth FROM evidence) WHERE nth = 1")
+def fuse_crop(spark, sf_dir):
+    return fusion.crop(views.evidence(spark, sf_dir).withColumn("kind", F.when(F.col("evidence_id") % 4 == 0, "manual").otherwise("automatic")))
+
+
+@_query("SELECT user_id, list_aggregate(list_sort(list_distinct(list(trim(event_type)) FILTER (trim(event_type) <> ''))), 'string_agg', ',') AS origins FROM events GROUP BY user_id")
+def provenance_normalize(spark, sf_dir):
+    origins = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("user_id").agg(F.collect_set(F.concat(F.lit(" "), "event_type")).alias("o"))
+    return origins.select("user_id", F.array_join(scalars.normalized_provenance(F.col("o")), ",").alias("origins"))
