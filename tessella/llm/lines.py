@@ -41,9 +41,15 @@ def line_hashes(lines: list[str]) -> np.ndarray:
     return np.fromiter(map(line_hash, lines), np.int64, len(lines))
 
 
+def _once(lines: list[int]) -> dict[int, int]:
+    """Places of the lines that occur once."""
+    times = Counter(lines)
+    return {h: i for i, h in enumerate(lines) if times[h] == 1}
+
+
 def common_blocks(earlier: np.ndarray, later: np.ndarray) -> list[tuple[int, int]]:
     """(start, end) of the later document's lines that patience diff aligns with the earlier document's."""
-    once_e, once_l = ({h: i for i, h in enumerate(x) if n[h] == 1} for x in (earlier.tolist(), later.tolist()) if (n := Counter(x)))
+    once_e, once_l = _once(earlier.tolist()), _once(later.tolist())
     anchors = [(i, once_e[h]) for h, i in once_l.items() if h in once_e]  # by place in the later document
     tails: list[int] = []  # patience piles: the smallest end of an increasing run of each length
     tops: list[int] = []

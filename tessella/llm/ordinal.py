@@ -5,12 +5,12 @@ for all thresholds theta_0 < theta_1 < ...; the operator gives out these probabi
 expected severity) and the verdict: toxic if the expected severity is at least `REJECT`.
 
 Features of a text are its words (letters and digits, A-Z lowered) and their first 4, 5 and 6 characters; a
-feature weighs 1 plus a quarter of log(1 + its occurrences in a thousand words). Labels say only toxic or
-not: grades above 0 divide the toxic training texts at the quantiles of their share of words that carry a
-feature found almost only in toxic texts.
+feature weighs 1 plus a quarter of the logarithm of its occurrences. Labels say only toxic or not: grades
+above 0 divide the toxic training texts at the quantiles of their evidence, the summed weights of features
+that are found almost only in toxic texts.
 
 Training uses at most about `TRAIN_ROWS` labelled rows, chosen by a hash of the id, one of each text; the
-`FEATURES` features with the largest chi-squared statistic are fitted on the driver, whose input is bounded
+`FEATURES` features with the largest significant chi-squared statistic are fitted on the driver, whose input is bounded
 by these two parameters. Scoring runs over whole texts of all rows, without a shuffle.
 
 Defined results. Null, empty or blank text: severity 0, kept. Labels missing, null, or of one class only:
@@ -37,7 +37,9 @@ FEATURES = 3000
 PREFIXES = (4, 5, 6)
 #: A feature counts as evidence of severity if this share of its training texts, at least, is toxic.
 EVIDENCE = 0.9
-STEPS, RATE, PENALTY = 400, 0.05, 2e-4
+#: Least chi-squared statistic of a feature: among a million features without meaning, about one reaches it.
+SIGNIFICANT = 24.0
+STEPS, RATE, PENALTY = 1000, 0.1, 5e-6
 
 _ALPHANUMERIC = byte_table(bytes(c for c in range(128) if not chr(c).isalnum()), lower=True)
 
@@ -47,34 +49,34 @@ def _keys(word: bytes) -> list[str]:
     return [text, *(f"^{text[:n]}" for n in PREFIXES if len(text) > n)]
 
 
-def _counted(column: pa.Array) -> Iterator[tuple[int, list[bytes], np.ndarray]]:
-    """For each row: number of words, distinct words and how often each occurs."""
+def _counted(column: pa.Array) -> Iterator[tuple[list[bytes], np.ndarray]]:
+    """For each row: distinct words and how often each occurs."""
     first, _, _, found = words(column, _ALPHANUMERIC)
     codes, distinct = coded(found)
     spelled = distinct.to_pylist()
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         own, times = np.unique(codes[a:b], return_counts=True)
-        yield b - a, [spelled[c] for c in own.tolist()], times
+        yield [spelled[c] for c in own.tolist()], times
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in text_slices(batch):
-            keys, values, sizes = [], [], []
-            for n, own, times in _counted(part.column("text")):
+            keys, values = [], []
+            for own, times in _counted(part.column("text")):
                 total: dict[str, int] = {}
                 for w, t in zip(own, times.tolist(), strict=True):
                     for k in _keys(w):
                         total[k] = total.get(k, 0) + t
-                keys.append(list(total)), values.append(list(total.values())), sizes.append(n)
+                keys.append(list(total)), values.append(list(total.values()))
             yield pa.RecordBatch.from_arrays(
-                [part.column("toxic"), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.string())), pa.array(values, pa.list_(pa.int64()))],
-                names=["toxic", "n_words", "keys", "times"],
+                [part.column("toxic"), pa.array(keys, pa.list_(pa.string())), pa.array(values, pa.list_(pa.int64()))],
+                names=["toxic", "keys", "times"],
             )
 
 
-def _weight(times: np.ndarray, n_words: np.ndarray) -> np.ndarray:
-    return 1 + np.log1p(1000 * times / np.maximum(n_words, 1)) / 4
+def _weight(times: np.ndarray) -> np.ndarray:
+    return 1 + np.log(times) / 4
 
 
 @dataclass
@@ -127,31 +129,33 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, n_fe
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     sample = texts.join(F.broadcast(chosen), "doc_id")  # bounded by train_rows
     sample = sample.groupBy(F.xxhash64("text").alias("copy")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
-    featured = durable(sample.select("text", "toxic").mapInArrow(_featured, "toxic int, n_words long, keys array<string>, times array<long>").withColumn("row", F.monotonically_increasing_id()))
+    featured = durable(sample.select("text", "toxic").mapInArrow(_featured, "toxic int, keys array<string>, times array<long>").withColumn("row", F.monotonically_increasing_id()))
     counts = featured.agg(F.count("*").alias("n"), F.sum(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("toxic")).first()
     n, n_toxic = counts["n"], counts["toxic"] or 0
     if not n or n_toxic in (0, n):
         return Model({}, [])
     seen = featured.select("toxic", F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("df"), F.sum(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("hits"))
     df, hits = F.col("df").cast("double"), F.col("hits").cast("double")
-    squared = F.pow(hits * n - df * n_toxic, F.lit(2.0)) / (df * (n - df + 1) * n_toxic * (n - n_toxic))
-    top = seen.where(F.col("df") >= max(3, n // 1000)).select("key", "df", "hits").orderBy(squared.desc(), "key").limit(n_features)
+    squared = n * F.pow(hits * n - df * n_toxic, F.lit(2.0)) / (df * (n - df + 1) * n_toxic * (n - n_toxic))
+    top = seen.where((F.col("df") >= max(3, n // 1000)) & (squared >= SIGNIFICANT)).select("key", "df", "hits").orderBy(squared.desc(), "key").limit(n_features)
     features = top.collect()
+    if not features:
+        return Model({}, [])
     index = {r["key"]: i for i, r in enumerate(features)}
     evidence = np.array([r["hits"] >= EVIDENCE * r["df"] for r in features], bool)
     # The sample's texts as sparse rows; at most train_rows * n_features entries.
     ranked = durable(top.select("key"))
-    entries = featured.select("row", "n_words", "toxic", F.explode(F.arrays_zip("keys", "times")).alias("e")).select("row", "n_words", "e.*").join(F.broadcast(ranked.withColumnRenamed("key", "keys")), "keys")
+    entries = featured.select("row", F.explode(F.arrays_zip("keys", "times")).alias("e")).select("row", "e.*").join(F.broadcast(ranked.withColumnRenamed("key", "keys")), "keys")
     table = entries.toPandas()
-    heads = featured.select("row", "toxic", "n_words").toPandas().sort_values("row")
+    heads = featured.select("row", "toxic").toPandas().sort_values("row")
     place = {r: i for i, r in enumerate(heads["row"])}
     rows, columns = table["row"].map(place).to_numpy(np.int64), table["keys"].map(index).to_numpy(np.int64)
-    values = _weight(table["times"].to_numpy(np.float64), table["n_words"].to_numpy(np.float64))
+    values = _weight(table["times"].to_numpy(np.float64))
     telling = evidence[columns] if len(columns) else np.zeros(0, bool)
-    share = np.bincount(rows[telling], table["times"].to_numpy(np.float64)[telling], minlength=len(heads)) / np.maximum(heads["n_words"].to_numpy(), 1)
+    shown = np.bincount(rows[telling], values[telling], minlength=len(heads))
     toxic = heads["toxic"].to_numpy() > 0
-    cuts = np.quantile(share[toxic], np.arange(1, GRADES - 1) / (GRADES - 1))
-    grades = np.where(toxic, 1 + np.searchsorted(cuts, share, side="right"), 0)
+    cuts = np.quantile(shown[toxic], np.arange(1, GRADES - 1) / (GRADES - 1))
+    grades = np.where(toxic, 1 + np.searchsorted(cuts, shown, side="right"), 0)
     weights, thresholds = fit_cumulative_link(rows, columns, values, grades, len(features))
     return Model({k: float(weights[i]) for k, i in index.items()}, [float(x) for x in thresholds])
 
@@ -181,8 +185,7 @@ def _scorer(model: Model):
                     sizes = np.fromiter(map(len, fans), np.int64, len(fans))
                     cell = np.repeat(rows, sizes) * len(names) + np.array([k for f in fans for k in f], np.int64)
                     cells, times = np.unique(cell, return_counts=True)
-                    n_words = np.diff(first)[cells // len(names)]
-                    scores = np.bincount(cells // len(names), weight[cells % len(names)] * _weight(times, n_words), minlength=part.num_rows)
+                    scores = np.bincount(cells // len(names), weight[cells % len(names)] * _weight(times), minlength=part.num_rows)
                 p = model.probabilities(scores)
                 p[np.diff(first) == 0] = 0
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(list(p.round(6)), pa.list_(pa.float64()))], names=[*part.schema.names, "__above"])
