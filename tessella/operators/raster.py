@@ -77,6 +77,32 @@ def resize_area(pixels: DataFrame, source: int, target: int, values: list[str])
     return sums.select("image_id", "x", "y", *((F.col(v) / F.col("w")).alias(v) for v in values))
 
 
+def resize_guided(pixels: DataFrame, source: int, target: int, importance_strength: float = 4.0, edge_strength: float = 1.25) -> DataFrame:
+    """Area means that lean to important and sharp pixels (columns importance and edge); a cell whose strongest
+    pixel is important and stands out takes that pixel as it is."""
+
+    def cells(p: str) -> Column:
+        first, last = F.floor(F.col(p) * target / source), F.ceil((F.col(p) + 1) * target / source) - 1
+        overlap = lambda c: F.least((c + 1) * source / target, F.col(p) + 1) - F.greatest(c * source / target, F.col(p))
+        return F.transform(F.sequence(first.cast("int"), last.cast("int")), lambda c: F.struct(c.alias("c"), overlap(c).alias("f")))
+
+    strength = F.col("importance") * importance_strength + F.col("edge") * edge_strength
+    sent = pixels.select("*", strength.alias("s"), F.explode(cells("x")).alias("cx")).select("*", F.explode(cells("y")).alias("cy"))
+    weight = F.col("cx.f") * F.col("cy.f") * (1 + F.col("s"))
+    peak = F.max(F.struct("s", (-F.col("y")).alias("y"), (-F.col("x")).alias("x"), "importance", "r", "g", "b"))  # ties to the first in raster order
+    sums = sent.groupBy("image_id", F.col("cx.c").alias("gx"), F.col("cy.c").alias("gy")).agg(F.sum(weight).alias("w"), F.avg("importance").alias("mean"), peak.alias("peak"), *(F.sum(weight * F.col(c)).alias(c) for c in "rgb"))
+    stands_out = (F.col("peak.importance") >= 0.85) & (F.col("peak.importance") - F.col("mean") >= 0.25)
+    return sums.select("image_id", F.col("gx").alias("x"), F.col("gy").alias("y"), *(F.when(stands_out, F.col(f"peak.{c}")).otherwise(rounded(F.col(c) / F.col("w"))).cast("int").alias(c) for c in "rgb"))
+
+
+def reference_distance(pixels: DataFrame, assigned: DataFrame, palette: DataFrame, source: int, target: int, side: int = 96) -> DataFrame:
+    """image_id, distance: mean CIEDE2000 between a reference raster of the source and the pattern's cells under it."""
+    reference = resize_nearest(pixels, source, side, ["r", "g", "b"])
+    place = lambda c: F.greatest(F.lit(0), F.least(F.lit(target - 1), F.floor((F.col(c) + 0.5) / side * target))).cast("int")
+    under = reference.select("image_id", place("x").alias("x"), place("y").alias("y"), *"rgb")
+    return mean_color_distance(under, assigned, palette)
+
+
 def edge_map(pixels: DataFrame) -> DataFrame:
     """image_id, x, y, edge: central difference of luminance, edges repeated."""
     lit = pixels.select(*CELL, color.luminance(*map(F.col, "rgb")).alias("l"))

@@ -632,3 +632,35 @@ def fuse_crop(spark, sf_dir):
 def provenance_normalize(spark, sf_dir):
     origins = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("user_id").agg(F.collect_set(F.concat(F.lit(" "), "event_type")).alias("o"))
     return origins.select("user_id", F.array_join(scalars.normalized_provenance(F.col("o")), ",").alias("origins"))
+
+
+@_query(
+    _with(
+        _PIXEL, _MASK, _OVERLAP, f"lit AS (SELECT image_id, x, y, r, g, b, {_LUM} AS l FROM pixel)",
+        "guided AS MATERIALIZED (SELECT lit.*, v AS importance, least(1, sqrt(pow(coalesce(lead(l) OVER w1, l) - coalesce(lag(l) OVER w1, l), 2) + pow(coalesce(lead(l) OVER w2, l) - coalesce(lag(l) OVER w2, l), 2)) / 255) AS edge FROM lit JOIN mask USING (image_id, x, y) WINDOW w1 AS (PARTITION BY image_id, lit.y ORDER BY lit.x), w2 AS (PARTITION BY image_id, lit.x ORDER BY lit.y))",
+        "sent AS (SELECT image_id, ox.c AS gx, oy.c AS gy, x, y, r, g, b, importance, importance * 4 + edge * 1.25 AS s, ox.f * oy.f * (1 + importance * 4 + edge * 1.25) AS w FROM guided JOIN overlap ox ON guided.x = ox.p JOIN overlap oy ON guided.y = oy.p)",
+        "sums AS (SELECT image_id, gx, gy, sum(w) AS w, avg(importance) AS mean, sum(w * r) AS r, sum(w * g) AS g, sum(w * b) AS b FROM sent GROUP BY ALL)",
+        "peak AS (SELECT image_id, gx, gy, importance AS pi, r AS pr, g AS pg, b AS pb FROM (SELECT *, row_number() OVER (PARTITION BY image_id, gx, gy ORDER BY s DESC, y, x) AS nth FROM sent) WHERE nth = 1)",
+    )
+    + "SELECT image_id, gx AS x, gy AS y, " + ", ".join(f"CAST(CASE WHEN pi >= 0.85 AND pi - mean >= 0.25 THEN p{c} ELSE floor({c} / w + 0.5) END AS INT) AS {c}" for c in "rgb") + " FROM sums JOIN peak USING (image_id, gx, gy)"
+)
+def resize_guided(spark, sf_dir):
+    pixels = views.pixel(spark, sf_dir)
+    guided = pixels.join(raster.edge_map(pixels), ["image_id", "x", "y"]).join(views.mask(spark, sf_dir).select("image_id", "x", "y", F.col("v").alias("importance")), ["image_id", "x", "y"])
+    return raster.resize_guided(guided, 8, 3)
+
+
+@_query()
+def reference_metrics(spark, sf_dir):
+    out = raster.reference_distance(views.pixel(spark, sf_dir), _assigned(spark, sf_dir), views.palette(spark, sf_dir), 8, 8, 24)
+    return out.withColumn("distance", r4(F.col("distance")))
+
+
+@_query(_with(_INTERACTION, f"m AS (SELECT device_class, {_MEASURES} FROM interaction GROUP BY device_class)") + "SELECT device_class, p50_ms, p90_ms, median_strokes FROM m")
+def gate_percentiles(spark, sf_dir):
+    return gate.measures(["device_class"], views.interaction(spark, sf_dir)).select("device_class", "p50_ms", "p90_ms", "median_strokes")
+
+
+@_query(_with(_EVIDENCE) + f"SELECT image_id, {_r4('avg(confidence)')} AS confidence FROM evidence GROUP BY image_id")
+def fuse_confidence(spark, sf_dir):
+    return fusion.confidence(views.evidence(spark, sf_dir)).withColumn("confidence", r4(F.col("confidence")))
