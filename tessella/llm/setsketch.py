@@ -97,7 +97,7 @@ def _sketches(width: int):
                     nodes.append(node_of(shingles) if len(shingles) else None)
                     sketches.append(registers(shingles).tobytes() if len(shingles) else None)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sketches, pa.binary())], names=["doc_id", "n_shingles", "node", "sketch"]
+                    [part.column("doc_id"), part.column("version"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sketches, pa.binary())], names=["doc_id", "version", "n_shingles", "node", "sketch"]
                 )
 
     return run
@@ -189,14 +189,14 @@ def _forest(share: int, least: float):
 
 def near_duplicates(docs: DataFrame, width: int = 4, similarity: float = 0.8) -> DataFrame:
     """doc_id, n_shingles, component_id and kept (doc_id is its component's smallest id) for each row."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketched = durable(docs.mapInArrow(_sketches(width), "doc_id long, n_shingles long, node long, sketch binary"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("version", F.xxhash64("text"))
+    sketched = durable(docs.mapInArrow(_sketches(width), "doc_id long, version long, n_shingles long, node long, sketch binary"))
     share = round(similarity * 100)
     least = similarity - DEVIATIONS * (similarity * (1 - similarity) / REGISTERS) ** 0.5
 
     # Exact copies are one node, with the smallest id.
     low = durable(sketched.where("doc_id is not null and node is not null").groupBy("node").agg(F.min("doc_id").alias("low")))
-    nodes = durable(sketched.join(low, "node").where("doc_id = low").dropDuplicates(["node"]).select("node", "low", "n_shingles", "sketch"))
+    nodes = durable(sketched.join(low, "node").where("doc_id = low").dropDuplicates(["node"]).select("node", "low", "version", "n_shingles", "sketch"))
 
     # Buckets of two nodes or more, each with its hub.
     band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sketch"), i * (2 * ROWS) + 1, F.lit(2 * ROWS))))
@@ -205,9 +205,9 @@ def near_duplicates(docs: DataFrame, width: int = 4, similarity: float = 0.8) ->
     pairs = durable(rows.join(hubs, "key").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
 
     # The full sets of nodes in such buckets.
-    wanted = durable(nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", F.col("low").alias("doc_id")))
+    wanted = durable(nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", F.col("low").alias("doc_id"), "version"))
     n_wanted = wanted.count()
-    full = durable(docs.join(F.broadcast(wanted) if n_wanted <= BROADCAST_IDS else wanted, "doc_id").mapInArrow(_sets(width), "node long, members binary"))
+    full = durable(docs.join(F.broadcast(wanted) if n_wanted <= BROADCAST_IDS else wanted, ["doc_id", "version"]).mapInArrow(_sets(width), "node long, members binary"))
     if full.count() > n_wanted:  # repeated rows
         full = durable(full.dropDuplicates(["node"]))
 
