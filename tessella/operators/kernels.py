@@ -65,6 +65,53 @@ def topology(mask: DataFrame, threshold: float = 0.5) -> DataFrame:
     return mask.select("image_id", "x", "y", "v").groupBy("image_id").applyInArrow(run, "image_id long, components long, largest long, holes long")
 
 
+def contours(on: np.ndarray) -> list[list[tuple[int, int]]]:
+    """Closed loops of corners around the cells that are on, inside to the right; holes run the other way round.
+
+    Where loops touch at a corner, the path turns right first, so that diagonal neighbours stay apart.
+    """
+    steps = ((1, 0), (0, 1), (-1, 0), (0, -1))  # right, down, left, up
+    starts = ((0, 0), (1, 0), (1, 1), (0, 1))  # of the edges above, right of, below and left of a cell
+    wide = np.pad(on, 1)
+    beside = (wide[:-2, 1:-1], wide[1:-1, 2:], wide[2:, 1:-1], wide[1:-1, :-2])
+    open_: dict[tuple[int, int], list[int]] = {}
+    for d in range(4):
+        for y, x in zip(*np.nonzero(on & ~beside[d]), strict=True):
+            open_.setdefault((int(x) + starts[d][0], int(y) + starts[d][1]), []).append(d)
+    found = []
+    for first in sorted(open_, key=lambda p: (p[1], p[0])):
+        while open_[first]:
+            at, d = first, open_[first].pop(0)
+            loop = [at]
+            while True:
+                at = (at[0] + steps[d][0], at[1] + steps[d][1])
+                if at == first and not any((d + t) % 4 in open_[at] for t in (1, 0)):
+                    break
+                d = next((d + t) % 4 for t in (1, 0, 3) if (d + t) % 4 in open_[at])
+                open_[at].remove(d)
+                loop.append(at)
+            found.append(loop)
+    return found
+
+
+def signed_area(loop: list[tuple[int, int]]) -> float:
+    """Positive around foreground, negative around a hole."""
+    return sum(x * v - u * y for (x, y), (u, v) in zip(loop, loop[1:] + loop[:1], strict=True)) / 2
+
+
+def traced(mask: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """image_id, contour (from 0), corners, area, hole."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        loops = contours(_grid(table, "v", 0.0) >= threshold)
+        areas = [signed_area(x) for x in loops]
+        return pa.table(
+            {"image_id": pa.array([key[0].as_py()] * len(loops), pa.int64()), "contour": pa.array(range(len(loops)), pa.int64()), "corners": pa.array([len(x) for x in loops], pa.int64()), "area": pa.array(areas, pa.float64()), "hole": pa.array([a < 0 for a in areas], pa.bool_())}
+        )
+
+    return mask.select("image_id", "x", "y", "v").groupBy("image_id").applyInArrow(run, "image_id long, contour long, corners long, area double, hole boolean")
+
+
 def squared_distance(targets: np.ndarray) -> np.ndarray:
     """Squared distance of every cell to the nearest target: exact, columns then rows."""
     far = float(targets.shape[0] + targets.shape[1]) ** 2 * 4

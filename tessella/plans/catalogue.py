@@ -664,3 +664,8 @@ def gate_percentiles(spark, sf_dir):
 @_query(_with(_EVIDENCE) + f"SELECT image_id, {_r4('avg(confidence)')} AS confidence FROM evidence GROUP BY image_id")
 def fuse_confidence(spark, sf_dir):
     return fusion.confidence(views.evidence(spark, sf_dir)).withColumn("confidence", r4(F.col("confidence")))
+
+
+@_query()
+def mask_contours(spark, sf_dir):
+    return kernels.traced(views.mask(spark, sf_dir))

@@ -50,6 +50,19 @@ def test_components_and_holes():
     assert kernels.hole_count(np.zeros((3, 3), bool)) == 0
 
 
+def test_contours_close_around_components_and_holes():
+    rng = np.random.default_rng(2)
+    ring = np.array([[1, 1, 1], [1, 0, 1], [1, 1, 1]], bool)
+    assert sorted(kernels.signed_area(x) for x in kernels.contours(ring)) == [-1, 9]
+    assert [kernels.signed_area(x) for x in kernels.contours(np.eye(2, dtype=bool))] == [1, 1]
+    for _ in range(50):
+        on = rng.random((6, 7)) < 0.5
+        loops = kernels.contours(on)
+        assert sum(map(kernels.signed_area, loops)) == on.sum()
+        assert sum(kernels.signed_area(x) > 0 for x in loops) == len(kernels.labelled(on))
+        assert sum(kernels.signed_area(x) < 0 for x in loops) == kernels.hole_count(on)
+
+
 def test_squared_distance_is_exact():
     on = np.random.default_rng(1).random((7, 9)) < 0.2
     on[3, 3] = True
