@@ -37,8 +37,9 @@ FEATURES = 3000
 PREFIXES = (4, 5, 6)
 #: A feature counts as evidence of severity if this share of its training texts, at least, is toxic.
 EVIDENCE = 0.9
-#: Least chi-squared statistic of a feature: among a million features without meaning, about one reaches it.
-SIGNIFICANT = 24.0
+#: Least chi-squared statistic of a feature: among a million features without meaning, about one reaches the first
+#: value. The next is taken only if the features so far are in fewer than nine tenths of the toxic training texts.
+SIGNIFICANT = (24.0, 16.0, 10.0)
 STEPS, RATE, PENALTY = 1000, 0.1, 5e-6
 
 _ALPHANUMERIC = byte_table(bytes(c for c in range(128) if not chr(c).isalnum()), lower=True)
@@ -137,11 +138,10 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, n_fe
     seen = featured.select("toxic", F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("df"), F.sum(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("hits"))
     df, hits = F.col("df").cast("double"), F.col("hits").cast("double")
     squared = n * F.pow(hits * n - df * n_toxic, F.lit(2.0)) / (df * (n - df + 1) * n_toxic * (n - n_toxic))
-    top = seen.where((F.col("df") >= max(3, n // 1000)) & (squared >= SIGNIFICANT)).select("key", "df", "hits").orderBy(squared.desc(), "key").limit(n_features)
+    top = seen.where((F.col("df") >= max(3, n // 1000)) & (squared >= SIGNIFICANT[-1])).select("key", "df", "hits", squared.alias("squared")).orderBy(F.desc("squared"), "key").limit(n_features)
     features = top.collect()
     if not features:
         return Model({}, [])
-    index = {r["key"]: i for i, r in enumerate(features)}
     evidence = np.array([r["hits"] >= EVIDENCE * r["df"] for r in features], bool)
     # The sample's texts as sparse rows; at most train_rows * n_features entries.
     ranked = durable(top.select("key"))
@@ -149,14 +149,21 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, n_fe
     table = entries.toPandas()
     heads = featured.select("row", "toxic").toPandas().sort_values("row")
     place = {r: i for i, r in enumerate(heads["row"])}
+    toxic = heads["toxic"].to_numpy() > 0
+    index = {r["key"]: i for i, r in enumerate(features)}
     rows, columns = table["row"].map(place).to_numpy(np.int64), table["keys"].map(index).to_numpy(np.int64)
+    for least in SIGNIFICANT:
+        index = {r["key"]: i for i, r in enumerate(features) if r["squared"] >= least}  # a prefix of the features
+        if len(np.unique(rows[(columns < len(index)) & toxic[rows]])) >= 0.9 * n_toxic:
+            break
+    table, evidence = table[columns < len(index)], evidence[: len(index)]
+    rows, columns = rows[columns < len(index)], columns[columns < len(index)]
     values = _weight(table["times"].to_numpy(np.float64))
     telling = evidence[columns] if len(columns) else np.zeros(0, bool)
     shown = np.bincount(rows[telling], values[telling], minlength=len(heads))
-    toxic = heads["toxic"].to_numpy() > 0
     cuts = np.quantile(shown[toxic], np.arange(1, GRADES - 1) / (GRADES - 1))
     grades = np.where(toxic, 1 + np.searchsorted(cuts, shown, side="right"), 0)
-    weights, thresholds = fit_cumulative_link(rows, columns, values, grades, len(features))
+    weights, thresholds = fit_cumulative_link(rows, columns, values, grades, len(index))
     return Model({k: float(weights[i]) for k, i in index.items()}, [float(x) for x in thresholds])
 
 
