@@ -29,9 +29,11 @@ SCALE = 256
 PART_ROWS = 16_384
 QUERY_ROWS = 2_048
 LEVELS = 16
-FEW = 256
+FEW = 2048
 #: Postings processed between two checks of the bound, as a multiple of the partition's vectors.
-CHECK_EVERY = 8
+CHECK_EVERY = 20
+#: Sums below this number share a double with another.
+PACKED = 1 << 26
 
 
 class ImpactIndex:
@@ -46,7 +48,7 @@ class ImpactIndex:
         level = (vectors - low) // step
         self.rows, self.starts = [], []
         for d in range(dims):
-            self.rows.append(np.argsort(level[:, d], kind="stable").astype(np.int32))
+            self.rows.append(np.argsort(level[:, d], kind="stable"))
             self.starts.append(np.concatenate([[0], np.cumsum(np.bincount(level[:, d], minlength=LEVELS))]))
         self.floor = low[None, :] + np.arange(LEVELS)[:, None] * step[None, :]  # smallest value of each level
         self.ceil = np.minimum(self.floor + step - 1, high)
@@ -63,26 +65,40 @@ class ImpactIndex:
         worst = least.min(axis=0)
         # Impact: what a segment adds beyond the least of its dimension.
         turn, dim = np.unravel_index(np.argsort(-(gain - worst), axis=None, kind="stable"), gain.shape)
-        bound = np.full(n, 0, np.int64)  # sum over seen components of (most - least of the dimension)
-        sure = np.full(n, 0, np.int64)  # sum over seen components of (least - least of the dimension)
+        # Two sums over seen components, beyond the least of each dimension: the most and the least that they can be.
+        # Whole numbers, exact in doubles; while both fit into `PACKED`, one accumulator holds both.
+        packed = int((gain[0] - worst).sum()) < PACKED
+        sums = [np.zeros(n) for _ in range(1 if packed else 2)]
         ahead = gain[0] - worst  # what an unseen component of each dimension can add at most
-        done, checked = 0, CHECK_EVERY * n
+        segments: list[np.ndarray] = []
+        adds: list[tuple[int, int]] = []
+        waiting = 0
+
+        def possible() -> np.ndarray:
+            """Add the waiting segments; the rows that can still be among the k best."""
+            if segments:
+                rows, sizes = np.concatenate(segments), [len(s) for s in segments]
+                high, low = np.array(adds, float).T
+                for total, weight in zip(sums, (high * PACKED + low,) if packed else (high, low), strict=True):
+                    total += np.bincount(rows, np.repeat(weight, sizes), n)
+                segments.clear(), adds.clear()
+            most_sum = np.floor(sums[0] / PACKED) if packed else sums[0]
+            least_sum = sums[0] - most_sum * PACKED if packed else sums[1]
+            return np.arange(n) if n <= k else np.flatnonzero(most_sum + ahead.sum() >= np.partition(least_sum, n - k)[n - k])
+
         for t, d in zip(turn.tolist(), dim.tolist(), strict=True):
             level = order[t, d]
             rows = self.rows[d][self.starts[d][level] : self.starts[d][level + 1]]
-            bound[rows] += most[level, d] - worst[d]
-            sure[rows] += least[level, d] - worst[d]
             ahead[d] = gain[t + 1, d] - worst[d] if t + 1 < LEVELS else 0
-            done += len(rows)
-            if done >= checked and n > k:
-                checked += CHECK_EVERY * n
-                threshold = np.partition(sure, n - k)[n - k]
-                possible = np.flatnonzero(bound + ahead.sum() >= threshold)
-                if len(possible) <= FEW:
-                    return possible
-        if n <= k:
-            return np.arange(n)
-        return np.flatnonzero(bound >= np.partition(sure, n - k)[n - k])
+            if len(rows):
+                segments.append(rows), adds.append((int(most[level, d] - worst[d]), int(least[level, d] - worst[d])))
+                waiting += len(rows)
+            if waiting >= CHECK_EVERY * n:
+                waiting = 0
+                found = possible()
+                if len(found) <= FEW:
+                    return found
+        return possible()
 
 
 def _searched(k: int):
