@@ -46,10 +46,9 @@ class ImpactIndex:
         self.low, self.high = low, high
         step = np.maximum(1, -(-(high - low + 1) // LEVELS))
         level = (vectors - low) // step
-        self.rows, self.starts = [], []
-        for d in range(dims):
-            self.rows.append(np.argsort(level[:, d], kind="stable"))
-            self.starts.append(np.concatenate([[0], np.cumsum(np.bincount(level[:, d], minlength=LEVELS))]))
+        self.sizes = np.stack([np.bincount(level[:, d], minlength=LEVELS) for d in range(dims)], axis=1)
+        split = [np.split(np.argsort(level[:, d], kind="stable"), np.cumsum(self.sizes[:-1, d])) for d in range(dims)]
+        self.segments = [[split[d][v] for d in range(dims)] for v in range(LEVELS)]
         self.floor = low[None, :] + np.arange(LEVELS)[:, None] * step[None, :]  # smallest value of each level
         self.ceil = np.minimum(self.floor + step - 1, high)
 
@@ -69,36 +68,26 @@ class ImpactIndex:
         # Whole numbers, exact in doubles; while both fit into `PACKED`, one accumulator holds both.
         packed = int((gain[0] - worst).sum()) < PACKED
         sums = [np.zeros(n) for _ in range(1 if packed else 2)]
-        ahead = gain[0] - worst  # what an unseen component of each dimension can add at most
-        segments: list[np.ndarray] = []
-        adds: list[tuple[int, int]] = []
-        waiting = 0
-
-        def possible() -> np.ndarray:
-            """Add the waiting segments; the rows that can still be among the k best."""
-            if segments:
-                rows, sizes = np.concatenate(segments), [len(s) for s in segments]
-                high, low = np.array(adds, float).T
-                for total, weight in zip(sums, (high * PACKED + low,) if packed else (high, low), strict=True):
-                    total += np.bincount(rows, np.repeat(weight, sizes), n)
-                segments.clear(), adds.clear()
+        level = order[turn, dim]
+        high, low = (most[level, dim] - worst[dim]).astype(float), (least[level, dim] - worst[dim]).astype(float)
+        sizes = self.sizes[level, dim]
+        upto = np.cumsum(sizes)
+        start = 0
+        while start < len(turn):
+            stop = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + CHECK_EVERY * n, side="right")))
+            rows = np.concatenate([self.segments[v][d] for v, d in zip(level[start:stop].tolist(), dim[start:stop].tolist(), strict=True)])
+            weights = (high[start:stop] * PACKED + low[start:stop],) if packed else (high[start:stop], low[start:stop])
+            for total, weight in zip(sums, weights, strict=True):
+                total += np.bincount(rows, np.repeat(weight, sizes[start:stop]), n)
+            done = np.bincount(dim[:stop], minlength=dims)  # a dimension's segments are processed in its own order
+            ahead = np.where(done < LEVELS, gain[np.minimum(done, LEVELS - 1), np.arange(dims)] - worst, 0)
             most_sum = np.floor(sums[0] / PACKED) if packed else sums[0]
             least_sum = sums[0] - most_sum * PACKED if packed else sums[1]
-            return np.arange(n) if n <= k else np.flatnonzero(most_sum + ahead.sum() >= np.partition(least_sum, n - k)[n - k])
-
-        for t, d in zip(turn.tolist(), dim.tolist(), strict=True):
-            level = order[t, d]
-            rows = self.rows[d][self.starts[d][level] : self.starts[d][level + 1]]
-            ahead[d] = gain[t + 1, d] - worst[d] if t + 1 < LEVELS else 0
-            if len(rows):
-                segments.append(rows), adds.append((int(most[level, d] - worst[d]), int(least[level, d] - worst[d])))
-                waiting += len(rows)
-            if waiting >= CHECK_EVERY * n:
-                waiting = 0
-                found = possible()
-                if len(found) <= FEW:
-                    return found
-        return possible()
+            found = np.arange(n) if n <= k else np.flatnonzero(most_sum + ahead.sum() >= np.partition(least_sum, n - k)[n - k])
+            if len(found) <= FEW:
+                break
+            start = stop
+        return found
 
 
 def _searched(k: int):
