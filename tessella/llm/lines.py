@@ -1,12 +1,18 @@
-"""Line dedup by pairwise alignment: rare shared lines, patience diff, common blocks deleted from the later document.
+"""Line dedup: runs of lines that an earlier document holds, and blocks of a patience diff, deleted from the later document.
 
-Documents are lines between \\n; a line's words are split at ASCII white space. The lines of at least
-`LINE_WORDS` words are hashed; for each hash the earliest document (smallest id) that holds it is found.
-A later document is aligned with each earliest document of its lines: lines that occur once in either are anchors, their longest increasing run is kept, and each anchor
-grows over equal neighbouring lines into a block. Blocks of at least `block_words` words are deleted from
-the later document.
+Documents are lines between \n; a line's words are split at ASCII white space. Two rules delete lines.
 
-Since every line pairs a document with one earlier document only, a line that a third of all documents
+Runs: every run of consecutive lines of at least `block_words` words that any earlier document (smaller id) holds as
+consecutive lines goes, however often and in whatever order either document holds it, and however short its lines are.
+For this a document posts its minimal runs (`minimal_runs`, at most two for each line); for each hash the earliest holder is found.
+
+Blocks: a later document is aligned with each earliest holder of its minimal runs and of its single lines of at least
+`LINE_WORDS` words: lines that occur once in either are anchors, their longest increasing run is kept, and each anchor
+grows over equal neighbouring lines into a block. Blocks that adjoin in the later document count as one, also if the earlier has
+other lines between them; those of at least `block_words` words go. Such parted blocks, each too short for the first rule,
+are looked for in those earliest holders only, by one pass of the diff.
+
+Since every post pairs a document with one earlier document only, a line that a third of all documents
 share makes as many pairs as documents, never their square, and no shared line is left out for being
 frequent. The first occurrence of a line is never deleted. The pairs carry arrays of line hashes, not texts.
 
@@ -26,10 +32,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import durable, text_slices
+from tessella.llm.common import durable, mix, text_slices
 
 LINE_WORDS = 4
 BLOCK_WORDS = 25
+SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def line_hash(line: str) -> int:
@@ -81,20 +88,53 @@ def common_blocks(earlier: np.ndarray, later: np.ndarray) -> list[tuple[int, int
     return blocks
 
 
-def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each document's line hashes and word counts in order, and the distinct hashes of its longer lines."""
-    for batch in batches:
-        for part in text_slices(batch):
-            hashes, counts, posted = [], [], []
-            for text in part.column("text").to_pylist():
-                lines = text.split("\n")
-                own = line_hashes(lines)
-                words = np.fromiter((len(x.encode().split()) for x in lines), np.int32, len(lines))
-                hashes.append(own.tobytes()), counts.append(words.tobytes()), posted.append(np.unique(own[words >= LINE_WORDS]))
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("version"), pa.array(hashes, pa.binary()), pa.array(counts, pa.binary()), pa.array(posted, pa.list_(pa.int64()))],
-                names=["doc_id", "version", "lines", "counts", "posted"],
-            )
+def minimal_runs(own: np.ndarray, words: np.ndarray, block_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and end of the shortest run of lines that reaches block_words from each line on, and up to each line.
+
+    Every run of block_words words or more is a union of such runs, and they depend on their own lines only. So
+    a line is in a run that another document holds exactly if it is in one of these that the other document has as well.
+    """
+    at = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
+    need = max(1, block_words)
+    ends = np.searchsorted(at, at[:-1] + need)
+    starts = np.searchsorted(at, at[1:] - need, side="right") - 1
+    forward, backward = np.flatnonzero(ends <= len(words)), np.flatnonzero(starts >= 0)
+    spans = np.unique(np.concatenate([forward * (len(at)) + ends[forward], starts[backward] * len(at) + backward + 1]))
+    starts, ends = spans // len(at), spans % len(at)
+    lengths = ends - starts
+    found = np.zeros(len(spans), np.uint64)
+    hashes, width = mix(own.astype(np.int64).view(np.uint64)), 1  # hashes of `width` lines from each line on
+    while len(spans) and width <= lengths.max():
+        k = np.flatnonzero((lengths >= width) & (lengths < 2 * width))
+        found[k] = mix(mix(hashes[starts[k]] * SPREAD + hashes[ends[k] - width]) + lengths[k].astype(np.uint64))
+        hashes, width = mix(hashes[:-width] * SPREAD + hashes[width:]), 2 * width
+    return found.view(np.int64), starts.astype(np.int32), ends.astype(np.int32)
+
+
+def _profiles(block_words: int):
+    """Each document's line hashes and word counts in order, and its posts: longer lines (start -1) and minimal runs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch):
+                hashes, counts, posts, sizes = [], [], [], [0]
+                for text in part.column("text").to_pylist():
+                    lines = text.split("\n")
+                    own = line_hashes(lines)
+                    words = np.fromiter((len(x.encode().split()) for x in lines), np.int32, len(lines))
+                    single = np.unique(own[words >= LINE_WORDS])
+                    found, starts, ends = minimal_runs(own, words, block_words)
+                    none = np.full(len(single), -1, np.int32)
+                    posts.append((np.concatenate([single, found]), np.concatenate([none, starts]), np.concatenate([none, ends])))
+                    hashes.append(own.tobytes()), counts.append(words.tobytes()), sizes.append(len(single) + len(found))
+                flat = pa.StructArray.from_arrays([pa.array(np.concatenate(c)) for c in zip(*posts, strict=True)], names=["post", "start", "end"])
+                posted = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), flat)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), part.column("version"), pa.array(hashes, pa.binary()), pa.array(counts, pa.binary()), posted],
+                    names=["doc_id", "version", "lines", "counts", "posted"],
+                )
+
+    return run
 
 
 def _aligned(block_words: int):
@@ -112,19 +152,36 @@ def _aligned(block_words: int):
     return run
 
 
+def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Places of the lines inside any of a document's runs."""
+    for batch in batches:
+        gone = []
+        for runs in batch.column("runs"):
+            starts, ends = (runs.values.field(k).to_numpy() for k in (0, 1))
+            depth = np.zeros(int(ends.max()) + 1, np.int64)
+            np.add.at(depth, starts, 1)
+            np.add.at(depth, ends, -1)
+            gone.append(np.flatnonzero(np.cumsum(depth) > 0).astype(np.int32))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("version"), pa.array(gone, pa.list_(pa.int32()))], names=["doc_id", "version", "gone"])
+
+
 def deleted_lines(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, version (hash of the text) and gone (places of deleted lines, from 0) of documents that lose lines."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     versioned = own.select("doc_id", F.xxhash64("text").alias("version"), "text")
-    profiles = durable(versioned.mapInArrow(_profiles, "doc_id long, version long, lines binary, counts binary, posted array<long>").dropDuplicates(["doc_id", "version"]))
-    posted = profiles.select("doc_id", "version", F.explode("posted").alias("line"))
+    profile = "doc_id long, version long, lines binary, counts binary, posted array<struct<post long, start int, end int>>"
+    profiles = durable(versioned.mapInArrow(_profiles(block_words), profile).dropDuplicates(["doc_id", "version"]))
+    posted = profiles.select("doc_id", "version", F.inline("posted"))
     # Materialised, so that the joins have plain shuffles on both sides and adaptive execution can split a frequent line.
-    firsts = durable(posted.groupBy("line").agg(F.min("doc_id").alias("earlier"), F.max("doc_id").alias("latest")).where("latest > earlier").select("line", "earlier"))
-    pairs = durable(posted.join(firsts, "line").where("doc_id > earlier").select("doc_id", "version", "earlier").distinct())
+    firsts = durable(posted.groupBy("post").agg(F.min("doc_id").alias("earlier"), F.max("doc_id").alias("latest")).where("latest > earlier").select("post", "earlier"))
+    held = durable(posted.join(firsts, "post").where("doc_id > earlier").select("doc_id", "version", "earlier", "start", "end"))
+    pairs = durable(held.select("doc_id", "version", "earlier").distinct())
     sources = profiles.join(pairs.select(F.col("earlier").alias("doc_id")).distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("lines", "version").alias("earlier_lines"))
     sources = durable(sources.withColumnRenamed("doc_id", "earlier"))
     both = pairs.join(sources, "earlier").join(profiles.select("doc_id", "version", "lines", "counts"), ["doc_id", "version"])
-    gone = both.mapInArrow(_aligned(block_words), "doc_id long, version long, gone array<int>").where(F.size("gone") > 0)
+    aligned = both.mapInArrow(_aligned(block_words), "doc_id long, version long, gone array<int>").where(F.size("gone") > 0)
+    runs = held.where("start >= 0").groupBy("doc_id", "version").agg(F.collect_list(F.struct("start", "end")).alias("runs"))
+    gone = aligned.union(runs.mapInArrow(_covered, "doc_id long, version long, gone array<int>"))
     return gone.groupBy("doc_id", "version").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
 
 

@@ -180,6 +180,49 @@ def test_lines_match_brute_force(spark):
     assert {r.doc_id: r.text for r in lines.line_dedup_report(docs).collect()} == expected
 
 
+def held_runs(texts, block_words=lines.BLOCK_WORDS):
+    """Texts by id without the runs of lines that any earlier document holds, over all pairs of documents."""
+    cut = {i: [x.strip(" \t\r\v\f") for x in t.split("\n")] for i, t in texts.items()}
+    size = {i: [len(x.encode().split()) for x in own] for i, own in cut.items()}
+    out = {}
+    for i, own in cut.items():
+        gone = set()
+        for e in (e for e in cut if e < i):
+            for a in range(len(own)):
+                for b in range(len(cut[e])):
+                    n = 0
+                    while a + n < len(own) and b + n < len(cut[e]) and own[a + n] == cut[e][b + n]:
+                        n += 1
+                    if sum(size[i][a : a + n]) >= block_words:
+                        gone |= set(range(a, a + n))
+        out[i] = "\n".join(x for k, x in enumerate(texts[i].split("\n")) if k not in gone)
+    return out
+
+
+def lines_left(spark, texts):
+    return {r.doc_id: r.text for r in lines.line_dedup_report(documents(spark, list(texts.items()))).collect()}
+
+
+def test_lines_of_a_copy_whose_lines_have_other_earliest_holders(spark):
+    rows = [" ".join(f"w{k}x{j}" for j in range(20)) for k in range(3)]
+    texts = {1: rows[0], 2: rows[1], 3: rows[2], 10: "\n".join(rows), 20: "\n".join(rows)}
+    assert lines_left(spark, texts) == {**texts, 20: ""} == held_runs(texts)
+
+
+def test_lines_hold_every_shared_run_of_brute_force(spark):
+    rng = random.Random(10)
+    for size in (1, 3, 9):  # words a line; few lines, so that they repeat and come in other orders
+        texts = {i: "\n".join(f"k{rng.randint(0, 3)} " * rng.randint(0, size) + "end" for _ in range(rng.randint(0, 14))) for i in range(50)}
+        passage = "\n".join(f"a{k} " * size for k in range(40 // size))
+        texts |= {i: f"{texts[i]}\n{passage}\n{texts[i + 1]}" for i in range(0, 48, 5)}
+        got, run = lines_left(spark, texts), held_runs(texts)
+        for i, t in texts.items():  # the diff may delete more: blocks that adjoin in the later document only
+            left = iter(run[i].split("\n"))
+            assert got[i] == "" or all(x in left for x in got[i].split("\n")), (size, i)
+        gone = lambda out: sum(len(t.split()) for t in texts.values()) - sum(len(t.split()) for t in out.values())
+        assert gone(got) >= gone(run) > 0
+
+
 def test_lines_of_odd_rows(spark):
     odd = documents(spark, [*ODD, (None, "a b c d e f " * 3000)], extra=True)
     out = lines.drop_repeated_lines(odd)
