@@ -223,6 +223,15 @@ def test_lines_hold_every_shared_run_of_brute_force(spark):
         assert gone(got) >= gone(run) > 0
 
 
+def test_lines_of_repeated_and_moved_passages(spark):
+    p, q = ("\n".join(f"{c}{k} " + "word " * 9 + "end" for k in range(4)) for c in "pq")
+    texts = {1: f"one\n{p}\ntwo\n{p}", 2: f"three\n{p}\nfour", 3: f"five\n{q}\nsix", 4: f"{q}\nseven\n{q}", 5: f"{q}\n{p}", 6: f"{p}\n{q}"}
+    want = {**texts, 2: "three\nfour", 4: "seven", 5: "", 6: ""}
+    assert lines_left(spark, texts) == want == held_runs(texts)
+    moved = {1: f"{p}\n{q}", 2: f"{q}\nown\n{p}", 3: f"{p}\n{p}"}
+    assert lines_left(spark, moved) == {1: moved[1], 2: "own", 3: ""}
+
+
 def test_lines_of_odd_rows(spark):
     odd = documents(spark, [*ODD, (None, "a b c d e f " * 3000)], extra=True)
     out = lines.drop_repeated_lines(odd)
