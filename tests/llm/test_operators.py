@@ -232,6 +232,12 @@ def test_lines_of_repeated_and_moved_passages(spark):
     assert lines_left(spark, moved) == {1: moved[1], 2: "own", 3: ""}
 
 
+def test_lines_of_few_words_go_with_their_run(spark):
+    verse = "\n".join(f"w{k}" for k in range(60))
+    texts = {1: f"first own line\n{verse}", 2: f"second own line\n{verse}\n\nlast", 3: verse, 4: "\n".join(f"w{k}" for k in range(24))}
+    assert lines_left(spark, texts) == {**texts, 2: "second own line\n\nlast", 3: ""} == held_runs(texts)
+
+
 def test_lines_of_odd_rows(spark):
     odd = documents(spark, [*ODD, (None, "a b c d e f " * 3000)], extra=True)
     out = lines.drop_repeated_lines(odd)
