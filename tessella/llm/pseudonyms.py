@@ -7,6 +7,10 @@ is written in the form of the original: separators stay, check digits are made a
 format, equal values get equal pseudonyms in every document and spelling, different values never
 meet, and the holder of the key can undo it. Values that don't validate are left alone.
 
+A card or IBAN may run into what follows it (an expiry date, a security code, an amount, a currency). If the longest
+match isn't valid, its shorter ends before a blank or hyphen are tried, for an IBAN its country's length first, else
+the longest first; if none is valid either, the later kinds are tried from the same start.
+
 Texts are rewritten in place, each by itself, without a shuffle. `DEMO_KEY` is for tests: give a key of your own.
 
 Defined results. Null text: null. Empty text or none found: unchanged. Repeated rows and null ids: each by its
@@ -32,6 +36,31 @@ FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099,
 
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
+#: Symbols of an IBAN by country.
+IBAN_LENGTHS = {
+    k: n
+    for n, countries in {
+        15: "NO",
+        16: "BE",
+        18: "DK FI FK FO GL NL SD",
+        19: "MK SI",
+        20: "AT BA EE KZ LT LU MN XK",
+        21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ OM SO TL",
+        24: "AD CZ ES MD PK RO SA SE SK TN VG",
+        25: "LY PT ST",
+        26: "IS TR",
+        27: "BI DJ FR GR IT MC MR SM",
+        28: "AL AZ BY CY DO GT HU LB NI PL SV",
+        29: "BR EG PS QA UA",
+        30: "JO KW MU YE",
+        31: "MT SC",
+        33: "LC RU",
+    }.items()
+    for k in countries.split()
+}
+
 
 class Permutation:
     """A keyed permutation of the numbers below any n."""
@@ -168,6 +197,22 @@ def _iban(value: str, move: Move) -> str | None:
     return _refill(value, text[:2] + check + body, DIGITS + UPPER)
 
 
+def _card_ends(value: str) -> Iterator[int]:
+    """Shorter ends of a card, longest first, but none if a longer valid card starts further on."""
+    borders = [i for i, c in enumerate(value) if c in " -"]
+    size = lambda a, b: sum(c in DIGITS for c in value[a:b])
+    valid = lambda v: _card(v, lambda x, n, tweak: x) is not None
+    inner = max((size(a + 1, b) for a in borders for b in [*borders, len(value)] if a < b and valid(value[a + 1 : b])), default=0)
+    yield from (b for b in reversed(borders) if size(0, b) >= inner)
+
+
+def _iban_ends(value: str) -> Iterator[int]:
+    """Shorter ends of an IBAN: its country's length, then the others, longest first."""
+    borders = [i for i, c in enumerate(value) if c == " " and len(value[:i].replace(" ", "")) >= 12]
+    usual = IBAN_LENGTHS.get(value[:2])
+    yield from sorted(reversed(borders), key=lambda b: len(value[:b].replace(" ", "")) != usual)
+
+
 def _letters(value: str, move: Move, tweak: str) -> str:
     """Letters and digits move within their own class, other characters stay."""
     kinds = [next((a for a in (DIGITS, LOWER, UPPER) if c in a), c) for c in value]
@@ -200,6 +245,8 @@ KINDS: dict[str, tuple[str, Callable[[str, Move], str | None]]] = {
     "card": (r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-])", _card),
     "phone": (r"(?<![\d-])(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)", _phone),
 }
+#: Kinds whose pattern can take in what follows a value, and the shorter ends to try.
+ENDS: dict[str, Callable[[str], Iterator[int]]] = {"iban": _iban_ends, "card": _card_ends}
 _MAYBE = re.compile(r"[0-9@=:]")
 
 
@@ -218,6 +265,7 @@ class Pseudonymiser:
 
     def __init__(self, key: bytes, remembered: int = 100_000) -> None:
         self.permutation, self.pattern = Permutation(key), _pattern()
+        self.patterns = {kind: re.compile(pattern) for kind, (pattern, _) in KINDS.items()}
         self.known: dict[tuple[str, str], str | None] = {}
         self.remembered = remembered
 
@@ -231,19 +279,34 @@ class Pseudonymiser:
     def original(self, kind: str, pseudonym: str) -> str | None:
         return KINDS[kind][1](pseudonym, self.permutation.invert)
 
+    def _found(self, text: str, first: re.Match[str]) -> tuple[str, int, str] | None:
+        """Kind, end and pseudonym of the valid value that starts where first does."""
+        start, kinds = first.start(), list(KINDS)
+        for kind in kinds[kinds.index(first.lastgroup) :]:
+            if not (m := self.patterns[kind].match(text, start)):
+                continue
+            if (fresh := self.moved(kind, m[0])) is not None:
+                return kind, m.end(), fresh
+            for end in ENDS[kind](m[0]) if kind in ENDS else ():
+                value = m[0][:end]
+                if self.patterns[kind].fullmatch(value) and (fresh := self.moved(kind, value)) is not None:
+                    return kind, start + end, fresh
+        return None
+
     def rewrite(self, text: str | None) -> tuple[str | None, list[str]]:
         """The text with pseudonyms, and the kinds found in order."""
         if not text or not _MAYBE.search(text):
             return text, []
         out, kinds, at, search = [], [], 0, 0
         while m := self.pattern.search(text, search):
-            fresh = self.moved(m.lastgroup, m[0]) if m.lastgroup in KINDS else None
-            if fresh is None:  # not valid: look again behind its first character
+            found = self._found(text, m)
+            if found is None:  # not valid: look again behind its first character
                 search = m.start() + 1
                 continue
+            kind, end, fresh = found
             out += [text[at : m.start()], fresh]
-            kinds.append(m.lastgroup)
-            at = search = m.end()
+            kinds.append(kind)
+            at = search = end
         return "".join([*out, text[at:]]), kinds
 
 

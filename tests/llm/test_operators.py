@@ -464,6 +464,29 @@ def test_pseudonyms_round_trip(kind):
     assert pseudonyms.Pseudonymiser(b"other").rewrite(f"see {value}, ok")[0] != text
 
 
+@pytest.mark.parametrize(
+    ("kind", "value", "after"),
+    [("card", c, a) for c in ("4111 1111 1111 1111", "4111111111111111", "378282246310005") for a in (" 12/26", " 123", " 12 123", "-123", " 25 EUR")]
+    + [("iban", c, a) for c in ("ES9121000418450200051332", "ES91 2100 0418 4502 0005 1332") for a in (" EUR", " 2026", " EUR 12", " 1234 USD")],
+)
+def test_pseudonyms_of_values_before_expiry_code_and_currency(kind, value, after):
+    tool = pseudonyms.Pseudonymiser(b"key")
+    text, kinds = tool.rewrite(f"paid {value}{after}, ok")
+    fresh = text[5 : 5 + len(value)]
+    assert kinds == [kind] and text == f"paid {fresh}{after}, ok"
+    assert fresh != value and tool.original(kind, fresh) == value == tool.original(kind, tool.rewrite(value)[0])
+
+
+def test_pseudonyms_of_values_behind_digits():
+    tool, card = pseudonyms.Pseudonymiser(b"key"), "4111 1111 1111 1111"
+    fresh = tool.rewrite(card)[0]
+    for lead in range(100):  # whatever shorter or longer run of these digits happens to validate
+        text, kinds = tool.rewrite(f"{lead:02} {card}")
+        assert kinds == ["card"] and (text == f"{lead:02} {fresh}" or pseudonyms.luhn_digit(f"{lead:02}{card[:-1]}".replace(" ", "")) == card[-1])
+    text, kinds = tool.rewrite(f"212-555-1234 {card}")
+    assert kinds == ["phone", "card"] and text.endswith(fresh) and "212-555" not in text
+
+
 def test_permutation_is_one_to_one():
     p = pseudonyms.Permutation(b"k")
     assert sorted(p.apply(x, 1000, "t") for x in range(1000)) == list(range(1000))
