@@ -187,8 +187,11 @@ def _forest(share: int, least: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, width: int = 4, similarity: float = 0.8) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept (doc_id is its component's smallest id) for each row."""
+def _grouped(docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """doc_id, version (hash of the text), n_shingles, node and its component's smallest (component_id, component_version) for each row.
+
+    Rows without a node (no words or no id) have no component.
+    """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("version", F.xxhash64("text"))
     sketched = durable(docs.mapInArrow(_sketches(width), "doc_id long, version long, n_shingles long, node long, sketch binary"))
     share = round(similarity * 100)
@@ -196,7 +199,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, similarity: float = 0.8) ->
 
     # Exact copies are one node, with the smallest id.
     low = durable(sketched.where("doc_id is not null and node is not null").groupBy("node").agg(F.min("doc_id").alias("low")))
-    nodes = durable(sketched.join(low, "node").where("doc_id = low").dropDuplicates(["node"]).select("node", "low", "version", "n_shingles", "sketch"))
+    nodes = durable(sketched.join(low, "node").where("doc_id = low").groupBy("node").agg(*(F.min(c).alias(c) for c in ("low", "version")), *(F.first(c).alias(c) for c in ("n_shingles", "sketch"))))
 
     # Buckets of two nodes or more, each with its hub.
     band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sketch"), i * (2 * ROWS) + 1, F.lit(2 * ROWS))))
@@ -235,21 +238,30 @@ def near_duplicates(docs: DataFrame, width: int = 4, similarity: float = 0.8) ->
     more = of_all.select(columns).union(of_minor.select(columns)).groupBy("cluster", "minor_block", "block").applyInArrow(_forest(share, least), "a long, b long")
     labels = connected_components(durable(links.union(more)))
 
-    # A component is named by the smallest id of its nodes.
-    labelled = low.join(labels.withColumnRenamed("id", "node"), "node", "left").select("node", "low", F.coalesce("component_id", "node").alias("component"))
-    names = labelled.groupBy("component").agg(F.min("low").alias("component_id"))
-    named = durable(labelled.join(names, "component").select("node", "component_id"))
-    out = sketched.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")).join(named, "node", "left")
+    # A component is named by the smallest id of its nodes, and of that id's texts by the smallest hash.
+    labelled = nodes.select("node", "low", "version").join(labels.withColumnRenamed("id", "node"), "node", "left").select("node", "low", "version", F.coalesce("component_id", "node").alias("component"))
+    names = labelled.groupBy("component").agg(F.min(F.struct("low", "version")).alias("least"))
+    named = durable(labelled.join(names, "component").select("node", F.col("least.low").alias("component_id"), F.col("least.version").alias("component_version")))
+    return sketched.select("doc_id", "version", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")).join(named, "node", "left")
+
+
+def near_duplicates(docs: DataFrame, width: int = 4, similarity: float = 0.8) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept (doc_id is its component's smallest id) for each row."""
+    out = _grouped(docs, width, similarity)
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of docs of which one document of each group of near duplicates stays, the smallest id.
 
-    Repeated rows of that id are one document: one of them stays. Rows without an id stay.
+    A document is an id with a text: rows of one id with different texts are judged each by its own group, and if a
+    group holds several texts of its smallest id, that of the smallest hash stays. Repeated rows of an id and text
+    are one document: one of them stays. Rows without an id stay.
     """
-    verdict = near_duplicates(docs, width, similarity).where("not kept").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(durable(verdict), "doc_id", "left_anti").select(docs.columns)
-    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return named.unionByName(docs.where("doc_id is null"))
-    return named.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    stays = F.col("node").isNull() | ((F.col("doc_id") == F.col("component_id")) & (F.col("version") == F.col("component_version")))
+    verdict = _grouped(docs, width, similarity).where(~stays).select(F.col("doc_id").alias("__doc"), F.col("version").alias("__version")).distinct()
+    keyed = docs.where("doc_id is not null").select(*docs.columns, F.col("doc_id").cast("long").alias("__doc"), F.xxhash64(F.col("text").cast("string")).alias("__version"))
+    named = keyed.join(durable(verdict), ["__doc", "__version"], "left_anti")
+    if not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        named = named.dropDuplicates(["__doc", "__version"])
+    return named.select(docs.columns).unionByName(docs.where("doc_id is null"))

@@ -76,6 +76,15 @@ def test_near_duplicates_of_odd_rows(spark):
     assert setsketch.drop_near_duplicates(twice).count() == 2
 
 
+def test_near_duplicates_of_one_id_with_many_texts(spark):
+    a, b, c, d = (" ".join(f"{k}{i}" for i in range(60)) for k in "abcd")
+    rows = [(3, b), (5, a), (5, f"{b} more"), (5, f"{a} twin"), (7, f"{a} last"), (9, c), (9, d), (9, d), (11, f"{d} copy"), (12, ""), (12, c), (None, a)]
+    left = sorted((r.doc_id or 0, r.text) for r in setsketch.drop_near_duplicates(documents(spark, rows, extra=True)).collect())
+    one = [t for i, t in left if i == 5]
+    assert len(one) == 1 and one[0] in (a, f"{a} twin")
+    assert left == sorted([(0, a), (3, b), (5, one[0]), (9, c), (9, d), (12, "")])
+
+
 def test_sketches_merge_and_estimate():
     rng = np.random.default_rng(1)
     a = np.unique(rng.integers(0, 2**63, 3000, dtype=np.uint64))
