@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Turns of a session that are folded or counted at a time.
+TURNS = 4096
 
 #: The stages of an attempt and where each event leads (stage, event) -> stage. Fixed values.
 TRANSITIONS = {
@@ -20,7 +27,8 @@ TRANSITIONS = {
 def painted(strokes: DataFrame, side: int) -> DataFrame:
     """session, x, y, v: an empty mask of side x side after all strokes of one point, in order.
 
-    Every stroke is sent to the cells of its disc; each cell folds its own few brushes in order.
+    Every stroke is sent to the cells of its disc. A brush is a clamp of the cell's value (add: maximum, erase: minimum),
+    so each cell composes its brushes of every `TURNS` turns to one clamp, and applies these in order.
     """
     radius = F.greatest(F.lit(0.5), F.col("radius") * side)
     cx, cy = F.col("px") * (side - 1), F.col("py") * (side - 1)
@@ -29,8 +37,12 @@ def painted(strokes: DataFrame, side: int) -> DataFrame:
     sent = placed.select("*", F.explode(axis(F.col("cx"))).alias("x")).select("*", F.explode(axis(F.col("cy"))).alias("y"))
     square = (F.col("x") - F.col("cx")) * (F.col("x") - F.col("cx")) + (F.col("y") - F.col("cy")) * (F.col("y") - F.col("cy"))
     brushes = sent.where(square <= F.col("r") * F.col("r")).select("session", "x", "y", F.struct("ord", "mode", (1 - F.sqrt(square) / F.col("r")).alias("b")).alias("s"))
-    fold = lambda v, s: F.when(s["mode"] == "add", F.greatest(v, s["b"])).otherwise(F.least(v, 1 - s["b"]))
-    return brushes.groupBy("session", "x", "y").agg(F.array_sort(F.collect_list("s")).alias("s")).select("session", "x", "y", F.aggregate("s", F.lit(0.0), fold).alias("v"))
+    clamp = lambda low, high: F.struct(low.alias("low"), high.alias("high"))  # noqa: E731 - the greatest of low and the least of a value and high
+    fold = lambda c, s: F.when(s["mode"] == "add", clamp(F.greatest(c["low"], s["b"]), c["high"])).otherwise(clamp(F.least(c["low"], 1 - s["b"]), F.least(c["high"], 1 - s["b"])))
+    few = brushes.groupBy("session", "x", "y", F.floor(F.col("s.ord") / TURNS).alias("turns")).agg(F.array_sort(F.collect_list("s")).alias("s"))
+    clamps = few.select("session", "x", "y", "turns", F.aggregate("s", clamp(F.lit(float("-inf")), F.lit(float("inf"))), fold).alias("c"))
+    applied = lambda v, s: F.greatest(s["c"]["low"], F.least(v, s["c"]["high"]))
+    return clamps.groupBy("session", "x", "y").agg(F.array_sort(F.collect_list(F.struct("turns", "c"))).alias("s")).select("session", "x", "y", F.aggregate("s", F.lit(0.0), applied).alias("v"))
 
 
 def changed_share(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -41,23 +53,65 @@ def changed_share(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def prefix_counts(strokes: DataFrame, cursor: Column) -> DataFrame:
     """session, added, erased, total among the first `cursor` strokes of each session."""
-    active = F.slice(F.array_sort(F.collect_list(F.struct("ord", "mode"))), 1, F.greatest(F.lit(0), F.max("cursor").cast("int")))
-    logs = strokes.withColumn("cursor", cursor).groupBy("session").agg(active.alias("log"))
-    of = lambda mode: F.size(F.filter("log", lambda s: s["mode"] == mode)).cast("long")
-    return logs.select("session", of("add").alias("added"), of("erase").alias("erased"), F.size("log").cast("long").alias("total"))
+    counts = strokes.withColumn("cursor", cursor).groupBy("session", F.floor(F.col("ord") / TURNS).alias("turns"), "ord", "mode").agg(F.count("*").alias("n"), F.max("cursor").alias("cursor"))
+    session, running = Window.partitionBy("session"), (Window.unboundedPreceding, -1)
+    offsets = counts.groupBy("session", "turns").agg(F.sum("n").alias("n"), F.max("cursor").alias("cursor"))
+    offsets = offsets.select(
+        F.col("session").alias("of"), F.col("turns").alias("at"), F.coalesce(F.sum("n").over(session.orderBy("turns").rowsBetween(*running)), F.lit(0)).alias("before"), F.greatest(F.lit(0), F.max("cursor").over(session).cast("int")).alias("upto")
+    )
+    within = Window.partitionBy("session", "turns").orderBy("ord", "mode").rowsBetween(*running)
+    placed = counts.select("session", "turns", "mode", "n", F.coalesce(F.sum("n").over(within), F.lit(0)).alias("nth"))
+    placed = placed.join(offsets, F.col("session").eqNullSafe(F.col("of")) & F.col("turns").eqNullSafe(F.col("at")))
+    active = F.least(F.col("n"), F.greatest(F.lit(0), F.col("upto") - F.col("before") - F.col("nth")))
+    of = lambda mode: F.sum(F.when(F.col("mode") == mode, active).otherwise(0)).alias("added" if mode == "add" else "erased")
+    return placed.groupBy("session").agg(of("add"), of("erase"), F.sum(active).alias("total"))
+
+
+STAGES = ["new", *dict.fromkeys(TRANSITIONS.values())]
+#: For each event the stage after it by the stage before, both as bytes.
+MOVES = {what: bytes(STAGES.index(TRANSITIONS.get((at, what), at)) for at in STAGES) + bytes(range(len(STAGES), 256)) for _, what in TRANSITIONS}
+
+
+def _stage_maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each user's run of sorted events its first event and the stage it leads to from every stage."""
+    first, reached = None, b""
+
+    def out(rows: list[tuple[dict, bytes]], schema: pa.Schema) -> pa.RecordBatch:
+        columns = [pa.array([r[f.name] for r, _ in rows], f.type) for f in schema]
+        return pa.RecordBatch.from_arrays([*columns, pa.array([list(m) for _, m in rows], pa.list_(pa.int32()))], names=[*schema.names, "reached"])
+
+    schema = None
+    for batch in batches:
+        schema, done = batch.schema, []
+        for k, (user, what) in enumerate(zip(batch.column("user_id").to_pylist(), batch.column("event_type").to_pylist(), strict=True)):
+            if first is None or user != first["user_id"]:
+                if first is not None:
+                    done.append((first, reached))
+                first, reached = {c: batch.column(c)[k].as_py() for c in schema.names}, bytes(range(len(STAGES)))
+            if what in MOVES:
+                reached = reached.translate(MOVES[what])
+        yield out(done, schema)
+    if first is not None:
+        yield out([(first, reached)], schema)
+
+
+def stage_maps(events: DataFrame, ranges: int | None = None) -> DataFrame:
+    """First event of each user and range of events, and reached: the stages (places in STAGES) that the range leads to from each stage.
+
+    Ranges are of (user, time, event), so that a user of any number of events is spread over many; each is folded as a stream.
+    """
+    keys = ["user_id", "ts", "event_id", "event_type"]
+    ranged = events.select(keys)
+    ranged = ranged.repartitionByRange(ranges, *keys) if ranges else ranged.repartitionByRange(*keys)
+    fields = [T.StructField(f.name, f.dataType) for f in ranged.schema]
+    return ranged.sortWithinPartitions(*keys).mapInArrow(_stage_maps, T.StructType([*fields, T.StructField("reached", T.ArrayType(T.IntegerType()))]))
 
 
 def replayed(events: DataFrame) -> DataFrame:
     """user_id, stage after all events in order; events that don't fit a stage leave it as it is."""
-    log = events.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))).alias("log"))
-
-    def step(stage: Column, e: Column) -> Column:
-        out = stage
-        for (at, what), to in TRANSITIONS.items():
-            out = F.when((stage == at) & (e["event_type"] == what), to).otherwise(out)
-        return out
-
-    return log.select("user_id", F.aggregate("log", F.lit("new"), step).alias("stage"))
+    log = stage_maps(events).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type", "reached"))).alias("log"))  # one element a range
+    last = F.aggregate("log", F.lit(0), lambda stage, e: F.element_at(e["reached"], stage + 1))
+    return log.select("user_id", F.element_at(F.array(*map(F.lit, STAGES)), last + 1).alias("stage"))
 
 
 def material_delta(before: DataFrame, after: DataFrame) -> DataFrame:

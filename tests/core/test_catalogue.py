@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions import color, scalars
-from tessella.operators import kernels, raster
+from tessella.operators import editing, kernels, raster
 from tessella.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -83,3 +83,37 @@ def test_palette_is_bounded(spark):
     many = spark.range(200).select(F.col("id").cast("int").alias("ord"), *(F.lit(0).alias(c) for c in "rgb"))
     with pytest.raises(ValueError):
         raster.palette_rows(many)
+
+
+def test_replay_of_a_hot_user_is_spread_over_ranges(spark):
+    rng = np.random.default_rng(5)
+    kinds = [*dict.fromkeys(w for _, w in editing.TRANSITIONS), "other", None]
+    rows = [(int(u), int(t), i, kinds[k]) for i, (u, t, k) in enumerate(zip(np.where(rng.random(6000) < 0.5, 0, rng.integers(0, 900, 6000)), rng.integers(0, 50, 6000), rng.integers(0, len(kinds), 6000), strict=True))]
+    events = spark.createDataFrame(rows, "user_id long, ts long, event_id long, event_type string")
+    stages = {}
+    for u, _, _, what in sorted(rows, key=lambda r: r[:3]):
+        at = stages.get(u, "new")
+        stages[u] = editing.TRANSITIONS.get((at, what), at)
+    assert {r.user_id: r.stage for r in editing.replayed(events).collect()} == stages
+    maps = editing.stage_maps(events, ranges=16).collect()
+    assert 4 < sum(r.user_id == 0 for r in maps) <= 16 and len(maps) <= len(stages) + 16
+
+
+def test_strokes_of_a_long_session(spark):
+    rng = np.random.default_rng(6)
+    rows = [("s", int(o), ["add", "erase"][m], float(x), float(y), 0.3) for o, m, x, y in zip(rng.permutation(9000), rng.integers(0, 2, 9000), rng.random(9000), rng.random(9000), strict=True)]
+    strokes = spark.createDataFrame(rows, "session string, ord long, mode string, px double, py double, radius double")
+    cells = {}
+    for _, _, mode, px, py, r in sorted(rows, key=lambda r: r[1]):
+        for x in range(4):
+            for y in range(4):
+                square = (x - px * 3) * (x - px * 3) + (y - py * 3) * (y - py * 3)
+                if square <= (r * 4) * (r * 4):
+                    b, v = 1 - np.sqrt(square) / (r * 4), cells.get((x, y), 0.0)
+                    cells[x, y] = max(v, b) if mode == "add" else min(v, 1 - b)
+    assert {(r.x, r.y): r.v for r in editing.painted(strokes, 4).collect()} == cells
+    for n in (0, 1, 4096, 5000, 9999):
+        modes = [r[2] for r in sorted(rows, key=lambda r: r[1])[:n]]
+        assert [tuple(r) for r in editing.prefix_counts(strokes, F.lit(n)).collect()] == [("s", modes.count("add"), modes.count("erase"), len(modes))]
+    plan = editing.prefix_counts(strokes, F.lit(3))._jdf.queryExecution().toString() + editing.painted(strokes, 4)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_list(struct(ord") == 0 and "turns" in plan  # no array of a whole session
