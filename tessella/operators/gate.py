@@ -107,10 +107,16 @@ def gate_summary(records: DataFrame, preferences: DataFrame, limits: Thresholds
 
 
 def sample_order(samples: DataFrame, seed: str, key: str = "image_id") -> DataFrame:
-    """key and position, from 1, in the order of a seeded hash."""
+    """key and position, from 1, in the order of a seeded hash.
+
+    Rows are numbered within 4,096 even ranges of the hash and moved by the rows of the ranges before.
+    """
     digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 256)
-    hashed = samples.select(key, digest.alias("digest"))
-    return hashed.select(key, F.row_number().over(Window.orderBy("digest", key)).alias("position"))
+    hashed = samples.select(key, digest.alias("digest"), F.coalesce(F.substring(digest, 1, 3), F.lit("")).alias("range"))
+    counts = hashed.groupBy("range").agg(F.count("*").alias("n"))
+    before = counts.select("range", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    nth = F.row_number().over(Window.partitionBy("range").orderBy("digest", key))
+    return hashed.select(key, "range", nth.alias("nth")).join(F.broadcast(before), "range").select(key, (F.col("before") + F.col("nth")).alias("position"))  # at most 4,097 ranges
 
 
 def blind_left(seed: Column) -> Column:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions import color, scalars
-from tessella.operators import editing, kernels, raster
+from tessella.operators import editing, gate, kernels, raster
 from tessella.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -117,3 +117,14 @@ def test_strokes_of_a_long_session(spark):
         assert [tuple(r) for r in editing.prefix_counts(strokes, F.lit(n)).collect()] == [("s", modes.count("add"), modes.count("erase"), len(modes))]
     plan = editing.prefix_counts(strokes, F.lit(3))._jdf.queryExecution().toString() + editing.painted(strokes, 4)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("collect_list(struct(ord") == 0 and "turns" in plan  # no array of a whole session
+
+
+def test_sample_order_numbers_rows_by_ranges(spark):
+    import hashlib
+
+    ids = [*range(3000), 7, 7]
+    rows = gate.sample_order(spark.createDataFrame([(i,) for i in ids], "image_id long"), "x").collect()
+    ordered = sorted(ids, key=lambda i: (hashlib.sha256(f"x:{i}".encode()).hexdigest(), i))
+    assert [r.image_id for r in sorted(rows, key=lambda r: r.position)] == ordered and sorted(r.position for r in rows) == list(range(1, len(ids) + 1))
+    plan = gate.sample_order(spark.range(9).withColumnRenamed("id", "image_id"), "x")._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number() windowspecdefinition(range" in plan
