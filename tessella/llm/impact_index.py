@@ -1,19 +1,22 @@
 """Exact top-k by inner product with an impact-ordered index, processed score at a time.
 
-Vectors become integers floor(`SCALE` * x). They are dealt by a hash of the id into partitions of about
+Vectors become integers floor(`SCALE` * x). They are dealt by a hash of the row into partitions of about
 `PART_ROWS` vectors; each partition is an index of its own: for every dimension, postings in segments of
-equal quantised impact, `LEVELS` levels between the dimension's smallest and largest value. For a query,
-a segment's impact is its level's bound times the query's component; segments of all dimensions are
-processed by descending impact into accumulators. Before each check the dimensions' next segments bound
-what an unseen component can still add; processing stops only when that proves that at most `FEW` vectors
-can be among the best k, which are then rescored exactly, or when all segments are done. The best k of the partitions
-are merged.
-
-Queries are every vector whose id is divisible by `every`; they meet each partition in groups of at most
+equal quantised value, `LEVELS` levels between the dimension's smallest and largest. A segment's impact on a query is the
+most that it can move a score away from that of the dimensions' medians, up or down. Segments of all dimensions are
+processed by descending impact into accumulators: the most and least that a vector's seen components add, and their number.
+At each check the segments still ahead bound what a vector's unseen components can add; processing stops only
+when that proves that at most `FEW` times k vectors can be among the best k, or when all segments are done. Possible members are
+rescored exactly, and the best k of the partitions are merged.
+
+Queries are every row whose id is divisible by `every`; they meet each partition in groups of at most
 `QUERY_ROWS`, so a task holds one partition and one group, whatever the table's size.
 
 Defined results. Vectors that are null, empty, or hold null or non-finite components take no part, as query
-or candidate. Shorter vectors count as padded with zeros. A query isn't its own candidate. Of rows of one id the smallest vector counts. Fewer than k candidates: all. Ties go to the smaller id. Null ids take no part. Empty table: no rows. Extra columns are ignored.
+or candidate. Shorter vectors count as padded with zeros. A query's own row isn't its candidate; other rows of its id are, and
+each row of a repeated id is a query of its own. Fewer than k candidates: all. Ties go to the smaller id. Null ids take no part.
+Vectors with components too large for exact doubles aren't indexed but scored with whole numbers; scores beyond a long are
+cut to its ends, behind the ranking. Empty table: no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,88 +30,128 @@ from tessella.llm.common import durable
 
 SCALE = 256
 PART_ROWS = 16_384
-QUERY_ROWS = 2_048
-LEVELS = 16
-FEW = 2048
-#: Postings processed between two checks of the bound, as a multiple of the partition's vectors.
-CHECK_EVERY = 20
-#: Sums below this number share a double with another.
-PACKED = 1 << 26
+QUERY_ROWS = 8_192
+LEVELS = 64
+#: Possible members are few if there are at most so many for each of the k.
+FEW = 16
+#: The bound is checked after these shares of all postings.
+CHECKS = (0.25, 0.5, 0.75, 0.875, 0.9375, 1.0)
+LONG = 2**63
 
 
 class ImpactIndex:
-    """Postings of integer vectors (rows), by dimension and level, and the bounds of each level."""
+    """Postings of integer vectors (rows of doubles), by dimension and level."""
 
     def __init__(self, vectors: np.ndarray) -> None:
         self.vectors = vectors
         n, dims = vectors.shape
         low, high = vectors.min(axis=0), vectors.max(axis=0)
-        self.low, self.high = low, high
-        step = np.maximum(1, -(-(high - low + 1) // LEVELS))
-        level = (vectors - low) // step
-        self.sizes = np.stack([np.bincount(level[:, d], minlength=LEVELS) for d in range(dims)], axis=1)
-        split = [np.split(np.argsort(level[:, d], kind="stable"), np.cumsum(self.sizes[:-1, d])) for d in range(dims)]
-        self.segments = [[split[d][v] for d in range(dims)] for v in range(LEVELS)]
-        self.floor = low[None, :] + np.arange(LEVELS)[:, None] * step[None, :]  # smallest value of each level
-        self.ceil = np.minimum(self.floor + step - 1, high)
+        self.step = np.maximum(1, np.ceil((high - low + 1) / LEVELS))
+        level = ((vectors - low) // self.step).astype(np.int64)
+        self.sizes = np.stack([np.bincount(level[:, d], minlength=LEVELS) for d in range(dims)])  # by dimension and level
+        self.rows = np.concatenate([np.argsort(level[:, d], kind="stable") for d in range(dims)])
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes.ravel())])
+        self.middle = np.floor(np.median(vectors, axis=0))
+        self.least = low[:, None] + np.arange(LEVELS)[None, :] * self.step[:, None] - self.middle[:, None]  # smallest deviation of each level
+        self.used = np.flatnonzero(self.sizes.ravel())
+        #: What the queries so far took: postings processed and rows rescored.
+        self.processed = self.rescored = 0
+
+    def _postings(self, segments: np.ndarray, weights: list[np.ndarray]) -> list[np.ndarray]:
+        """Sums of each weight over the rows of segments (dimension * LEVELS + level, rising)."""
+        jumps = np.flatnonzero(np.diff(segments) != 1) + 1
+        spans = zip(segments[np.concatenate([[0], jumps])].tolist(), segments[np.concatenate([jumps - 1, [len(segments) - 1]])].tolist(), strict=True)
+        rows = np.concatenate([self.rows[self.starts[a] : self.starts[b + 1]] for a, b in spans])
+        sizes = self.sizes.ravel()[segments]
+        self.processed += len(rows)
+        return [np.bincount(rows, np.repeat(w[segments], sizes), len(self.vectors)) for w in weights]
 
     def best(self, query: np.ndarray, k: int) -> np.ndarray:
         """Rows that may be among the k best, the k best among them for certain."""
         n, dims = self.vectors.shape
-        # The most and least that a level adds; an up query takes levels from the top, a down query from the bottom.
-        most = np.maximum(query * self.floor, query * self.ceil)
-        least = np.minimum(query * self.floor, query * self.ceil)
-        up = query >= 0
-        order = np.where(up[None, :], np.arange(LEVELS)[::-1, None], np.arange(LEVELS)[:, None])
-        gain = np.take_along_axis(most, order, 0)  # by turn and dimension, falling
-        worst = least.min(axis=0)
-        # Impact: what a segment adds beyond the least of its dimension.
-        turn, dim = np.unravel_index(np.argsort(-(gain - worst), axis=None, kind="stable"), gain.shape)
-        # Two sums over seen components, beyond the least of each dimension: the most and the least that they can be.
-        # Whole numbers, exact in doubles; while both fit into `PACKED`, one accumulator holds both.
-        packed = int((gain[0] - worst).sum()) < PACKED
-        sums = [np.zeros(n) for _ in range(1 if packed else 2)]
-        level = order[turn, dim]
-        high, low = (most[level, dim] - worst[dim]).astype(float), (least[level, dim] - worst[dim]).astype(float)
-        sizes = self.sizes[level, dim]
-        upto = np.cumsum(sizes)
+        if n <= k:
+            self.rescored += n
+            return np.arange(n)
+        ends = query[:, None] * self.least, query[:, None] * (self.least + self.step[:, None] - 1)
+        most, width = np.maximum(*ends), np.abs(query) * (self.step - 1)  # a level adds at most `most`, at least `width` less
+        least = most - width[:, None]
+        impact = np.maximum(most, -least).ravel()
+        order = self.used[np.argsort(-impact[self.used], kind="stable")]
+        upto = np.cumsum(self.sizes.ravel()[order])
+        # Three sums over seen components: most, width and number. Whole numbers; where they fit, one double holds all three.
+        spread = np.repeat(width, LEVELS)
+        for_number, for_width = 1 << dims.bit_length(), 1 << int(width.sum()).bit_length()
+        packed = np.abs(most).max(axis=1).sum() * for_number * for_width < 2**52
+        weights = [(most.ravel() * for_width + spread) * for_number + 1] if packed else [most.ravel(), spread, np.ones(dims * LEVELS)]
+        sums = [np.zeros(n) for _ in weights]
+        ahead = np.zeros(dims * LEVELS, bool)
+        ahead[order] = True
         start = 0
-        while start < len(turn):
-            stop = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + CHECK_EVERY * n, side="right")))
-            rows = np.concatenate([self.segments[v][d] for v, d in zip(level[start:stop].tolist(), dim[start:stop].tolist(), strict=True)])
-            weights = (high[start:stop] * PACKED + low[start:stop],) if packed else (high[start:stop], low[start:stop])
-            for total, weight in zip(sums, weights, strict=True):
-                total += np.bincount(rows, np.repeat(weight, sizes[start:stop]), n)
-            done = np.bincount(dim[:stop], minlength=dims)  # a dimension's segments are processed in its own order
-            ahead = np.where(done < LEVELS, gain[np.minimum(done, LEVELS - 1), np.arange(dims)] - worst, 0)
-            most_sum = np.floor(sums[0] / PACKED) if packed else sums[0]
-            least_sum = sums[0] - most_sum * PACKED if packed else sums[1]
-            found = np.arange(n) if n <= k else np.flatnonzero(most_sum + ahead.sum() >= np.partition(least_sum, n - k)[n - k])
-            if len(found) <= FEW:
+        for share in CHECKS:
+            stop = int(np.searchsorted(upto, share * n * dims, side="right"))
+            if stop <= start:
+                continue
+            for total, more in zip(sums, self._postings(np.sort(order[start:stop]), weights), strict=True):
+                total += more
+            ahead[order[start:stop]] = False
+            if packed:
+                rest = np.floor(sums[0] / for_number)
+                seen_most = np.floor(rest / for_width)
+                seen_width, seen = rest - seen_most * for_width, sums[0] - rest * for_number
+            else:
+                seen_most, seen_width, seen = sums
+            # Unseen components add at most the largest of the dimensions' bounds ahead, as many as are unseen.
+            open_ = ahead.reshape(dims, LEVELS)
+            up, down = np.where(open_, np.maximum(most, 0), 0).max(axis=1), np.where(open_, np.minimum(least, 0), 0).min(axis=1)
+            unseen = dims - seen.astype(np.int64)
+            above = seen_most + np.concatenate([[0], np.cumsum(np.sort(up)[::-1])])[unseen]
+            below = seen_most - seen_width + np.concatenate([[0], np.cumsum(np.sort(down))])[unseen]
+            found = np.flatnonzero(above >= np.partition(below, n - k)[n - k])
+            if len(found) <= FEW * k:
                 break
             start = stop
+        self.rescored += len(found)
         return found
 
 
+def _whole(vector: np.ndarray) -> list[int]:
+    """The integers of a vector, exact at any size."""
+    return [int(np.floor(SCALE * x)) if abs(x) < 2.0**40 else SCALE * int(x) for x in vector.tolist()]
+
+
 def _searched(k: int):
     def run(group: pa.Table) -> pa.Table:
         asked = group.column("is_query").to_numpy(zero_copy_only=False)
-        ids = group.column("vec_id").to_numpy()
-        vectors = group.column("vector").combine_chunks()
-        sizes = np.diff(vectors.offsets.to_numpy())
-        matrix = np.zeros((len(ids), int(sizes.max())), np.int64)
-        matrix[np.arange(matrix.shape[1])[None, :] < sizes[:, None]] = vectors.flatten().to_numpy()
-        out: list[tuple[int, int, int]] = []
-        own = ids[~asked]
-        if len(own):
-            index = ImpactIndex(matrix[~asked])
-            for q, vector in zip(ids[asked].tolist(), matrix[asked], strict=True):
-                rows = index.best(vector, k + 1)  # one may be the query itself
-                rows = rows[own[rows] != q]
-                scores = index.vectors[rows] @ vector
-                for i in np.lexsort((own[rows], -scores))[:k].tolist():
-                    out.append((q, int(own[rows[i]]), int(scores[i])))
-        return pa.table({name: pa.array([x[i] for x in out], pa.int64()) for i, name in enumerate(("query_id", "vec_id", "score"))})
+        ids, numbers = group.column("vec_id").to_numpy(), group.column("number").to_numpy()
+        lists = group.column("vector").combine_chunks()
+        sizes = np.diff(lists.offsets.to_numpy())
+        matrix = np.zeros((len(ids), int(sizes.max())))
+        matrix[np.arange(matrix.shape[1])[None, :] < sizes[:, None]] = lists.flatten().to_numpy()
+        # Products of small components sum up exactly in doubles.
+        small = (np.abs(matrix) < (2.0**52 / matrix.shape[1]) ** 0.5 / SCALE).all(axis=1)
+        plain, large = np.flatnonzero(~asked & small), np.flatnonzero(~asked & ~small)
+        vectors = np.floor(SCALE * matrix[plain])
+        index = ImpactIndex(vectors) if len(plain) else None
+        huge = [(i, _whole(matrix[i])) for i in large.tolist()]
+        out: list[tuple[int, int, int, int, int]] = []
+        for q in np.flatnonzero(asked).tolist():
+            found: list[tuple[int, int, int, int]] = []  # falling score, id, row number
+            if len(plain) and small[q]:
+                query = np.floor(SCALE * matrix[q])
+                rows = index.best(query, k + 1)  # one may be the query itself
+                rows = rows[numbers[plain[rows]] != numbers[q]]
+                scores = vectors[rows] @ query
+                best = np.lexsort((numbers[plain[rows]], ids[plain[rows]], -scores))[:k]
+                found = [(-int(scores[i]), int(ids[plain[rows[i]]]), int(numbers[plain[rows[i]]])) for i in best.tolist()]
+            rest = huge if small[q] else [*huge, *((i, _whole(matrix[i])) for i in plain.tolist())]
+            if rest:
+                query = _whole(matrix[q])
+                found += [(-sum(a * b for a, b in zip(query, v, strict=True)), int(ids[i]), int(numbers[i])) for i, v in rest if numbers[i] != numbers[q]]
+            for score, i, number in sorted(found)[:k]:
+                out.append((int(ids[q]), int(numbers[q]), i, number, -score))
+        columns = [pa.array([x[c] for x in out], pa.int64()) for c in range(4)]
+        exact = [str(x[4]) for x in out]
+        return pa.table([*columns, pa.array([max(-LONG, min(LONG - 1, x[4])) for x in out], pa.int64()), pa.array(exact, pa.string())], names=["query_id", "query_number", "vec_id", "number", "score", "exact"])
 
     return run
 
@@ -117,28 +160,31 @@ def exact_top_k(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     """query_id, rank, vec_id and score of the k best candidates of each query."""
     x = F.transform("embedding", lambda v: v.cast("double"))
     sound = F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) < float("inf")))
-    whole = vectors.where(sound).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda v: F.floor(v * SCALE).cast("long")).alias("vector"))
-    whole = durable(whole.groupBy("vec_id").agg(F.min("vector").alias("vector")))
-    n = whole.count()
-    parts = max(1, -(-n // PART_ROWS))
-    asked = whole.where(F.col("vec_id") % every == 0)
-    groups = max(1, -(-asked.count() // QUERY_ROWS))
-    spread = lambda count, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(count)).cast("int")
+    whole = durable(vectors.where(sound).select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("vector"), F.monotonically_increasing_id().alias("number")))
+    counts = whole.agg(F.count("*").alias("n"), F.count(F.when(F.col("vec_id") % every == 0, 1)).alias("asked")).first()
+    parts, groups = max(1, -(-counts["n"] // PART_ROWS)), max(1, -(-counts["asked"] // QUERY_ROWS))
+    spread = lambda count, seed: F.pmod(F.xxhash64("number", F.lit(seed)), F.lit(count)).cast("int")
     numbers = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    candidates = whole.select("vec_id", "vector", F.lit(False).alias("is_query"), spread(parts, 1).alias("part"), numbers(groups).alias("group"))
-    queries = asked.select("vec_id", "vector", F.lit(True).alias("is_query"), numbers(parts).alias("part"), spread(groups, 2).alias("group"))
-    found = candidates.union(queries).groupBy("part", "group").applyInArrow(_searched(k), "query_id long, vec_id long, score long")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    candidates = whole.select("vec_id", "number", "vector", F.lit(False).alias("is_query"), spread(parts, 1).alias("part"), numbers(groups).alias("group"))
+    queries = whole.where(F.col("vec_id") % every == 0).select("vec_id", "number", "vector", F.lit(True).alias("is_query"), numbers(parts).alias("part"), spread(groups, 2).alias("group"))
+    schema = "query_id long, query_number long, vec_id long, number long, score long, exact string"
+    found = candidates.union(queries).groupBy("part", "group").applyInArrow(_searched(k), schema)
+    # Scores cut to a long's ends are told apart by their digits: more of them, or later ones, are larger beyond zero.
+    size = F.when(F.col("score").isin(LONG - 1, -LONG), F.when(F.col("score") > 0, 1).otherwise(-1) * F.length("exact")).otherwise(F.lit(0))
+    digits = F.when(F.col("score") == LONG - 1, F.col("exact")).otherwise("")
+    below = F.when(F.col("score") == -LONG, F.col("exact")).otherwise("")
+    best = Window.partitionBy("query_number").orderBy(F.desc("score"), size.desc(), digits.desc(), below, "vec_id", "number")
+    ranked = found.withColumn("rank", F.row_number().over(best))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def top_k_sql(k: int = 5, every: int = 50) -> str:
     """DuckDB SQL for `exact_top_k` on vectors of one length."""
     return f"""WITH v AS MATERIALIZED (
-  SELECT vec_id, min(list_transform(embedding, lambda x: CAST(floor({SCALE} * CAST(x AS DOUBLE)) AS BIGINT))) AS vector FROM embeddings
-  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 GROUP BY vec_id),
+  SELECT vec_id, row_number() OVER () AS number, list_transform(embedding, lambda x: CAST(floor({SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS vector FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.vector AS DOUBLE[]), CAST(c.vector AS DOUBLE[])) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % {every} = 0),
-ranked AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored)
+  SELECT q.vec_id AS query_id, q.number AS query_number, c.vec_id, c.number, CAST(list_inner_product(CAST(q.vector AS DOUBLE[]), CAST(c.vector AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.number <> c.number WHERE q.vec_id % {every} = 0),
+ranked AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_number ORDER BY score DESC, vec_id, number) AS INTEGER) AS rank, vec_id, score FROM scored)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= {k}"""

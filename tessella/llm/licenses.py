@@ -6,8 +6,12 @@ automaton; a text is streamed through it word by word, which gives at each place
 run, ending there, that occurs in a template (the matching statistics). Maximal runs of at least
 `LEAST_RUN` words are chained, template by template, where they follow one another in the same order with
 gaps of at most `MOST_GAP` words; a chain that covers at least `LEAST_COVER` of its template, or
-`LEAST_SPAN` of its words, adds the template's label. The automaton is small and fixed, so it goes to
-every task; texts are never shuffled. Words outside all templates reset the automaton, so only runs of known words are streamed.
+`LEAST_SPAN` of its words, adds the template's label and a span; of chains of one template that overlap, that of the largest
+cover counts. The score is the largest share of a template that an accepted chain covers, or, for a base phrase,
+its share of the shortest notice that says it: a phrase alone is weaker evidence than the notice. The automaton is small
+and fixed, so it goes to every task; texts are never shuffled. Words outside all templates reset the automaton, so only runs of
+known words are streamed. A run is chained with those that end at most `MOST_GAP` words before it starts, so the time is
+proportional to a text's length.
 
 Defined results. Null or empty text: no words, empty labels, score 0. Repeated rows and null ids: scanned
 each by its text. Empty table: no rows. Very long texts: streamed whole. Extra columns are ignored.
@@ -31,7 +35,7 @@ LEAST_COVER, LEAST_SPAN = 0.8, 12
 #: Phrases of the base labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-#: Public notices by which files state their licence, and the opening passages of licences.
+#: Public notices by which files state their licence, opening passages of long licences, and whole short licences.
 TEMPLATES = [
     ("gpl", "This work is licensed under the GNU General Public License, version 3."),
     ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
@@ -48,6 +52,12 @@ TEMPLATES = [
     ("cc-by", "Licensed under CC BY 4.0."),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
+    ("mit", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'),
+    ("isc", 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'),
+    ("bsd", 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
+    ("boost", 'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.'),
+    ("unlicense", 'This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.'),
 ]
 
 _TABLE = byte_table(bytes(c for c in range(128) if not chr(c).isalnum()), lower=True)
@@ -131,28 +141,46 @@ def runs_of(automaton: SuffixAutomaton, sequence: list[int], offset: int) -> lis
 
 
 def chains(automaton: SuffixAutomaton, sizes: list[int], runs: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """(template, start, end, covered words) of the accepted chains of matching runs."""
-    open_: dict[int, list[tuple[int, int, int, int]]] = {}  # by template: (start, end, end in the template, covered)
+    """(template, start, end, covered words) of the accepted chains of matching runs, which come by rising end."""
+    grown: dict[int, list[tuple[int, int, int, int]]] = {}  # by template: (start, end, end in the template, covered)
     for start, end, state in runs:
         for template, place in automaton.ends[state]:
-            own = open_.setdefault(template, [])
+            own = grown.setdefault(template, [])
             best = (start, end, place + 1, end - start)
-            for a, b, t, n in own:
+            for a, b, t, n in reversed(own):
+                if start - b > MOST_GAP:
+                    break  # all before end even earlier
                 fresh = min(end - start, end - b, place + 1 - t)  # words that the chain doesn't hold yet
-                if a < start and start - b <= MOST_GAP and fresh > 0 and place + 1 - (end - start) - t <= MOST_GAP and n + fresh > best[3]:
+                if a < start and fresh > 0 and place + 1 - (end - start) - t <= MOST_GAP and n + fresh > best[3]:
                     best = (a, end, place + 1, n + fresh)
             own.append(best)
     out = []
-    for template, own in open_.items():
-        for a, b, _, n in own:
-            if n >= LEAST_COVER * sizes[template] or n >= LEAST_SPAN:
-                out.append((template, a, b, n))
+    for template, own in grown.items():
+        best = None  # of the chains that overlap
+        for a, b, _, n in sorted(own):
+            if n < LEAST_COVER * sizes[template] and n < LEAST_SPAN:
+                continue
+            if best is not None and a < best[2]:
+                best = max(best, (template, a, b, n), key=lambda c: (c[3], -c[2]))
+            else:
+                out += [best] if best else []
+                best = (template, a, b, n)
+        out += [best] if best else []
+    return sorted(out, key=lambda c: (c[1], c[2], c[0]))
+
+
+def phrase_scores() -> dict[str, float]:
+    """For each base label the share of its phrase in the shortest template of that label that says it."""
+    out = {}
+    for phrase, label in PHRASES.items():
+        says = lambda t, p=split_words(phrase): any(t[i : i + len(p)] == p for i in range(len(t)))
+        out[label] = len(split_words(phrase)) / min(len(t) for own, text in TEMPLATES if own == label and says(t := split_words(text)))
     return out
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     automaton, number, sizes = scanner()
-    phrases = [(split_words(p), label) for p, label in PHRASES.items()]
+    phrases, of_phrase = [(split_words(p), label) for p, label in PHRASES.items()], phrase_scores()
     for batch in batches:
         for part in text_slices(batch):
             first, _, _, found = words(part.column("text"), _TABLE)
@@ -194,9 +222,8 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for r in range(n):
                 accepted = chains(automaton, sizes, runs[r]) if r in runs else []
                 labels.append(",".join(sorted(base[r] | {TEMPLATES[t][0] for t, *_ in accepted})))
-                best = max((min(1.0, c / sizes[t]) for t, _, _, c in accepted), default=0.0)
-                scores.append(1.0 if base[r] else round(best, 6))
-                spans.append([{"label": TEMPLATES[t][0], "start": a, "end": b} for t, a, b, _ in sorted(accepted)])
+                scores.append(round(max([0.0, *(min(1.0, c / sizes[t]) for t, _, _, c in accepted), *(of_phrase[label] for label in base[r])]), 6))
+                spans.append([{"label": TEMPLATES[t][0], "start": a, "end": b} for t, a, b, _ in accepted])
             some = n_base > 0
             nullable = lambda v: pa.array([int(x) if s else None for x, s in zip(v, some, strict=True)], pa.int64())  # noqa: E731, B023
             span = pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))

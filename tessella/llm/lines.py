@@ -41,8 +41,8 @@ LINE_WORDS = 4
 BLOCK_WORDS = 25
 #: A line is rare if so many documents hold it, at most.
 RARE = 5
-#: Lines of later documents that are aligned with one earlier document in one group.
-GROUP_LINES = 1 << 16
+#: Lines (a document counts 16 besides its own) that are aligned with one earlier document in one group.
+GROUP_LINES = 1 << 13
 #: Documents that lose lines are broadcast up to this number and this many deleted blocks, else joined by a shuffle.
 BROADCAST_ROWS, BROADCAST_BLOCKS = 50_000, 500_000
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
@@ -236,7 +236,7 @@ def deleted_lines(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     profiles = durable(versioned.mapInArrow(_profiles(block_words), profile).dropDuplicates(["doc_id", "version"]))
     pairs = durable(document_pairs(profiles))
     earlier = ["earlier_id", "earlier_version"]
-    salts = durable(pairs.groupBy(*earlier).agg(F.ceil(F.sum("n_lines") / GROUP_LINES).cast("int").alias("salts")))
+    salts = durable(pairs.groupBy(*earlier).agg(F.ceil(F.sum(F.col("n_lines") + 16) / GROUP_LINES).cast("int").alias("salts")))
     hashes = profiles.select("doc_id", "version", "lines", "counts")
     salted = pairs.join(salts, earlier).select("doc_id", "version", *earlier, F.pmod(F.xxhash64("doc_id", "version"), F.col("salts")).cast("int").alias("salt"))
     later = salted.join(hashes, ["doc_id", "version"]).withColumn("is_earlier", F.lit(False))

@@ -9,9 +9,9 @@ feature weighs 1 plus a quarter of the logarithm of its occurrences. Labels say
 above 0 divide the toxic training texts at the quantiles of their evidence, the summed weights of features
 that are found almost only in toxic texts.
 
-Training uses at most about `TRAIN_ROWS` labelled rows, chosen by a hash of the id, one of each text; the
-`FEATURES` features with the largest significant chi-squared statistic are fitted on the driver, whose input is bounded
-by these two parameters. Scoring runs over whole texts of all rows, without a shuffle.
+Training uses at most about `TRAIN_ROWS` labelled rows, chosen by a hash of the id, one of each text. All features whose
+chi-squared statistic is significant are fitted, at a level at which one feature without meaning is expected to pass among all
+that are tested; the bounded sample bounds their number and the driver's input. Scoring runs over whole texts of all rows, without a shuffle.
 
 Defined results. Null, empty or blank text: severity 0, kept. Labels missing, null, or of one class only:
 no model, all kept at severity 0. A label row repeated or contradicted: the largest value counts. Repeated
@@ -22,24 +22,23 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import byte_table, coded, durable, text_slices, words
+from tessella.llm.common import byte_table, coded, durable, fresh, text_slices, words
 
 GRADES = 4
 REJECT = 0.5
 TRAIN_ROWS = 6000
-FEATURES = 3000
 PREFIXES = (4, 5, 6)
 #: A feature counts as evidence of severity if this share of its training texts, at least, is toxic.
 EVIDENCE = 0.9
-#: Least chi-squared statistic of a feature: among a million features without meaning, about one reaches the first
-#: value. The next is taken only if the features so far are in fewer than nine tenths of the toxic training texts.
-SIGNIFICANT = (24.0, 16.0, 10.0)
+#: Features without meaning that are expected among the significant ones.
+BY_CHANCE = 1.0
 STEPS, RATE, PENALTY = 1000, 0.1, 5e-6
 
 _ALPHANUMERIC = byte_table(bytes(c for c in range(128) if not chr(c).isalnum()), lower=True)
@@ -121,7 +120,12 @@ def fit_cumulative_link(rows: np.ndarray, columns: np.ndarray, values: np.ndarra
     return parameters[:n_features], theta
 
 
-def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, n_features: int = FEATURES) -> Model:
+def least_statistic(tested: int) -> float:
+    """The chi-squared statistic that `BY_CHANCE` of so many features without meaning reach."""
+    return NormalDist().inv_cdf(1 - min(0.5, BY_CHANCE / (2 * max(1, tested)))) ** 2
+
+
+def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     """Fit on at most about `train_rows` labelled documents."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -138,36 +142,29 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, n_fe
     seen = featured.select("toxic", F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("df"), F.sum(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("hits"))
     df, hits = F.col("df").cast("double"), F.col("hits").cast("double")
     squared = n * F.pow(hits * n - df * n_toxic, F.lit(2.0)) / (df * (n - df + 1) * n_toxic * (n - n_toxic))
-    top = seen.where((F.col("df") >= max(3, n // 1000)) & (squared >= SIGNIFICANT[-1])).select("key", "df", "hits", squared.alias("squared")).orderBy(F.desc("squared"), "key").limit(n_features)
-    features = top.collect()
+    tested = durable(seen.where(F.col("df") >= max(3, n // 1000)).select("key", "df", "hits", squared.alias("squared")))
+    telling = tested.where(F.col("squared") >= least_statistic(tested.count()))
+    features = telling.orderBy("key").collect()  # from at most train_rows texts
     if not features:
         return Model({}, [])
-    evidence = np.array([r["hits"] >= EVIDENCE * r["df"] for r in features], bool)
-    # The sample's texts as sparse rows; at most train_rows * n_features entries.
-    ranked = durable(top.select("key"))
-    entries = featured.select("row", F.explode(F.arrays_zip("keys", "times")).alias("e")).select("row", "e.*").join(F.broadcast(ranked.withColumnRenamed("key", "keys")), "keys")
+    # The sample's texts as sparse rows.
+    entries = featured.select("row", F.explode(F.arrays_zip("keys", "times")).alias("e")).select("row", "e.*").join(F.broadcast(telling.select(F.col("key").alias("keys"))), "keys")
     table = entries.toPandas()
     heads = featured.select("row", "toxic").toPandas().sort_values("row")
     place = {r: i for i, r in enumerate(heads["row"])}
     toxic = heads["toxic"].to_numpy() > 0
     index = {r["key"]: i for i, r in enumerate(features)}
     rows, columns = table["row"].map(place).to_numpy(np.int64), table["keys"].map(index).to_numpy(np.int64)
-    for least in SIGNIFICANT:
-        index = {r["key"]: i for i, r in enumerate(features) if r["squared"] >= least}  # a prefix of the features
-        if len(np.unique(rows[(columns < len(index)) & toxic[rows]])) >= 0.9 * n_toxic:
-            break
-    table, evidence = table[columns < len(index)], evidence[: len(index)]
-    rows, columns = rows[columns < len(index)], columns[columns < len(index)]
     values = _weight(table["times"].to_numpy(np.float64))
-    telling = evidence[columns] if len(columns) else np.zeros(0, bool)
-    shown = np.bincount(rows[telling], values[telling], minlength=len(heads))
+    evidence = np.array([r["hits"] >= EVIDENCE * r["df"] for r in features], bool)[columns]
+    shown = np.bincount(rows[evidence], values[evidence], minlength=len(heads))
     cuts = np.quantile(shown[toxic], np.arange(1, GRADES - 1) / (GRADES - 1))
     grades = np.where(toxic, 1 + np.searchsorted(cuts, shown, side="right"), 0)
     weights, thresholds = fit_cumulative_link(rows, columns, values, grades, len(index))
     return Model({k: float(weights[i]) for k, i in index.items()}, [float(x) for x in thresholds])
 
 
-def _scorer(model: Model):
+def _scorer(model: Model, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = model.weights
         for batch in batches:
@@ -195,29 +192,29 @@ def _scorer(model: Model):
                     scores = np.bincount(cells // len(names), weight[cells % len(names)] * _weight(times), minlength=part.num_rows)
                 p = model.probabilities(scores)
                 p[np.diff(first) == 0] = 0
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(list(p.round(6)), pa.list_(pa.float64()))], names=[*part.schema.names, "__above"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(list(p.round(6)), pa.list_(pa.float64()))], names=[*part.schema.names, name])
 
     return run
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with one more column, __above: the probabilities of exceeding each grade but the last."""
+def scored(docs: DataFrame, model: Model, name: str = "p_above") -> DataFrame:
+    """docs with one more column of that name: the probabilities of exceeding each grade but the last."""
     if not model.thresholds:
-        return docs.withColumn("__above", F.array_repeat(F.lit(0.0), GRADES - 1))
-    schema = docs.withColumn("__above", F.array(F.lit(0.0))).schema
-    return docs.mapInArrow(_scorer(model), schema)
+        return docs.withColumn(name, F.array_repeat(F.lit(0.0), GRADES - 1))
+    schema = docs.withColumn(name, F.array(F.lit(0.0))).schema
+    return docs.mapInArrow(_scorer(model, name), schema)
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, p_above_0 to p_above_2, expected_severity, toxic and kept for each row."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = scored(texts, train(docs, labels))
-    severity = F.round(F.aggregate("__above", F.lit(0.0), lambda s, p: s + p), 6)
-    return out.select("doc_id", *(F.element_at("__above", k + 1).alias(f"p_above_{k}") for k in range(GRADES - 1)), severity.alias("expected_severity"), (severity >= REJECT).alias("toxic"), (severity < REJECT).alias("kept"))
+    out = scored(texts, train(docs, labels), "above")
+    severity = F.round(F.aggregate("above", F.lit(0.0), lambda s, p: s + p), 6)
+    return out.select("doc_id", *(F.element_at("above", k + 1).alias(f"p_above_{k}") for k in range(GRADES - 1)), severity.alias("expected_severity"), (severity >= REJECT).alias("toxic"), (severity < REJECT).alias("kept"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs whose expected severity is below `REJECT`."""
-    texts = docs.withColumn("text", F.col("text").cast("string"))
-    out = scored(texts, train(docs, labels))
-    return out.where(F.aggregate("__above", F.lit(0.0), lambda s, p: s + p) < REJECT).select(docs.columns)
+    (above,) = fresh(docs, "above")
+    out = scored(docs.withColumn("text", F.col("text").cast("string")), train(docs, labels), above)
+    return out.where(F.round(F.aggregate(above, F.lit(0.0), lambda s, p: s + p), 6) < REJECT).drop(above)

@@ -5,13 +5,15 @@ check digit, phone numbers by their allowed leading digits, dates by their day,
 network over these numbers (walking cycles until the result is below n) permutes them, and the result
 is written in the form of the original: separators stay, check digits are made anew. So a pseudonym is valid in its
 format, equal values get equal pseudonyms in every document and spelling, different values never
-meet, and the holder of the key can undo it. Values that don't validate are left alone.
+meet, and the holder of the key can undo it. Values that don't validate are left alone. What tells a value's form stays in
+clear: an e-mail address's domain, an IBAN's country, a key's prefix, and whether a date's day is above 12 (by which
+a date written month first is told from one written day first).
 
 A card or IBAN may run into what follows it (an expiry date, a security code, an amount, a currency). If the longest
 match isn't valid, its shorter ends before a blank or hyphen are tried, for an IBAN its country's length first, else
 the longest first; if none is valid either, the later kinds are tried from the same start.
 
-Texts are rewritten in place, each by itself, without a shuffle. `DEMO_KEY` is for tests: give a key of your own.
+Texts are rewritten in place, each by itself, without a shuffle, in time proportional to their length.
 
 Defined results. Null text: null. Empty text or none found: unchanged. Repeated rows and null ids: each by its
 text. Empty table: no rows. Very long texts: whole. Extra columns pass through `pseudonymised`.
@@ -20,19 +22,23 @@ text. Empty table: no rows. Very long texts: whole. Extra columns pass through `
 from __future__ import annotations
 
 import datetime
+import functools
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import text_slices
+from tessella.llm.common import fresh, text_slices
 
-DEMO_KEY = b"tessella demonstration key"
 FEISTEL_ROUNDS = 8
-FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
+FIRST_YEAR, LAST_YEAR = 1900, 2099
+#: Symbols of a secret or a mail name that are moved at a time.
+BLOCK = 48
 
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -71,7 +77,8 @@ class Permutation:
     def _round(self, tweak: bytes, i: int, half: int, bits: int) -> int:
         size = (bits + 7) // 8
         data = bytes([i]) + half.to_bytes(size + 1, "big")
-        out = b"".join(hashlib.blake2b(data + bytes([block]), key=self.key, person=tweak[:16], digest_size=64).digest() for block in range((size + 63) // 64))
+        person = tweak if len(tweak) <= 16 else hashlib.blake2b(tweak, digest_size=16).digest()
+        out = b"".join(hashlib.blake2b(data + bytes([block]), key=self.key, person=person, digest_size=64).digest() for block in range((size + 63) // 64))
         return int.from_bytes(out[:size], "big") & ((1 << bits) - 1)
 
     def _walk(self, x: int, n: int, tweak: bytes, rounds: list[int], forward: bool) -> int:
@@ -95,7 +102,15 @@ class Permutation:
         return self._walk(x, n, tweak.encode(), list(reversed(range(FEISTEL_ROUNDS))), False)
 
 
-Move = Callable[[int, int, str], int]
+@dataclass(frozen=True)
+class Move:
+    """Moves a number below n by a permutation, or back."""
+
+    permutation: Permutation
+    forward: bool
+
+    def __call__(self, x: int, n: int, tweak: str) -> int:
+        return (self.permutation.apply if self.forward else self.permutation.invert)(x, n, tweak)
 
 
 def _mixed(symbols: str, alphabets: list[str], tweak: str, move: Move) -> str:
@@ -117,18 +132,21 @@ def _refill(form: str, symbols: str, of: str = DIGITS) -> str:
     return "".join(next(fresh) if c in of else c for c in form)
 
 
+_DOUBLED = dict(zip(DIGITS, (0, 2, 4, 6, 8, 1, 3, 5, 7, 9), strict=True))
+
+
 def luhn_digit(digits: str) -> str:
     """The check digit that makes digits valid."""
-    total = 0
-    for k, c in enumerate(reversed(digits)):
-        v = int(c) * (2 if k % 2 == 0 else 1)
-        total += v - 9 if v > 9 else v
-    return str(-total % 10)
+    return str(-(sum(map(_DOUBLED.__getitem__, digits[::-2])) + sum(map(int, digits[-2::-2]))) % 10)
+
+
+def _is_card(digits: str) -> bool:
+    return 13 <= len(digits) <= 19 and luhn_digit(digits[:-1]) == digits[-1] and digits[0] != "0"
 
 
 def _card(value: str, move: Move) -> str | None:
     digits = "".join(c for c in value if c in DIGITS)
-    if not 13 <= len(digits) <= 19 or luhn_digit(digits[:-1]) != digits[-1] or digits[0] == "0":
+    if not _is_card(digits):
         return None
     body = _mixed(digits[:-1], [DIGITS[1:], *[DIGITS] * (len(digits) - 2)], f"card{len(digits)}", move)
     return _refill(value, body + luhn_digit(body))
@@ -151,7 +169,15 @@ def _address(value: str, move: Move) -> str | None:
     return ".".join(map(str, x.to_bytes(4, "big")))
 
 
+@functools.cache
+def _late_days() -> list[int]:
+    """For each month from the first year on, and the end: days above 12 in the months before it."""
+    months = [datetime.date(FIRST_YEAR + m // 12, m % 12 + 1, 1).toordinal() for m in range(12 * (LAST_YEAR + 1 - FIRST_YEAR) + 1)]
+    return [day - months[0] - 12 * m for m, day in enumerate(months)]
+
+
 def _date(value: str, move: Move) -> str | None:
+    """Days up to 12 and days above 12 are permuted each among themselves, so that every spelling can be read again."""
     a, mark, b, _, c = re.match(r"(\d+)(\D)(\d+)(\D)(\d+)", value).groups()
     year_first = len(a) == 4
     year, day = (int(a), int(c)) if year_first else (int(c), int(a))
@@ -160,20 +186,24 @@ def _date(value: str, move: Move) -> str | None:
     if swapped:
         month, day = day, month
     try:
-        ordinal = datetime.date(year, month, day).toordinal()
+        datetime.date(year, month, day)
     except ValueError:
         return None
-    if not FIRST_DAY <= ordinal <= LAST_DAY:
+    if not FIRST_YEAR <= year <= LAST_YEAR:
         return None
-    size = LAST_DAY - FIRST_DAY + 1
-    x = move(ordinal - FIRST_DAY, size, "date")
-    while swapped and datetime.date.fromordinal(FIRST_DAY + x).day <= 12:  # month first is read so only with a day above 12
-        x = move(x, size, "date")
-    d = datetime.date.fromordinal(FIRST_DAY + x)
+    months, late = 12 * (year - FIRST_YEAR) + month - 1, _late_days()
+    if day <= 12:
+        months, day = divmod(move(12 * months + day - 1, 12 * (len(late) - 1), "early day"), 12)
+        day += 1
+    else:
+        x = move(late[months] + day - 13, late[-1], "late day")
+        months = bisect_right(late, x) - 1
+        day = x - late[months] + 13
+    year, month = FIRST_YEAR + months // 12, months % 12 + 1
     if year_first:
-        return f"{d.year:04}{mark}{d.month:02}{mark}{d.day:02}"
-    first, second = (d.month, d.day) if swapped else (d.day, d.month)
-    return f"{first:02}{mark}{second:02}{mark}{d.year:04}"
+        return f"{year:04}{mark}{month:02}{mark}{day:02}"
+    first, second = (month, day) if swapped else (day, month)
+    return f"{first:02}{mark}{second:02}{mark}{year:04}"
 
 
 def _social(value: str, move: Move) -> str | None:
@@ -199,11 +229,11 @@ def _iban(value: str, move: Move) -> str | None:
 
 def _card_ends(value: str) -> Iterator[int]:
     """Shorter ends of a card, longest first, but none if a longer valid card starts further on."""
-    borders = [i for i, c in enumerate(value) if c in " -"]
-    size = lambda a, b: sum(c in DIGITS for c in value[a:b])
-    valid = lambda v: _card(v, lambda x, n, tweak: x) is not None
-    inner = max((size(a + 1, b) for a in borders for b in [*borders, len(value)] if a < b and valid(value[a + 1 : b])), default=0)
-    yield from (b for b in reversed(borders) if size(0, b) >= inner)
+    places = [i for i, c in enumerate(value) if c in DIGITS]
+    digits = "".join(value[i] for i in places)
+    cuts = [k for k in range(1, len(digits)) if places[k] > places[k - 1] + 1]  # digits behind a blank or hyphen
+    inner = max((b - a for a in cuts for b in [*cuts, len(digits)] if b - a >= 13 and _is_card(digits[a:b])), default=0)
+    yield from (places[k - 1] + 1 for k in reversed(cuts) if k >= max(13, inner))
 
 
 def _iban_ends(value: str) -> Iterator[int]:
@@ -214,9 +244,15 @@ def _iban_ends(value: str) -> Iterator[int]:
 
 
 def _letters(value: str, move: Move, tweak: str) -> str:
-    """Letters and digits move within their own class, other characters stay."""
-    kinds = [next((a for a in (DIGITS, LOWER, UPPER) if c in a), c) for c in value]
-    return _mixed(value, kinds, tweak, move)
+    """Letters and digits move within their own class, other characters stay. Each block depends on the blocks before it."""
+    out, before = [], b""
+    for at in range(0, len(value), BLOCK):
+        block = value[at : at + BLOCK]
+        kinds = [next((a for a in (DIGITS, LOWER, UPPER) if c in a), c) for c in block]
+        moved = _mixed(block, kinds, f"{tweak}{before.hex()}", move)
+        before = hashlib.blake2b(before + (block if move.forward else moved).encode(), digest_size=16).digest()
+        out.append(moved)
+    return "".join(out)
 
 
 def _email(value: str, move: Move) -> str | None:
@@ -235,7 +271,7 @@ def _secret(value: str, move: Move) -> str | None:
 
 #: Each kind: its pattern and what moves a value, or gives None if it isn't valid. Earlier kinds go first.
 KINDS: dict[str, tuple[str, Callable[[str, Move], str | None]]] = {
-    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", _email),
+    "email": (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", _email),
     "secret": (r"(?i:password|passwd|secret|api_key|token)\s*[=:]\s*[A-Za-z0-9]{6,}", _secret),
     "key": (r"\bAKIA[A-Z0-9]{16}\b", _key),
     "iban": (r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", _iban),
@@ -273,11 +309,11 @@ class Pseudonymiser:
         if (kind, value) not in self.known:
             if len(self.known) >= self.remembered:
                 self.known.clear()
-            self.known[kind, value] = KINDS[kind][1](value, self.permutation.apply)
+            self.known[kind, value] = KINDS[kind][1](value, Move(self.permutation, True))
         return self.known[kind, value]
 
     def original(self, kind: str, pseudonym: str) -> str | None:
-        return KINDS[kind][1](pseudonym, self.permutation.invert)
+        return KINDS[kind][1](pseudonym, Move(self.permutation, False))
 
     def _found(self, text: str, first: re.Match[str]) -> tuple[str, int, str] | None:
         """Kind, end and pseudonym of the valid value that starts where first does."""
@@ -310,7 +346,7 @@ class Pseudonymiser:
         return "".join([*out, text[at:]]), kinds
 
 
-def _rewriter(key: bytes):
+def _rewriter(key: bytes, kinds: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = Pseudonymiser(key)
         for batch in batches:
@@ -318,25 +354,26 @@ def _rewriter(key: bytes):
                 done = [tool.rewrite(t) for t in part.column("text").to_pylist()]
                 found = [pa.array([t for t, _ in done], pa.string()), pa.array([k for _, k in done], pa.list_(pa.string()))]
                 rest = [(c, part.column(c)) for c in part.schema.names if c != "text"]
-                yield pa.RecordBatch.from_arrays([*(v for _, v in rest), *found], names=[*(c for c, _ in rest), "text", "__kinds"])
+                yield pa.RecordBatch.from_arrays([*(v for _, v in rest), *found], names=[*(c for c, _ in rest), "text", kinds])
 
     return run
 
 
-def _rewritten(docs: DataFrame, key: bytes) -> DataFrame:
+def _rewritten(docs: DataFrame, key: bytes, kinds: str) -> DataFrame:
     docs = docs.withColumn("text", F.col("text").cast("string"))
-    schema = docs.drop("text").withColumn("text", F.lit("").cast("string")).withColumn("__kinds", F.array(F.lit(""))).schema
+    schema = docs.drop("text").withColumn("text", F.lit("").cast("string")).withColumn(kinds, F.array(F.lit(""))).schema
     for field in schema:
         field.nullable = True
-    return docs.mapInArrow(_rewriter(key), schema)
+    return docs.mapInArrow(_rewriter(key, kinds), schema)
 
 
-def pseudonymised(docs: DataFrame, key: bytes = DEMO_KEY) -> DataFrame:
+def pseudonymised(docs: DataFrame, key: bytes) -> DataFrame:
     """docs with the values in text replaced."""
-    return _rewritten(docs, key).select(docs.columns)
+    (kinds,) = fresh(docs, "kinds")
+    return _rewritten(docs, key, kinds).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
-def pseudonym_report(docs: DataFrame, key: bytes = DEMO_KEY) -> DataFrame:
+def pseudonym_report(docs: DataFrame, key: bytes) -> DataFrame:
     """doc_id, n_found, kinds (distinct, sorted, comma-joined) and the rewritten text for each row."""
-    out = _rewritten(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), key)
-    return out.select("doc_id", F.coalesce(F.size("__kinds"), F.lit(0)).cast("long").alias("n_found"), F.array_join(F.array_sort(F.array_distinct("__kinds")), ",").alias("kinds"), "text")
+    out = _rewritten(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), key, "kinds")
+    return out.select("doc_id", F.coalesce(F.size("kinds"), F.lit(0)).cast("long").alias("n_found"), F.array_join(F.array_sort(F.array_distinct("kinds")), ",").alias("kinds"), "text")

@@ -1,17 +1,23 @@
 """Mixing sources to target weights: iterative proportional fitting, then calibrated sampling.
 
-Token mass is summed by cell (source, language, topic). Raking scales the cells' mass to each marginal's
-target shares in turn, `SWEEPS` times. A document is kept with probability min(1, c * raked mass / mass) of
-its cell, where c makes the expected kept mass `budget` times the whole. The coin is a hash of the id, so
-a run can be repeated and lost tasks recomputed.
-
-Target shares are the current shares to the power `temperature`, normalised: below 1 it lifts small
-sources and holds back large ones. Tables carry no topic; `topic_of` tells the form of a text, and any
-other column can be given. Built-in functions only; texts are never shuffled while the cells are few.
-
-Defined results. Null source or language: a value of its own, written "(null)". Null text: one token, topic
+Token mass is summed by cell (source, language, topic). The goals of a dimension are kept masses: its targets' shares of
+`budget` times the whole mass. A value whose goal is more than all it has is limited to that (and named in the
+`mixture_report`), and the rest of its goal goes to the other values in proportion. Raking then scales the
+cells' kept masses to each dimension's goals in turn; no cell is scaled beyond its mass, and what it can't give the other
+cells of the value give. Sweeps go on until no marginal is further from its goal than `TOLERANCE` of the whole, `MOST_SWEEPS`
+at most. A document is kept with probability kept mass / mass of its cell. The coin is a hash of the id, so a run can
+be repeated and lost tasks recomputed.
+
+Targets are given by dimension as tables (value, share); a value without a target gets none, and a dimension without a
+table gets its present shares to the power `temperature`: below 1 this lifts small values and holds back large ones. The topic is a
+column of the documents; without one `topic_of` tells the form of a text. Built-in functions only.
+
+Few cells (`FEW_CELLS`, checked) are one partition, in which sweeps need no shuffle, and are broadcast to the documents; more of
+them are summed by value with partial aggregates and joined by shuffles.
+
+Defined results. Null source, language or topic: a value of its own, written "(null)". Null text: one token, topic
 "empty". Repeated rows share their fate, as all rows of an id do; rows with a null id share one coin.
-Empty table: no rows. Extra columns pass through, also when named like a column made here.
+Empty table: no rows. Extra columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,13 +25,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import durable
+from tessella.llm.common import durable, fresh
 
-SWEEPS = 8
-CAP_ROUNDS = 6
 DIMENSIONS = ("source", "lang", "topic")
-#: Cells up to this number are broadcast (some 100 bytes each); beyond it the join is shuffled.
-BROADCAST_CELLS = 50_000
+BUDGET, TEMPERATURE, SEED = 0.8, 0.7, "mix"
+#: Rounds in which goals beyond what there is are limited; sweeps between two checks, and in all; the deviation that ends them.
+LIMIT_ROUNDS, CHUNK, MOST_SWEEPS, TOLERANCE = 8, 4, 60, 1e-4
+#: Cells up to this number (some 100 bytes each) are one partition and are broadcast.
+FEW_CELLS = 50_000
 
 
 def tokens_of(text: Column) -> Column:
@@ -48,69 +55,129 @@ def topic_of(text: Column) -> Column:
     )
 
 
-def raked_cells(cells: DataFrame, temperature: float, sweeps: int = SWEEPS) -> DataFrame:
-    """cells (source, lang, topic, mass) with raked: mass scaled to all marginals' targets."""
-    whole = Window.partitionBy()
-    goals = cells
+def described(docs: DataFrame, topic: str | None = None) -> Column:
+    """source, lang, topic and tokens of each row of docs, as one struct."""
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("(null)"))
+    text = F.col("text").cast("string")
+    return F.struct(name("source").alias("source"), name("lang").alias("lang"), (topic_of(text) if topic is None else name(topic)).alias("topic"), tokens_of(text).alias("tokens"))
+
+
+def limited_goals(marginals: DataFrame, kept: float) -> DataFrame:
+    """dimension, value, mass, share (not normalised) with goal: shares of kept, none above its mass."""
+    scale = {d: (kept / r if r else 0.0) for d, r in marginals.groupBy("dimension").agg(F.sum("share")).collect()}  # a row for each dimension
+    for _ in range(LIMIT_ROUNDS):
+        of_dimension = F.element_at(F.create_map(*(F.lit(x) for pair in scale.items() for x in pair)), F.col("dimension")) if scale else F.lit(0.0)
+        wanted = F.col("share") * of_dimension
+        sums = marginals.groupBy("dimension").agg(F.sum(F.when(wanted >= F.col("mass"), F.col("mass"))).alias("full"), F.sum(F.when(wanted < F.col("mass"), F.col("share"))).alias("open"))
+        now = {r.dimension: ((kept - (r.full or 0.0)) / r.open if r.open else scale[r.dimension]) for r in sums.collect()}
+        if now == scale:
+            break
+        scale = now
+    of_dimension = F.element_at(F.create_map(*(F.lit(x) for pair in scale.items() for x in pair)), F.col("dimension")) if scale else F.lit(0.0)
+    return marginals.withColumn("goal", F.least("mass", F.col("share") * of_dimension))
+
+
+def _factor(total: Column, full: Column, goal: Column) -> Column:
+    """What scales kept masses of a value: up, the cells that aren't full; down, all."""
+    up = F.when(total > full, (goal - full) / (total - full)).otherwise(1.0)
+    return F.when(total < goal, up).when(total > 0, goal / total).otherwise(1.0)
+
+
+def _swept(cells: DataFrame, few: bool) -> DataFrame:
+    """cells after scaling kept to each dimension's goals in turn."""
+    full = F.when(F.col("kept") >= F.col("mass"), F.col("mass")).otherwise(0.0)
     for d in DIMENSIONS:
-        by_value = cells.groupBy(d).agg(F.sum("mass").alias("m"))
-        share = F.pow(F.col("m").cast("double"), F.lit(temperature))
-        shares = by_value.select(d, share.alias("power")).select(d, (F.col("power") / F.sum("power").over(whole)).alias(f"goal_{d}"))
-        goals = goals.join(shares, d)
-    goals = durable(goals.withColumn("raked", F.col("mass").cast("double")))
-    total = goals.agg(F.sum("mass")).first()[0] or 0
-    for sweep in range(sweeps):
-        for d in DIMENSIONS:
-            goals = goals.withColumn("raked", F.col("raked") * F.col(f"goal_{d}") * F.lit(float(total)) / F.sum("raked").over(Window.partitionBy(d)))
-        if sweep % 4 == 3:
-            goals = durable(goals)
-    return goals.select(*DIMENSIONS, "mass", "raked")
-
-
-def probabilities(cells: DataFrame, budget: float) -> DataFrame:
-    """cells with probability: min(1, c * raked / mass), c such that the expected mass is budget * total."""
-    cells = durable(cells)
-    total = cells.agg(F.sum("mass")).first()[0] or 0
-    c = budget
-    for _ in range(CAP_ROUNDS):
-        capped = F.col("raked") * c >= F.col("mass")
-        sums = cells.agg(F.sum(F.when(capped, F.col("mass"))).alias("full"), F.sum(F.when(~capped, F.col("raked"))).alias("open")).first()
-        if not sums["open"]:
+        if few:
+            value = Window.partitionBy(d)
+            summed = cells.withColumns({"total": F.sum("kept").over(value), "full": F.sum(full).over(value)})
+        else:
+            sums = durable(cells.groupBy(d).agg(F.sum("kept").alias("total"), F.sum(full).alias("full")))
+            summed = cells.join(sums, d)
+        factor = _factor(F.col("total"), F.col("full"), F.col(f"goal_{d}"))
+        stays = (F.col("kept") >= F.col("mass")) & (F.col("total") < F.col(f"goal_{d}"))
+        cells = summed.withColumn("kept", F.when(stays, F.col("mass")).otherwise(F.least("mass", F.col("kept") * factor))).drop("total", "full")
+        cells = cells if few else durable(cells)
+    return cells
+
+
+def _marginals(cells: DataFrame, mass: str = "mass") -> DataFrame:
+    values = F.array(*(F.struct(F.lit(d).alias("dimension"), F.col(d).alias("value"), F.col(mass).cast("double").alias(mass)) for d in DIMENSIONS))
+    return cells.select(F.inline(values)).groupBy("dimension", "value").agg(F.sum(mass).alias(mass))
+
+
+def raked_cells(cells: DataFrame, budget: float = BUDGET, temperature: float = TEMPERATURE, targets: dict[str, DataFrame] | None = None) -> DataFrame:
+    """cells (source, lang, topic, mass) with each dimension's goal and kept: masses raked to the goals."""
+    cells = durable(cells.select(*DIMENSIONS, F.col("mass").cast("double").alias("mass")))
+    sums = cells.agg(F.count("*").alias("n"), F.sum("mass").alias("mass")).first()
+    few, kept = sums["n"] <= FEW_CELLS, budget * (sums["mass"] or 0.0)
+    marginals = _marginals(cells).withColumn("share", F.pow("mass", F.lit(float(temperature))))
+    for d, table in (targets or {}).items():
+        given = table.select(F.lit(d).alias("dimension"), F.col("value").cast("string").alias("value"), F.col("share").cast("double").alias("given"))
+        marginals = marginals.join(given, ["dimension", "value"], "left").withColumn("share", F.when(F.col("dimension") == d, F.coalesce("given", F.lit(0.0))).otherwise(F.col("share"))).drop("given")
+    goals = durable(limited_goals(durable(marginals), kept))
+    for d in DIMENSIONS:
+        cells = cells.join(goals.where(F.col("dimension") == d).select(F.col("value").alias(d), F.col("goal").alias(f"goal_{d}")), d)
+    fit = durable(cells.withColumn("kept", F.col("mass") * budget))
+    for _ in range(0, MOST_SWEEPS, CHUNK):
+        fit = fit.coalesce(1) if few else fit  # then every window finds its rows in place
+        for _ in range(CHUNK):
+            fit = _swept(fit, few)
+        fit = durable(fit)
+        off = _marginals(fit, "kept").join(goals, ["dimension", "value"]).agg(F.max(F.abs(F.col("kept") - F.col("goal")))).first()[0]
+        if off is None or off <= TOLERANCE * kept:
             break
-        c = max(0.0, budget * total - (sums["full"] or 0)) / sums["open"]
-    return cells.withColumn("probability", F.least(F.lit(1.0), F.col("raked") * c / F.col("mass")))
+    return fit
 
 
-def mixed(docs: DataFrame, budget: float = 0.8, temperature: float = 0.7, seed: str = "mix", topic: Column | None = None) -> DataFrame:
-    """docs with one more column, mix: source, lang, topic, tokens, probability and kept."""
-    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("(null)"))
-    text = F.col("text").cast("string")
-    own = F.struct(name("source").alias("source"), name("lang").alias("lang"), (topic_of(text) if topic is None else topic).alias("topic"), tokens_of(text).alias("tokens"))
-    described = docs.select(*docs.columns, own.alias("__own"))
-    cells = described.groupBy(*(F.col(f"__own.{d}").alias(d) for d in DIMENSIONS)).agg(F.sum("__own.tokens").alias("mass"))
-    fitted = durable(probabilities(raked_cells(durable(cells), temperature), budget))
-    few = fitted.count() <= BROADCAST_CELLS
-    cell = fitted.select(F.struct(*DIMENSIONS).alias("__cell"), F.col("probability").alias("__probability"))
-    joined = described.withColumn("__cell", F.struct(*(F.col(f"__own.{d}").alias(d) for d in DIMENSIONS))).join(F.broadcast(cell) if few else cell, "__cell")
+def _cells(described_rows: DataFrame) -> DataFrame:
+    return described_rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("mass"))
+
+
+def _with_fate(rows: DataFrame, of: dict[str, Column], cells: DataFrame, seed: str, names: list[str]) -> DataFrame:
+    """rows with the probability of their cell and whether they are kept, under two new names."""
+    probability, kept, key = names
+    fate = cells.select(F.struct(*DIMENSIONS).alias(key), (F.col("kept") / F.col("mass")).alias(probability))
+    few = cells.count() <= FEW_CELLS
     coin = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary")), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    verdict = F.struct("__own.*", F.col("__probability").alias("probability"), (coin < F.col("__probability")).alias("kept"))
-    return joined.select(*docs.columns, verdict.alias("__mix"))
+    keyed = rows.withColumn(key, F.struct(*(of[d].alias(d) for d in DIMENSIONS)))
+    return keyed.join(F.broadcast(fate) if few else fate, key).drop(key).withColumn(kept, coin < F.col(probability))
 
 
-def mixing_report(docs: DataFrame, **options) -> DataFrame:
+def mixing_report(docs: DataFrame, budget: float = BUDGET, temperature: float = TEMPERATURE, targets: dict[str, DataFrame] | None = None, seed: str = SEED, topic: str | None = None) -> DataFrame:
     """doc_id, source, lang, topic, tokens, probability (6 digits) and kept for each row."""
-    out = mixed(docs.select("doc_id", "text", "source", "lang"), **options)
-    return out.select("doc_id", "__mix.source", "__mix.lang", "__mix.topic", "__mix.tokens", F.round("__mix.probability", 6).alias("probability"), "__mix.kept")
+    rows = durable(docs.select("doc_id", described(docs, topic).alias("own")).select("doc_id", "own.*"))
+    cells = raked_cells(_cells(rows), budget, temperature, targets)
+    out = _with_fate(rows, {d: F.col(d) for d in DIMENSIONS}, cells, seed, ["probability", "kept", "cell"])
+    return out.select("doc_id", *DIMENSIONS, "tokens", F.round("probability", 6).alias("probability"), "kept")
 
 
-def sample_mixture(docs: DataFrame, **options) -> DataFrame:
+def sample_mixture(docs: DataFrame, budget: float = BUDGET, temperature: float = TEMPERATURE, targets: dict[str, DataFrame] | None = None, seed: str = SEED, topic: str | None = None) -> DataFrame:
     """The rows of docs that the mixture keeps."""
-    out = mixed(docs, **options)
-    return out.where("__mix.kept").select(docs.columns)
-
-
-def mixing_sql(budget: float = 0.8, temperature: float = 0.7, seed: str = "mix", documents: str = "documents") -> str:
-    """DuckDB SQL for `mixing_report`."""
+    own, *names = fresh(docs, "own_cell", "own_probability", "own_fate", "own_key")
+    cells = raked_cells(_cells(docs.select(described(docs, topic).alias("own")).select("own.*")), budget, temperature, targets)
+    rows = docs.select("*", described(docs, topic).alias(own))
+    out = _with_fate(rows, {d: F.col(f"{own}.{d}") for d in DIMENSIONS}, cells, seed, names)
+    return out.where(F.col(names[1])).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+def mixture_report(docs: DataFrame, budget: float = BUDGET, temperature: float = TEMPERATURE, targets: dict[str, DataFrame] | None = None, topic: str | None = None) -> DataFrame:
+    """dimension, value, available (share of all tokens), goal and expected (shares of the kept ones), limited and met (within 0.01).
+
+    Limited: the value has no more than its goal. A goal that isn't met contradicts those of the other dimensions.
+    """
+    cells = raked_cells(_cells(docs.select(described(docs, topic).alias("own")).select("own.*")), budget, temperature, targets)
+    values = F.array(*(F.struct(F.lit(d).alias("dimension"), F.col(d).alias("value"), F.col("mass"), F.col("kept"), F.col(f"goal_{d}").alias("goal")) for d in DIMENSIONS))
+    sums = cells.select(F.inline(values)).groupBy("dimension", "value").agg(F.sum("mass").alias("mass"), F.sum("kept").alias("kept"), F.max("goal").alias("goal"))
+    whole = cells.agg(F.sum("mass").alias("all_mass"), F.sum("kept").alias("all_kept"))
+    out = sums.join(F.broadcast(whole)).select(  # one row
+        "dimension", "value", (F.col("mass") / F.col("all_mass")).alias("available"), (F.col("goal") / (budget * F.col("all_mass"))).alias("goal"),
+        (F.col("kept") / F.col("all_kept")).alias("expected"), (F.col("goal") >= F.col("mass")).alias("limited"),
+    )
+    return out.withColumn("met", F.abs(F.col("expected") - F.col("goal")) <= 0.01)
+
+
+def mixing_sql(budget: float = BUDGET, temperature: float = TEMPERATURE, seed: str = SEED, documents: str = "documents") -> str:
+    """DuckDB SQL for `mixing_report` without targets."""
     ctes = [
         f"""own AS MATERIALIZED (SELECT doc_id, coalesce(source, '(null)') AS source, coalesce(lang, '(null)') AS lang,
   CASE WHEN coalesce(length(text), 0) = 0 THEN 'empty'
@@ -119,23 +186,33 @@ def mixing_sql(budget: float = 0.8, temperature: float = 0.7, seed: str = "mix",
        WHEN length(text) < 500 THEN 'note' WHEN length(text) < 5000 THEN 'article' ELSE 'long' END AS topic,
   CAST(coalesce(strlen(text), 0) // 4 + 1 AS BIGINT) AS tokens FROM {documents})""",
         "cells AS MATERIALIZED (SELECT source, lang, topic, CAST(sum(tokens) AS DOUBLE) AS mass FROM own GROUP BY ALL)",
+        f"whole AS MATERIALIZED (SELECT CAST({budget} AS DOUBLE) * sum(mass) AS target FROM cells)",
     ]
     for d in DIMENSIONS:
-        ctes.append(f"goal_{d} AS MATERIALIZED (SELECT {d}, pow(sum(mass), {temperature}) / sum(pow(sum(mass), {temperature})) OVER () AS goal_{d} FROM cells GROUP BY {d})")
-    ctes.append(f"raked0 AS MATERIALIZED (SELECT cells.*, {', '.join(f'goal_{d}' for d in DIMENSIONS)}, mass AS raked, sum(mass) OVER () AS total FROM cells {' '.join(f'JOIN goal_{d} USING ({d})' for d in DIMENSIONS)})")
-    k = 0
-    for _ in range(SWEEPS):
+        ctes.append(f"m_{d} AS MATERIALIZED (SELECT {d}, sum(mass) AS mass, pow(sum(mass), {temperature}) AS share FROM cells GROUP BY {d})")
+        ctes.append(f"s_{d}0 AS MATERIALIZED (SELECT max(target) / sum(share) AS s FROM m_{d}, whole)")
+        for i in range(LIMIT_ROUNDS):
+            ctes.append(
+                f"s_{d}{i + 1} AS MATERIALIZED (SELECT coalesce((max(target) - coalesce(sum(mass) FILTER (share * s >= mass), 0)) / sum(share) FILTER (share * s < mass), max(s)) AS s FROM m_{d}, whole, s_{d}{i})"
+            )
+        ctes.append(f"g_{d} AS MATERIALIZED (SELECT {d}, least(mass, share * s) AS goal_{d} FROM m_{d}, s_{d}{LIMIT_ROUNDS})")
+    names = "source, lang, topic, mass, goal_source, goal_lang, goal_topic"
+    step = "(SELECT * FROM fit WHERE k < {0} AND (off IS NULL OR off > {1} * (SELECT target FROM whole)))".format(MOST_SWEEPS, TOLERANCE)
+    for _ in range(CHUNK):
         for d in DIMENSIONS:
-            ctes.append(f"raked{k + 1} AS MATERIALIZED (SELECT * REPLACE (raked * goal_{d} * total / sum(raked) OVER (PARTITION BY {d}) AS raked) FROM raked{k})")
-            k += 1
-    ctes.append(f"c0 AS MATERIALIZED (SELECT CAST({budget} AS DOUBLE) AS c)")
-    for i in range(CAP_ROUNDS):
-        ctes.append(
-            f"c{i + 1} AS MATERIALIZED (SELECT coalesce(greatest(0, {budget} * sum(mass) - coalesce(sum(mass) FILTER (raked * c >= mass), 0)) / nullif(sum(raked) FILTER (raked * c < mass), 0), max(c)) AS c FROM raked{k}, c{i})"
-        )
-    ctes.append(f"p AS MATERIALIZED (SELECT source, lang, topic, least(1.0, raked * c / mass) AS p FROM raked{k}, c{CAP_ROUNDS})")
+            full = f"sum(CASE WHEN kept >= mass THEN mass ELSE 0.0 END) OVER (PARTITION BY {d})"
+            step = f"(SELECT *, sum(kept) OVER (PARTITION BY {d}) AS total, {full} AS filled FROM {step})"
+            factor = f"CASE WHEN total < goal_{d} THEN CASE WHEN total > filled THEN (goal_{d} - filled) / (total - filled) ELSE 1.0 END WHEN total > 0 THEN goal_{d} / total ELSE 1.0 END"
+            step = f"(SELECT k, {names}, CASE WHEN kept >= mass AND total < goal_{d} THEN mass ELSE least(mass, kept * ({factor})) END AS kept, off FROM {step})"
+    off = "greatest(" + ", ".join(f"abs(sum(kept) OVER (PARTITION BY {d}) - goal_{d})" for d in DIMENSIONS) + ")"
+    ctes.append(f"base AS MATERIALIZED (SELECT cells.*, {', '.join(f'goal_{d}' for d in DIMENSIONS)} FROM cells {' '.join(f'JOIN g_{d} USING ({d})' for d in DIMENSIONS)})")
+    ctes.append(
+        f"""fit AS (SELECT 0 AS k, {names}, mass * CAST({budget} AS DOUBLE) AS kept, CAST(NULL AS DOUBLE) AS off FROM base
+  UNION ALL SELECT k + {CHUNK}, {names}, kept, max(d) OVER () AS off FROM (SELECT k, {names}, kept, {off} AS d FROM {step}))"""
+    )
+    ctes.append("p AS MATERIALIZED (SELECT source, lang, topic, kept / mass AS p FROM fit WHERE k = (SELECT max(k) FROM fit))")
     return (
-        "WITH "
+        "WITH RECURSIVE "
         + ",\n".join(ctes)
         + f"""
 SELECT doc_id, source, lang, topic, tokens, round(p, 6) AS probability,

@@ -10,13 +10,14 @@ maximum. Documents that agree in all registers of a band are candidates. At a si
 missed with probability (1 - 0.8**4)**20 < 3e-5. A pair goes on to the exact check unless the joint
 maximum-likelihood estimate of its similarity lies `DEVIATIONS` standard deviations below the threshold.
 
-Within a bucket no pairs are emitted: members are joined with one hub, its smallest id. Buckets that
-overlap form a cluster. Where a cluster isn't yet one component, the members outside its largest component
-are compared with all its members in blocks of about `BLOCK_BYTES`, each pair of blocks in a group of its
-own; a block pair gives out a spanning forest of its verified links. So every candidate is decided,
-whatever a cluster's size, in bounded memory.
-
-Nodes are distinct shingle sets, so exact copies are one node and rows of one id with different texts are
+Within a bucket no pairs are emitted: members are joined with one hub, its smallest node, and verified links make
+components. In a bucket whose members aren't one component yet, the members outside its largest component are compared
+with all its members in blocks of about `BLOCK_BYTES`, each pair of blocks in a group of its own; a pair of documents that
+share several buckets is compared in that of their first band only, and of buckets with the same members only the first is
+looked at. A pair of blocks gives out a spanning forest of its verified links. So every candidate is decided,
+whatever a bucket's size, in bounded memory, and buckets that merely overlap are never compared as a whole.
+
+Nodes are distinct shingle sets by a 128-bit hash, so exact copies are one node and rows of one id with different texts are
 different nodes. Texts are not shuffled while the nodes that share a bucket are few enough to broadcast.
 
 Defined results. Null or blank text: empty set, linked with nothing. Fewer words than `width`: one shingle
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import durable, mix, shingle_sets, text_slices
+from tessella.llm.common import durable, fresh, shingle_sets, text_slices
 from tessella.llm.components import connected_components
 
 REGISTERS = 128
@@ -43,8 +44,10 @@ BANDS, ROWS = 20, 4
 BASE, RATE, TOP = 1.02, 20.0, 65535
 #: Bytes of sets and sketches that are compared with as many others at a time.
 BLOCK_BYTES = 2 << 20
-#: Ids up to this number are broadcast to find their texts; more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+#: What a compared row counts besides its set.
+ROW_BYTES = 2 * REGISTERS + 1024
+#: Ids up to this number (some 40 bytes each) are broadcast to find their texts; more are joined by a shuffle.
+BROADCAST_IDS = 50_000
 #: Standard deviations below the threshold at which an estimate still leads to the exact check.
 DEVIATIONS = 5
 
@@ -82,9 +85,9 @@ def joint_estimate(n_a: np.ndarray, n_b: np.ndarray, above: np.ndarray, below: n
     return np.take_along_axis(grid, likelihood.argmax(axis=0)[None, :], 0)[0]
 
 
-def node_of(shingles: np.ndarray) -> int:
-    """A signed 64-bit name of a set."""
-    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
+def node_of(shingles: np.ndarray) -> bytes:
+    """A 128-bit name of a set."""
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
 def _sketches(width: int):
@@ -97,7 +100,7 @@ def _sketches(width: int):
                     nodes.append(node_of(shingles) if len(shingles) else None)
                     sketches.append(registers(shingles).tobytes() if len(shingles) else None)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("version"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sketches, pa.binary())], names=["doc_id", "version", "n_shingles", "node", "sketch"]
+                    [part.column("doc_id"), part.column("version"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(sketches, pa.binary())], names=["doc_id", "version", "n_shingles", "node", "sketch"]
                 )
 
     return run
@@ -152,15 +155,22 @@ def _verified(share: int):
 
 
 def _forest(share: int, least: float):
-    """Verified links between the minor members of a block and all members of another, as far as they join components."""
+    """Verified links between the minor members of a block and all members of another, as far as they join components.
+
+    Pairs that share a band before the bucket's own are left to that one.
+    """
 
     def run(group: pa.Table) -> pa.Table:
-        minor = group.filter(group.column("is_minor"))
-        ids, parts = (group.column(c).to_numpy() for c in ("node", "part"))
+        is_minor = group.column("is_minor").to_numpy(zero_copy_only=False)
+        ids, parts = group.column("node").to_pylist(), group.column("part").to_pylist()
+        number: dict[bytes, int] = {}
+        parts = np.array([number.setdefault(p, len(number)) for p in parts])
         sizes = group.column("n_shingles").to_numpy().astype(np.float64)
         sketches = np.stack([np.frombuffer(x, np.uint16) for x in group.column("sketch").to_pylist()])
         sets = [np.frombuffer(x, np.uint64) for x in group.column("members").to_pylist()]
-        root = {p: p for p in parts.tolist()}
+        band = int(group.column("band")[0].as_py())
+        bands = sketches[:, : band * ROWS].copy().view(np.uint64).reshape(len(ids), band)  # a band's four registers are one number
+        root = list(range(len(number)))
 
         def find(p: int) -> int:
             while root[p] != p:
@@ -168,9 +178,10 @@ def _forest(share: int, least: float):
             return p
 
         found = []
-        rest = np.flatnonzero(~group.column("is_minor").to_numpy(zero_copy_only=False)) if minor.num_rows else []
-        for i in np.flatnonzero(group.column("is_minor").to_numpy(zero_copy_only=False)) if len(rest) else []:
+        minor, rest = np.flatnonzero(is_minor), np.flatnonzero(~is_minor)
+        for i in minor if len(rest) else []:
             j = rest[(parts[rest] != parts[i]) & (100 * np.minimum(sizes[rest], sizes[i]) >= share * np.maximum(sizes[rest], sizes[i]))]
+            j = j[~(bands[j] == bands[i]).any(axis=1)]
             if not len(j):
                 continue
             above, below = (sketches[i] > sketches[j]).sum(axis=1), (sketches[i] < sketches[j]).sum(axis=1)
@@ -181,19 +192,34 @@ def _forest(share: int, least: float):
                 p, q = find(int(parts[i])), find(int(parts[k]))
                 if p != q and _is_linked(sets[i], sets[k], share):
                     root[p] = q
-                    found.append((int(ids[i]), int(ids[k])))
-        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+                    found.append((ids[i], ids[k]))
+        return pa.table({"a": pa.array([a for a, _ in found], pa.binary()), "b": pa.array([b for _, b in found], pa.binary())})
 
     return run
 
 
+def _open_buckets(members: DataFrame, parts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Members (key, band, node, part, n_shingles, sketch, minor) of the buckets with several components, and their numbers of blocks."""
+    sized = members.join(parts, "node", "left").join(nodes.select("node", "n_shingles"), "node")
+    placed = durable(sized.select("key", "band", "node", F.coalesce("part", "node").alias("part"), (ROW_BYTES + 8 * F.col("n_shingles")).alias("bytes")))
+    by_part = placed.groupBy("key", "part").agg(F.first("band").alias("band"), F.sum("bytes").alias("bytes"), F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("names"))
+    buckets = by_part.groupBy("key").agg(
+        F.first("band").alias("band"), F.max(F.struct("bytes", "part")).alias("most"), F.sum("bytes").alias("bytes"), F.sum("n").alias("n"), F.sum("names").alias("names"), F.count("*").alias("parts")
+    )
+    buckets = buckets.where("parts > 1").groupBy("n", "names", "bytes").agg(F.min(F.struct("band", "key", "most")).alias("first"))  # the same members: the first band's
+    buckets = buckets.select(
+        "first.key", F.col("first.most.part").alias("most"), F.ceil(F.col("bytes") / BLOCK_BYTES).cast("int").alias("all_blocks"), F.ceil((F.col("bytes") - F.col("first.most.bytes")) / BLOCK_BYTES).cast("int").alias("minor_blocks")
+    )
+    return placed.join(durable(buckets), "key").select("key", "band", "node", "part", (F.col("part") != F.col("most")).alias("minor"), "all_blocks", "minor_blocks")
+
+
 def _grouped(docs: DataFrame, width: int, similarity: float) -> DataFrame:
     """doc_id, version (hash of the text), n_shingles, node and its component's smallest (component_id, component_version) for each row.
 
     Rows without a node (no words or no id) have no component.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("version", F.xxhash64("text"))
-    sketched = durable(docs.mapInArrow(_sketches(width), "doc_id long, version long, n_shingles long, node long, sketch binary"))
+    sketched = durable(docs.mapInArrow(_sketches(width), "doc_id long, version long, n_shingles long, node binary, sketch binary"))
     share = round(similarity * 100)
     least = similarity - DEVIATIONS * (similarity * (1 - similarity) / REGISTERS) ** 0.5
 
@@ -202,15 +228,16 @@ def _grouped(docs: DataFrame, width: int, similarity: float) -> DataFrame:
     nodes = durable(sketched.join(low, "node").where("doc_id = low").groupBy("node").agg(*(F.min(c).alias(c) for c in ("low", "version")), *(F.first(c).alias(c) for c in ("n_shingles", "sketch"))))
 
     # Buckets of two nodes or more, each with its hub.
-    band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sketch"), i * (2 * ROWS) + 1, F.lit(2 * ROWS))))
-    rows = nodes.select("node", F.explode(band).alias("key"))
+    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sketch"), i * (2 * ROWS) + 1, F.lit(2 * ROWS))))
+    rows = nodes.select("node", F.posexplode(bands).alias("band", "key"))
     hubs = durable(rows.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select("key", "hub"))
-    pairs = durable(rows.join(hubs, "key").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
+    members = durable(rows.join(hubs, "key"))
+    pairs = durable(members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
 
     # The full sets of nodes in such buckets.
     wanted = durable(nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", F.col("low").alias("doc_id"), "version"))
     n_wanted = wanted.count()
-    full = durable(docs.join(F.broadcast(wanted) if n_wanted <= BROADCAST_IDS else wanted, ["doc_id", "version"]).mapInArrow(_sets(width), "node long, members binary"))
+    full = durable(docs.join(F.broadcast(wanted) if n_wanted <= BROADCAST_IDS else wanted, ["doc_id", "version"]).mapInArrow(_sets(width), "node binary, members binary"))
     if full.count() > n_wanted:  # repeated rows
         full = durable(full.dropDuplicates(["node"]))
 
@@ -218,29 +245,24 @@ def _grouped(docs: DataFrame, width: int, similarity: float) -> DataFrame:
         k: (nodes.select(F.col("node").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("sketch").alias(f"sketch_{k}")), full.select(F.col("node").alias(k), F.col("members").alias(f"set_{k}"))) for k in ("a", "b")
     }
     sized = pairs.join(sides["a"][0], "a").join(sides["b"][0], "b").where(F.least("n_a", "n_b") * 100 >= share * F.greatest("n_a", "n_b"))
-    likely = sized.mapInArrow(_likely(least), "a long, b long")
-    links = durable(likely.join(sides["a"][1], "a").join(sides["b"][1], "b").mapInArrow(_verified(share), "a long, b long"))
-
-    # Clusters that aren't one component yet: minor members against all, block by block.
-    part = connected_components(links).select(F.col("id").alias("node"), F.col("component_id").alias("part"))
-    cluster = connected_components(pairs).select(F.col("id").alias("node"), F.col("component_id").alias("cluster"))
-    placed = cluster.join(part, "node", "left").join(nodes.select("node", "n_shingles"), "node").select("node", "cluster", F.coalesce("part", "node").alias("part"), (2 * REGISTERS + 8 * F.col("n_shingles")).alias("bytes"))
-    placed = durable(placed)
-    parts = placed.groupBy("cluster", "part").agg(F.sum("bytes").alias("bytes"))
-    split = parts.groupBy("cluster").agg(F.sum("bytes").alias("bytes"), F.max(F.struct("bytes", "part")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
-    split = split.select("cluster", "most.part", F.ceil(F.col("bytes") / BLOCK_BYTES).alias("all_blocks"), F.ceil((F.col("bytes") - F.col("most.bytes")) / BLOCK_BYTES).alias("minor_blocks"))
-    open_rows = placed.join(split.withColumnRenamed("part", "most"), "cluster").select("node", "cluster", "part", (F.col("part") != F.col("most")).alias("minor"), "all_blocks", "minor_blocks")
-    open_rows = durable(open_rows).join(nodes.select("node", "n_shingles", "sketch"), "node").join(full, "node")
+    likely = sized.mapInArrow(_likely(least), "a binary, b binary")
+    links = durable(likely.join(sides["a"][1], "a").join(sides["b"][1], "b").mapInArrow(_verified(share), "a binary, b binary"))
+
+    # Buckets that aren't one component yet: minor members against all, block by block.
+    parts = durable(connected_components(links).select(F.col("id").alias("node"), F.col("component_id").alias("part")))
+    open_rows = durable(_open_buckets(members.select("key", "band", "node"), parts, nodes)).join(nodes.select("node", "n_shingles", "sketch"), "node").join(full, "node")
     spread = lambda n: F.pmod(F.xxhash64("node"), n)
     of_all = open_rows.withColumn("block", spread(F.col("all_blocks"))).withColumn("minor_block", F.explode(F.sequence(F.lit(0), F.col("minor_blocks") - 1))).withColumn("is_minor", F.lit(False))
     of_minor = open_rows.where("minor").withColumn("minor_block", spread(F.col("minor_blocks"))).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1))).withColumn("is_minor", F.lit(True))
-    columns = ["cluster", "minor_block", "block", "node", "part", "is_minor", "n_shingles", "sketch", "members"]
-    more = of_all.select(columns).union(of_minor.select(columns)).groupBy("cluster", "minor_block", "block").applyInArrow(_forest(share, least), "a long, b long")
-    labels = connected_components(durable(links.union(more)))
+    columns = ["key", "band", "minor_block", "block", "node", "part", "is_minor", "n_shingles", "sketch", "members"]
+    more = durable(of_all.select(columns).union(of_minor.select(columns)).groupBy("key", "minor_block", "block").applyInArrow(_forest(share, least), "a binary, b binary"))
+    # Components are joined by what the buckets added.
+    named = parts.select(F.col("node").alias("a"), F.col("part").alias("b"))
+    labels = parts.select(F.col("node").alias("id"), F.col("part").alias("component_id")) if more.isEmpty() else connected_components(named.union(more))
 
     # A component is named by the smallest id of its nodes, and of that id's texts by the smallest hash.
     labelled = nodes.select("node", "low", "version").join(labels.withColumnRenamed("id", "node"), "node", "left").select("node", "low", "version", F.coalesce("component_id", "node").alias("component"))
-    names = labelled.groupBy("component").agg(F.min(F.struct("low", "version")).alias("least"))
+    names = durable(labelled.groupBy("component").agg(F.min(F.struct("low", "version")).alias("least")))
     named = durable(labelled.join(names, "component").select("node", F.col("least.low").alias("component_id"), F.col("least.version").alias("component_version")))
     return sketched.select("doc_id", "version", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")).join(named, "node", "left")
 
@@ -259,9 +281,10 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.
     are one document: one of them stays. Rows without an id stay.
     """
     stays = F.col("node").isNull() | ((F.col("doc_id") == F.col("component_id")) & (F.col("version") == F.col("component_version")))
-    verdict = _grouped(docs, width, similarity).where(~stays).select(F.col("doc_id").alias("__doc"), F.col("version").alias("__version")).distinct()
-    keyed = docs.where("doc_id is not null").select(*docs.columns, F.col("doc_id").cast("long").alias("__doc"), F.xxhash64(F.col("text").cast("string")).alias("__version"))
-    named = keyed.join(durable(verdict), ["__doc", "__version"], "left_anti")
+    doc, version = fresh(docs, "of_doc", "of_version")
+    verdict = _grouped(docs, width, similarity).where(~stays).select(F.col("doc_id").alias(doc), F.col("version").alias(version)).distinct()
+    keyed = docs.where("doc_id is not null").select("*", F.col("doc_id").cast("long").alias(doc), F.xxhash64(F.col("text").cast("string")).alias(version))
+    named = keyed.join(durable(verdict), [doc, version], "left_anti")
     if not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        named = named.dropDuplicates(["__doc", "__version"])
-    return named.select(docs.columns).unionByName(docs.where("doc_id is null"))
+        named = named.dropDuplicates([doc, version])
+    return named.drop(doc, version).unionByName(docs.where("doc_id is null"))

@@ -1,8 +1,8 @@
 """Sharding by sampled splitters: near-equal bytes in every shard, by range of a key.
 
 The key puts equal texts next to each other: (hash of the text, doc_id, position). A size-weighted sample
-of keys, of a size that doesn't depend on the input, gives quantile boundaries of many fine ranges. Each
-range is ordered by itself; running sums of bytes, offset by the sums of the ranges before it, place every
+of keys (`SAMPLED` for each range) gives quantile boundaries of many fine ranges; a row finds its range by binary
+search in one constant array. Each range is ordered by itself; running sums of bytes, offset by the sums of the ranges before it, place every
 row. A range that reaches over the end of a shard is subdivided there, also in the middle of a group of
 equal texts or of repeated rows, since the position breaks all ties.
 
@@ -15,6 +15,8 @@ columns are ignored.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,20 +26,16 @@ from tessella.llm.common import durable
 ROW_BYTES = 16
 #: Fine ranges at least, sampled keys for each of them, and rows for each of them at most on average.
 RANGES, SAMPLED, RANGE_ROWS = 480, 40, 200_000
-#: Coarse ranges into which fine ranges are grouped, so that a row is compared with few boundaries.
-COARSE = 24
 
 
-def _range_of(key: Column, boundaries: list) -> Column:
-    """The number of boundaries up to key, by two steps over literal arrays."""
-    literal = lambda rows: F.array(*(F.struct(*(F.lit(v).cast("long").alias(n) for n, v in zip(("h", "id", "at"), r, strict=True))) for r in rows))
+def _range_of(key: Column, boundaries: list[tuple[int, int, int]]) -> Column:
+    """The number of boundaries (in rising order) up to key: from the largest power of two down, steps that don't pass key."""
     if not boundaries:
         return F.lit(0)
-    width = max(1, len(boundaries) // COARSE)
-    chunks = [boundaries[i : i + width] for i in range(0, len(boundaries), width)]
-    coarse = F.size(F.filter(literal([c[0] for c in chunks]), lambda b: b <= key))
-    within = F.size(F.filter(F.element_at(F.array(*map(literal, chunks)), F.greatest(coarse, F.lit(1))), lambda b: b <= key))
-    return F.when(coarse == 0, 0).otherwise((coarse - 1) * width + within).cast("int")
+    table = F.from_json(F.lit(json.dumps([dict(zip(("h", "id", "at"), b, strict=True)) for b in boundaries])), "array<struct<h: long, id: long, at: long>>")
+    powers = F.array(*(F.lit(1 << k) for k in reversed(range(len(boundaries).bit_length()))))
+    step = lambda place, p: F.when((place + p <= len(boundaries)) & (F.get(table, place + p - 1) <= key), place + p).otherwise(place)
+    return F.aggregate(powers, F.lit(0), step)
 
 
 def shard_by_bytes(docs: DataFrame, shards: int = 40) -> DataFrame:
@@ -56,7 +54,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 40) -> DataFrame:
     ranges = max(RANGES, -(-n // RANGE_ROWS))
 
     # A row is drawn as often as its size holds strides, the rest of it by chance (from the key's hash).
-    stride = max(1.0, total / (RANGES * SAMPLED))
+    stride = max(1.0, total / (ranges * SAMPLED))
     chance = F.pmod(F.xxhash64("key", F.lit(9)), F.lit(1 << 30)) / float(1 << 30)
     drawn = rows.select("key", F.floor(F.col("size") / stride + chance).alias("times")).where("times > 0")
     ranked = drawn.select("key", F.sum("times").over(Window.orderBy("key")).alias("upto"), "times")
@@ -65,11 +63,10 @@ def shard_by_bytes(docs: DataFrame, shards: int = 40) -> DataFrame:
     last_in_range = ranked.where(F.floor(F.col("upto") / step) > F.floor((F.col("upto") - F.col("times")) / step))
     boundaries = [tuple(r["key"]) for r in last_in_range.orderBy("key").collect()]
 
-    placed = durable(rows.withColumn("range", _range_of(F.col("key"), boundaries)))
+    placed = rows.withColumn("range", _range_of(F.col("key"), boundaries))
     sums = placed.groupBy("range").agg(F.sum("size").alias("range_bytes"), F.count("*").alias("range_rows"))
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("range", F.coalesce(F.sum("range_bytes").over(before), F.lit(0)).alias("bytes_before"), F.coalesce(F.sum("range_rows").over(before), F.lit(0)).alias("rows_before"))
-    offsets = durable(offsets)
 
     inside = Window.partitionBy("range").orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     summed = placed.select("doc_id", "size", "text_crc32", "range", F.sum("size").over(inside).alias("upto"), F.count("*").over(inside).alias("nth"))
@@ -84,7 +81,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 40) -> DataFrame:
             (F.col("rows_before") + F.col("nth") - 1).alias("row"),
         )
     )
-    starts = durable(sharded.groupBy("shard").agg(F.min("row").alias("start")))
+    starts = sharded.groupBy("shard").agg(F.min("row").alias("start"))
     return sharded.join(F.broadcast(starts), "shard").select(  # at most `shards` rows
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("row") - F.col("start")).alias("slot"), F.lit(None).cast("int").alias("grown_shard")
     )
