@@ -164,7 +164,7 @@ def shingle_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
     first, _, _, found = words(column, LOWERED)
     hashes = word_hashes(found)
     grams = hashes.copy()
-    for k in range(1, width):
+    for k in range(1, min(width, len(grams))):
         grams[: len(grams) - k] = mix(grams[: len(grams) - k] * np.uint64(0x9E3779B97F4A7C15) + hashes[k:])
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         if b - a >= width:
