@@ -30,7 +30,7 @@ from tessella.llm.common import durable, fresh
 DIMENSIONS = ("source", "lang", "topic")
 BUDGET, TEMPERATURE, SEED = 0.8, 0.7, "mix"
 #: Rounds in which goals beyond what there is are limited; sweeps between two checks, and in all; the deviation that ends them.
-LIMIT_ROUNDS, CHUNK, MOST_SWEEPS, TOLERANCE = 8, 4, 60, 1e-4
+LIMIT_ROUNDS, CHUNK, MOST_SWEEPS, TOLERANCE = 8, 4, 60, 5e-4
 #: Cells up to this number (some 100 bytes each) are one partition and are broadcast.
 FEW_CELLS = 50_000
 
