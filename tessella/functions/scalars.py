@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessella.functions.color import clamped, rounded
+from tessella.functions.color import STYLES, clamped, rounded
 
 Z95 = 1.959963984540054
 
@@ -47,10 +47,62 @@ def grid_cell(crop: Column, fit: Column, sx: Column, sy: Column) -> Column:
     return F.struct(F.greatest(fit["x"], F.least(fit["x"] + fit["width"] - 1, gx)).alias("x"), F.greatest(fit["y"], F.least(fit["y"] + fit["height"] - 1, gy)).alias("y"))
 
 
+def whole_crop(width: Column, height: Column, x: Column, y: Column, w: Column, h: Column) -> Column:
+    """struct<x, y, width, height>: a crop in whole pixels within its image, at least one pixel."""
+    left, top = (F.greatest(F.lit(0), F.least(n - 1, F.floor(v))) for n, v in ((width, x), (height, y)))
+    within = lambda v, rest: F.greatest(F.lit(1), F.least(rest, F.floor(v)))
+    return F.struct(left.alias("x"), top.alias("y"), within(w, width - left).alias("width"), within(h, height - top).alias("height"))
+
+
+def fractional_crop(width: Column, height: Column, x: Column, y: Column, w: Column, h: Column) -> Column:
+    """struct<x, y, width, height>: a crop cut to its image, at least one pixel wide and high."""
+    left, top = (F.greatest(F.lit(0.0), F.least(n - 1, v)) for n, v in ((width, x), (height, y)))
+    right, bottom = (F.greatest(v + 1, F.least(n, end)) for v, n, end in ((left, width, x + w), (top, height, y + h)))
+    return F.struct(left.alias("x"), top.alias("y"), (right - left).alias("width"), (bottom - top).alias("height"))
+
+
+def resolved_crop(crop: Column, source: Column, confidence: Column) -> Column:
+    """A suggested crop, if it counts: manual ones do, automatic ones from a confidence of 0.5, ones that say neither do."""
+    automatic = (source == "automatic") | confidence.isNotNull()
+    return F.when(source.eqNullSafe(F.lit("manual")) | ~F.coalesce(automatic, F.lit(False)) | (F.coalesce(confidence, F.lit(0.0)) >= 0.5), crop)
+
+
 def fitted_source(width: Column, height: Column, side: int = 2048, pixels: int = 4_000_000) -> Column:
-    """struct<width, height>: source dimensions shrunk to the limits."""
+    """struct<width, height, keeps_aspect>: source dimensions shrunk to the limits, and whether the aspect drifts by 1 % at most."""
     scale = F.least(F.lit(1.0), side / width, side / height, F.sqrt(pixels / (width * height)))
-    return F.struct(F.greatest(F.lit(1), rounded(width * scale)).alias("width"), F.greatest(F.lit(1), rounded(height * scale)).alias("height"))
+    w, h = (F.greatest(F.lit(1), rounded(n * scale)) for n in (width, height))
+    return F.struct(w.alias("width"), h.alias("height"), (F.abs((w / h) / (width / height) - 1) <= 0.01).alias("keeps_aspect"))
+
+
+def pointer_point(x: Column, y: Column, left: Column, top: Column, width: Column, height: Column) -> Column:
+    """struct<x, y>: a pointer's place within a rectangle, 0..1."""
+    return F.struct(clamped((x - left) / width, 0.0, 1.0).alias("x"), clamped((y - top) / height, 0.0, 1.0).alias("y"))
+
+
+def device_class(width: Column) -> Column:
+    return F.when(width <= 600, "mobile").when(width <= 900, "tablet").otherwise("desktop")
+
+
+def modality(pointer: Column, touch_points: Column) -> Column:
+    return F.when(pointer.isin("touch", "pen", "mouse"), pointer).when(touch_points > 0, "touch").otherwise("mouse")
+
+
+def landmark_radius(grid_radius: Column, source_radius: Column, scale: Column) -> Column:
+    """A landmark's radius in cells: its own, else its source radius scaled, else 0."""
+    scaled = F.greatest(F.lit(0), rounded(F.greatest(F.lit(0.0), source_radius) * scale))
+    return F.when(grid_radius.isNotNull(), F.greatest(F.lit(0), rounded(grid_radius))).when(source_radius.isNotNull(), scaled).otherwise(0).cast("long")
+
+
+def anchor_cells(priority: Column, radius: Column) -> Column:
+    """Cells that a landmark needs at least: none if soft, else a row across its disc."""
+    whole = F.greatest(F.lit(0), F.floor(F.coalesce(radius, F.lit(0))))
+    return F.when(priority == "soft", 0).otherwise(F.greatest(F.lit(1), 2 * whole + 1)).cast("long")
+
+
+def style_limit(most: Column, style: Column) -> Column:
+    """The colours that a style may use."""
+    share = F.create_map(*(F.lit(x) for name, v in STYLES.items() for x in (name, v[3])))[style]
+    return F.greatest(F.lit(1), rounded(most * share)).cast("long")
 
 
 def disk_cells(radius: Column) -> Column:
@@ -84,3 +136,37 @@ def contain_rect(source_w: Column, source_h: Column, box_w: Column, box_h: Colum
 
 def mask_byte(v: Column) -> Column:
     return rounded(clamped(v, 0.0, 1.0) * 255).cast("int")
+
+
+# Texts at the engine's borders
+
+
+def endpoint(url: Column) -> Column:
+    """An http or https address without credentials and trailing slash, else null."""
+    return F.when(url.rlike("^[hH][tT][tT][pP][sS]?://[^/@]+(/|$)"), F.regexp_replace(url, "/$", ""))
+
+
+def safe_file_name(name: Column) -> Column:
+    """Whether a name stays in its folder."""
+    return ~name.isin("", ".", "..") & ~name.contains("/") & ~name.contains("\\")
+
+
+def sample_path(folder: Column, path: Column) -> Column:
+    """An absolute path, or one beside the manifest."""
+    return F.when(path.startswith("/"), path).otherwise(F.concat(folder, F.lit("/"), path))
+
+
+def _tenths(v: Column) -> Column:
+    return (F.floor(v * 10 + 0.5) / 10).cast("decimal(12,1)").cast("string")
+
+
+def percent(share: Column) -> Column:
+    return F.coalesce(F.concat(_tenths(share * 100), F.lit("%")), F.lit("n/a"))
+
+
+def seconds(ms: Column) -> Column:
+    return F.coalesce(F.concat(_tenths(ms / 1000), F.lit(" s")), F.lit("n/a"))
+
+
+def pass_fail(holds: Column) -> Column:
+    return F.when(holds, "PASS").otherwise("FAIL")

@@ -6,6 +6,8 @@ images are independent, so all shuffles are by image.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,7 +33,7 @@ def _column(column: str, step: int) -> Column:
 
 def with_neighbours(grid: DataFrame, column: str) -> DataFrame:
     """left, right, top and bottom values (null outside) of a dense grid."""
-    return grid.select("*", _row(column, -1).alias("left"), _row(column, 1).alias("right"), _column(column, -1).alias("top"), _column(column, 1).alias("bottom"))
+    return grid.repartition("image_id").select("*", _row(column, -1).alias("left"), _row(column, 1).alias("right"), _column(column, -1).alias("top"), _column(column, 1).alias("bottom"))
 
 
 # Resampling
@@ -158,19 +160,30 @@ def boundary_agreement(pixels: DataFrame, assigned: DataFrame) -> DataFrame:
 
 
 def greedy_palette(pixels: DataFrame, palette: list[dict], k: int, metric=color.delta_e76) -> DataFrame:
-    """image_id, ords (sorted): colours added one by one, each the one that lowers the summed distance most."""
+    """image_id, ords (sorted): k colours added one by one, each the one that lowers the summed distance most.
+
+    Distances weigh by the column weight, if there; ties go to the smaller ord. An image's distances are one matrix in its
+    group (at most 9,216 cells by MOST_COLORS), so that the plan doesn't grow with k.
+    """
     labs = F.array(*(F.struct(*(F.lit(float(p["lab"][c])).alias(c) for c in ("l", "a", "b"))) for p in palette))
-    ords = [p["ord"] for p in palette]
-    # An image's distances to each colour, once, as an array (at most MOST_COLORS values for each pixel).
-    at = pixels.select("image_id", F.transform(labs, lambda c: metric(color.lab(*map(F.col, "rgb")), c)).alias("d"), F.lit(float("inf")).alias("best"))
-    chosen = at.select("image_id").distinct().withColumn("ords", F.array().cast("array<int>"))
-    for _ in range(min(k, len(palette))):
-        costs = at.groupBy("image_id").agg(*(F.sum(F.least("best", F.col("d")[i])).alias(f"c{i}") for i in range(len(ords)))).join(chosen, "image_id")
-        options = F.array(*(F.struct(F.round(F.col(f"c{i}"), 6).alias("c"), F.lit(o).alias("o"), F.lit(i).alias("i")) for i, o in enumerate(ords)))
-        picked = costs.withColumn("pick", F.array_min(F.filter(options, lambda s: ~F.array_contains(F.col("ords"), s["o"]))))
-        chosen = picked.select("image_id", F.array_sort(F.concat("ords", F.array("pick.o"))).alias("ords"))
-        at = at.join(picked.select("image_id", "pick.i"), "image_id").select("image_id", "d", F.least("best", F.element_at("d", F.col("i") + 1)).alias("best"))
-    return chosen
+    weight = F.col("weight") if "weight" in pixels.columns else F.lit(1.0)
+    rows = pixels.select(*CELL, F.transform(labs, lambda c: metric(color.lab(*map(F.col, "rgb")), c)).alias("d"), weight.cast("double").alias("weight"))
+    ords = np.array([p["ord"] for p in palette])
+
+    def chosen(key: tuple, group: pa.Table) -> pa.Table:
+        group = group.sort_by([("y", "ascending"), ("x", "ascending")])
+        d = group.column("d").combine_chunks().flatten().to_numpy().reshape(group.num_rows, len(ords)).T
+        w, best = group.column("weight").to_numpy(), np.full(group.num_rows, np.inf)
+        picked: list[int] = []
+        for _ in range(min(k, len(ords))):
+            cost = np.round((np.minimum(best, d) * w).sum(axis=1), 6)
+            cost[picked] = np.inf
+            i = int(np.lexsort((ords, cost))[0])
+            picked.append(i)
+            best = np.minimum(best, d[i])
+        return pa.table({"image_id": pa.array([key[0].as_py()], pa.int64()), "ords": pa.array([sorted(ords[picked].tolist())], pa.list_(pa.int32()))})
+
+    return rows.groupBy("image_id").applyInArrow(chosen, "image_id long, ords array<int>")
 
 
 # Grid quality and clean-up
@@ -203,14 +216,21 @@ def cleaned_stripes(assigned: DataFrame, penalty: float = 1.0) -> DataFrame:
 
 
 def cleaned_alias(assigned: DataFrame, penalty: float = 1.0) -> DataFrame:
-    """Inner cells take a colour that at least six of eight neighbours have, if at most one side neighbour is like them."""
-    offsets = F.explode(F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if dx or dy)))
-    sent = assigned.select("image_id", "x", "y", "ord", offsets.alias("o")).select("image_id", (F.col("x") + F.col("o.dx")).alias("x"), (F.col("y") + F.col("o.dy")).alias("y"), F.col("ord").alias("other"), (F.abs("o.dx") + F.abs("o.dy") == 1).alias("side"))
-    support = sent.join(assigned, CELL).groupBy(*CELL, "ord", "other").agg(F.count("*").alias("n"), F.sum(F.col("side").cast("int")).alias("sides"))
-    own = F.col("other") == F.col("ord")
-    best = support.groupBy(*CELL, "ord").agg(F.sum("n").alias("all"), F.max(F.struct("n", (-F.col("other")).alias("other"))).alias("top"), F.coalesce(F.sum(F.when(own, F.col("n"))), F.lit(0)).alias("like"), F.coalesce(F.sum(F.when(own, F.col("sides"))), F.lit(0)).alias("like_sides"))
+    """Inner cells take a colour that at least six of eight neighbours have, if at most one side neighbour is like them.
+
+    The three cells across, then the three rows of these, are windows of one clustering by image.
+    """
+    rows, columns = Window.partitionBy("image_id", "y").orderBy("x"), Window.partitionBy("image_id", "x").orderBy("y")
+    across = assigned.repartition("image_id").select(*CELL, "ord", F.lag("ord").over(rows).alias("l"), F.lead("ord").over(rows).alias("r"))
+    near = across.select(*CELL, "ord", "l", "r", *(f(c).over(columns).alias(f"{n}_{c}") for n, f in (("t", F.lag), ("b", F.lead)) for c in ("ord", "l", "r")))
+    around = F.array("l", "r", *(f"{n}_{c}" for n in "tb" for c in ("ord", "l", "r")))
+    times = lambda v: F.size(F.filter(around, lambda o: o == v))
+    top = F.array_max(F.transform(F.array_distinct(around), lambda v: F.struct(times(v).alias("n"), (-v).alias("other"))))
+    sides = sum(((F.col(c) == F.col("ord")).cast("int") for c in ("l", "r", "t_ord", "b_ord")), F.lit(0))
+    inner = F.col("l").isNotNull() & F.col("r").isNotNull() & F.col("t_ord").isNotNull() & F.col("b_ord").isNotNull()
+    best = near.select(*CELL, "ord", inner.alias("inner"), F.when(inner, top).alias("top"), sides.alias("sides"), times(F.col("ord")).alias("like"))
     dominant = -F.col("top.other")
-    moves = (F.col("all") == 8) & (dominant != F.col("ord")) & (F.col("top.n") >= 6) & (F.col("like_sides") <= 1) & (penalty * (F.col("top.n") - F.col("like")) > 1)
+    moves = F.col("inner") & (dominant != F.col("ord")) & (F.col("top.n") >= 6) & (F.col("sides") <= 1) & (penalty * (F.col("top.n") - F.col("like")) > 1)
     return best.select(*CELL, F.when(moves, dominant).otherwise(F.col("ord")).alias("ord"))
 
 

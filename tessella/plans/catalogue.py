@@ -2,80 +2,32 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import color, scalars
 from tessella.operators import editing, fusion, gate, kernels, planning, raster
+from tessella.plans.registry import (
+    ASSIGNED as _ASSIGNED,
+    EVIDENCE as _EVIDENCE,
+    INTERACTION as _INTERACTION,
+    LANDMARK as _LANDMARK,
+    LUM as _LUM,
+    MASK as _MASK,
+    NEAR as _NEAR,
+    ORACLES,
+    PALETTE as _PALETTE,
+    PIXEL as _PIXEL,
+    PREFERENCE as _PREFERENCE,
+    QUERIES,
+    e2000_ctes,
+    lab_ctes as _lab,
+    query as _query,
+    r4,
+    sql_r4 as _r4,
+    with_ as _with,
+)
 from tessella.sources import views
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def _query(sql: str | None = None):
-    def keep(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return keep
-
-
-def r4(c) -> F.Column:
-    return F.floor(c * 1e4 + 0.5) / 1e4
-
-
-# DuckDB texts of the views
-
-_PIXEL = """pixel AS MATERIALIZED (SELECT vec_id AS image_id, CAST(i % 8 AS INT) AS x, CAST(i // 8 AS INT) AS y,
- CAST(greatest(0, least(255, floor((CAST(embedding[i+1] AS DOUBLE)+0.5e0)*255e0+0.5e0))) AS INT) AS r,
- CAST(greatest(0, least(255, floor((CAST(embedding[(i+21)%64+1] AS DOUBLE)+0.5e0)*255e0+0.5e0))) AS INT) AS g,
- CAST(greatest(0, least(255, floor((CAST(embedding[(i+42)%64+1] AS DOUBLE)+0.5e0)*255e0+0.5e0))) AS INT) AS b
- FROM embeddings, range(64) t(i))"""
-_MASK = """mask AS MATERIALIZED (SELECT vec_id AS image_id, label, CAST(i % 8 AS INT) AS x, CAST(i // 8 AS INT) AS y,
- greatest(0e0, least(1e0, CAST(embedding[i+1] AS DOUBLE) + 0.5e0)) AS v FROM embeddings, range(64) t(i))"""
-_PALETTE = """palette AS MATERIALIZED (SELECT CAST(p_partkey AS INT) AS ord, concat('c', lpad(CAST(p_partkey AS VARCHAR), 3, '0')) AS color_id,
- CAST(p_partkey*53%256 AS INT) AS r, CAST(p_partkey*97%256 AS INT) AS g, CAST(p_partkey*193%256 AS INT) AS b FROM part WHERE p_partkey BETWEEN 1 AND 24)"""
-_INTERACTION = f"interaction AS MATERIALIZED ({views.INTERACTION})"
-_PREFERENCE = """preference AS (SELECT image_id, rater_id, CASE image_id % 5 WHEN 0 THEN 'tie' WHEN 1 THEN 'right' ELSE 'left' END AS choice,
- CASE WHEN image_id % 2 = 0 THEN 'before' ELSE 'after' END AS left_variant FROM interaction WHERE outcome = 'confirmed')"""
-_LANDMARK = """landmark AS (SELECT vec_id AS image_id, CASE WHEN s = 0 THEN label % 4 ELSE 7 - label % 4 END AS x, 3 AS y,
- CASE WHEN vec_id % 3 = 0 THEN 0.4e0 ELSE 1e0 END AS confidence, CASE WHEN vec_id % 2 = 0 THEN 'hard' ELSE 'soft' END AS priority,
- vec_id % 2 AS grid_radius, s FROM embeddings, (VALUES (0), (1)) v(s))"""
-_EVIDENCE = """evidence AS (SELECT label AS image_id, vec_id AS evidence_id, CAST(vec_id % 10 AS DOUBLE) / 10 AS confidence, vec_id % 17 = 0 AS user_confirmed, CAST(vec_id % 7 AS INT) AS source_priority FROM embeddings)"""
-_ASSIGNED = """assigned AS MATERIALIZED (SELECT image_id, x, y, ord FROM (SELECT p.image_id, p.x, p.y, c.ord,
- row_number() OVER (PARTITION BY p.image_id, p.x, p.y ORDER BY (p.r-c.r)*(p.r-c.r)+(p.g-c.g)*(p.g-c.g)+(p.b-c.b)*(p.b-c.b), c.ord) AS nth FROM pixel p, palette c) WHERE nth = 1)"""
-_NEAR = """near AS MATERIALIZED (SELECT *, lag(ord) OVER r AS l, lead(ord) OVER r AS rt, lag(ord) OVER c AS t, lead(ord) OVER c AS bt FROM assigned
- WINDOW r AS (PARTITION BY image_id, y ORDER BY x), c AS (PARTITION BY image_id, x ORDER BY y))"""
-
-
-def _linear(c: str) -> str:
-    return f"(CASE WHEN {c} / 255e0 <= 0.04045 THEN {c} / 255e0 / 12.92 ELSE pow(({c} / 255e0 + 0.055) / 1.055, 2.4e0) END)"
-
-
-def _lab(source: str, name: str) -> str:
-    """A CTE with l, la, lb for the r, g, b of a CTE."""
-    x, y, z = (" + ".join(f"{_linear(c)} * {k}" for c, k in zip("rgb", row, strict=True)) for row in color.XYZ)
-    f = lambda t: f"(CASE WHEN {t} > pow(6e0/29, 3) THEN cbrt({t}) ELSE {t} / (3 * pow(6e0/29, 2)) + 4e0/29 END)"
-    return f"""{name}0 AS (SELECT *, ({x}) / 0.95047e0 AS fx, ({y}) AS fy, ({z}) / 1.08883e0 AS fz FROM {source}),
-{name} AS MATERIALIZED (SELECT * EXCLUDE (fx, fy, fz), 116 * {f('fy')} - 16 AS l, 500 * ({f('fx')} - {f('fy')}) AS la, 200 * ({f('fy')} - {f('fz')}) AS lb FROM {name}0)"""
-
-
-def _r4(e: str) -> str:
-    return f"floor(({e}) * 1e4 + 0.5) / 1e4"
-
-
-def _with(*parts: str) -> str:
-    return "WITH " + ",\n".join(parts) + "\n"
-
-
-_LUM = "(r * 0.2126e0 + g * 0.7152e0 + b * 0.0722e0)"
-
-
 # Colours
 
 
@@ -212,6 +164,14 @@ def assign_nearest_lab(spark, sf_dir):
     return _assigned(spark, sf_dir, "delta-e-76")
 
 
+@_query(
+    _with(_PIXEL, _PALETTE, _lab("pixel", "pl"), _lab("palette", "cl"), "pairs AS (SELECT p.image_id, p.x, p.y, c.ord, p.l AS l1, p.la AS a1, p.lb AS b1, c.l AS l2, c.la AS a2, c.lb AS b2 FROM pl p, cl c)", e2000_ctes("pairs", "d"))
+    + "SELECT image_id, x, y, ord FROM (SELECT *, row_number() OVER (PARTITION BY image_id, x, y ORDER BY distance, ord) AS nth FROM d) WHERE nth = 1"
+)
+def assign_nearest_2000(spark, sf_dir):
+    return _assigned(spark, sf_dir, "delta-e-2000")
+
+
 @_query(_with(_PIXEL, _PALETTE, _ASSIGNED) + "SELECT image_id, ord, count(*) AS n FROM assigned GROUP BY ALL")
 def material_counts(spark, sf_dir):
     return raster.material_counts(_assigned(spark, sf_dir))
@@ -243,7 +203,13 @@ def boundary_agreement(spark, sf_dir):
     return raster.boundary_agreement(views.pixel(spark, sf_dir), _assigned(spark, sf_dir)).withColumn("agreement", r4(F.col("agreement")))
 
 
-@_query()
+_COLOR_PAIRS = "SELECT a.image_id, p.l AS l1, p.la AS a1, p.lb AS b1, c.l AS l2, c.la AS a2, c.lb AS b2"
+
+
+@_query(
+    _with(_PIXEL, _PALETTE, _ASSIGNED, _lab("pixel", "pl"), _lab("palette", "cl"), f"pairs AS ({_COLOR_PAIRS} FROM assigned a JOIN pl p USING (image_id, x, y) JOIN cl c USING (ord))", e2000_ctes("pairs", "d"))
+    + f"SELECT image_id, {_r4('avg(distance)')} AS distance FROM d GROUP BY image_id"
+)
 def mean_color_distance(spark, sf_dir):
     out = raster.mean_color_distance(views.pixel(spark, sf_dir), _assigned(spark, sf_dir), views.palette(spark, sf_dir))
     return out.withColumn("distance", r4(F.col("distance")))
@@ -261,6 +227,29 @@ def palette_greedy(spark, sf_dir):
     return out.select("image_id", F.element_at("ords", 1).alias("low"), F.element_at("ords", 2).alias("high"))
 
 
+def _select_sql(k: int) -> str:
+    """Greedy choice of k colours by summed distance times weight, a round a CTE."""
+    ctes = [_PIXEL, _PALETTE, _lab("pixel", "pl"), _lab("palette", "cl")]
+    ctes.append("d AS MATERIALIZED (SELECT p.image_id, p.x, p.y, c.ord, sqrt(pow(p.l-c.l,2)+pow(p.la-c.la,2)+pow(p.lb-c.lb,2)) AS d, 1 + (p.x + p.y) % 3 AS w FROM pl p, cl c)")
+    ctes.append("best0 AS (SELECT image_id, x, y, CAST('inf' AS DOUBLE) AS b FROM pl)")
+    ctes.append("chosen0 AS (SELECT image_id, CAST([] AS INT[]) AS ords FROM pl GROUP BY image_id)")
+    for i in range(k):
+        ctes.append(
+            f"pick{i} AS MATERIALIZED (SELECT image_id, ord FROM (SELECT image_id, ord, row_number() OVER (PARTITION BY image_id ORDER BY round(sum(least(d, b) * w), 6), ord) AS nth FROM d JOIN best{i} USING (image_id, x, y) JOIN chosen{i} USING (image_id) WHERE NOT list_contains(ords, ord) GROUP BY image_id, ord) WHERE nth = 1)"
+        )
+        ctes.append(f"chosen{i + 1} AS MATERIALIZED (SELECT image_id, list_append(ords, ord) AS ords FROM chosen{i} JOIN pick{i} USING (image_id))")
+        ctes.append(f"best{i + 1} AS MATERIALIZED (SELECT image_id, x, y, least(b, d) AS b FROM best{i} JOIN pick{i} USING (image_id) JOIN d USING (image_id, x, y, ord))")
+    return _with(*ctes) + f"SELECT image_id, array_to_string(list_sort(ords), ',') AS ords FROM chosen{k}"
+
+
+@_query(_select_sql(8))
+def palette_select(spark, sf_dir):
+    """Eight of 24 colours for each image, its cells weighted."""
+    weighted = views.pixel(spark, sf_dir).withColumn("weight", (1 + (F.col("x") + F.col("y")) % 3).cast("double"))
+    out = raster.greedy_palette(weighted, raster.palette_rows(views.palette(spark, sf_dir)), 8)
+    return out.select("image_id", F.array_join("ords", ",").alias("ords"))
+
+
 @_query(_with(_PIXEL, _PALETTE, _ASSIGNED, _NEAR) + "SELECT image_id, count(*) FILTER (coalesce(l, -1) <> ord AND coalesce(rt, -1) <> ord AND coalesce(t, -1) <> ord AND coalesce(bt, -1) <> ord) AS n FROM near GROUP BY image_id")
 def isolated_cells(spark, sf_dir):
     return raster.isolated_cells(_assigned(spark, sf_dir))
@@ -499,11 +488,6 @@ def paint_strokes(spark, sf_dir):
     return editing.painted(views.stroke(spark, sf_dir), 8).withColumn("v", r4(F.col("v")))
 
 
-@_query()
-def protocol_replay(spark, sf_dir):
-    return editing.replayed(spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "ts", "event_id", "event_type"))
-
-
 @_query(
     _with(_PIXEL, _PALETTE, _ASSIGNED, _NEAR, f"s AS (SELECT *, CASE WHEN {_INNER} AND l = rt AND l <> ord THEN l END AS h, CASE WHEN {_INNER} AND t = bt AND t <> ord THEN t END AS v FROM near)",
           "after AS (SELECT image_id, CASE WHEN h IS NULL AND v IS NULL THEN ord WHEN h IS NULL THEN v WHEN v IS NULL OR h = v THEN h ELSE ord END AS ord FROM s)")
@@ -669,3 +653,7 @@ def fuse_confidence(spark, sf_dir):
 @_query()
 def mask_contours(spark, sf_dir):
     return kernels.traced(views.mask(spark, sf_dir))
+
+
+# Modules that register further queries.
+from tessella.plans import attempts, geometry, identity, sessions  # noqa: E402, F401

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions import color, scalars
-from tessella.operators import editing, gate, kernels, raster
+from tessella.operators import editing, gate, kernels, protocol, raster
 from tessella.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -85,18 +85,52 @@ def test_palette_is_bounded(spark):
         raster.palette_rows(many)
 
 
-def test_replay_of_a_hot_user_is_spread_over_ranges(spark):
+def test_replay_of_a_hot_attempt_is_spread_over_ranges(spark):
     rng = np.random.default_rng(5)
-    kinds = [*dict.fromkeys(w for _, w in editing.TRANSITIONS), "other", None]
-    rows = [(int(u), int(t), i, kinds[k]) for i, (u, t, k) in enumerate(zip(np.where(rng.random(6000) < 0.5, 0, rng.integers(0, 900, 6000)), rng.integers(0, 50, 6000), rng.integers(0, len(kinds), 6000), strict=True))]
-    events = spark.createDataFrame(rows, "user_id long, ts long, event_id long, event_type string")
-    stages = {}
-    for u, _, _, what in sorted(rows, key=lambda r: r[:3]):
-        at = stages.get(u, "new")
-        stages[u] = editing.TRANSITIONS.get((at, what), at)
-    assert {r.user_id: r.stage for r in editing.replayed(events).collect()} == stages
-    maps = editing.stage_maps(events, ranges=16).collect()
-    assert 4 < sum(r.user_id == 0 for r in maps) <= 16 and len(maps) <= len(stages) + 16
+    kinds = [*protocol.EVENTS, "jump", None]
+    rows = [
+        (int(u), i, kinds[k], None if i % 40 == 0 else float(i), [True, False, None][a], ["left", "no"][c], "E", "m", bool(a))
+        for i, (u, k, a, c) in enumerate(zip(np.where(rng.random(6000) < 0.5, 0, rng.integers(0, 1500, 6000)), rng.integers(0, len(kinds), 6000), rng.integers(0, 3, 6000), rng.integers(0, 2, 6000), strict=True))
+    ]
+    rows += [(-1, n, k, 1.0, False, "tie", "E", "m", True) for n, k in enumerate(["rate-initial", "start-editing", "confirm-editing", "rate-corrected-mask", "rate-blind-pattern", "export"])]
+    events = spark.createDataFrame(rows, "attempt_id long, ord long, type string, at double, acceptable boolean, choice string, code string, message string, has_snapshot boolean")
+    state = {}
+    for u, _, kind, at, ok, choice, _, _, snap in rows:  # by order of events
+        stage, verdict, error = state.get(u, ("sample-loaded", None, None))
+        if error:
+            continue
+        payload = {"rate-initial": ok is not None, "rate-corrected-mask": ok is not None, "rate-blind-pattern": choice == "left" or choice == "tie", "confirm-editing": snap}.get(kind, True)
+        allowed = {"rate-initial": ["sample-loaded"], "accept-original": ["initial-rated"], "start-editing": ["initial-rated"], "confirm-editing": ["editing"], "cancel-editing": ["editing"], "record-error": ["initial-rated", "editing", "confirmed"],
+                   "rate-corrected-mask": ["confirmed"], "rate-blind-pattern": ["corrected-mask-rated"], "export": ["accepted", "cancelled", "error", "blind-pattern-rated"]}
+        after = {"accept-original": "accepted", "start-editing": "editing", "confirm-editing": "confirmed", "cancel-editing": "cancelled", "record-error": "error", "rate-corrected-mask": "corrected-mask-rated", "rate-blind-pattern": "blind-pattern-rated", "export": "exported", "rate-initial": "initial-rated"}
+        error = "time" if at is None else "unknown-event" if kind not in allowed else "stage" if stage not in allowed[kind] else "rating" if kind == "accept-original" and not verdict or kind == "start-editing" and verdict else None if payload else "payload"
+        if error is None:
+            stage, verdict = after[kind], ok if kind == "rate-initial" else None
+        state[u] = (stage, verdict, error)
+    got = {r.attempt_id: (r.stage, r.rated, r.error) for r in protocol.replayed(events, ranges=16).collect()}
+    assert got == state and got[-1] == ("exported", None, None)
+    maps = protocol.stage_maps(events, ranges=16).collect()
+    assert 4 < sum(r.attempt_id == 0 for r in maps) <= 16 and len(maps) <= len(state) + 16
+
+
+def test_sessions_undo_redo_and_refuse(spark):
+    log = ["append", "append", "undo", "append", "redo", "undo", "undo", "undo", "redo", "confirm", "append"]
+    rows = [("a", n, op) for n, op in enumerate(log)] + [("b", n, "append") for n in range(5)] + [("b", 5, "confirm"), ("c", 0, "redo"), ("c", 1, "undo")]
+    got = {r.session: r for r in editing.replayed_sessions(spark.createDataFrame(rows, "session string, ord int, op string"), most=4).collect()}
+    assert (got["a"].strokes, got["a"].cursor, got["a"].active, got["a"].dirty, got["a"].refused) == ([0, 10], 2, [0, 10], True, 0)
+    assert (got["b"].strokes, got["b"].dirty, got["b"].refused) == ([0, 1, 2, 3], False, 1)
+    assert (got["c"].strokes, got["c"].cursor) == ([], 0)
+
+
+def test_fingerprints(spark):
+    import hashlib
+    import struct
+
+    rows = [(1, x, y, (x + 2 * y) / 7) for x in range(2) for y in range(3)]
+    row = kernels.fingerprints(spark.createDataFrame(rows, "image_id long, x int, y int, v double")).first()
+    values = [v for _, _, _, v in sorted(rows, key=lambda r: (r[2], r[1]))]
+    assert row.digest == hashlib.sha256(struct.pack(">6d", *values)).hexdigest() and len(row.lanes) == 16
+    assert kernels.paired_lanes(b"") == "811c9dc59e3779b9" and kernels.paired_lanes(b"a")[:8] == "e40c292c"
 
 
 def test_strokes_of_a_long_session(spark):
