@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from tessella.llm.common import durable
 
 
-def _star(edges: DataFrame) -> DataFrame:
+def _star(edges: DataFrame, hubs: bool) -> DataFrame:
     """Hang each (u, v) of u's neighbours on low, the smallest of u and its neighbours.
 
-    low is materialised, so that both sides of the join are plain shuffles and adaptive execution can split a hub's edges.
+    hubs: a u may have many edges. Then low is materialised, so that both sides of the join are plain shuffles and adaptive
+    execution can split a hub's edges.
     """
-    low = durable(edges.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low")))
-    return edges.join(low, "u")
+    low = edges.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
+    return edges.join(durable(low) if hubs else low, "u")
 
 
 def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -28,8 +29,8 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
     state = None
     for _ in range(rounds):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = durable(_star(both).where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).where("u <> v").distinct())
-        small = _star(large)
+        large = _star(both, hubs=True).where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).where("u <> v").distinct()
+        small = _star(large, hubs=False)  # from the larger end: few edges each
         edges = durable(small.select(F.explode(F.array(F.struct("u", F.col("low").alias("v")), F.struct(F.col("v").alias("u"), F.col("low").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:

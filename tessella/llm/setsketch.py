@@ -250,7 +250,7 @@ def _grouped(docs: DataFrame, width: int, similarity: float) -> DataFrame:
 
     # Buckets that aren't one component yet: minor members against all, block by block.
     parts = durable(connected_components(links).select(F.col("id").alias("node"), F.col("component_id").alias("part")))
-    open_rows = durable(_open_buckets(members.select("key", "band", "node"), parts, nodes)).join(nodes.select("node", "n_shingles", "sketch"), "node").join(full, "node")
+    open_rows = _open_buckets(members.select("key", "band", "node"), parts, nodes).join(nodes.select("node", "n_shingles", "sketch"), "node").join(full, "node")
     spread = lambda n: F.pmod(F.xxhash64("node"), n)
     of_all = open_rows.withColumn("block", spread(F.col("all_blocks"))).withColumn("minor_block", F.explode(F.sequence(F.lit(0), F.col("minor_blocks") - 1))).withColumn("is_minor", F.lit(False))
     of_minor = open_rows.where("minor").withColumn("minor_block", spread(F.col("minor_blocks"))).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1))).withColumn("is_minor", F.lit(True))
@@ -262,7 +262,7 @@ def _grouped(docs: DataFrame, width: int, similarity: float) -> DataFrame:
 
     # A component is named by the smallest id of its nodes, and of that id's texts by the smallest hash.
     labelled = nodes.select("node", "low", "version").join(labels.withColumnRenamed("id", "node"), "node", "left").select("node", "low", "version", F.coalesce("component_id", "node").alias("component"))
-    names = durable(labelled.groupBy("component").agg(F.min(F.struct("low", "version")).alias("least")))
+    names = labelled.groupBy("component").agg(F.min(F.struct("low", "version")).alias("least"))
     named = durable(labelled.join(names, "component").select("node", F.col("least.low").alias("component_id"), F.col("least.version").alias("component_version")))
     return sketched.select("doc_id", "version", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")).join(named, "node", "left")
 
