@@ -110,19 +110,20 @@ def raked_cells(cells: DataFrame, budget: float = BUDGET, temperature: float = T
     cells = durable(cells.select(*DIMENSIONS, F.col("mass").cast("double").alias("mass")))
     sums = cells.agg(F.count("*").alias("n"), F.sum("mass").alias("mass")).first()
     few, kept = sums["n"] <= FEW_CELLS, budget * (sums["mass"] or 0.0)
+    one = lambda df: df.coalesce(1) if few else df  # noqa: E731 - then every group and window finds its rows in place
+    cells = one(cells)
     marginals = _marginals(cells).withColumn("share", F.pow("mass", F.lit(float(temperature))))
     for d, table in (targets or {}).items():
         given = table.select(F.lit(d).alias("dimension"), F.col("value").cast("string").alias("value"), F.col("share").cast("double").alias("given"))
         marginals = marginals.join(given, ["dimension", "value"], "left").withColumn("share", F.when(F.col("dimension") == d, F.coalesce("given", F.lit(0.0))).otherwise(F.col("share"))).drop("given")
-    goals = durable(limited_goals(durable(marginals), kept))
+    goals = one(durable(limited_goals(one(durable(marginals)), kept)))
     for d in DIMENSIONS:
         cells = cells.join(goals.where(F.col("dimension") == d).select(F.col("value").alias(d), F.col("goal").alias(f"goal_{d}")), d)
-    fit = durable(cells.withColumn("kept", F.col("mass") * budget))
+    fit = one(durable(cells.withColumn("kept", F.col("mass") * budget)))
     for _ in range(0, MOST_SWEEPS, CHUNK):
-        fit = fit.coalesce(1) if few else fit  # then every window finds its rows in place
         for _ in range(CHUNK):
             fit = _swept(fit, few)
-        fit = durable(fit)
+        fit = one(durable(fit))
         off = _marginals(fit, "kept").join(goals, ["dimension", "value"]).agg(F.max(F.abs(F.col("kept") - F.col("goal")))).first()[0]
         if off is None or off <= TOLERANCE * kept:
             break
