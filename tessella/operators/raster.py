@@ -254,6 +254,21 @@ def dilated(mask: DataFrame, threshold: float = 0.5) -> DataFrame:
     return rows.select(*CELL, F.max("on").over(frame("x", "y")).alias("on"))
 
 
+def boundary_fit(mask: DataFrame, distances: DataFrame, threshold: float = 0.5, band: float = 1.25) -> DataFrame:
+    """image_id, iou and distance: how the boundary of a mask (widened by one cell) meets the cells within `band` of a signed
+    distance field's zero, and the mean distance of its cells from there as a share of the diagonal. 1 and 0 without a boundary."""
+    edge = mask_boundary(mask, threshold)
+    wide = dilated(edge.select(*CELL, F.col("boundary").cast("double").alias("v")))
+    both = edge.join(wide, CELL).join(distances.select(*CELL, F.abs("distance").alias("far")), CELL)
+    near, target = F.coalesce(F.col("far") <= band, F.lit(False)), F.col("on") == 1
+    either = F.sum((near | target).cast("int"))
+    sums = both.groupBy("image_id").agg(
+        F.when(either > 0, F.sum((near & target).cast("int")) / either).otherwise(1.0).alias("iou"), F.avg(F.when(F.col("boundary"), F.col("far"))).alias("far"), (F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h")
+    )
+    diagonal = F.greatest(F.lit(1.0), F.sqrt((F.col("w") * F.col("w") + F.col("h") * F.col("h")).cast("double")))
+    return sums.select("image_id", "iou", F.coalesce(clamped(F.col("far") / diagonal, 0.0, 1.0), F.lit(0.0)).alias("distance"))
+
+
 def coverage_raster(mask: DataFrame, source: int, target: int, threshold: float = 0.5) -> DataFrame:
     """image_id, x, y, coverage, active; if no cell reaches the threshold, the strongest covered one is active."""
     cover = resize_area(mask, source, target, ["v"]).withColumnRenamed("v", "coverage")

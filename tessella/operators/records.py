@@ -147,3 +147,34 @@ def against_interactions(preferences: DataFrame, attempts: DataFrame) -> DataFra
         F.when(F.col("n_alike") > 1, "duplicate").when(~_sure(F.col("outcome") == "confirmed"), "unconfirmed").when(F.col("dataset_id") != F.col("i_dataset"), "identity").when(F.col("width") != F.col("i_width"), "snapshot").otherwise("agrees")
     )
     return both.select("attempt_id", verdict.alias("verdict"))
+
+
+# Requests to the engine
+
+#: Limits of a request.
+MOST_SIDE, MOST_PIXELS, MOST_CANVAS, MOST_CELLS, MOST_PALETTE, MOST_SELECTED, MOST_CANVASES, MOST_REFINEMENTS = 2048, 4_000_000, 96, 9216, 128, 48, 12, 32
+STYLES = ("faithful", "cute", "simple", "high-contrast", "soft")
+OCCUPANCY = ("auto", "full-frame", "subject-shape")
+
+
+def request_rules() -> dict[str, Column]:
+    """Rules of a generation request: width, height, canvas_w, canvas_h, colors, max_colors, canvases, refinements, style, occupancy,
+    background, confidence, crop_w, crop_h, mask_w, mask_h, mask_top (the mask's largest value, null without a mask), timeout_ms."""
+    upto = lambda c, most, least=1: is_integer(c, least) & _sure(F.col(c) <= most)
+    masked = F.col("mask_top").isNotNull()
+    return {
+        "image": upto("width", MOST_SIDE) & upto("height", MOST_SIDE) & _sure(F.col("width") * F.col("height") <= MOST_PIXELS),
+        "canvas": upto("canvas_w", MOST_CANVAS) & upto("canvas_h", MOST_CANVAS) & _sure(F.col("canvas_w") * F.col("canvas_h") <= MOST_CELLS),
+        "palette": upto("colors", MOST_PALETTE),
+        "max_colors": upto("max_colors", MOST_SELECTED),
+        "canvases": upto("canvases", MOST_CANVASES),
+        "refinements": upto("refinements", MOST_REFINEMENTS, 0),
+        "style": is_one_of("style", STYLES),
+        "occupancy": is_one_of("occupancy", OCCUPANCY),
+        "background": upto("background", 255, 0),
+        "confidence": is_unit("confidence"),
+        "crop": is_finite("crop_w") & is_finite("crop_h") & _sure((F.col("crop_w") > 0) & (F.col("crop_h") > 0)),
+        "mask": ~masked | (_sure((F.col("mask_w") == F.col("width")) & (F.col("mask_h") == F.col("height"))) & is_unit("mask_top")),
+        "subject": (F.col("occupancy") != "subject-shape") | (masked & _sure((F.col("mask_top") >= 0.5) & (F.col("confidence") >= 0.5))),
+        "timeout": is_finite("timeout_ms") & _sure(F.col("timeout_ms") > 0),
+    }

@@ -148,3 +148,20 @@ def preference_agreement(spark, sf_dir):
     shifted = lambda c, n: F.col(c) + F.when(F.col("attempt_id") % n == 0, 1).otherwise(0)
     preferences = attempts.where("choice <> 'none'").select("attempt_id", F.concat("image_id", F.lit(":"), "rater_id").alias("preference_id"), shifted("attempt_id", 13).alias("of_attempt"), "dataset_id", shifted("width", 17).alias("width"))
     return records.against_interactions(preferences, attempts)
+
+
+# Requests to the engine, most of them sound.
+
+REQUEST = """SELECT p_partkey AS id, CASE WHEN p_partkey % 31 = 0 THEN 3000 ELSE 10 + p_partkey % 1900 END AS width, CASE WHEN p_partkey % 37 = 0 THEN 0 ELSE 12 + p_partkey % 2030 END AS height, 8 + p_partkey % 92 AS canvas_w, 8 + p_partkey % 87 AS canvas_h,
+ CASE WHEN p_partkey % 41 = 0 THEN 129 ELSE 24 END AS colors, p_partkey % 50 AS max_colors, 1 + p_partkey % 13 AS canvases, p_partkey % 34 - 1 AS refinements, CASE p_partkey % 6 WHEN 0 THEN 'faithful' WHEN 1 THEN 'cute' WHEN 2 THEN 'soft' WHEN 3 THEN 'bold' ELSE 'simple' END AS style,
+ CASE p_partkey % 3 WHEN 0 THEN 'auto' WHEN 1 THEN 'subject-shape' ELSE 'full-frame' END AS occupancy, p_partkey % 260 AS background, p_partkey % 104 / 100e0 AS confidence, CASE WHEN p_partkey % 43 = 0 THEN NULL ELSE p_partkey % 9 - 1e0 END AS crop_w, 4e0 AS crop_h,
+ CASE WHEN p_partkey % 31 = 0 THEN 3000 ELSE 10 + p_partkey % 1900 END + CASE WHEN p_partkey % 29 = 0 THEN 1 ELSE 0 END AS mask_w, CASE WHEN p_partkey % 37 = 0 THEN 0 ELSE 12 + p_partkey % 2030 END AS mask_h, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE p_partkey % 11 / 10e0 END AS mask_top,
+ (p_partkey % 23 - 1) * 500e0 AS timeout_ms FROM part"""
+_UNSOUND = """concat_ws(',', CASE WHEN NOT (width BETWEEN 1 AND 2048 AND height BETWEEN 1 AND 2048 AND width * height <= 4000000) THEN 'image' END, CASE WHEN NOT (canvas_w <= 96 AND canvas_h <= 96 AND canvas_w * canvas_h <= 9216) THEN 'canvas' END, CASE WHEN colors NOT BETWEEN 1 AND 128 THEN 'palette' END,
+ CASE WHEN max_colors NOT BETWEEN 1 AND 48 THEN 'max_colors' END, CASE WHEN canvases NOT BETWEEN 1 AND 12 THEN 'canvases' END, CASE WHEN refinements NOT BETWEEN 0 AND 32 THEN 'refinements' END, CASE WHEN style = 'bold' THEN 'style' END, CASE WHEN background > 255 THEN 'background' END, CASE WHEN confidence > 1 THEN 'confidence' END,
+ CASE WHEN NOT coalesce(crop_w > 0, false) THEN 'crop' END, CASE WHEN mask_top IS NOT NULL AND (mask_w <> width OR mask_h <> height) THEN 'mask' END, CASE WHEN occupancy = 'subject-shape' AND NOT (coalesce(mask_top, 0) >= 0.5 AND confidence BETWEEN 0.5 AND 99) THEN 'subject' END, CASE WHEN timeout_ms <= 0 THEN 'timeout' END)"""
+
+
+@query(f"SELECT id, {_UNSOUND} AS broken FROM ({REQUEST})")
+def request_violations(spark, sf_dir):
+    return _view(spark, sf_dir, REQUEST, "part").select("id", records.broken(records.request_rules()).alias("broken"))

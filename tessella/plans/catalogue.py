@@ -281,7 +281,12 @@ def cleanup_alias(spark, sf_dir):
     return raster.cleaned_alias(_assigned(spark, sf_dir))
 
 
-@_query()
+@_query(
+    _with(_PIXEL, _PALETTE, _ASSIGNED, _NEAR, "alone AS (SELECT * FROM near WHERE coalesce(l, -1) <> ord AND coalesce(rt, -1) <> ord AND coalesce(t, -1) <> ord AND coalesce(bt, -1) <> ord)",
+          "vote AS (SELECT image_id, x, y, o, count(*) AS n FROM (SELECT image_id, x, y, unnest([l, rt, t, bt]) AS o FROM alone) WHERE o IS NOT NULL GROUP BY ALL)",
+          "best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id, x, y ORDER BY n DESC, o) AS nth FROM vote) WHERE nth = 1 AND n > 1)")
+    + "SELECT a.image_id, a.x, a.y, coalesce(o, ord) AS ord FROM assigned a LEFT JOIN best USING (image_id, x, y)"
+)
 def cleanup_small_regions(spark, sf_dir):
     return kernels.small_regions(_assigned(spark, sf_dir))
 
@@ -362,7 +367,35 @@ def signed_distance(spark, sf_dir):
     return kernels.signed_distance(views.mask(spark, sf_dir)).withColumn("distance", r4(F.col("distance")))
 
 
-@_query()
+_FAR = "far AS MATERIALIZED (SELECT a.image_id, a.x, a.y, CASE WHEN a.v >= 0.5 THEN 1 ELSE -1 END * sqrt(min(pow(a.x-o.x, 2) + pow(a.y-o.y, 2))) AS d FROM mask a LEFT JOIN mask o ON a.image_id = o.image_id AND (a.v >= 0.5) <> (o.v >= 0.5) GROUP BY a.image_id, a.x, a.y, a.v)"
+_EDGE = "edge AS MATERIALIZED (SELECT image_id, x, y, v >= 0.5 AND NOT (coalesce(l, 0) >= 0.5 AND coalesce(rt, 0) >= 0.5 AND coalesce(t, 0) >= 0.5 AND coalesce(bt, 0) >= 0.5) AS b FROM near)"
+
+
+@_query(
+    _with(_MASK, _MNEAR, _FAR, _EDGE, "wide AS (SELECT a.image_id, a.x, a.y, bool_or(o.b) AS w FROM edge a JOIN edge o ON a.image_id = o.image_id AND abs(a.x-o.x) <= 1 AND abs(a.y-o.y) <= 1 GROUP BY ALL)",
+          "both_ AS (SELECT image_id, e.b, w.w, coalesce(abs(f.d) <= 1.25, false) AS n, abs(f.d) AS d FROM edge e JOIN wide w USING (image_id, x, y) JOIN far f USING (image_id, x, y))")
+    + f"SELECT image_id, {_r4('CASE WHEN count(*) FILTER (n OR w) > 0 THEN count(*) FILTER (n AND w) / CAST(count(*) FILTER (n OR w) AS DOUBLE) ELSE 1 END')} AS iou, {_r4('coalesce(least(1, avg(d) FILTER (b) / sqrt(128e0)), 0)')} AS distance FROM both_ GROUP BY image_id"
+)
+def boundary_iou(spark, sf_dir):
+    one = views.mask(spark, sf_dir)
+    out = raster.boundary_fit(one, kernels.signed_distance(one))
+    return out.select("image_id", r4(F.col("iou")).alias("iou"), r4(F.col("distance")).alias("distance"))
+
+
+_REACHED = """SELECT image_id, y * 8 + x AS root, x, y FROM {cells} UNION SELECT r.image_id, r.root, o.x, o.y FROM {name} r JOIN {cells} o ON o.image_id = r.image_id AND {near}"""
+
+
+@_query(
+    "WITH RECURSIVE "
+    + ",\n".join([
+        _MASK, "fore AS MATERIALIZED (SELECT image_id, x, y FROM mask WHERE v >= 0.5)", "back AS MATERIALIZED (SELECT image_id, x, y FROM mask WHERE v < 0.5)",
+        f"reach AS ({_REACHED.format(cells='fore', name='reach', near='abs(o.x - r.x) + abs(o.y - r.y) = 1')})", f"gap AS ({_REACHED.format(cells='back', name='gap', near='abs(o.x - r.x) <= 1 AND abs(o.y - r.y) <= 1')})",
+        "part AS (SELECT image_id, c, count(*) AS n FROM (SELECT image_id, x, y, min(root) AS c FROM reach GROUP BY ALL) GROUP BY ALL)",
+        "hole AS (SELECT image_id, c FROM (SELECT image_id, x, y, min(root) AS c FROM gap GROUP BY ALL) GROUP BY ALL HAVING min(x) > 0 AND max(x) < 7 AND min(y) > 0 AND max(y) < 7)",
+    ])
+    + """
+SELECT e.vec_id AS image_id, (SELECT count(*) FROM part p WHERE p.image_id = e.vec_id) AS components, coalesce((SELECT max(n) FROM part p WHERE p.image_id = e.vec_id), 0) AS largest, (SELECT count(*) FROM hole h WHERE h.image_id = e.vec_id) AS holes FROM embeddings e"""
+)
 def components_and_holes(spark, sf_dir):
     return kernels.topology(views.mask(spark, sf_dir))
 
