@@ -150,14 +150,18 @@ def smoothed_labels(assigned: DataFrame, costs: DataFrame, coherence: float = 16
     def run(key: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by([("y", "ascending"), ("x", "ascending")])
         labels = _grid(table, "ord", 0).astype(int)
-        cost = np.array(table.column("costs").to_pylist()).reshape(*labels.shape, -1)
+        values = np.array(table.column("costs").to_pylist())
+        cost = np.zeros((*labels.shape, values.shape[1]))
+        cost[table.column("y").to_numpy(), table.column("x").to_numpy()] = values
         for _ in range(sweeps):
             moved = False
             for y in range(labels.shape[0]):
                 for x in range(labels.shape[1]):
+                    if not labels[y, x]:
+                        continue  # outside
                     energy = cost[y, x].copy()
                     for dy, dx in ((-1, 0), (1, 0), (0, -1), (0, 1)):
-                        if 0 <= y + dy < labels.shape[0] and 0 <= x + dx < labels.shape[1]:
+                        if 0 <= y + dy < labels.shape[0] and 0 <= x + dx < labels.shape[1] and labels[y + dy, x + dx]:
                             energy += coherence
                             energy[labels[y + dy, x + dx] - 1] -= coherence
                     best = int(energy.argmin()) + 1
@@ -165,8 +169,8 @@ def smoothed_labels(assigned: DataFrame, costs: DataFrame, coherence: float = 16
                     labels[y, x] = best
             if not moved:
                 break
-        y, x = np.mgrid[: labels.shape[0], : labels.shape[1]]
-        return pa.table({"image_id": pa.array([key[0].as_py()] * labels.size, pa.int64()), "x": pa.array(x.ravel().astype(np.int32)), "y": pa.array(y.ravel().astype(np.int32)), "ord": pa.array(labels.ravel().astype(np.int32))})
+        y, x = np.nonzero(labels)
+        return pa.table({"image_id": pa.array([key[0].as_py()] * len(x), pa.int64()), "x": pa.array(x.astype(np.int32)), "y": pa.array(y.astype(np.int32)), "ord": pa.array(labels[y, x].astype(np.int32))})
 
     both = assigned.join(costs, ["image_id", "x", "y"]).select("image_id", "x", "y", "ord", "costs")
     return both.groupBy("image_id").applyInArrow(run, "image_id long, x int, y int, ord int")

@@ -160,7 +160,12 @@ def boundary_agreement(pixels: DataFrame, assigned: DataFrame) -> DataFrame:
 
 
 def greedy_palette(pixels: DataFrame, palette: list[dict], k: int, metric=color.delta_e76) -> DataFrame:
-    """image_id, ords (sorted): k colours added one by one, each the one that lowers the summed distance most.
+    """image_id, ords (sorted): the k colours that `greedy_order` adds first."""
+    return greedy_order(pixels, palette, k, metric).select("image_id", F.array_sort("ords").alias("ords"))
+
+
+def greedy_order(pixels: DataFrame, palette: list[dict], k: int, metric=color.delta_e76) -> DataFrame:
+    """image_id, ords: k colours added one by one, each the one that lowers the summed distance most.
 
     Distances weigh by the column weight, if there; ties go to the smaller ord. An image's distances are one matrix in its
     group (at most 9,216 cells by MOST_COLORS), so that the plan doesn't grow with k.
@@ -181,7 +186,7 @@ def greedy_palette(pixels: DataFrame, palette: list[dict], k: int, metric=color.
             i = int(np.lexsort((ords, cost))[0])
             picked.append(i)
             best = np.minimum(best, d[i])
-        return pa.table({"image_id": pa.array([key[0].as_py()], pa.int64()), "ords": pa.array([sorted(ords[picked].tolist())], pa.list_(pa.int32()))})
+        return pa.table({"image_id": pa.array([key[0].as_py()], pa.int64()), "ords": pa.array([ords[picked].tolist()], pa.list_(pa.int32()))})
 
     return rows.groupBy("image_id").applyInArrow(chosen, "image_id long, ords array<int>")
 

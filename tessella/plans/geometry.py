@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessella.functions import scalars
-from tessella.operators import resize
-from tessella.plans.registry import query, r4, sql_r4
+from tessella.operators import generate, resize
+from tessella.plans.registry import PALETTE, e2000_ctes, lab_ctes, query, r4, sql_r4
+from tessella.sources import views
 
 # Frames of any size, one for each part; the text holds in both engines.
 FRAME = """SELECT p_partkey AS id, CAST(20 + p_partkey % 50 AS INT) AS width, CAST(15 + p_partkey * 7 % 60 AS INT) AS height, p_partkey * 3 % 40 - 5.5e0 AS cx, p_partkey % 30 - 3.25e0 AS cy, p_partkey % 45 + 2.5e0 AS cw, p_partkey % 33 + 1.75e0 AS ch,
@@ -101,6 +102,50 @@ def resize_fit(spark, sf_dir):
     return resize.resized(frames, pixels)
 
 
+# Patterns from images of any size.
+
+_A0 = generate.Options(((3, 4), (5, 4)), max_colors=3, baseline="a0", most=5)
+
+
+def _a0_sql(k: int) -> str:
+    """The plain baseline: nearest pixels, k colours by summed distance, each cell's nearest of these, and measures."""
+    source = _RESIZE[: _RESIZE.index("SELECT c.image_id, c.gx AS x")]
+    frames = _IMAGE.replace("CAST(2 + label % 9 AS INT) AS tw, CAST(3 + label % 7 AS INT) AS th, CASE vec_id % 3 WHEN 0 THEN 'nearest' WHEN 1 THEN 'bilinear' ELSE 'area' END AS method FROM embeddings", "w_ AS tw, 4 AS th, 'nearest' AS method FROM embeddings, (VALUES (3), (5)) s(w_)")
+    source = source.replace(_IMAGE, frames).replace("SELECT image_id, gx, gy, width", "SELECT image_id, tw, gx, gy, width").replace("tap AS (SELECT image_id, gx", "tap AS (SELECT image_id, tw, gx").replace("mixed AS (SELECT t.image_id, gx, gy", "mixed AS (SELECT t.image_id, tw, gx, gy")
+    ctes = [
+        source.rstrip(), "pixel AS MATERIALIZED (SELECT image_id * 2 + CASE tw WHEN 3 THEN 0 ELSE 1 END AS image_id, gx AS x, gy AS y, r, g, b FROM mixed)", PALETTE, lab_ctes("pixel", "pl"), lab_ctes("palette", "cl"),
+        "d AS MATERIALIZED (SELECT p.image_id, p.x, p.y, c.ord, sqrt(pow(p.l-c.l,2)+pow(p.la-c.la,2)+pow(p.lb-c.lb,2)) AS d FROM pl p, cl c)", "best0 AS (SELECT image_id, x, y, CAST('inf' AS DOUBLE) AS b FROM pl)", "chosen0 AS (SELECT image_id, CAST([] AS INT[]) AS ords FROM pl GROUP BY image_id)",
+    ]
+    for i in range(k):
+        ctes.append(f"pick{i} AS MATERIALIZED (SELECT image_id, ord FROM (SELECT image_id, ord, row_number() OVER (PARTITION BY image_id ORDER BY round(sum(least(d, b)), 6), ord) AS nth FROM d JOIN best{i} USING (image_id, x, y) JOIN chosen{i} USING (image_id) WHERE NOT list_contains(ords, ord) GROUP BY image_id, ord) WHERE nth = 1)")
+        ctes.append(f"chosen{i + 1} AS MATERIALIZED (SELECT image_id, list_append(ords, ord) AS ords FROM chosen{i} JOIN pick{i} USING (image_id))")
+        ctes.append(f"best{i + 1} AS MATERIALIZED (SELECT image_id, x, y, least(b, d) AS b FROM best{i} JOIN pick{i} USING (image_id) JOIN d USING (image_id, x, y, ord))")
+    ctes += [
+        f"assigned AS MATERIALIZED (SELECT image_id, x, y, ord FROM (SELECT p.image_id, p.x, p.y, c.ord, row_number() OVER (PARTITION BY p.image_id, p.x, p.y ORDER BY (p.r-c.r)*(p.r-c.r)+(p.g-c.g)*(p.g-c.g)+(p.b-c.b)*(p.b-c.b), c.ord) AS nth FROM pixel p JOIN chosen{k} USING (image_id) JOIN palette c ON list_contains(ords, c.ord)) WHERE nth = 1)",
+        "pairs AS (SELECT a.image_id, p.l AS l1, p.la AS a1, p.lb AS b1, c.l AS l2, c.la AS a2, c.lb AS b2 FROM assigned a JOIN pl p USING (image_id, x, y) JOIN cl c USING (ord))", e2000_ctes("pairs", "far"), "mean_ AS (SELECT image_id, avg(distance) AS plan FROM far GROUP BY image_id)",
+        "counts AS (SELECT image_id, count(*) AS cells, count(DISTINCT ord) AS colors FROM assigned GROUP BY image_id)",
+    ]
+    return ",\n".join(ctes).replace(",,", ",") + f"\nSELECT image_id // 2 AS image_id, CASE image_id % 2 WHEN 0 THEN '3x4' ELSE '5x4' END AS size, 'faithful' AS style, cells, colors, {sql_r4('plan')} AS plan FROM counts JOIN mean_ USING (image_id)"
+
+
+def _generated(spark, sf_dir, options):
+    frames, pixels = _images(spark, sf_dir)
+    return generate.candidates(frames.drop("tw", "th", "method"), pixels, views.palette(spark, sf_dir), options)
+
+
+@query(_a0_sql(3))
+def generate_candidates(spark, sf_dir):
+    """The plain baseline on two canvases: cells, colours and mean distance of each candidate."""
+    out = _generated(spark, sf_dir, _A0)[1]
+    return out.select("image_id", "size", "style", "cells", "colors", r4(F.col("plan")).alias("plan"))
+
+
+@query()
+def generate_ranked(spark, sf_dir):
+    """The plain baseline on two canvases, candidates scored and ranked."""
+    return generate.ranked(_generated(spark, sf_dir, _A0)[1], _A0)
+
+
 # Texts at the engine's borders.
 
 TEXTS = """SELECT doc_id AS id, CASE doc_id % 6 WHEN 0 THEN concat('https://host', CAST(doc_id AS VARCHAR(9)), '/mask/') WHEN 1 THEN 'ftp://host/x' WHEN 2 THEN 'http://user:pw@host/' WHEN 3 THEN 'http://host:8080' WHEN 4 THEN 'host/x' ELSE 'HTTPS://Host/a//' END AS endpoint,

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions import color, scalars
-from tessella.operators import editing, gate, kernels, protocol, raster
+from tessella.operators import editing, gate, generate, kernels, protocol, raster
 from tessella.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -162,3 +162,16 @@ def test_sample_order_numbers_rows_by_ranges(spark):
     assert [r.image_id for r in sorted(rows, key=lambda r: r.position)] == ordered and sorted(r.position for r in rows) == list(range(1, len(ids) + 1))
     plan = gate.sample_order(spark.range(9).withColumnRenamed("id", "image_id"), "x")._jdf.queryExecution().optimizedPlan().toString()
     assert "row_number() windowspecdefinition(range" in plan
+
+
+def test_a_red_and_blue_image_keeps_its_halves(spark):
+    frames = spark.createDataFrame([(7, 8, 8, 0.0, 0.0, 8.0, 8.0)], "image_id long, width int, height int, cx double, cy double, cw double, ch double")
+    pixels = spark.createDataFrame([(7, x, y, *((255, 0, 0) if x < 4 else (0, 0, 255)), 255) for x in range(8) for y in range(8)], "image_id long, x int, y int, r int, g int, b int, a int")
+    palette = spark.createDataFrame([(1, 0, 0, 255), (2, 255, 0, 0), (3, 0, 255, 0)], "ord int, r int, g int, b int")
+    for baseline in ("a0", "a1", "mvp"):
+        options = generate.Options(((4, 4),), ("faithful",), max_colors=2, baseline=baseline)
+        cells, measures = generate.candidates(frames, pixels, palette, options)
+        assert {(r.x, r.ord) for r in cells.collect()} == {(0, 2), (1, 2), (2, 1), (3, 1)}
+        row = measures.first()
+        assert (row.image_id, row.cells, row.colors, row.isolated, row.stripes) == (7, 16, 2, 0, 0) and row.plan < 1e-6
+        assert [r.status for r in generate.ranked(measures, options).collect()] == ["success"]
