@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -126,3 +127,35 @@ def weighted_rgb_distance(a: tuple[Column, ...], b: tuple[Column, ...]) -> Colum
 def composited(channel: Column, alpha: Column, background: Column) -> Column:
     """alpha in 0..255."""
     return rounded(channel * alpha / 255.0 + background * (1 - alpha / 255.0))
+
+
+# Whole palettes: distances of many colours to many, for kernels over Arrow batches
+
+
+def e76_matrix(own: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Distance of each row (l, a, b) of own to each of others."""
+    return np.sqrt(((own[:, None] - others[None]) ** 2).sum(axis=2))
+
+
+def e2000_matrix(own: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """CIEDE2000 with unit weights of each row (l, a, b) of own to each of others; as `delta_e2000`, some hundred times faster."""
+    cos = lambda d: np.cos(np.radians(d))
+    high = lambda c: np.sqrt(c**7 / (c**7 + 25.0**7))
+    (l1, a1, b1), (l2, a2, b2) = (m.T[(slice(None), *at)] for m, at in ((own, np.s_[:, None]), (others, np.s_[None, :])))
+    grow = 1.5 - 0.5 * high((np.hypot(a1, b1) + np.hypot(a2, b2)) / 2)
+    a1, a2 = a1 * grow, a2 * grow
+    c1, c2 = np.hypot(a1, b1), np.hypot(a2, b2)
+    h1, h2 = (np.degrees(np.arctan2(b, a)) % 360 for a, b in ((a1, b1), (a2, b2)))
+    gray, gap, total = c1 * c2 == 0, h2 - h1, h1 + h2
+    turn = np.where(gray, 0, np.where(np.abs(gap) <= 180, gap, np.where(gap > 0, gap - 360, gap + 360)))
+    h = np.where(gray, total, np.where(np.abs(gap) <= 180, total / 2, np.where(total < 360, (total + 360) / 2, (total - 360) / 2)))
+    c, fifty = (c1 + c2) / 2, ((l1 + l2) / 2 - 50) ** 2
+    t = 1 - 0.17 * cos(h - 30) + 0.24 * cos(2 * h) + 0.32 * cos(3 * h + 6) - 0.2 * cos(4 * h - 63)
+    rotation = -2 * high(c) * np.sin(np.radians(60 * np.exp(-(((h - 275) / 25) ** 2))))
+    dl, dc = (l2 - l1) / (1 + 0.015 * fifty / np.sqrt(20 + fifty)), (c2 - c1) / (1 + 0.045 * c)
+    dh = 2 * np.sqrt(c1 * c2) * np.sin(np.radians(turn / 2)) / (1 + 0.015 * c * t)
+    return np.sqrt(np.maximum(dl * dl + dc * dc + dh * dh + rotation * dc * dh, 0))
+
+
+#: By metric: the matrix of distances.
+MATRICES = {"delta-e-76": e76_matrix, "delta-e-2000": e2000_matrix}

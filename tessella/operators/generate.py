@@ -92,14 +92,14 @@ def _settled(df: DataFrame) -> DataFrame:
 def _assigned(styled: DataFrame, colors: list[dict], metric: str, limit, rgb: bool) -> DataFrame:
     """Each cell's nearest among its candidate's chosen colours."""
     most = max(1, len(colors))
-    distance = color.delta_e76 if metric == "delta-e-76" else color.delta_e2000
-    ranks = raster.greedy_order(styled.select("image_id", "x", "y", *"rgb"), colors, most, distance)
+    ranks = raster.greedy_order(styled.select("image_id", "x", "y", *"rgb"), colors, most, metric)
     chosen = ranks.select("image_id", F.when(limit >= len(colors), F.array(*(F.lit(p["ord"]) for p in colors))).otherwise(F.slice("ords", 1, limit)).alias("chosen"))
-    labs = F.array(*(F.struct(*(F.lit(float(p["lab"][k])).alias(k) for k in ("l", "a", "b")), *(F.lit(p[c]).alias(f"c{c}") for c in "rgb"), F.lit(p["ord"]).alias("ord")) for p in colors))
-    square = lambda c: sum((F.col(k) - c[f"c{k}"]) * (F.col(k) - c[f"c{k}"]) for k in "rgb")
-    near = lambda c: F.struct((square(c).cast("double") if rgb else distance(F.col("lab"), c)).alias("d"), c["ord"].alias("ord"))
     both = styled.withColumn("lab", color.lab(*map(F.col, "rgb"))).join(chosen, "image_id")
-    best = F.array_min(F.transform(F.filter(labs, lambda c: F.array_contains("chosen", c["ord"])), near))
+    if not rgb:
+        return raster.nearest(both, colors, metric)
+    known = F.array(*(F.struct(*(F.lit(p[c]).alias(f"c{c}") for c in "rgb"), F.lit(p["ord"]).alias("ord")) for p in colors))
+    square = lambda c: sum((F.col(k) - c[f"c{k}"]) * (F.col(k) - c[f"c{k}"]) for k in "rgb")
+    best = F.array_min(F.transform(F.filter(known, lambda c: F.array_contains("chosen", c["ord"])), lambda c: F.struct(square(c).cast("double").alias("d"), c["ord"].alias("ord"))))
     return both.select("image_id", "x", "y", best["ord"].alias("ord"))
 
 

@@ -6,6 +6,8 @@ images are independent, so all shuffles are by image.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -131,11 +133,37 @@ def assign_nearest(pixels: DataFrame, palette: list[dict], metric: str = "rgb")
         square = lambda c, p: (F.col(c) - p[c]) * (F.col(c) - p[c])
         best = F.least(*(F.struct((square("r", p) + square("g", p) + square("b", p)).cast("double").alias("d"), F.lit(p["ord"]).alias("ord")) for p in palette))
         return pixels.select(*CELL, best["ord"].alias("ord"))
-    own = pixels.select(*CELL, color.lab(*map(F.col, "rgb")).alias("lab"))
-    distance = color.delta_e76 if metric == "delta-e-76" else color.delta_e2000
-    colors = F.array(*(F.struct(*(F.lit(float(p["lab"][k])).alias(k) for k in ("l", "a", "b")), F.lit(p["ord"]).alias("ord")) for p in palette))
-    best = F.array_min(F.transform(colors, lambda c: F.struct(distance(F.col("lab"), c).alias("d"), c["ord"].alias("ord"))))
-    return own.select(*CELL, best["ord"].alias("ord"))
+    return nearest(pixels.select(*CELL, color.lab(*map(F.col, "rgb")).alias("lab")), palette, metric)
+
+
+def palette_labs(palette: list[dict]) -> np.ndarray:
+    return np.array([[p["lab"][k] for k in ("l", "a", "b")] for p in palette], np.float64).reshape(-1, 3)
+
+
+def nearest(cells: DataFrame, palette: list[dict], metric: str) -> DataFrame:
+    """image_id, x, y, ord: the nearest colour to each cell's lab, ties to the smaller ord; among its ords in chosen, if there.
+
+    A batch's distances to the whole palette are one matrix (at most MOST_COLORS wide), without a shuffle.
+    """
+    palette = sorted(palette, key=lambda p: p["ord"])
+    ords, labs, distances = np.array([p["ord"] for p in palette], np.int64), palette_labs(palette), color.MATRICES[metric]
+    limited = "chosen" in cells.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("l", "a", "b")], axis=1)
+            far = distances(own, labs)
+            if limited:
+                lists = batch.column("chosen")
+                allowed = np.zeros(far.shape, bool)
+                rows = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+                allowed[rows, np.searchsorted(ords, lists.flatten().to_numpy())] = True
+                far[~allowed] = np.inf
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in CELL), pa.array(ords[far.argmin(axis=1)], pa.int32())], names=[*CELL, "ord"])
+
+    flat = cells.select(*CELL, "lab.l", "lab.a", "lab.b", *(["chosen"] if limited else []))
+    schema = cells.select(*CELL).withColumn("ord", F.lit(0)).schema
+    return flat.mapInArrow(run, schema)
 
 
 def material_counts(assigned: DataFrame) -> DataFrame:
@@ -159,25 +187,24 @@ def boundary_agreement(pixels: DataFrame, assigned: DataFrame) -> DataFrame:
     return pairs.where("n.o is not null").groupBy("image_id").agg(F.avg(agrees.cast("double")).alias("agreement"))
 
 
-def greedy_palette(pixels: DataFrame, palette: list[dict], k: int, metric=color.delta_e76) -> DataFrame:
+def greedy_palette(pixels: DataFrame, palette: list[dict], k: int, metric: str = "delta-e-76") -> DataFrame:
     """image_id, ords (sorted): the k colours that `greedy_order` adds first."""
     return greedy_order(pixels, palette, k, metric).select("image_id", F.array_sort("ords").alias("ords"))
 
 
-def greedy_order(pixels: DataFrame, palette: list[dict], k: int, metric=color.delta_e76) -> DataFrame:
+def greedy_order(pixels: DataFrame, palette: list[dict], k: int, metric: str = "delta-e-76") -> DataFrame:
     """image_id, ords: k colours added one by one, each the one that lowers the summed distance most.
 
     Distances weigh by the column weight, if there; ties go to the smaller ord. An image's distances are one matrix in its
     group (at most 9,216 cells by MOST_COLORS), so that the plan doesn't grow with k.
     """
-    labs = F.array(*(F.struct(*(F.lit(float(p["lab"][c])).alias(c) for c in ("l", "a", "b"))) for p in palette))
     weight = F.col("weight") if "weight" in pixels.columns else F.lit(1.0)
-    rows = pixels.select(*CELL, F.transform(labs, lambda c: metric(color.lab(*map(F.col, "rgb")), c)).alias("d"), weight.cast("double").alias("weight"))
-    ords = np.array([p["ord"] for p in palette])
+    rows = pixels.select(*CELL, color.lab(*map(F.col, "rgb")).alias("lab"), weight.cast("double").alias("weight")).select(*CELL, "lab.*", "weight")
+    ords, labs, distances = np.array([p["ord"] for p in palette]), palette_labs(palette), color.MATRICES[metric]
 
     def chosen(key: tuple, group: pa.Table) -> pa.Table:
         group = group.sort_by([("y", "ascending"), ("x", "ascending")])
-        d = group.column("d").combine_chunks().flatten().to_numpy().reshape(group.num_rows, len(ords)).T
+        d = distances(np.stack([group.column(c).to_numpy() for c in ("l", "a", "b")], axis=1), labs).T
         w, best = group.column("weight").to_numpy(), np.full(group.num_rows, np.inf)
         picked: list[int] = []
         for _ in range(min(k, len(ords))):
