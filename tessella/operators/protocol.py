@@ -107,7 +107,12 @@ def replayed(events: DataFrame, ranges: int | None = None) -> DataFrame:
     """attempt_id, stage (of the last event that was taken), acceptable (the first verdict) and error (why the next was refused, if one was)."""
     log = stage_maps(events, ranges).groupBy("attempt_id").agg(F.array_sort(F.collect_list(F.struct("ord", "symbol", "reached"))).alias("log"))  # one element a range
     last = F.aggregate("log", F.lit(0), lambda at, e: F.when(at < len(STAGES), F.element_at(e["reached"], F.least(at, F.lit(len(STAGES) - 1)) + 1)).otherwise(at))
-    ended = log.select("attempt_id", last.alias("at"))
+    return named(log.select("attempt_id", last.alias("at")))
+
+
+def named(ended: DataFrame) -> DataFrame:
+    """ended with stage, rated and error instead of at, the number of a stage or of an attempt that an error ended."""
     stage = F.element_at(F.array(*map(F.lit, STAGES)), F.col("at") % len(STAGES) + 1)
     error = F.element_at(F.array(F.lit(None).cast("string"), *map(F.lit, ERRORS)), F.floor(F.col("at") / len(STAGES)).cast("int") + 1)
-    return ended.select("attempt_id", F.split(stage, "/")[0].alias("stage"), F.when(stage == OK, True).when(stage == FAILED, False).alias("rated"), error.alias("error"))
+    rest = [c for c in ended.columns if c not in ("attempt_id", "at")]
+    return ended.select("attempt_id", F.split(stage, "/")[0].alias("stage"), F.when(stage == OK, True).when(stage == FAILED, False).alias("rated"), error.alias("error"), *rest)

@@ -4,9 +4,12 @@ import hashlib
 import json
 import struct
 import zlib
+from time import sleep
 
 from pyspark.sql import functions as F
 
+from tessella.operators import protocol as batch_protocol
+from tessella.plans import attempts
 from tessella.sources import files
 from tessella.streaming import protocol
 
@@ -50,3 +53,18 @@ def test_stream_counts_equal_batch_counts(spark, tmp_path):
     run.stop()
     batch = events.groupBy(F.window("ts", "1 day").start.alias("start"), "event_type").count()
     assert {tuple(r) for r in spark.table("counted").collect()} == {tuple(r) for r in batch.collect()}
+
+
+def test_stream_replay_equals_batch_replay(spark, tmp_path):
+    events = attempts._lines(spark, "/root/testdata/sf0.001").withColumn("time", (F.col("attempt_id") % 1000 + 1_700_000_000).cast("timestamp")).where("attempt_id % 20 < 3").cache()
+    for part in (F.col("ord") <= 2, F.col("ord") > 2):  # the triggers
+        events.where(part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        sleep(1.1)  # files are taken by their time
+    stream = protocol.replayed(spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), "time")
+    run = stream.writeStream.format("memory").queryName("replayed").outputMode("update").option("checkpointLocation", str(tmp_path / "state")).start()
+    run.processAllAvailable()
+    run.stop()
+    got = {}
+    for r in sorted(spark.table("replayed").collect(), key=lambda r: r.events):
+        got[r.attempt_id] = (r.stage, r.rated, r.error)
+    assert got == {r.attempt_id: (r.stage, r.rated, r.error) for r in batch_protocol.replayed(events).collect()} and len({v[0] for v in got.values()}) > 3
