@@ -689,4 +689,4 @@ def mask_contours(spark, sf_dir):
 
 
 # Modules that register further queries.
-from tessella.plans import attempts, evidence, geometry, identity, sessions  # noqa: E402, F401
+from tessella.plans import attempts, checks, evidence, geometry, identity, sessions  # noqa: E402, F401
