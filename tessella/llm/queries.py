@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import impact_index, licenses, lines, ordinal, packing, pseudonyms, raking, setsketch, sharding, weak_labels
+from tessella.llm import byte_bpe, hard_negatives, impact_index, licenses, lines, ordinal, packing, pseudonyms, raking, runs, setsketch, sharding, weak_labels
 
 
 #: Fixed, so that the query can be compared from run to run; a production run passes a secret key.
@@ -59,6 +59,18 @@ def op10_patience_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_dedup_report(_documents(spark, sf_dir))
 
 
+def op11_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_report(runs.planted_periods(_documents(spark, sf_dir)))
+
+
+def op12_ball_tree_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(hard_negatives.moved_labels(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.round_trip(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ordinal_toxicity": op1_ordinal_toxicity,
     "op2_feistel_pseudonyms": op2_feistel_pseudonyms,
@@ -70,9 +82,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_automaton_licenses": op8_suffix_automaton_licenses,
     "op9_sampled_splitters": op9_sampled_splitters,
     "op10_patience_line_dedup": op10_patience_line_dedup,
+    "op11_word_runs": op11_word_runs,
+    "op12_ball_tree_negatives": op12_ball_tree_negatives,
+    "op13_byte_bpe": op13_byte_bpe,
 }
 
 ORACLES: dict[str, str] = {
     "op4_impact_top_k": impact_index.top_k_sql(),
     "op5_raked_mixture": raking.mixing_sql(),
+    "op12_ball_tree_negatives": hard_negatives.negatives_sql(),
 }
