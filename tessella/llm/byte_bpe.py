@@ -37,7 +37,9 @@ CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 #: From here on no plane of Unicode has letters, numbers or white space (tags, selectors, private use, or nothing).
 LAST_KIND = 0x40000
 #: Pieces whose ids a worker keeps; beyond it starts anew.
-MEMO = 400_000
+MEMO = 200_000
+#: Ids that are decoded together.
+SLICE_IDS = 1 << 20
 
 
 def byte_characters() -> list[str]:
@@ -100,6 +102,38 @@ def piece_starts(points: np.ndarray, kinds: np.ndarray, rows: np.ndarray) -> np.
     return start[:n]
 
 
+def read_ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as lines:
+        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+
+
+class TokenBytes:
+    """The byte table in reverse: the bytes of all tokens, one after another, and where each token's are."""
+
+    def __init__(self, rank_of: dict[bytes, int]) -> None:
+        by_id = {r: t for t, r in rank_of.items()}
+        count = max(by_id) + 1
+        self.known = np.array([i in by_id for i in range(count)])
+        self.sizes = np.array([len(by_id.get(i, b"")) for i in range(count)], np.int64)
+        self.places = np.concatenate([[0], np.cumsum(self.sizes)])
+        self.bytes = np.frombuffer(b"".join(by_id.get(i, b"") for i in range(count)), np.uint8)
+
+    def decode(self, ids: pa.ListArray) -> list[bytes | None]:
+        """The bytes of each list of ids."""
+        rows, flat = ids.offsets.to_numpy(), ids.values
+        rows, flat = rows - rows[0], flat.slice(int(rows[0]), int(rows[-1] - rows[0]))
+        numbers = pc.fill_null(flat, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        sound = (numbers >= 0) & (numbers < len(self.known))
+        sound[sound] = self.known[numbers[sound]]
+        numbers = np.where(sound, numbers, 0)
+        sizes = np.where(sound, self.sizes[numbers], 0)
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        joined = self.bytes[np.repeat(self.places[numbers] - ends[:-1], sizes) + np.arange(ends[-1])].tobytes()
+        wrong = np.concatenate([[0], np.cumsum(~sound)])
+        spans = zip(ends[rows[:-1]].tolist(), ends[rows[1:]].tolist(), (wrong[rows[1:]] > wrong[rows[:-1]]).tolist(), ids.is_valid().to_pylist(), strict=True)
+        return [joined[a:b] if valid and not bad else None for a, b, bad, valid in spans]
+
+
 class ByteBpe:
     """Ids of texts under a file of ranks, and their bytes."""
 
@@ -107,8 +141,7 @@ class ByteBpe:
         from tokenizers import Tokenizer, models, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        with open(ranks, "rb") as lines:
-            rank_of = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        rank_of = read_ranks(ranks)
         character = byte_characters()
         written = {token: "".join([character[b] for b in token]) for token in rank_of}
         pairs = (merged_parts(token, rank_of) for token in sorted(rank_of, key=rank_of.get) if len(token) > 1)
@@ -116,13 +149,7 @@ class ByteBpe:
         self.tokenizer = Tokenizer(models.BPE({written[t]: r for t, r in rank_of.items()}, merges, ignore_merges=True))
         self.tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.kinds = character_kinds()
-        # The byte table in reverse: the bytes of all tokens, one after another, and where each token's are.
-        by_id = {r: t for t, r in rank_of.items()}
-        count = max(by_id) + 1
-        self.known = np.array([i in by_id for i in range(count)])
-        self.sizes = np.array([len(by_id.get(i, b"")) for i in range(count)], np.int64)
-        self.places = np.concatenate([[0], np.cumsum(self.sizes)])
-        self.bytes = np.frombuffer(b"".join(by_id.get(i, b"") for i in range(count)), np.uint8)
+        self.sizes = TokenBytes(rank_of).sizes
         self._forget()
 
     def _forget(self) -> None:
@@ -143,8 +170,8 @@ class ByteBpe:
             self.merged = np.concatenate([self.merged, ids])
         return np.fromiter(map(self.number.__getitem__, pieces), np.int64, len(pieces))
 
-    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(first token of each row and the end, ids, first characters, ends) of a string column; characters count from the row's first."""
+    def encode(self, column: pa.Array, offsets: bool = True) -> tuple[np.ndarray, ...]:
+        """(first token of each row and the end, ids) of a string column, and with offsets (first characters, ends), counted from the row's first."""
         rows, raw = text_bytes(column)
         octets = np.frombuffer(raw, np.uint8)
         heads = np.flatnonzero((octets & 0xC0) != 0x80)  # bytes at which characters start
@@ -161,24 +188,12 @@ class ByteBpe:
         stop = np.cumsum(self.sizes[ids])
         token_rows = np.searchsorted(stop, rows, side="right")
         token_rows[0] = 0
+        if not offsets:
+            return token_rows, ids
         character = np.cumsum((octets & 0xC0) != 0x80) - 1
         base = np.repeat(row_chars[:-1], np.diff(token_rows))
         return token_rows, ids, character[stop - self.sizes[ids]] - base, character[stop - 1] + 1 - base
 
-    def decode(self, ids: pa.ListArray) -> list[bytes | None]:
-        """The bytes of each list of ids."""
-        rows, flat = ids.offsets.to_numpy(), ids.values
-        numbers = pc.fill_null(flat, -1).to_numpy(zero_copy_only=False).astype(np.int64)
-        sound = (numbers >= 0) & (numbers < len(self.known))
-        sound[sound] = self.known[numbers[sound]]
-        numbers = np.where(sound, numbers, 0)
-        sizes = np.where(sound, self.sizes[numbers], 0)
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        joined = self.bytes[np.repeat(self.places[numbers] - ends[:-1], sizes) + np.arange(ends[-1])].tobytes()
-        wrong = np.concatenate([[0], np.cumsum(~sound)])
-        spans = zip(ends[rows[:-1]].tolist(), ends[rows[1:]].tolist(), (wrong[rows[1:]] > wrong[rows[:-1]]).tolist(), ids.is_valid().to_pylist(), strict=True)
-        return [joined[a:b] if valid and not bad else None for a, b, bad, valid in spans]
-
 
 @lru_cache(maxsize=2)
 def model(ranks: str) -> ByteBpe:
@@ -186,6 +201,12 @@ def model(ranks: str) -> ByteBpe:
     return ByteBpe(ranks)
 
 
+@lru_cache(maxsize=2)
+def token_bytes(ranks: str) -> TokenBytes:
+    """One for each Python worker."""
+    return TokenBytes(read_ranks(ranks))
+
+
 def _ranks(path: str | None) -> str:
     if path:
         return path
@@ -194,6 +215,16 @@ def _ranks(path: str | None) -> str:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def id_slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Cut a batch into runs of rows that hold about `SLICE_IDS` ids; one longer list is a run of its own."""
+    upto = np.cumsum(pc.fill_null(pc.list_value_length(batch.column("ids")), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < batch.num_rows:
+        stop = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + SLICE_IDS, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def encoded(docs: DataFrame, ranks: str | None = None, offsets: bool = True) -> DataFrame:
     """doc_id and ids of each row, and, if asked for, the first and end characters of each id as starts and ends."""
     ranks = _ranks(ranks)
@@ -202,8 +233,8 @@ def encoded(docs: DataFrame, ranks: str | None = None, offsets: bool = True) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch):
-                rows, *found = model(ranks).encode(part.column("text"))
-                values = [pa.ListArray.from_arrays(pa.array(rows, pa.int32()), pa.array(v, pa.int32())) for v in found[: len(lists)]]
+                rows, *found = model(ranks).encode(part.column("text"), offsets)
+                values = [pa.ListArray.from_arrays(pa.array(rows, pa.int32()), pa.array(v, pa.int32())) for v in found]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *values], names=["doc_id", *lists])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -216,9 +247,10 @@ def decoded(tokens: DataFrame, ranks: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = model(ranks).decode(batch.column("ids"))
-            texts = [None if b is None else b.decode(errors="replace") for b in found]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(found, pa.binary()), pa.array(texts, pa.string())], names=["doc_id", "ids", "octets", "text"])
+            for part in id_slices(batch):
+                found = token_bytes(ranks).decode(part.column("ids"))
+                texts = [None if b is None else b.decode(errors="replace") for b in found]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("ids"), pa.array(found, pa.binary()), pa.array(texts, pa.string())], names=["doc_id", "ids", "octets", "text"])
 
     ids = tokens.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids"))
     return ids.mapInArrow(run, "doc_id long, ids array<int>, octets binary, text string")
