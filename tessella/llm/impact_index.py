@@ -9,8 +9,8 @@ At each check the segments still ahead bound what a vector's unseen components c
 when that proves that at most `FEW` times k vectors can be among the best k, or when all segments are done. Possible members are
 rescored exactly, and the best k of the partitions are merged.
 
-Queries are every row whose id is divisible by `every`; they meet each partition in groups of at most
-`QUERY_ROWS`, so a task holds one partition and one group, whatever the table's size.
+Queries are every row whose id is divisible by `every`. A partition's index is built once and all queries stream past it, so a
+task holds one partition and one batch of queries, whatever the table's size.
 
 Defined results. Vectors that are null, empty, or hold null or non-finite components take no part, as query
 or candidate. Shorter vectors count as padded with zeros. A query's own row isn't its candidate; other rows of its id are, and
@@ -21,22 +21,21 @@ cut to its ends, behind the ranking. Empty table: no rows. Extra columns are ign
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import durable
+from tessella.llm.vectors import SCALE, cut, falling, matrix, padded, part_runs, past_parts, product, small_rows, sound_vectors, whole
 
-SCALE = 256
 PART_ROWS = 16_384
-QUERY_ROWS = 8_192
 LEVELS = 64
 #: Possible members are few if there are at most so many for each of the k.
 FEW = 16
 #: The bound is checked after these shares of all postings.
 CHECKS = (0.25, 0.5, 0.75, 0.875, 0.9375, 1.0)
-LONG = 2**63
 
 
 class ImpactIndex:
@@ -114,68 +113,73 @@ class ImpactIndex:
         return found
 
 
-def _whole(vector: np.ndarray) -> list[int]:
-    """The integers of a vector, exact at any size."""
-    return [int(np.floor(SCALE * x)) if abs(x) < 2.0**40 else SCALE * int(x) for x in vector.tolist()]
+class Part:
+    """The rows of one part: those of small components in an index, others beside it."""
+
+    def __init__(self, held: list[pa.RecordBatch]) -> None:
+        table = pa.Table.from_batches(held).combine_chunks()
+        self.ids, self.numbers = table.column("vec_id").to_numpy(), table.column("number").to_numpy()
+        self.rows = matrix(table.column("vector").combine_chunks())
+        small = small_rows(self.rows)
+        self.plain = np.flatnonzero(small)
+        self.huge = [(i, whole(self.rows[i])) for i in np.flatnonzero(~small).tolist()]
+        self._index()
+
+    def _index(self) -> None:
+        self.index = ImpactIndex(np.floor(SCALE * self.rows[self.plain])) if len(self.plain) else None
+
+    def best(self, query: np.ndarray, number: int, k: int, small: bool) -> list[tuple[int, int, int]]:
+        """(falling score, id, number) of the k best rows but the query's own."""
+        found: list[tuple[int, int, int]] = []
+        if len(query) > self.rows.shape[1]:
+            self.rows = padded(self.rows, len(query))
+            self._index()
+        if self.index is not None and small:
+            asked = np.zeros(self.rows.shape[1])
+            asked[: len(query)] = np.floor(SCALE * query)
+            rows = self.index.best(asked, k + 1)  # one may be the query itself
+            rows = rows[self.numbers[self.plain[rows]] != number]
+            scores = self.index.vectors[rows] @ asked
+            order = np.lexsort((self.numbers[self.plain[rows]], self.ids[self.plain[rows]], -scores))[:k]
+            found = [(-int(scores[i]), int(self.ids[self.plain[rows[i]]]), int(self.numbers[self.plain[rows[i]]])) for i in order.tolist()]
+        rest = self.huge if small else [*self.huge, *((i, whole(self.rows[i])) for i in self.plain.tolist())]
+        if rest:
+            asked = whole(query)
+            found += [(-product(asked, v), int(self.ids[i]), int(self.numbers[i])) for i, v in rest if self.numbers[i] != number]
+        return sorted(found)[:k]
 
 
 def _searched(k: int):
-    def run(group: pa.Table) -> pa.Table:
-        asked = group.column("is_query").to_numpy(zero_copy_only=False)
-        ids, numbers = group.column("vec_id").to_numpy(), group.column("number").to_numpy()
-        lists = group.column("vector").combine_chunks()
-        sizes = np.diff(lists.offsets.to_numpy())
-        matrix = np.zeros((len(ids), int(sizes.max())))
-        matrix[np.arange(matrix.shape[1])[None, :] < sizes[:, None]] = lists.flatten().to_numpy()
-        # Products of small components sum up exactly in doubles.
-        small = (np.abs(matrix) < (2.0**52 / matrix.shape[1]) ** 0.5 / SCALE).all(axis=1)
-        plain, large = np.flatnonzero(~asked & small), np.flatnonzero(~asked & ~small)
-        vectors = np.floor(SCALE * matrix[plain])
-        index = ImpactIndex(vectors) if len(plain) else None
-        huge = [(i, _whole(matrix[i])) for i in large.tolist()]
-        out: list[tuple[int, int, int, int, int]] = []
-        for q in np.flatnonzero(asked).tolist():
-            found: list[tuple[int, int, int, int]] = []  # falling score, id, row number
-            if len(plain) and small[q]:
-                query = np.floor(SCALE * matrix[q])
-                rows = index.best(query, k + 1)  # one may be the query itself
-                rows = rows[numbers[plain[rows]] != numbers[q]]
-                scores = vectors[rows] @ query
-                best = np.lexsort((numbers[plain[rows]], ids[plain[rows]], -scores))[:k]
-                found = [(-int(scores[i]), int(ids[plain[rows[i]]]), int(numbers[plain[rows[i]]])) for i in best.tolist()]
-            rest = huge if small[q] else [*huge, *((i, _whole(matrix[i])) for i in plain.tolist())]
-            if rest:
-                query = _whole(matrix[q])
-                found += [(-sum(a * b for a, b in zip(query, v, strict=True)), int(ids[i]), int(numbers[i])) for i, v in rest if numbers[i] != numbers[q]]
-            for score, i, number in sorted(found)[:k]:
-                out.append((int(ids[q]), int(numbers[q]), i, number, -score))
-        columns = [pa.array([x[c] for x in out], pa.int64()) for c in range(4)]
-        exact = [str(x[4]) for x in out]
-        return pa.table([*columns, pa.array([max(-LONG, min(LONG - 1, x[4])) for x in out], pa.int64()), pa.array(exact, pa.string())], names=["query_id", "query_number", "vec_id", "number", "score", "exact"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, own = None, [], None
+        for part, asked, rows in part_runs(batches):
+            if part != now:
+                now, held, own = part, [], None
+            if not asked:
+                held.append(rows)
+                continue
+            if not held:
+                continue  # a part without candidates
+            own = own or Part(held)
+            queries = matrix(rows.column("vector"))
+            small = small_rows(queries)
+            out = []
+            for q, (i, number) in enumerate(zip(rows.column("vec_id").to_pylist(), rows.column("number").to_pylist(), strict=True)):
+                out += [(i, number, v, n, cut(-less), str(-less)) for less, v, n in own.best(queries[q], number, k, bool(small[q]))]
+            names = ["query_id", "query_number", "vec_id", "number", "score", "exact"]
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.string() if c == 5 else pa.int64()) for c in range(6)], names=names)
 
     return run
 
 
 def exact_top_k(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     """query_id, rank, vec_id and score of the k best candidates of each query."""
-    x = F.transform("embedding", lambda v: v.cast("double"))
-    sound = F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) < float("inf")))
-    whole = durable(vectors.where(sound).select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("vector"), F.monotonically_increasing_id().alias("number")))
-    counts = whole.agg(F.count("*").alias("n"), F.count(F.when(F.col("vec_id") % every == 0, 1)).alias("asked")).first()
-    parts, groups = max(1, -(-counts["n"] // PART_ROWS)), max(1, -(-counts["asked"] // QUERY_ROWS))
-    spread = lambda count, seed: F.pmod(F.xxhash64("number", F.lit(seed)), F.lit(count)).cast("int")
-    numbers = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    candidates = whole.select("vec_id", "number", "vector", F.lit(False).alias("is_query"), spread(parts, 1).alias("part"), numbers(groups).alias("group"))
-    queries = whole.where(F.col("vec_id") % every == 0).select("vec_id", "number", "vector", F.lit(True).alias("is_query"), numbers(parts).alias("part"), spread(groups, 2).alias("group"))
+    rows = sound_vectors(vectors)
+    parts = max(1, -(-rows.count() // PART_ROWS))
     schema = "query_id long, query_number long, vec_id long, number long, score long, exact string"
-    found = candidates.union(queries).groupBy("part", "group").applyInArrow(_searched(k), schema)
-    # Scores cut to a long's ends are told apart by their digits: more of them, or later ones, are larger beyond zero.
-    size = F.when(F.col("score").isin(LONG - 1, -LONG), F.when(F.col("score") > 0, 1).otherwise(-1) * F.length("exact")).otherwise(F.lit(0))
-    digits = F.when(F.col("score") == LONG - 1, F.col("exact")).otherwise("")
-    below = F.when(F.col("score") == -LONG, F.col("exact")).otherwise("")
-    best = Window.partitionBy("query_number").orderBy(F.desc("score"), size.desc(), digits.desc(), below, "vec_id", "number")
-    ranked = found.withColumn("rank", F.row_number().over(best))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = past_parts(rows, rows.where(F.col("vec_id") % every == 0), parts, _searched(k), schema)
+    best = Window.partitionBy("query_number").orderBy(*falling(), "vec_id", "number")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def top_k_sql(k: int = 5, every: int = 50) -> str:
