@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import color
 from tessella.functions.color import STYLES
-from tessella.operators import editing, kernels, planning, raster, resize
+from tessella.operators import cleanup, editing, planning, raster, relaxation, resize
 
 #: What a baseline resolves to: resize method, colour distance, whether grids are cleaned, and whether labels are smoothed.
 BASELINES = {"a0": ("nearest", "delta-e-76", False, False), "a1": ("area", "delta-e-2000", True, False), "mvp": ("area", "delta-e-2000", True, True)}
@@ -61,13 +61,10 @@ def candidates(frames: DataFrame, pixels: DataFrame, palette: DataFrame, options
     limit = F.element_at(F.array(*(F.lit(color.style_color_limit(min(options.max_colors, len(colors)), s)) for s in styles)), (F.col("image_id") % len(styles) + 1).cast("int"))
     assigned = _assigned(styled, colors, metric, limit, rgb=options.baseline == "a0")
     if smooths:
-        labs = F.array(*(F.struct(*(F.lit(float(p["lab"][k])).alias(k) for k in ("l", "a", "b"))) for p in colors))
-        costs = styled.select("image_id", "x", "y", F.transform(labs, lambda c: color.delta_e76(color.lab(*map(F.col, "rgb")), c)).alias("costs"))
-        assigned = kernels.smoothed_labels(assigned, costs)
+        assigned = relaxation.relaxed(styled.join(assigned, ["image_id", "x", "y"]), colors)
     if cleans:
-        assigned = kernels.small_regions(assigned)
-    if options.baseline == "mvp":
-        assigned = raster.cleaned_alias(raster.cleaned_stripes(assigned))
+        late = 1.0 if options.baseline == "mvp" else 0.0
+        assigned = cleanup.final_grid(cleanup.cleaned(assigned, None, cleanup.Penalties(stripe=late, alias=late)))
     assigned = _settled(assigned)
     plan, raw = styled.select("image_id", "x", "y", *"rgb"), styled.select("image_id", "x", "y", "raw.*")
     counts = raster.material_counts(assigned).groupBy("image_id").agg(F.sum("n").alias("cells"), F.count("*").alias("colors"))

@@ -10,7 +10,6 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 MOST_CELLS = 9216
 
@@ -141,67 +140,6 @@ def signed_distance(mask: DataFrame, threshold: float = 0.5) -> DataFrame:
     return mask.select("image_id", "x", "y", "v").groupBy("image_id").applyInArrow(run, "image_id long, x int, y int, distance double")
 
 
-def smoothed_labels(assigned: DataFrame, costs: DataFrame, coherence: float = 16.0, sweeps: int = 2) -> DataFrame:
-    """image_id, x, y, ord: sweeps in raster order; each cell takes the label of the least cost plus coherence per unlike neighbour.
-
-    costs: image_id, x, y, costs array<double> by label from 1.
-    """
-
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.sort_by([("y", "ascending"), ("x", "ascending")])
-        labels = _grid(table, "ord", 0).astype(int)
-        values = np.array(table.column("costs").to_pylist())
-        cost = np.zeros((*labels.shape, values.shape[1]))
-        cost[table.column("y").to_numpy(), table.column("x").to_numpy()] = values
-        for _ in range(sweeps):
-            moved = False
-            for y in range(labels.shape[0]):
-                for x in range(labels.shape[1]):
-                    if not labels[y, x]:
-                        continue  # outside
-                    energy = cost[y, x].copy()
-                    for dy, dx in ((-1, 0), (1, 0), (0, -1), (0, 1)):
-                        if 0 <= y + dy < labels.shape[0] and 0 <= x + dx < labels.shape[1] and labels[y + dy, x + dx]:
-                            energy += coherence
-                            energy[labels[y + dy, x + dx] - 1] -= coherence
-                    best = int(energy.argmin()) + 1
-                    moved |= best != labels[y, x]
-                    labels[y, x] = best
-            if not moved:
-                break
-        y, x = np.nonzero(labels)
-        return pa.table({"image_id": pa.array([key[0].as_py()] * len(x), pa.int64()), "x": pa.array(x.astype(np.int32)), "y": pa.array(y.astype(np.int32)), "ord": pa.array(labels[y, x].astype(np.int32))})
-
-    both = assigned.join(costs, ["image_id", "x", "y"]).select("image_id", "x", "y", "ord", "costs")
-    return both.groupBy("image_id").applyInArrow(run, "image_id long, x int, y int, ord int")
-
-
-def small_regions(assigned: DataFrame, least: int = 2) -> DataFrame:
-    """image_id, x, y, ord: same-colour regions below `least` cells take the colour that most of their outer neighbours have."""
-
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        before = _grid(table, "ord", -1).astype(int)
-        after = before.copy()
-        for value in np.unique(before[before >= 0]):
-            for part in labelled(before == value):
-                if part.sum() >= least:
-                    continue
-                votes: dict[int, int] = {}
-                for y, x in zip(*np.nonzero(part), strict=True):
-                    for dy, dx in ((-1, 0), (1, 0), (0, -1), (0, 1)):
-                        if 0 <= y + dy < before.shape[0] and 0 <= x + dx < before.shape[1] and not part[y + dy, x + dx] and before[y + dy, x + dx] >= 0:
-                            other = int(before[y + dy, x + dx])
-                            votes[other] = votes.get(other, 0) + 1
-                if votes:
-                    best = min(votes, key=lambda o: (-votes[o], o))
-                    if votes[best] > part.sum():
-                        after[part] = best
-        y, x = np.nonzero(after >= 0)
-        return pa.table({"image_id": pa.array([key[0].as_py()] * len(x), pa.int64()), "x": pa.array(x.astype(np.int32)), "y": pa.array(y.astype(np.int32)), "ord": pa.array(after[y, x].astype(np.int32))})
-
-    return assigned.select("image_id", "x", "y", F.col("ord").cast("int").alias("ord")).groupBy("image_id").applyInArrow(run, "image_id long, x int, y int, ord int")
-
-
 def paired_lanes(data: bytes) -> str:
     """16 hex digits of two multiply lanes over bytes."""
     first, second = 0x811C9DC5, 0x9E3779B9

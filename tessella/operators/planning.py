@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,48 +79,6 @@ def scored_styles(measures: DataFrame, max_colors: int) -> DataFrame:
     return measures.select("*", each.alias("c")).select("image_id", "valid", F.concat_ws(":", F.col("image_id").cast("string"), "c.style").alias("candidate_id"), "c.style", "c.total")
 
 
-def adapted(cells: DataFrame, most_changes: int | None = None, coherence: float = 1.4, sweeps: int = 4) -> DataFrame:
-    """image_id, x, y, ord after adaptation: fixed cells lock, editable ones settle by sweeps in raster order.
-
-    cells: image_id, x, y, ord, fixed (ord or null), editable, costs array<double> by label from 1.
-    Beyond most_changes, the changes nearest to a fixed cell stay and the others are undone.
-    """
-
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.sort_by([("y", "ascending"), ("x", "ascending")])
-        x, y = table.column("x").to_pylist(), table.column("y").to_pylist()
-        target, fixed, editable = (table.column(c).to_pylist() for c in ("ord", "fixed", "editable"))
-        costs = np.array(table.column("costs").to_pylist()) / 45
-        at = {p: i for i, p in enumerate(zip(x, y, strict=True))}
-        label = [f if f is not None else t for t, f in zip(target, fixed, strict=True)]
-        near = [[at[q] for q in ((a - 1, b), (a + 1, b), (a, b - 1), (a, b + 1)) if q in at] for a, b in zip(x, y, strict=True)]
-        for _ in range(sweeps):
-            moved = False
-            for i in range(len(label)):
-                if fixed[i] is not None or not editable[i]:
-                    continue
-                energy = costs[i] + 0.35
-                energy[target[i] - 1] -= 0.35
-                energy = energy + coherence * len(near[i])
-                for j in near[i]:
-                    energy[label[j] - 1] -= coherence
-                best = int(energy.argmin()) + 1
-                moved |= best != label[i]
-                label[i] = best
-            if not moved:
-                break
-        changed = [i for i in range(len(label)) if fixed[i] is None and label[i] != target[i]]
-        if most_changes is not None and len(changed) > most_changes:
-            locked = [(x[i], y[i]) for i in range(len(label)) if fixed[i] is not None]
-            far = lambda i: min((abs(x[i] - a) + abs(y[i] - b) for a, b in locked), default=0)
-            for i in sorted(changed, key=lambda i: (far(i), y[i], x[i]))[most_changes:]:
-                label[i] = target[i]
-        return pa.table({"image_id": pa.array([key[0].as_py()] * len(x), pa.int64()), "x": pa.array(x, pa.int32()), "y": pa.array(y, pa.int32()), "ord": pa.array(label, pa.int32())})
-
-    columns = cells.select("image_id", "x", "y", F.col("ord").cast("int").alias("ord"), F.col("fixed").cast("int").alias("fixed"), "editable", "costs")
-    return columns.groupBy("image_id").applyInArrow(run, "image_id long, x int, y int, ord int")
-
-
 def violations(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """rule, n: how many rows break each rule (a rule is a column that holds for valid rows; null breaks it)."""
     counts = rows.agg(*(F.sum(F.when(F.coalesce(rule, F.lit(False)), 0).otherwise(1)).alias(name) for name, rule in rules.items()))

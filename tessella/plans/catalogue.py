@@ -281,24 +281,6 @@ def cleanup_alias(spark, sf_dir):
     return raster.cleaned_alias(_assigned(spark, sf_dir))
 
 
-@_query(
-    _with(_PIXEL, _PALETTE, _ASSIGNED, _NEAR, "alone AS (SELECT * FROM near WHERE coalesce(l, -1) <> ord AND coalesce(rt, -1) <> ord AND coalesce(t, -1) <> ord AND coalesce(bt, -1) <> ord)",
-          "vote AS (SELECT image_id, x, y, o, count(*) AS n FROM (SELECT image_id, x, y, unnest([l, rt, t, bt]) AS o FROM alone) WHERE o IS NOT NULL GROUP BY ALL)",
-          "best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id, x, y ORDER BY n DESC, o) AS nth FROM vote) WHERE nth = 1 AND n > 1)")
-    + "SELECT a.image_id, a.x, a.y, coalesce(o, ord) AS ord FROM assigned a LEFT JOIN best USING (image_id, x, y)"
-)
-def cleanup_small_regions(spark, sf_dir):
-    return kernels.small_regions(_assigned(spark, sf_dir))
-
-
-@_query()
-def icm_labels(spark, sf_dir):
-    pixels, colors = views.pixel(spark, sf_dir), raster.palette_rows(views.palette(spark, sf_dir))
-    labs = F.array(*(F.struct(*(F.lit(float(p["lab"][k])).alias(k) for k in ("l", "a", "b"))) for p in colors))
-    costs = pixels.select("image_id", "x", "y", F.transform(labs, lambda c: color.delta_e76(color.lab(*map(F.col, "rgb")), c)).alias("costs"))
-    return kernels.smoothed_labels(_assigned(spark, sf_dir, "delta-e-76"), costs)
-
-
 _HUES = """lit AS (SELECT *, greatest(r,g,b) AS top, CAST(greatest(r,g,b) - least(r,g,b) AS DOUBLE) AS ch, r * 0.2126e0 + g * 0.7152e0 + b * 0.0722e0 AS l FROM pixel),
 hued AS (SELECT *, CASE WHEN ch < 22 THEN -1 WHEN top = r THEN floor(fmod((g - b) / ch + 6, 6e0)) WHEN top = g THEN floor((b - r) / ch + 2) ELSE floor((r - g) / ch + 4) END AS hue FROM lit),
 groups AS (SELECT image_id, hue, list_sort(list(l)) AS s FROM hued GROUP BY ALL),
@@ -620,16 +602,6 @@ def candidate_rank(spark, sf_dir):
     return planning.ranked(planning.scored_styles(measures, 24), 3).select("image_id", "candidate_id", "style", "valid", "nth", r4(F.col("total")).alias("total"))
 
 
-@_query()
-def adapt_pattern(spark, sf_dir):
-    pixels, colors = views.pixel(spark, sf_dir), raster.palette_rows(views.palette(spark, sf_dir))
-    labs = F.array(*(F.struct(*(F.lit(float(p["lab"][k])).alias(k) for k in ("l", "a", "b"))) for p in colors))
-    costs = pixels.select("image_id", "x", "y", F.transform(labs, lambda c: color.delta_e76(color.lab(*map(F.col, "rgb")), c)).alias("costs"))
-    fixed = F.when((F.col("x") == 3) & (F.col("y") == 3), 1)
-    cells = _assigned(spark, sf_dir).join(costs, ["image_id", "x", "y"]).select("*", fixed.alias("fixed"), (F.col("y") < 6).alias("editable"))
-    return planning.adapted(cells, most_changes=12)
-
-
 @_query(
     _with(_INTERACTION)
     + """SELECT 'known category' AS rule, count(*) FILTER (category NOT IN ('portrait', 'pet', 'illustration', 'object')) AS n FROM interaction UNION ALL SELECT 'rated if confirmed', count(*) FILTER (NOT coalesce(outcome <> 'confirmed' OR subject_ok IS NOT NULL, false)) FROM interaction
@@ -689,4 +661,4 @@ def mask_contours(spark, sf_dir):
 
 
 # Modules that register further queries.
-from tessella.plans import attempts, checks, evidence, geometry, identity, sessions  # noqa: E402, F401
+from tessella.plans import attempts, checks, evidence, geometry, identity, sessions, smoothing  # noqa: E402, F401

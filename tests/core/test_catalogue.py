@@ -71,14 +71,6 @@ def test_squared_distance_is_exact():
     assert (kernels.squared_distance(on) == grid).all()
 
 
-def test_small_regions_and_smoothing(spark):
-    rows = [(1, x, y, 2 if (x, y) == (1, 1) else 1) for x in range(3) for y in range(3)]
-    grid = spark.createDataFrame(rows, "image_id long, x int, y int, ord int")
-    assert {r.ord for r in kernels.small_regions(grid).collect()} == {1}
-    costs = grid.select("image_id", "x", "y", F.array(F.lit(1.0), F.lit(0.0)).alias("costs"))
-    assert {r.ord for r in kernels.smoothed_labels(grid, costs, coherence=0.1).collect()} == {2}
-
-
 def test_palette_is_bounded(spark):
     many = spark.range(200).select(F.col("id").cast("int").alias("ord"), *(F.lit(0).alias(c) for c in "rgb"))
     with pytest.raises(ValueError):
