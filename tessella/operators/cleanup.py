@@ -34,18 +34,22 @@ class Penalties:
     alias: float = 1.0
 
 
-def component_ids(values: np.ndarray) -> np.ndarray:
-    """For each cell the smallest place (row by row) in its 4-connected region of equal values; cells below 0 are outside, -1."""
+def component_ids(values: np.ndarray, diagonal: bool = False) -> np.ndarray:
+    """For each cell the smallest place (row by row) in its region of equal values, over sides or also corners; cells below 0 are outside, -1."""
     places = np.arange(values.size).reshape(values.shape)
-    pairs = [(places[:, :-1], places[:, 1:], values[:, :-1] == values[:, 1:]), (places[:-1], places[1:], values[:-1] == values[1:])]
-    one, other = (np.concatenate([pair[k][pair[2]] for pair in pairs]) for k in (0, 1))
+    ends = [(np.s_[:, :-1], np.s_[:, 1:]), (np.s_[:-1], np.s_[1:])]
+    if diagonal:
+        ends += [(np.s_[:-1, :-1], np.s_[1:, 1:]), (np.s_[:-1, 1:], np.s_[1:, :-1])]
+    like = [values[a] == values[b] for a, b in ends]
+    one, other = (np.concatenate([places[pair[k]][same] for pair, same in zip(ends, like, strict=True)]) for k in (0, 1))
     root = np.arange(values.size)
     while True:
         a, b = root[one], root[other]
         open_ = a != b
         if not open_.any():
             break
-        np.minimum.at(root, np.maximum(a, b)[open_], np.minimum(a, b)[open_])
+        one, other, a, b = one[open_], other[open_], a[open_], b[open_]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
         while (root[root] != root).any():
             root = root[root]
     return np.where(values >= 0, root.reshape(values.shape), -1)

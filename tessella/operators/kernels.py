@@ -114,15 +114,20 @@ def traced(mask: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def squared_distance(targets: np.ndarray) -> np.ndarray:
-    """Squared distance of every cell to the nearest target: exact, columns then rows."""
-    far = float(targets.shape[0] + targets.shape[1]) ** 2 * 4
-    cost = np.where(targets, 0.0, far)
-    for axis in (0, 1):
-        n = cost.shape[axis]
-        gaps = (np.arange(n)[:, None] - np.arange(n)[None, :]) ** 2.0
-        moved = np.moveaxis(cost, axis, -1)
-        cost = np.moveaxis((moved[..., None, :] + gaps).min(axis=-1), -1, axis)
-    return cost
+    """Squared distance of every cell to the nearest target: exact, along columns, then over rows as far as it can still fall."""
+    height, width = targets.shape
+    far = 2.0 * (height + width)
+    place = np.arange(height)[:, None]
+    above = np.maximum.accumulate(np.where(targets, place, -far), axis=0)
+    below = np.minimum.accumulate(np.where(targets, place, height + far)[::-1], axis=0)[::-1]
+    column = np.minimum(place - above, below - place) ** 2.0
+    out = column.copy()
+    for step in range(1, width):
+        if step * step >= out.max():
+            break
+        np.minimum(out[:, step:], column[:, :-step] + step * step, out=out[:, step:])
+        np.minimum(out[:, :-step], column[:, step:] + step * step, out=out[:, :-step])
+    return out
 
 
 def signed_distance(mask: DataFrame, threshold: float = 0.5) -> DataFrame:
