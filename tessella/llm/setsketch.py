@@ -14,7 +14,8 @@ Within a bucket no pairs are emitted: members are joined with one hub, its small
 components. In a bucket whose members aren't one component yet, the members outside its largest component are compared
 with all its members in blocks of about `BLOCK_BYTES`, each pair of blocks in a group of its own; a pair of documents that
 share several buckets is compared in that of their first band only, and of buckets with the same members only the first is
-looked at. A pair of blocks gives out a spanning forest of its verified links. So every candidate is decided,
+looked at. Inside a pair of blocks only documents that share one of their rarest shingles meet (a prefix filter, exact for the
+threshold), so a family of texts that share a template but differ elsewhere costs little more than reading it. A pair of blocks gives out a spanning forest of its verified links. So every candidate is decided,
 whatever a bucket's size, in bounded memory, and buckets that merely overlap are never compared as a whole.
 
 Nodes are distinct shingle sets by a 128-bit hash, so exact copies are one node and rows of one id with different texts are
@@ -43,7 +44,7 @@ REGISTERS = 128
 BANDS, ROWS = 20, 4
 BASE, RATE, TOP = 1.02, 20.0, 65535
 #: Bytes of sets and sketches that are compared with as many others at a time.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 8 << 20
 #: What a compared row counts besides its set.
 ROW_BYTES = 2 * REGISTERS + 1024
 #: Ids up to this number (some 40 bytes each) are broadcast to find their texts; more are joined by a shuffle.
@@ -154,10 +155,24 @@ def _verified(share: int):
     return run
 
 
+def prefixes(sets: list[np.ndarray], share: int) -> tuple[np.ndarray, np.ndarray]:
+    """(set, shingle's number) of each set's rarest shingles; sets that are similar enough share one of them.
+
+    Two sets of similarity t share at least t * n elements of either, so the rarest n - ceil(t * n) + 1 of both, in any one order, meet.
+    """
+    sizes = np.array([len(s) for s in sets], np.int64)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, number, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.lexsort((number, counts[number], owner))
+    place = np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    order = order[place < np.repeat(sizes - -(-share * sizes // 100) + 1, sizes)]
+    return owner[order], number[order]
+
+
 def _forest(share: int, least: float):
     """Verified links between the minor members of a block and all members of another, as far as they join components.
 
-    Pairs that share a band before the bucket's own are left to that one.
+    Only members that share a rare shingle meet (see `prefixes`). Pairs that share a band before the bucket's own are left to that one.
     """
 
     def run(group: pa.Table) -> pa.Table:
@@ -178,9 +193,16 @@ def _forest(share: int, least: float):
             return p
 
         found = []
-        minor, rest = np.flatnonzero(is_minor), np.flatnonzero(~is_minor)
-        for i in minor if len(rest) else []:
-            j = rest[(parts[rest] != parts[i]) & (100 * np.minimum(sizes[rest], sizes[i]) >= share * np.maximum(sizes[rest], sizes[i]))]
+        owner, number_of = prefixes(sets, share)
+        ahead = np.flatnonzero(~is_minor[owner])
+        ahead = ahead[np.argsort(number_of[ahead], kind="stable")]  # postings of the members that aren't minor, by shingle
+        listed = number_of[ahead]
+        upto = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(sets)))])
+        for i in np.flatnonzero(is_minor).tolist():
+            own = number_of[upto[i] : upto[i + 1]]
+            spans = zip(np.searchsorted(listed, own).tolist(), np.searchsorted(listed, own, side="right").tolist(), strict=True)
+            j = np.unique(np.concatenate([owner[ahead[a:b]] for a, b in spans]))
+            j = j[(parts[j] != parts[i]) & (100 * np.minimum(sizes[j], sizes[i]) >= share * np.maximum(sizes[j], sizes[i]))]
             j = j[~(bands[j] == bands[i]).any(axis=1)]
             if not len(j):
                 continue

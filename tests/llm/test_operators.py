@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tessella.llm import impact_index, licenses, lines, ordinal, packing, pseudonyms, raking, setsketch, sharding, weak_labels
@@ -70,6 +71,49 @@ def test_near_duplicates_of_a_large_borderline_group(spark):
     assert got == {i: c for i, (_, c) in brute_components(list(enumerate(texts))).items()}
 
 
+def family(rng, n, template=100, own=30):
+    """Texts of one template, about 0.6 alike, and a near copy of every tenth."""
+    shared = [f"t{i}" for i in range(template)]
+    texts = []
+    for _ in range(n):
+        fresh = [f"w{rng.randrange(10**9)}" for _ in range(own)]
+        texts.append(shared[: template // 2] + fresh[: own // 2] + shared[template // 2 :] + fresh[own // 2 :])
+    for k in range(0, n, 10):
+        texts.append([*texts[k][:-1], "changed"])
+    return [" ".join(t) for t in texts]
+
+
+def test_near_duplicates_in_a_family_of_one_template(spark):
+    texts = family(random.Random(9), 300)
+    got = {r.doc_id: r.component_id for r in setsketch.near_duplicates(documents(spark, texts)).collect()}
+    assert got == {i: c for i, (_, c) in brute_components(list(enumerate(texts))).items()}
+    assert sorted(i for i, c in got.items() if c != i) == list(range(300, 330))
+
+
+def test_prefixes_of_similar_sets_meet():
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        base = rng.integers(0, 60, rng.integers(1, 40))
+        sets = [np.unique(np.where(rng.random(len(base)) < 0.1, rng.integers(0, 60, len(base)), base)).astype(np.uint64) for _ in range(6)]
+        owner, number = setsketch.prefixes(sets, 80)
+        first = {i: set(number[owner == i].tolist()) for i in range(6)}
+        for i in range(6):
+            assert 1 <= len(first[i]) <= len(sets[i]) // 5 + 1
+            for j in range(i):
+                alike = 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))
+                assert first[i] & first[j] or not alike
+
+
+def test_time_of_a_family_grows_with_its_texts(spark):
+    took = []
+    for n in (1000, 4000):
+        docs = documents(spark, family(random.Random(n), n)).repartition(4)
+        start = time.perf_counter()
+        assert setsketch.near_duplicates(docs).where("not kept").count() == n // 10
+        took.append(time.perf_counter() - start)
+    assert took[1] < 4 * took[0]
+
+
 def test_near_duplicates_of_odd_rows(spark):
     got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in setsketch.near_duplicates(documents(spark, ODD, extra=True)).collect())
     assert got == [(0, 0, 0, True), (1, 0, 1, True), (2, 0, 2, True), (3, 1, 3, True), (4, 1, 4, True), (5, 6, 5, True), (6, 1, 6, True), (7, 1, 6, False), (8, 3, 8, True)]
@@ -193,6 +237,35 @@ def test_mixture_names_what_it_cannot_meet(spark):
     assert rows["de"].limited and not rows["en"].limited and abs(rows["de"].expected - 0.05 / 0.4) < 1e-6
 
 
+def test_mixture_of_repeated_null_and_absent_targets(spark):
+    docs = documents(spark, [(i, "word " * 100) for i in range(1000)]).withColumn("lang", F.when(F.col("doc_id") % 4 == 0, "de").when(F.col("doc_id") % 4 == 1, F.lit(None)).otherwise("en"))
+    schema = "value string, share double"
+    sample = lambda rows: {"targets": {"lang": spark.createDataFrame(rows, schema)}, "budget": 0.2}
+    repeated, once = sample([("en", 0.5), ("en", 0.2), ("de", 0.3)]), sample([("en", 0.7), ("de", 0.3)])
+    rows = [sorted(map(tuple, raking.mixing_report(docs, **s).collect())) for s in (repeated, once)]
+    assert rows[0] == rows[1] and len(rows[0]) == 1000
+    assert raking.sample_mixture(docs, **repeated).count() == sum(r[-1] for r in rows[0]) <= 1000
+    report = {r.value: r for r in raking.mixture_report(docs, **sample([(None, 1.0), ("de", 1.0), ("xx", 2.0), ("yy", 0.0)])).where("dimension = 'lang'").collect()}
+    assert report.keys() == {"(null)", "de", "en", "xx"} and abs(report["(null)"].expected - 0.5) < 0.001 and report["en"].expected == 0
+    assert (report["xx"].available, report["xx"].goal, report["xx"].expected, report["xx"].limited, report["xx"].met) == (0, 0.5, 0, True, False)
+
+
+@pytest.mark.parametrize("share", [None, -0.5, float("nan"), float("inf")])
+def test_mixture_refuses_shares_that_are_no_shares(spark, share):
+    docs = documents(spark, ["some words"] * 5)
+    with pytest.raises(PySparkException, match="a share of lang"):
+        raking.mixing_report(docs, targets={"lang": spark.createDataFrame([("en", 1.0), ("de", share)], "value string, share double")}).collect()
+
+
+def test_mixture_refuses_unknown_dimensions_and_targets_without_documents(spark):
+    docs, table_ = documents(spark, ["some words"] * 5), spark.createDataFrame([("xx", 1.0), ("en", 0.0)], "value string, share double")
+    with pytest.raises(ValueError, match="country"):
+        raking.mixing_report(docs, targets={"country": table_})
+    with pytest.raises(ValueError, match="lang"):
+        raking.mixing_report(docs, targets={"lang": table_})
+    assert raking.mixing_report(spark.createDataFrame([], SCHEMA), targets={"lang": table_}).count() == 0
+
+
 def test_mixture_of_odd_rows(spark):
     odd = documents(spark, [*ODD, (None, "z"), (3, "one")], extra=True)
     assert raking.mixing_report(odd).count() == len(ODD) + 2
