@@ -15,6 +15,10 @@ column of the documents; without one `topic_of` tells the form of a text. Built-
 Few cells (`FEW_CELLS`, checked) are one partition, in which sweeps need no shuffle, and are broadcast to the documents; more of
 them are summed by value with partial aggregates and joined by shuffles.
 
+Shares of a table needn't sum to 1; those of a repeated value are summed. A null value stands for "(null)". A share that is null, negative
+or not finite, a dimension that doesn't exist, and a table none of whose values has both a share above 0 and documents raise an error.
+A value that no document has gets nothing; `mixture_report` lists it as limited.
+
 Defined results. Null source, language or topic: a value of its own, written "(null)". Null text: one token, topic
 "empty". Repeated rows share their fate, as all rows of an id do; rows with a null id share one coin.
 Empty table: no rows. Extra columns pass through, whatever their names.
@@ -62,9 +66,23 @@ def described(docs: DataFrame, topic: str | None = None) -> Column:
     return F.struct(name("source").alias("source"), name("lang").alias("lang"), (topic_of(text) if topic is None else name(topic)).alias("topic"), tokens_of(text).alias("tokens"))
 
 
+def target_shares(dimension: str, table: DataFrame) -> DataFrame:
+    """dimension, value and given: the table's shares, summed by value. A share that isn't a finite number of at least 0 fails the query."""
+    if dimension not in DIMENSIONS:
+        raise ValueError(f"no dimension {dimension!r}; there are {', '.join(DIMENSIONS)}")
+    share = F.col("share").cast("double")
+    sound = share.isNotNull() & ~F.isnan(share) & (share >= 0) & (share < float("inf"))
+    wrong = F.raise_error(F.concat(F.lit(f"a share of {dimension} isn't a finite number of at least 0: "), F.coalesce(F.col("share").cast("string"), F.lit("null"))))
+    value = F.coalesce(F.col("value").cast("string"), F.lit("(null)"))
+    return table.select(F.lit(dimension).alias("dimension"), value.alias("value"), F.when(sound, share).otherwise(wrong.cast("double")).alias("given")).groupBy("dimension", "value").agg(F.sum("given").alias("given"))
+
+
 def limited_goals(marginals: DataFrame, kept: float) -> DataFrame:
     """dimension, value, mass, share (not normalised) with goal: shares of kept, none above its mass."""
-    scale = {d: (kept / r if r else 0.0) for d, r in marginals.groupBy("dimension").agg(F.sum("share")).collect()}  # a row for each dimension
+    sums = marginals.groupBy("dimension").agg(F.sum("share")).collect()  # a row for each dimension
+    if kept and (lost := sorted(d for d, r in sums if not r)):
+        raise ValueError(f"no document has a value with a target above 0: {', '.join(lost)}")
+    scale = {d: (kept / r if r else 0.0) for d, r in sums}
     for _ in range(LIMIT_ROUNDS):
         of_dimension = F.element_at(F.create_map(*(F.lit(x) for pair in scale.items() for x in pair)), F.col("dimension")) if scale else F.lit(0.0)
         wanted = F.col("share") * of_dimension
@@ -114,8 +132,7 @@ def raked_cells(cells: DataFrame, budget: float = BUDGET, temperature: float = T
     cells = one(cells)
     marginals = _marginals(cells).withColumn("share", F.pow("mass", F.lit(float(temperature))))
     for d, table in (targets or {}).items():
-        given = table.select(F.lit(d).alias("dimension"), F.col("value").cast("string").alias("value"), F.col("share").cast("double").alias("given"))
-        marginals = marginals.join(given, ["dimension", "value"], "left").withColumn("share", F.when(F.col("dimension") == d, F.coalesce("given", F.lit(0.0))).otherwise(F.col("share"))).drop("given")
+        marginals = marginals.join(target_shares(d, table), ["dimension", "value"], "left").withColumn("share", F.when(F.col("dimension") == d, F.coalesce("given", F.lit(0.0))).otherwise(F.col("share"))).drop("given")
     goals = one(durable(limited_goals(one(durable(marginals)), kept)))
     for d in DIMENSIONS:
         cells = cells.join(goals.where(F.col("dimension") == d).select(F.col("value").alias(d), F.col("goal").alias(f"goal_{d}")), d)
@@ -164,7 +181,7 @@ def sample_mixture(docs: DataFrame, budget: float = BUDGET, temperature: float =
 def mixture_report(docs: DataFrame, budget: float = BUDGET, temperature: float = TEMPERATURE, targets: dict[str, DataFrame] | None = None, topic: str | None = None) -> DataFrame:
     """dimension, value, available (share of all tokens), goal and expected (shares of the kept ones), limited and met (within 0.01).
 
-    Limited: the value has no more than its goal. A goal that isn't met contradicts those of the other dimensions.
+    Limited: the value has no more than its goal, or nothing at all (available 0). A goal that isn't met contradicts those of the other dimensions.
     """
     cells = raked_cells(_cells(docs.select(described(docs, topic).alias("own")).select("own.*")), budget, temperature, targets)
     values = F.array(*(F.struct(F.lit(d).alias("dimension"), F.col(d).alias("value"), F.col("mass"), F.col("kept"), F.col(f"goal_{d}").alias("goal")) for d in DIMENSIONS))
@@ -174,6 +191,12 @@ def mixture_report(docs: DataFrame, budget: float = BUDGET, temperature: float =
         "dimension", "value", (F.col("mass") / F.col("all_mass")).alias("available"), (F.col("goal") / (budget * F.col("all_mass"))).alias("goal"),
         (F.col("kept") / F.col("all_kept")).alias("expected"), (F.col("goal") >= F.col("mass")).alias("limited"),
     )
+    for d, table in (targets or {}).items():  # targets of values that no document has
+        given = target_shares(d, table).where("given > 0")
+        whole_given = given.agg(F.sum("given").alias("all_given"))
+        absent = given.join(F.broadcast(whole_given)).join(sums.select("dimension", "value"), ["dimension", "value"], "left_anti")
+        none = F.lit(0.0)
+        out = out.unionByName(absent.select("dimension", "value", none.alias("available"), (F.col("given") / F.col("all_given")).alias("goal"), none.alias("expected"), F.lit(True).alias("limited")))
     return out.withColumn("met", F.abs(F.col("expected") - F.col("goal")) <= 0.01)
 
 
