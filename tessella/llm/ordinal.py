@@ -9,8 +9,8 @@ feature weighs 1 plus a quarter of the logarithm of its occurrences. Labels say
 above 0 divide the toxic training texts at the quantiles of their evidence, the summed weights of features
 that are found almost only in toxic texts.
 
-Training uses at most about `TRAIN_ROWS` labelled rows, chosen by a hash of the id, one of each text. All features whose
-chi-squared statistic is significant are fitted, at a level at which one feature without meaning is expected to pass among all
+Training uses at most about `TRAIN_ROWS` labelled rows, chosen by a hash of the id, one of each text. All features of at least
+`LEAST_TEXTS` of these texts whose chi-squared statistic is significant are fitted, at a level at which one feature without meaning is expected to pass among all
 that are tested; the bounded sample bounds their number and the driver's input. Scoring runs over whole texts of all rows, without a shuffle.
 
 Defined results. Null, empty or blank text: severity 0, kept. Labels missing, null, or of one class only:
@@ -34,6 +34,10 @@ from tessella.llm.common import byte_table, coded, durable, fresh, text_slices,
 GRADES = 4
 REJECT = 0.5
 TRAIN_ROWS = 6000
+#: A feature is tested if so many of the training texts have it, whatever their number.
+LEAST_TEXTS = 3
+#: Ids fall evenly into so many classes; a share of them is the sample.
+HASHES = 1 << 62
 PREFIXES = (4, 5, 6)
 #: A feature counts as evidence of severity if this share of its training texts, at least, is toxic.
 EVIDENCE = 0.9
@@ -125,12 +129,12 @@ def least_statistic(tested: int) -> float:
     return NormalDist().inv_cdf(1 - min(0.5, BY_CHANCE / (2 * max(1, tested)))) ** 2
 
 
-def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
-    """Fit on at most about `train_rows` labelled documents."""
+def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, least_texts: int = LEAST_TEXTS) -> Model:
+    """Fit on at most about `train_rows` labelled documents, by features of at least `least_texts` of them."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = known.count()
-    chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) < int((1 << 20) * min(1.0, train_rows / max(n, 1))))
+    chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(HASHES)) < int(HASHES * min(1.0, train_rows / max(n, 1))))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     sample = texts.join(F.broadcast(chosen), "doc_id")  # bounded by train_rows
     sample = sample.groupBy(F.xxhash64("text").alias("copy")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
@@ -142,7 +146,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> M
     seen = featured.select("toxic", F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("df"), F.sum(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("hits"))
     df, hits = F.col("df").cast("double"), F.col("hits").cast("double")
     squared = n * F.pow(hits * n - df * n_toxic, F.lit(2.0)) / (df * (n - df + 1) * n_toxic * (n - n_toxic))
-    tested = durable(seen.where(F.col("df") >= max(3, n // 1000)).select("key", "df", "hits", squared.alias("squared")))
+    tested = durable(seen.where(F.col("df") >= least_texts).select("key", "df", "hits", squared.alias("squared")))
     telling = tested.where(F.col("squared") >= least_statistic(tested.count()))
     features = telling.orderBy("key").collect()  # from at most train_rows texts
     if not features:
