@@ -11,9 +11,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.functions import color
+from tessella.functions import color, scalars
 from tessella.functions.color import STYLES
-from tessella.operators import cleanup, editing, planning, raster, relaxation, resize
+from tessella.operators import cleanup, editing, features, measures, planning, raster, relaxation, resize
+from tessella.operators.raster import CELL
 
 #: What a baseline resolves to: resize method, colour distance, whether grids are cleaned, and whether labels are smoothed.
 BASELINES = {"a0": ("nearest", "delta-e-76", False, False), "a1": ("area", "delta-e-2000", True, False), "mvp": ("area", "delta-e-2000", True, True)}
@@ -35,10 +36,12 @@ class Options:
         return styles, tuple(sorted(set(self.sizes), key=lambda s: (s[0] * s[1], *s)))
 
 
-def candidates(frames: DataFrame, pixels: DataFrame, palette: DataFrame, options: Options) -> tuple[DataFrame, DataFrame]:
-    """(candidate cells: candidate_id, x, y, ord; measures: one row for each candidate).
+def candidates(frames: DataFrame, pixels: DataFrame, palette: DataFrame, options: Options, landmarks: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(candidate cells: image_id (the candidate's), x, y, ord; measures: one row for each candidate).
 
-    frames: image_id, width, height and crop (cx, cy, cw, ch). pixels: image_id, x, y, r, g, b, a.
+    frames: image_id, width, height and crop (cx, cy, cw, ch). pixels: image_id, x, y, r, g, b, a. landmarks: image_id, landmark_id, kind,
+    x, y (pixels), confidence, priority, grid_radius, symmetry_group; hard ones are spared by smoothing and clean-up, all weigh
+    colours around them, and a candidate that hides a hard one isn't valid.
     """
     method, metric, cleans, smooths = BASELINES[options.baseline]
     styles, sizes = options.resolved()
@@ -55,30 +58,71 @@ def candidates(frames: DataFrame, pixels: DataFrame, palette: DataFrame, options
     styled = made.select("image_id", "x", "y", F.struct(*"rgb").alias("raw"), each.alias("s"))
     styled = styled.select((F.col("image_id") * len(styles) + F.col("s.k")).alias("image_id"), "x", "y", "raw", "s.c.*")
     if smooths:
-        levelled = raster.value_levels(styled.select("image_id", "x", "y", *"rgb"), 3)
-        styled = levelled.join(styled.select("image_id", "x", "y", "raw"), ["image_id", "x", "y"])
+        # Two levels of lightness for the simple style, three for others.
+        of = lambda rows, n: raster.value_levels(rows.select("image_id", "x", "y", *"rgb"), n)
+        plain = F.col("image_id") % len(styles) == styles.index("simple") if "simple" in styles else F.lit(False)
+        levelled = of(styled.where(~plain), 3).union(of(styled.where(plain), 2))
+        styled = levelled.join(styled.select("image_id", "x", "y", "raw"), CELL)
+    marks = protected = None
+    if landmarks is not None:
+        marks = _placed(landmarks, resize.fitted(numbered), len(styles))
+        weights = planning.importance_weights(styled.select(*CELL, F.lit(0.0).alias("importance")), marks)
+        protected = features.protected_cells(marks, styled.select(*CELL)) if cleans else None
+        styled = styled.join(weights, CELL)
     styled = _settled(styled)
     limit = F.element_at(F.array(*(F.lit(color.style_color_limit(min(options.max_colors, len(colors)), s)) for s in styles)), (F.col("image_id") % len(styles) + 1).cast("int"))
-    assigned = _assigned(styled, colors, metric, limit, rgb=options.baseline == "a0")
+    assigned, chosen = _assigned(styled, colors, metric, limit, rgb=options.baseline == "a0")
     if smooths:
-        assigned = relaxation.relaxed(styled.join(assigned, ["image_id", "x", "y"]), colors)
+        held = styled.join(assigned, CELL).join(chosen, "image_id")
+        if protected is not None:
+            held = held.join(protected.withColumn("protected", F.lit(True)), CELL, "left").withColumnRenamed("weight", "importance")
+        assigned = relaxation.relaxed(held, colors)
     if cleans:
         late = 1.0 if options.baseline == "mvp" else 0.0
-        assigned = cleanup.final_grid(cleanup.cleaned(assigned, None, cleanup.Penalties(stripe=late, alias=late)))
+        assigned = cleanup.final_grid(cleanup.cleaned(assigned, protected, cleanup.Penalties(stripe=late, alias=late)))
     assigned = _settled(assigned)
-    plan, raw = styled.select("image_id", "x", "y", *"rgb"), styled.select("image_id", "x", "y", "raw.*")
-    counts = raster.material_counts(assigned).groupBy("image_id").agg(F.sum("n").alias("cells"), F.count("*").alias("colors"))
-    out = counts
-    for name, table in {
-        "plan": raster.mean_color_distance(plan, assigned, palette).withColumnRenamed("distance", "plan"), "source": raster.mean_color_distance(raw, assigned, palette).withColumnRenamed("distance", "source"),
-        "plan_edges": raster.boundary_agreement(plan, assigned).withColumnRenamed("agreement", "plan_edges"), "source_edges": raster.boundary_agreement(raw, assigned).withColumnRenamed("agreement", "source_edges"),
-        "isolated": raster.isolated_cells(assigned).withColumnRenamed("n", "isolated"), "stripes": raster.thin_stripes(assigned).withColumnRenamed("n", "stripes"),
-    }.items():
-        out = out.join(table, "image_id", "left")
+    both = styled.join(assigned, CELL)
+    out = measures.measured(both.select(*CELL, "ord", F.struct(*"rgb").alias("plan"), F.col("raw").alias("source")), colors)
+    out = out.join(_reference(frames, pixels, resize.fitted(numbered), assigned, colors, len(sizes) * len(styles), len(styles)), "image_id")
+    if marks is None:
+        out = out.withColumns({"feature": F.lit(0.0), "confidence": F.lit(0.0), "valid": F.lit(True), "reasons": F.lit("")})
+    else:
+        at_marks = both.select(*CELL, "raw.*")
+        cells = assigned.withColumn("region", F.lit(None).cast("int"))
+        seen = features.visibility(features.evaluated(marks, cells, at_marks, palette)).select("image_id", F.col("score").alias("feature"), "confidence", "valid", "reasons")
+        out = out.join(seen, "image_id", "left").fillna(0.0, ["feature", "confidence"]).fillna("", ["reasons"]).withColumn("valid", F.coalesce("valid", F.lit(True)))
     number, k = F.floor(F.col("image_id") / len(styles)), F.col("image_id") % len(styles)
     style = F.element_at(F.array(*map(F.lit, styles)), (k + 1).cast("int"))
     named = out.select(F.floor(number / len(sizes)).cast("long").alias("own"), F.element_at(F.array(*(F.lit(f"{w}x{h}") for w, h in sizes)), (number % len(sizes) + 1).cast("int")).alias("size"), style.alias("style"), *out.columns)
-    return assigned, named.withColumnRenamed("image_id", "candidate").withColumnRenamed("own", "image_id").fillna(1.0, ["plan_edges", "source_edges"])
+    return assigned, named.withColumnRenamed("image_id", "candidate").withColumnRenamed("own", "image_id")
+
+
+def _placed(landmarks: DataFrame, fitted: DataFrame, styles: int) -> DataFrame:
+    """landmarks in the cells of each candidate of their image, those outside its crop left out."""
+    c = F.col
+    places = fitted.select(c("own"), c("image_id").alias("number"), "c", "f")
+    both = landmarks.join(places, landmarks["image_id"] == c("own"))
+    inside = (c("x") >= c("c.x")) & (c("y") >= c("c.y")) & (c("x") < c("c.x") + c("c.width")) & (c("y") < c("c.y") + c("c.height"))
+    scale = F.greatest(c("f.width") / c("c.width"), c("f.height") / c("c.height"))
+    source = c("source_radius").cast("double") if "source_radius" in landmarks.columns else F.lit(None).cast("double")
+    radius = scalars.landmark_radius(c("grid_radius").cast("double"), source, scale)
+    cell = scalars.grid_cell(c("c"), c("f"), c("x"), c("y"))
+    style = F.explode(F.sequence(F.lit(0), F.lit(styles - 1)))
+    rows = both.where(inside).select((c("number") * styles).alias("first"), "landmark_id", "kind", "confidence", "priority", "symmetry_group", radius.cast("int").alias("grid_radius"), cell.alias("cell")).select("*", style.alias("k"))
+    return rows.select((c("first") + c("k")).alias("image_id"), "landmark_id", "kind", "confidence", "priority", "symmetry_group", "grid_radius", c("cell.x").cast("int").alias("x"), c("cell.y").cast("int").alias("y"))
+
+
+def _reference(frames: DataFrame, pixels: DataFrame, fitted: DataFrame, assigned: DataFrame, colors: list[dict], each: int, styles: int) -> DataFrame:
+    """image_id (the candidate's), reference and reference_edges: each candidate beside its image's reference raster."""
+    side = F.lit(measures.REFERENCE_SIDE)
+    wanted = frames.withColumns({"tw": side, "th": side})
+    small = (F.col("c.width") <= side) & (F.col("c.height") <= side)
+    wanted = resize.fitted(wanted).withColumn("method", F.when(small, "nearest").otherwise("area")).drop("c", "f")
+    seen = resize.resized(wanted, pixels).where("active")
+    fits = fitted.select(F.col("image_id").alias("number"), *(F.col(f"f.{n}").alias(f"f{n[0]}") for n in ("x", "y", "width", "height")))
+    cells = assigned.withColumn("number", F.floor(F.col("image_id") / styles)).join(fits, "number")
+    beside = measures.beside_reference(seen, cells.select(F.floor(F.col("image_id") / each).alias("image_id"), F.col("image_id").alias("candidate"), "x", "y", "ord", "fx", "fy", "fw", "fh"), colors)
+    return beside.select(F.col("candidate").alias("image_id"), F.col("distance").alias("reference"), F.col("agreement").alias("reference_edges"))
 
 
 def _settled(df: DataFrame) -> DataFrame:
@@ -86,30 +130,35 @@ def _settled(df: DataFrame) -> DataFrame:
     return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
 
 
-def _assigned(styled: DataFrame, colors: list[dict], metric: str, limit, rgb: bool) -> DataFrame:
-    """Each cell's nearest among its candidate's chosen colours."""
+def _assigned(styled: DataFrame, colors: list[dict], metric: str, limit, rgb: bool) -> tuple[DataFrame, DataFrame]:
+    """(each cell's nearest among its candidate's chosen colours, image_id and chosen)."""
     most = max(1, len(colors))
-    ranks = raster.greedy_order(styled.select("image_id", "x", "y", *"rgb"), colors, most, metric)
+    ranks = raster.greedy_order(styled.select("image_id", "x", "y", *"rgb", *(["weight"] if "weight" in styled.columns else [])), colors, most, metric)
     chosen = ranks.select("image_id", F.when(limit >= len(colors), F.array(*(F.lit(p["ord"]) for p in colors))).otherwise(F.slice("ords", 1, limit)).alias("chosen"))
     both = styled.withColumn("lab", color.lab(*map(F.col, "rgb"))).join(chosen, "image_id")
     if not rgb:
-        return raster.nearest(both, colors, metric)
+        return raster.nearest(both, colors, metric), chosen
     known = F.array(*(F.struct(*(F.lit(p[c]).alias(f"c{c}") for c in "rgb"), F.lit(p["ord"]).alias("ord")) for p in colors))
     square = lambda c: sum((F.col(k) - c[f"c{k}"]) * (F.col(k) - c[f"c{k}"]) for k in "rgb")
     best = F.array_min(F.transform(F.filter(known, lambda c: F.array_contains("chosen", c["ord"])), lambda c: F.struct(square(c).cast("double").alias("d"), c["ord"].alias("ord"))))
-    return both.select("image_id", "x", "y", best["ord"].alias("ord"))
+    return both.select("image_id", "x", "y", best["ord"].alias("ord")), chosen
 
 
-def ranked(measures: DataFrame, options: Options) -> DataFrame:
-    """The best candidates of each image: nth, image_id, size, style, total and status of the image (success or best-effort)."""
+def ranked(measured: DataFrame, options: Options, frames: DataFrame | None = None) -> DataFrame:
+    """The best candidates of each image: nth, image_id, size, style, total, valid, and status of the image (success or best-effort).
+
+    Images of `frames` without a candidate have one row, of the status no-valid-candidate.
+    """
+    c = F.col
     of = {
-        "source": F.col("source"), "reference": F.col("source"), "plan": F.col("plan"), "structure": 0.6 * F.col("source_edges") + 0.4 * F.col("plan_edges"), "feature": F.lit(0.0), "confidence": F.lit(0.0),
-        "isolated": F.col("isolated"), "stripes": F.col("stripes"), "cells": F.col("cells"), "colors": F.col("colors"), "canvas": 1 / (1 + F.col("cells") / 1024),
+        "source": c("source"), "reference": c("reference"), "plan": c("plan"), "structure": 0.3 * c("source_edges") + 0.2 * c("plan_edges") + 0.5 * c("reference_edges"), "feature": c("feature"), "confidence": c("confidence"),
+        "isolated": c("isolated"), "stripes": c("stripes"), "cells": c("cells"), "colors": c("colors"), "canvas": 1 / (1 + c("cells") / 1024),
     }
     total = F.lit(0.0)
     for name, style in STYLES.items():
-        total = F.when(F.col("style") == name, editing.score(of, name, options.max_colors, style[4])).otherwise(total)
-    scored = measures.withColumns({"total": F.round(total, 9), "valid": F.lit(True), "candidate_id": F.concat_ws(":", "size", "style")})
+        total = F.when(c("style") == name, editing.score(of, name, options.max_colors, style[4])).otherwise(total)
+    scored = measured.withColumns({"total": F.round(total, 9), "candidate_id": F.concat_ws(":", "size", "style")})
     best = planning.ranked(scored, options.most)
-    status = planning.statuses(best)
-    return best.join(status, "image_id").select("image_id", "nth", "size", "style", "total", "status")
+    images = None if frames is None else frames.select("image_id").distinct()
+    status = planning.statuses(best, images)
+    return best.join(status, "image_id", "right").select("image_id", "nth", "size", "style", "total", "valid", "status")

@@ -66,9 +66,10 @@ def ranked(candidates: DataFrame, most: int = 5) -> DataFrame:
     return candidates.withColumn("nth", nth).where(F.col("nth") <= most)
 
 
-def statuses(ranks: DataFrame) -> DataFrame:
-    """image_id, status of the first candidate."""
-    return ranks.where("nth = 1").select("image_id", F.when(F.col("valid"), "success").otherwise("best-effort").alias("status"))
+def statuses(ranks: DataFrame, images: DataFrame | None = None) -> DataFrame:
+    """image_id, status by the first candidate; images without a candidate have none that is valid."""
+    first = ranks.where("nth = 1").select("image_id", F.when(F.col("valid"), "success").otherwise("best-effort").alias("status"))
+    return first if images is None else images.join(first, "image_id", "left").select("image_id", F.coalesce("status", F.lit("no-valid-candidate")).alias("status"))
 
 
 def scored_styles(measures: DataFrame, max_colors: int) -> DataFrame:

@@ -140,10 +140,58 @@ def generate_candidates(spark, sf_dir):
     return out.select("image_id", "size", "style", "cells", "colors", r4(F.col("plan")).alias("plan"))
 
 
-@query()
+_SAME = "sqrt(pow({0}.l - {1}.l, 2) + pow({0}.la - {1}.la, 2) + pow({0}.lb - {1}.lb, 2)) >= 12"
+_MEASURES_SQL = (
+    f"adj AS MATERIALIZED (SELECT a.image_id, a.x, a.y, a.ord AS o1, b.ord AS o2, b.x - a.x AS dx, b.y - a.y AS dy, {_SAME.format('p', 'q')} AS edge FROM assigned a JOIN assigned b ON a.image_id = b.image_id AND abs(a.x - b.x) + abs(a.y - b.y) = 1 JOIN pl p ON p.image_id = a.image_id AND p.x = a.x AND p.y = a.y JOIN pl q ON q.image_id = b.image_id AND q.x = b.x AND q.y = b.y)",
+    "edges AS (SELECT image_id, avg(CAST(edge = (o1 <> o2) AS INT)) AS agreement FROM adj WHERE dx = 1 OR dy = 1 GROUP BY image_id)",
+    "side AS (SELECT image_id, x, y, count(*) FILTER (o1 = o2) AS same, max(o2) FILTER (dx = -1) AS le, max(o2) FILTER (dx = 1) AS ri, max(o2) FILTER (dy = -1) AS up, max(o2) FILTER (dy = 1) AS lo FROM adj GROUP BY ALL)",
+    "grid AS (SELECT a.image_id, count(*) FILTER (coalesce(same, 0) = 0) AS isolated, count(*) FILTER (le IS NOT NULL AND ri IS NOT NULL AND up IS NOT NULL AND lo IS NOT NULL AND ((le = ri AND le <> ord) OR (up = lo AND up <> ord))) AS stripes FROM assigned a LEFT JOIN side USING (image_id, x, y) GROUP BY a.image_id)",
+    # The reference raster has 96 x 96 cells, but few different pairs of a pixel and a cell of the candidate along each axis.
+    "big AS (SELECT *, image_id * 2 + CASE tw WHEN 3 THEN 0 ELSE 1 END AS number, greatest(1, least(96, floor(w * least(96 / w, 96 / h) + 0.5))) AS rw, greatest(1, least(96, floor(h * least(96 / w, 96 / h) + 0.5))) AS rh FROM fit1)",
+    "xs AS MATERIALIZED (SELECT number, image_id, i, greatest(0, least(width - 1, floor(x + (i + 0.5) * w / rw))) AS p, fx + least(fw - 1, floor((i + 0.5) / rw * fw)) AS c FROM big, range(96) t(i) WHERE i < rw)",
+    "ys AS MATERIALIZED (SELECT number, image_id, i, greatest(0, least(height - 1, floor(y + (i + 0.5) * h / rh))) AS p, fy + least(fh - 1, floor((i + 0.5) / rh * fh)) AS c FROM big, range(96) t(i) WHERE i < rh)",
+    *(f"{n}1 AS MATERIALIZED (SELECT number, image_id, p, c, count(*) AS n FROM {n} GROUP BY ALL)" for n in ("xs", "ys")),
+    *(f"{n}2 AS MATERIALIZED (SELECT a.number, a.image_id, a.p, a.c, b.p AS p2, b.c AS c2, count(*) AS n FROM {n} a JOIN {n} b ON a.number = b.number AND b.i = a.i + 1 GROUP BY ALL)" for n in ("xs", "ys")),
+    lab_ctes("flat", "fl"),
+    "under AS (SELECT u.number, u.n * v.n AS n, p.l AS l1, p.la AS a1, p.lb AS b1, k.l AS l2, k.la AS a2, k.lb AS b2 FROM xs1 u JOIN ys1 v USING (number, image_id) JOIN assigned a ON a.image_id = number AND a.x = u.c AND a.y = v.c JOIN fl p ON p.image_id = u.image_id AND p.x = u.p AND p.y = v.p JOIN cl k ON k.ord = a.ord)",
+    e2000_ctes("under", "away"),
+    "apart AS (SELECT number, sum(n * distance) / sum(n) AS distance FROM away GROUP BY number)",
+    f"""step AS (SELECT u.number, u.n * v.n AS n, ({_SAME.format('p', 'q')}) = (a.ord <> b.ord) AS agrees FROM xs2 u JOIN ys1 v USING (number, image_id) JOIN assigned a ON a.image_id = number AND a.x = u.c AND a.y = v.c JOIN assigned b ON b.image_id = number AND b.x = u.c2 AND b.y = v.c JOIN fl p ON p.image_id = u.image_id AND p.x = u.p AND p.y = v.p JOIN fl q ON q.image_id = u.image_id AND q.x = u.p2 AND q.y = v.p
+ UNION ALL SELECT u.number, u.n * v.n, ({_SAME.format('p', 'q')}) = (a.ord <> b.ord) FROM xs1 u JOIN ys2 v USING (number, image_id) JOIN assigned a ON a.image_id = number AND a.x = u.c AND a.y = v.c JOIN assigned b ON b.image_id = number AND b.x = u.c AND b.y = v.c2 JOIN fl p ON p.image_id = u.image_id AND p.x = u.p AND p.y = v.p JOIN fl q ON q.image_id = u.image_id AND q.x = u.p AND q.y = v.p2)""",
+    "agreed AS (SELECT number, sum(CASE WHEN agrees THEN n ELSE 0 END) / CAST(sum(n) AS DOUBLE) AS agreement FROM step GROUP BY number)",
+    "known AS (SELECT image_id AS number, cells, colors, plan, coalesce(edges.agreement, 1) AS edges, isolated, stripes, distance AS reference, agreed.agreement AS reference_edges FROM counts JOIN mean_ USING (image_id) LEFT JOIN edges USING (image_id) JOIN grid USING (image_id) JOIN apart ON number = image_id JOIN agreed ON agreed.number = image_id)",
+)
+_KNOWN_SQL = ",\n".join((_a0_sql(3).rsplit("\nSELECT image_id // 2", 1)[0], *_MEASURES_SQL))
+_TOTAL_SQL = """scored AS (SELECT *, 1 / (1 + (0.35 * plan + 0.65 * reference) / 15) * 0.24 + 1 / (1 + plan / 15) * 0.09 + (0.5 * edges + 0.5 * reference_edges) * 0.22 + greatest(0, least(1, 1 - (2 * isolated + stripes) / CAST(cells AS DOUBLE))) * 0.14
+ + greatest(0, least(1, 1 - 0.25 * colors / 3 - isolated / CAST(cells AS DOUBLE))) * 0.05 + 1 / (1 + cells / 1024e0) * 0.08 AS w FROM known),
+named AS (SELECT number // 2 AS image_id, CASE number % 2 WHEN 0 THEN '3x4' ELSE '5x4' END AS size, round(greatest(0, least(1, w / 0.82 + 0.015)), 9) AS total FROM scored)"""
+
+
+@query(f"{_KNOWN_SQL}\nSELECT number // 2 AS image_id, CASE number % 2 WHEN 0 THEN '3x4' ELSE '5x4' END AS size, isolated, stripes, {', '.join(f'{sql_r4(c)} AS {c}' for c in ('edges', 'reference', 'reference_edges'))} FROM known")
+def candidate_measures(spark, sf_dir):
+    """The plain baseline's edges and grid quality, and how each candidate looks beside a reference raster of 96 x 96 cells."""
+    out = _generated(spark, sf_dir, _A0)[1]
+    return out.select("image_id", "size", "isolated", "stripes", *(r4(F.col(c)).alias(n) for c, n in (("plan_edges", "edges"), ("reference", "reference"), ("reference_edges", "reference_edges"))))
+
+
+@query(f"{_KNOWN_SQL},\n{_TOTAL_SQL}\nSELECT image_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY total DESC, size) AS INTEGER) AS nth, size, 'faithful' AS style, {sql_r4('total')} AS total, true AS valid, 'success' AS status FROM named")
 def generate_ranked(spark, sf_dir):
     """The plain baseline on two canvases, candidates scored and ranked."""
-    return generate.ranked(_generated(spark, sf_dir, _A0)[1], _A0)
+    out = generate.ranked(_generated(spark, sf_dir, _A0)[1], _A0)
+    return out.withColumn("total", r4(F.col("total")))
+
+
+_MVP = generate.Options(((6, 6), (8, 8)), max_colors=12)
+
+
+@query()
+def generate_mvp(spark, sf_dir):
+    """The full baseline on all images: two canvases, three styles, landmarks; scored and ranked, with the image's status."""
+    frames, pixels = _images(spark, sf_dir)
+    marks = views.landmark(spark, sf_dir).withColumns({"x": F.col("x") % 4, "y": F.lit(2)})
+    whole = frames.drop("tw", "th", "method")
+    measures = generate.candidates(whole, pixels, views.palette(spark, sf_dir), _MVP, marks)[1]
+    return generate.ranked(measures, _MVP, whole)
 
 
 # Texts at the engine's borders.
