@@ -10,11 +10,16 @@ FIRST, SECOND = (0x811C9DC5, 0x01000193), (0x9E3779B9, 0x85EBCA6B)
 _LOW = (1 << 32) - 1
 
 
+def bound(value: Column, then) -> Column:
+    """then(value), where the value is made once, however often it is used (inner functions make theirs anew for every element)."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def code_units(text: Column) -> Column:
     """The UTF-16 code units of a text, as longs."""
-    raw = F.hex(F.encode(text, "UTF-16BE"))
-    places = F.filter(F.sequence(F.lit(0), F.length(raw).cast("int")), lambda i: (i % 4 == 0) & (i < F.length(raw)))
-    return F.transform(places, lambda i: F.conv(F.substring(raw, i + 1, F.lit(4)), 16, 10).cast("long"))
+    unit = lambda raw: lambda i: F.conv(F.substring(raw, 4 * i + 1, F.lit(4)), 16, 10).cast("long")
+    places = lambda raw: F.sequence(F.lit(0), F.greatest(F.lit(0), (F.length(raw) / 4).cast("int") - 1))
+    return bound(F.hex(F.encode(text, "UTF-16BE")), lambda raw: F.when(raw == "", F.array().cast("array<bigint>")).otherwise(F.transform(places(raw), unit(raw))))
 
 
 def _times(h: Column, factor: int) -> Column:
@@ -34,14 +39,13 @@ def _hex8(h: Column) -> Column:
 
 def paired_hash(text: Column) -> Column:
     """16 hex digits: two lanes over the code units, the second mixed with their places."""
-    units = code_units(text)
-    return F.concat(_hex8(_lane(units, FIRST)), _hex8(_lane(units, SECOND, lambda c, i: c + i)))
+    return bound(code_units(text), lambda units: F.concat(_hex8(_lane(units, FIRST)), _hex8(_lane(units, SECOND, lambda c, i: c + i))))
 
 
 def text_fingerprint(text: Column) -> Column:
     """16 hex digits: two lanes over the low and high bytes of the code units."""
     halves = F.flatten(F.transform(code_units(text), lambda c: F.array(c.bitwiseAND(F.lit(255)), F.shiftright(c, 8))))
-    return F.concat(_hex8(_lane(halves, FIRST)), _hex8(_lane(halves, SECOND)))
+    return bound(halves, lambda h: F.concat(_hex8(_lane(h, FIRST)), _hex8(_lane(h, SECOND))))
 
 
 def short_hash(text: Column) -> Column:

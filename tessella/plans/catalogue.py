@@ -661,4 +661,4 @@ def mask_contours(spark, sf_dir):
 
 
 # Modules that register further queries.
-from tessella.plans import attempts, checks, evidence, geometry, identity, outlines, sessions, smoothing  # noqa: E402, F401
+from tessella.plans import attempts, checks, evidence, geometry, identity, outlines, revisions, sessions, smoothing  # noqa: E402, F401
