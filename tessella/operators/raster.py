@@ -353,8 +353,9 @@ def value_levels(pixels: DataFrame, levels: int = 3) -> DataFrame:
     """Pixels moved to the nearest of their hue group's luminance quantiles; groups smaller than `levels` stay."""
     lit = pixels.select(*CELL, *"rgb", color.hue_bucket(*map(F.col, "rgb")).alias("hue"), color.luminance(*map(F.col, "rgb")).alias("l"))
     group = Window.partitionBy("image_id", "hue")
-    near = lit.withColumn("sorted", F.array_sort(F.collect_list("l").over(group)))
-    place = lambda k: F.element_at("sorted", (F.floor((F.size("sorted") - 1) * (k / (levels - 1)) + 0.5) + 1).cast("int"))
-    best = F.array_min(F.array(*(F.struct(F.abs(place(k) - F.col("l")).alias("d"), F.lit(k).alias("k"), place(k).alias("t")) for k in range(levels))))
-    delta = F.when(F.size("sorted") < levels, 0.0).otherwise(best["t"] - F.col("l"))
+    ranked = lit.select("*", F.row_number().over(group.orderBy("l")).alias("nth"), F.count("*").over(group).alias("n"))
+    place = lambda k: F.floor((F.col("n") - 1) * (k / (levels - 1)) + 0.5) + 1
+    near = ranked.select("*", *(F.max(F.when(F.col("nth") == place(k), F.col("l"))).over(group).alias(f"level{k}") for k in range(levels)))
+    best = F.array_min(F.array(*(F.struct(F.abs(F.col(f"level{k}") - F.col("l")).alias("d"), F.lit(k).alias("k"), F.col(f"level{k}").alias("t")) for k in range(levels))))
+    delta = F.when(F.col("n") < levels, 0.0).otherwise(best["t"] - F.col("l"))
     return near.select(*CELL, *(clamped(rounded(F.col(c) + delta), 0, 255).cast("int").alias(c) for c in "rgb"))
