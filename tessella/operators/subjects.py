@@ -7,7 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.operators import kernels
+from tessella.operators import cleanup
+from tessella.operators.shapes import MOST_PIXELS
 
 #: The channels' weights in a colour distance, and the alpha below which an image counts as transparent.
 WEIGHTS, OPAQUE = (0.3, 0.59, 0.11), 0.98
@@ -16,18 +17,20 @@ MOST_SURE, LEAST_SHARE, MOST_SHARE, DOUBT = 0.92, 0.01, 0.95, 0.35
 
 def _flooded(threshold: float):
     def run(key: tuple, group: pa.Table) -> pa.Table:
+        if group.num_rows > MOST_PIXELS:
+            raise ValueError(f"an image has at most {MOST_PIXELS} pixels")
         group = group.sort_by([("y", "ascending"), ("x", "ascending")])
-        w, h = int(max(group.column("x").to_pylist())) + 1, int(max(group.column("y").to_pylist())) + 1
+        w, h = (int(group.column(c).to_numpy().max()) + 1 for c in "xy")
         image = np.stack([group.column(c).to_numpy().astype(float).reshape(h, w) for c in "rgb"])
         corners = image[:, [0, 0, -1, -1], [0, -1, 0, -1]].mean(axis=1)
         far = np.sqrt(sum(k * (image[c] - corners[c]) ** 2 for c, k in enumerate(WEIGHTS)))
         ring = np.ones((h, w), bool)
         ring[1:-1, 1:-1] = False
-        reached = np.zeros((h, w), bool)
-        open_ = far <= threshold
-        for y, x in zip(*np.nonzero(open_ & ring), strict=True):
-            if not reached[y, x]:
-                reached |= kernels.flood(open_, (int(y), int(x)))
+        # All regions of the ground are labelled at once; those that touch the border are what the flood reaches.
+        ids = cleanup.component_ids(np.where(far <= threshold, 0, -1))
+        touching = np.zeros(h * w, bool)
+        touching[ids[ring & (ids >= 0)]] = True
+        reached = (ids >= 0) & touching[ids]
         share = float((~reached).mean())
         sure = min(MOST_SURE, float(reached[ring].mean()) * (1 if LEAST_SHARE < share < MOST_SHARE else DOUBT))
         return pa.table({**{c: group.column(c) for c in ("image_id", "x", "y")}, "v": pa.array((~reached).ravel().astype(float)), "confidence": pa.array(np.full(w * h, sure))})

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 
-from tessella.operators import kernels, shapes
+from tessella.operators import kernels, shapes, subjects
 
 
 def plain_search(active, coverage, distance, protected, components, holes, sweeps):
@@ -143,3 +143,21 @@ def test_models_of_masks(spark):
     got = {r.image_id: r for r in shapes.shape_models(ring(spark)).collect()}
     assert (got[1].area, got[1].holes, [tuple(c) for c in got[1].components]) == (32, 1, [(32, 2, 2, 6, 6, False)])
     assert (got[9].area, got[9].holes, got[9].components) == (0, 0, [])
+
+
+def test_a_winding_path_is_flooded_whole(spark):
+    side = 41  # a spiral of ground, one pixel wide, from the corner to the middle
+    ground, (x, y), (dx, dy) = {(0, 0)}, (0, 0), (1, 0)
+    while True:
+        for _ in range(2):
+            if 0 <= x + dx < side and 0 <= y + dy < side and (x + dx, y + dy) not in ground and (x + 2 * dx, y + 2 * dy) not in ground:
+                break
+            dx, dy = -dy, dx
+        else:
+            break
+        x, y = x + dx, y + dy
+        ground.add((x, y))
+    rows = [(1, x, y, *((255,) * 3 if (x, y) in ground else (0, 0, 0) if 0 < x < side - 1 and 0 < y < side - 1 else (255,) * 3), 255) for x in range(side) for y in range(side)]
+    got = {(r.x, r.y): r.v for r in subjects.inferred(spark.createDataFrame(rows, "image_id long, x int, y int, r int, g int, b int, a int")).collect()}
+    assert all(got[q] == 0 for q in ground) and len(ground) > 400
+    assert {got[x, y] for x in range(1, side - 1) for y in range(1, side - 1) if (x, y) not in ground} == {1.0}
