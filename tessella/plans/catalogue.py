@@ -639,7 +639,11 @@ def resize_guided(spark, sf_dir):
     return raster.resize_guided(guided, 8, 3)
 
 
-@_query()
+@_query(
+    _with(_PIXEL, _PALETTE, _ASSIGNED, _lab("pixel", "pl"), _lab("palette", "cl"), "fine AS (SELECT gx // 3 AS x, gy // 3 AS y FROM range(24) a(gx), range(24) b(gy))",
+          f"pairs AS ({_COLOR_PAIRS} FROM fine f JOIN assigned a USING (x, y) JOIN pl p ON p.image_id = a.image_id AND p.x = a.x AND p.y = a.y JOIN cl c USING (ord))", e2000_ctes("pairs", "d"))
+    + f"SELECT image_id, {_r4('avg(distance)')} AS distance FROM d GROUP BY image_id"
+)
 def reference_metrics(spark, sf_dir):
     out = raster.reference_distance(views.pixel(spark, sf_dir), _assigned(spark, sf_dir), views.palette(spark, sf_dir), 8, 8, 24)
     return out.withColumn("distance", r4(F.col("distance")))
