@@ -70,8 +70,9 @@ def candidates(frames: DataFrame, pixels: DataFrame, palette: DataFrame, options
         protected = features.protected_cells(marks, styled.select(*CELL)) if cleans else None
         styled = styled.join(weights, CELL)
     styled = _settled(styled)
-    limit = F.element_at(F.array(*(F.lit(color.style_color_limit(min(options.max_colors, len(colors)), s)) for s in styles)), (F.col("image_id") % len(styles) + 1).cast("int"))
-    assigned, chosen = _assigned(styled, colors, metric, limit, rgb=options.baseline == "a0")
+    limits = [color.style_color_limit(min(options.max_colors, len(colors)), s) for s in styles]
+    limit = F.element_at(F.array(*map(F.lit, limits)), (F.col("image_id") % len(styles) + 1).cast("int"))
+    assigned, chosen = _assigned(styled, colors, metric, limit, max(limits), rgb=options.baseline == "a0")
     if smooths:
         held = styled.join(assigned, CELL).join(chosen, "image_id")
         if protected is not None:
@@ -115,13 +116,15 @@ def _placed(landmarks: DataFrame, fitted: DataFrame, styles: int) -> DataFrame:
 def _reference(frames: DataFrame, pixels: DataFrame, fitted: DataFrame, assigned: DataFrame, colors: list[dict], each: int, styles: int) -> DataFrame:
     """image_id (the candidate's), reference and reference_edges: each candidate beside its image's reference raster."""
     side = F.lit(measures.REFERENCE_SIDE)
-    wanted = frames.withColumns({"tw": side, "th": side})
+    full = resize.fitted(frames.withColumns({"tw": side, "th": side}))
+    # A crop within the raster's side is seen pixel by pixel and laid out beside the candidates; a larger one shrinks to the raster.
     small = (F.col("c.width") <= side) & (F.col("c.height") <= side)
-    wanted = resize.fitted(wanted).withColumn("method", F.when(small, "nearest").otherwise("area")).drop("c", "f")
-    seen = resize.resized(wanted, pixels).where("active")
-    fits = fitted.select(F.col("image_id").alias("number"), *(F.col(f"f.{n}").alias(f"f{n[0]}") for n in ("x", "y", "width", "height")))
+    wanted = full.withColumns({"tw": F.when(small, F.col("c.width")).otherwise(side).cast("int"), "th": F.when(small, F.col("c.height")).otherwise(side).cast("int"), "method": F.when(small, "nearest").otherwise("area")})
+    seen = resize.resized(wanted.drop("c", "f"), pixels).where("active")
+    laid = full.select(F.col("image_id").alias("own"), *(F.when(small, F.col(f"c.{n}")).otherwise(0).alias(f"r{n}") for n in "xy"), *(F.col(f"f.{n}").alias(f"r{n[0]}") for n in ("width", "height")))
+    fits = fitted.select("own", F.col("image_id").alias("number"), *(F.col(f"f.{n}").alias(f"f{n[0]}") for n in ("x", "y", "width", "height"))).join(laid, "own")
     cells = assigned.withColumn("number", F.floor(F.col("image_id") / styles)).join(fits, "number")
-    beside = measures.beside_reference(seen, cells.select(F.floor(F.col("image_id") / each).alias("image_id"), F.col("image_id").alias("candidate"), "x", "y", "ord", "fx", "fy", "fw", "fh"), colors)
+    beside = measures.beside_reference(seen, cells.select(F.floor(F.col("image_id") / each).alias("image_id"), F.col("image_id").alias("candidate"), "x", "y", "ord", "fx", "fy", "fw", "fh", "rx", "ry", "rw", "rh"), colors)
     return beside.select(F.col("candidate").alias("image_id"), F.col("distance").alias("reference"), F.col("agreement").alias("reference_edges"))
 
 
@@ -130,9 +133,8 @@ def _settled(df: DataFrame) -> DataFrame:
     return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
 
 
-def _assigned(styled: DataFrame, colors: list[dict], metric: str, limit, rgb: bool) -> tuple[DataFrame, DataFrame]:
-    """(each cell's nearest among its candidate's chosen colours, image_id and chosen)."""
-    most = max(1, len(colors))
+def _assigned(styled: DataFrame, colors: list[dict], metric: str, limit, most: int, rgb: bool) -> tuple[DataFrame, DataFrame]:
+    """(each cell's nearest among its candidate's chosen colours, image_id and chosen). limit: of each candidate, at most `most`."""
     ranks = raster.greedy_order(styled.select("image_id", "x", "y", *"rgb", *(["weight"] if "weight" in styled.columns else [])), colors, most, metric)
     chosen = ranks.select("image_id", F.when(limit >= len(colors), F.array(*(F.lit(p["ord"]) for p in colors))).otherwise(F.slice("ords", 1, limit)).alias("chosen"))
     both = styled.withColumn("lab", color.lab(*map(F.col, "rgb"))).join(chosen, "image_id")

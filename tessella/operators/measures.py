@@ -2,7 +2,8 @@
 
 A candidate's cells are dealt and sorted once and stream through tasks, candidates of one size side by side; no measure has a
 shuffle of its own. The reference raster of an image meets all of the image's candidates in one group, so colours of the
-reference are compared with the palette once an image.
+reference are compared with the palette once an image. A raster that repeats the pixels of a smaller crop comes as the crop's
+pixels and is laid out in the group: no row is made for a repeated cell.
 """
 
 from __future__ import annotations
@@ -34,6 +35,26 @@ def agreement(labs: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndar
     return agree, pairs
 
 
+def edges(labs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of one image: where colours make an edge towards the right, and downwards."""
+    return tuple(((a - b) ** 2).sum(axis=-1) >= EDGE**2 for a, b in ((labs[:, :-1], labs[:, 1:]), (labs[:-1], labs[1:])))
+
+
+def agreeing(seen: tuple[np.ndarray, np.ndarray], labels: np.ndarray) -> tuple[int, int]:
+    """`agreement` of one image whose edges of colours are known."""
+    agree = pairs = 0
+    for edge, one, other in zip(seen, (labels[:, :-1], labels[:-1]), (labels[:, 1:], labels[1:]), strict=True):
+        both = (one >= 0) & (other >= 0)
+        agree += int((both & (edge == (one != other))).sum())
+        pairs += int(both.sum())
+    return agree, pairs
+
+
+def laid_out(cells: int, pixels: int, start: int) -> np.ndarray:
+    """For each cell along one side of a raster the pixel of a crop (from `start` on, so many pixels) that is nearest to its centre."""
+    return np.clip(np.floor(start + (np.arange(cells) + 0.5) * pixels / cells - 0.5 + 0.5).astype(int) - start, 0, pixels - 1)
+
+
 def share(part: np.ndarray, whole: np.ndarray) -> np.ndarray:
     return np.where(whole > 0, part / np.maximum(1, whole), 1.0)
 
@@ -85,9 +106,11 @@ def beside_reference(reference: DataFrame, cells: DataFrame, palette: list[dict]
 
     reference: image_id, x, y, r, g, b of active cells (they fill a rectangle). cells: image_id, candidate, x, y, ord, and the place of the
     candidate's canvas that the same crop fills (fx, fy, fw, fh). 0 and 1 for a candidate without cells under the reference.
+    With columns rx, ry, rw, rh in cells, the reference is a crop of pixels that starts at (rx, ry), and its raster repeats the nearest of them on rw x rh cells.
     """
     palette = sorted(palette, key=lambda p: p["ord"])
     ords, known = np.array([p["ord"] for p in palette], np.int64), raster.palette_labs(palette)
+    repeats = "rw" in cells.columns
     names, kinds = ["image_id", "candidate", "distance", "agreement"], [pa.int64(), pa.int64(), pa.float64(), pa.float64()]
 
     def run(seen: pa.Table, wanted: pa.Table) -> pa.Table:
@@ -98,6 +121,10 @@ def beside_reference(reference: DataFrame, cells: DataFrame, palette: list[dict]
             place = np.zeros((int(y.max()) - int(y.min()) + 1, int(x.max()) - int(x.min()) + 1), np.int64)
             place[y - y.min(), x - x.min()] = number.ravel()
             far, image = color.e2000_matrix(own, known), wanted.column("image_id")[0].as_py()
+            if repeats:
+                rx, ry, rw, rh = (wanted.column(c)[0].as_py() for c in ("rx", "ry", "rw", "rh"))
+                place = place[np.ix_(laid_out(rh, place.shape[0], ry), laid_out(rw, place.shape[1], rx))]
+            outlines = edges(own[place])
             columns = {c: wanted.column(c).to_numpy() for c in ("candidate", "x", "y", "ord", "fx", "fy", "fw", "fh")}
             order = np.argsort(columns["candidate"], kind="stable")
             for part in np.split(order, np.flatnonzero(np.diff(columns["candidate"][order])) + 1):
@@ -108,13 +135,13 @@ def beside_reference(reference: DataFrame, cells: DataFrame, palette: list[dict]
                 at = [fit[o] + np.minimum(fit[s] - 1, np.floor((np.arange(n) + 0.5) / n * fit[s]).astype(int)) for o, s, n in (("fy", "fh", place.shape[0]), ("fx", "fw", place.shape[1]))]
                 labels = grid[np.ix_(*at)]
                 under = labels >= 0
-                agree, pairs = agreement(own[place][None], labels[None])
+                agree, pairs = agreeing(outlines, labels)
                 mean = float(far[place[under], labels[under]].mean()) if under.any() else 0.0
-                out.append((image, int(v["candidate"][0]), mean, float(share(agree, pairs)[0])))
+                out.append((image, int(v["candidate"][0]), mean, agree / pairs if pairs else 1.0))
         return pa.table([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=names)
 
     whole = lambda df, *columns: [F.col(c).cast("int").alias(c) for c in columns]
     image = F.col("image_id").cast("long").alias("image_id")
     left = reference.where("image_id is not null").select(image, *whole(reference, "x", "y"), color.lab(*map(F.col, "rgb")).alias("lab")).select("image_id", "x", "y", "lab.l", "lab.a", "lab.b")
-    right = cells.where("image_id is not null").select(image, F.col("candidate").cast("long").alias("candidate"), *whole(cells, "x", "y", "ord", "fx", "fy", "fw", "fh"))
+    right = cells.where("image_id is not null").select(image, F.col("candidate").cast("long").alias("candidate"), *whole(cells, "x", "y", "ord", "fx", "fy", "fw", "fh", *(("rx", "ry", "rw", "rh") if repeats else ())))
     return left.groupBy("image_id").cogroup(right.groupBy("image_id")).applyInArrow(run, "image_id long, candidate long, distance double, agreement double")
