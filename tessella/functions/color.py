@@ -139,9 +139,17 @@ def e76_matrix(own: np.ndarray, others: np.ndarray) -> np.ndarray:
 
 def e2000_matrix(own: np.ndarray, others: np.ndarray) -> np.ndarray:
     """CIEDE2000 with unit weights of each row (l, a, b) of own to each of others, as `delta_e2000` gives it."""
+    return _e2000(*(own.T[:, :, None]), *(others.T[:, None, :]))
+
+
+def e2000_rows(own: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """CIEDE2000 with unit weights of each row (l, a, b) of own to the same row of others."""
+    return _e2000(*own.T, *others.T)
+
+
+def _e2000(l1: np.ndarray, a1: np.ndarray, b1: np.ndarray, l2: np.ndarray, a2: np.ndarray, b2: np.ndarray) -> np.ndarray:
     cos = lambda d: np.cos(np.radians(d))
     high = lambda c: np.sqrt(c**7 / (c**7 + 25.0**7))
-    (l1, a1, b1), (l2, a2, b2) = (m.T[(slice(None), *at)] for m, at in ((own, np.s_[:, None]), (others, np.s_[None, :])))
     grow = 1.5 - 0.5 * high((np.hypot(a1, b1) + np.hypot(a2, b2)) / 2)
     a1, a2 = a1 * grow, a2 * grow
     c1, c2 = np.hypot(a1, b1), np.hypot(a2, b2)

@@ -6,6 +6,8 @@ images are independent, so all shuffles are by image.
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -100,11 +102,17 @@ def resize_guided(pixels: DataFrame, source: int, target: int, importance_streng
 
 
 def reference_distance(pixels: DataFrame, assigned: DataFrame, palette: DataFrame, source: int, target: int, side: int = 96) -> DataFrame:
-    """image_id, distance: mean CIEDE2000 between a reference raster of the source and the pattern's cells under it."""
-    reference = resize_nearest(pixels, source, side, ["r", "g", "b"])
-    place = lambda c: F.greatest(F.lit(0), F.least(F.lit(target - 1), F.floor((F.col(c) + 0.5) / side * target))).cast("int")
-    under = reference.select("image_id", place("x").alias("x"), place("y").alias("y"), *"rgb")
-    return mean_color_distance(under, assigned, palette)
+    """image_id, distance: mean CIEDE2000 between a reference raster of the source and the pattern's cells under it.
+
+    The raster repeats few pairs of a pixel and a cell, so each pair is compared once and weighs as often as it is seen.
+    """
+    held = lambda v, n: max(0, min(n - 1, math.floor(v)))
+    seen = Counter((held((i + 0.5) * source / side - 0.5 + 0.5, source), held((i + 0.5) / side * target, target)) for i in range(side))
+    none = F.array().cast("array<struct<c: int, n: int>>")
+    under = [[F.struct(F.lit(c).alias("c"), F.lit(n).alias("n")) for (q, c), n in sorted(seen.items()) if q == p] for p in range(source)]
+    cells = F.array(*(F.array(*c) if c else none for c in under))
+    sent = pixels.select("image_id", *"rgb", F.explode(F.get(cells, F.col("x"))).alias("cx"), "y").select("*", F.explode(F.get(cells, F.col("y"))).alias("cy"))
+    return mean_color_distance(sent.select("image_id", F.col("cx.c").alias("x"), F.col("cy.c").alias("y"), *"rgb", (F.col("cx.n") * F.col("cy.n")).alias("times")), assigned, palette)
 
 
 def edge_map(pixels: DataFrame) -> DataFrame:
@@ -171,11 +179,22 @@ def material_counts(assigned: DataFrame) -> DataFrame:
 
 
 def mean_color_distance(pixels: DataFrame, assigned: DataFrame, palette: DataFrame) -> DataFrame:
-    """image_id, distance: mean CIEDE2000 between pixels and their colours."""
-    lab = lambda df: df.withColumn("lab", color.lab(*map(F.col, "rgb")))
-    colors = lab(palette).select("ord", F.col("lab").alias("color"))
-    both = lab(pixels).join(assigned, CELL).join(F.broadcast(colors), "ord")  # at most MOST_COLORS rows
-    return both.groupBy("image_id").agg(F.coalesce(F.avg(color.delta_e2000(F.col("lab"), F.col("color"))), F.lit(0.0)).alias("distance"))
+    """image_id, distance: mean CIEDE2000 between pixels and their colours; a pixel counts as often as its column times says, if there."""
+    colors = palette_rows(palette)
+    ords, labs = np.array([p["ord"] for p in colors], np.int64), palette_labs(colors)
+    times = F.col("times") if "times" in pixels.columns else F.lit(1)
+    own = pixels.select(*CELL, color.lab(*map(F.col, "rgb")).alias("lab"), times.cast("long").alias("times"))
+    flat = own.join(assigned.where(F.col("ord").isin(ords.tolist())), CELL).select(F.col("image_id").cast("long").alias("image_id"), F.col("ord").cast("long").alias("ord"), "lab.*", "times")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lab = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("l", "a", "b")], axis=1)
+            far = color.e2000_rows(lab, labs[np.searchsorted(ords, batch.column("ord").to_numpy())])
+            yield pa.RecordBatch.from_arrays([batch.column("image_id"), batch.column("times"), pa.array(far, pa.float64(), from_pandas=True)], names=["image_id", "times", "far"])
+
+    told = flat.mapInArrow(run, "image_id long, times long, far double").groupBy("image_id")
+    known = F.sum(F.when(F.col("far").isNotNull(), F.col("times")))
+    return told.agg(F.coalesce(F.sum(F.col("far") * F.col("times")) / known, F.lit(0.0)).alias("distance"))
 
 
 def boundary_agreement(pixels: DataFrame, assigned: DataFrame) -> DataFrame:
@@ -200,17 +219,19 @@ def greedy_order(pixels: DataFrame, palette: list[dict], k: int, metric: str = "
     """
     weight = F.col("weight") if "weight" in pixels.columns else F.lit(1.0)
     rows = pixels.select(*CELL, color.lab(*map(F.col, "rgb")).alias("lab"), weight.cast("double").alias("weight")).select(*CELL, "lab.*", "weight")
+    palette = sorted(palette, key=lambda p: p["ord"])
     ords, labs, distances = np.array([p["ord"] for p in palette]), palette_labs(palette), color.MATRICES[metric]
 
     def chosen(key: tuple, group: pa.Table) -> pa.Table:
-        group = group.sort_by([("y", "ascending"), ("x", "ascending")])
-        d = distances(np.stack([group.column(c).to_numpy() for c in ("l", "a", "b")], axis=1), labs).T
-        w, best = group.column("weight").to_numpy(), np.full(group.num_rows, np.inf)
+        x, y, w, *lab = (group.column(c).to_numpy() for c in ("x", "y", "weight", "l", "a", "b"))
+        order = np.lexsort((x, y))
+        d = np.ascontiguousarray(distances(np.stack(lab, axis=1)[order], labs).T)
+        w, best = w[order], np.full(len(w), np.inf)
         picked: list[int] = []
         for _ in range(min(k, len(ords))):
             cost = np.round((np.minimum(best, d) * w).sum(axis=1), 6)
             cost[picked] = np.inf
-            i = int(np.lexsort((ords, cost))[0])
+            i = int(cost.argmin())  # the first of equal ones, by ord
             picked.append(i)
             best = np.minimum(best, d[i])
         return pa.table({"image_id": pa.array([key[0].as_py()], pa.int64()), "ords": pa.array([ords[picked].tolist()], pa.list_(pa.int32()))})

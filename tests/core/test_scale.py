@@ -36,3 +36,23 @@ def test_reference_of_a_small_crop_makes_no_row_for_a_repeated_cell(spark, monke
     colors = raster.palette_rows(spark.createDataFrame(PALETTE, "ord int, r int, g int, b int"))
     expected = {r.candidate: (r.distance, r.agreement) for r in beside(full, asked[0].drop("rx", "ry", "rw", "rh"), colors).collect()}
     assert {r.candidate: (r.reference, r.reference_edges) for r in got} == {k: pytest.approx(v) for k, v in expected.items()}
+
+
+@pytest.mark.parametrize(("source", "target", "side"), [(4, 3, 12), (4, 4, 3), (4, 6, 10)])
+def test_reference_distance_compares_repeated_pairs_once(spark, monkeypatch, source, target, side):
+    pixels, rgb = images(spark, side=source)
+    assigned = spark.createDataFrame([(i, x, y, 1 + (i + x * y) % 3) for i in range(3) for x in range(target) for y in range(target)], "image_id long, x int, y int, ord int")
+    palette = spark.createDataFrame(PALETTE, "ord int, r int, g int, b int")
+    made, mean = [], raster.mean_color_distance
+    monkeypatch.setattr(raster, "mean_color_distance", lambda p, *rest: (made.append(p), mean(p, *rest))[-1])
+    got = {r.image_id: r.distance for r in raster.reference_distance(pixels, assigned, palette, source, target, side).collect()}
+    assert made[0].count() <= 3 * min(side, source + target - 1) ** 2
+    lab = {(r.r, r.g, r.b): np.array(list(r.lab)) for r in pixels.select("r", "g", "b").union(palette.select("r", "g", "b")).select("r", "g", "b", color.lab(*map(F.col, "rgb")).alias("lab")).collect()}
+    for i in range(3):
+        far = []
+        for gx, gy in np.ndindex(side, side):
+            at = [min(source - 1, max(0, int(np.floor((g + 0.5) * source / side)))) for g in (gx, gy)]
+            cell = [min(target - 1, int((g + 0.5) / side * target)) for g in (gx, gy)]
+            own, other = lab[tuple(int(v) for v in rgb[i, *at])], lab[PALETTE[(i + cell[0] * cell[1]) % 3][1:]]
+            far.append(color.e2000_matrix(own[None], other[None])[0, 0])
+        assert got[i] == pytest.approx(np.mean(far))
