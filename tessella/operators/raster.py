@@ -53,20 +53,18 @@ def resize_nearest(pixels: DataFrame, source: int, target: int, values: list[str
 
 
 def resize_bilinear(pixels: DataFrame, source: int, target: int, values: list[str]) -> DataFrame:
-    """The four pixels around each cell's centre, weighted by nearness; edges are repeated."""
-    axis = F.explode(F.sequence(F.lit(0), F.lit(target - 1)))
-    cells = pixels.select("image_id").distinct().select("image_id", axis.alias("gx")).select("*", axis.alias("gy"))
-
-    def taps(g: str) -> Column:
-        at = (F.col(g) + 0.5) * source / target - 0.5
-        low = F.floor(at)
-        held = lambda k: F.greatest(F.lit(0), F.least(F.lit(source - 1), k)).cast("int")
-        return F.array(F.struct(held(low).alias("p"), (1 - (at - low)).alias("f")), F.struct(held(low + 1).alias("p"), (at - low).alias("f")))
-
-    wanted = cells.select("image_id", "gx", "gy", F.explode(taps("gx")).alias("tx")).select("*", F.explode(taps("gy")).alias("ty"))
-    wanted = wanted.select("image_id", "gx", "gy", F.col("tx.p").alias("x"), F.col("ty.p").alias("y"), (F.col("tx.f") * F.col("ty.f")).alias("f"))
-    sums = wanted.join(pixels, CELL).groupBy("image_id", F.col("gx").alias("x2"), F.col("gy").alias("y2")).agg(*(F.sum(F.col("f") * F.col(v)).alias(v) for v in values))
-    return sums.withColumnsRenamed({"x2": "x", "y2": "y"})
+    """The four pixels around each cell's centre, weighted by nearness; edges are repeated. Each pixel is sent to the cells that it touches."""
+    touched: list[list[Column]] = [[] for _ in range(source)]
+    for g in range(target):
+        at = (g + 0.5) * source / target - 0.5
+        low = math.floor(at)
+        for p, f in ((low, 1 - (at - low)), (low + 1, at - low)):
+            touched[max(0, min(source - 1, p))].append(F.struct(F.lit(g).alias("c"), F.lit(float(f)).alias("f")))
+    none = F.array().cast("array<struct<c: int, f: double>>")
+    taps = F.array(*(F.array(*cells) if cells else none for cells in touched))  # one literal of at most 2 x target structs
+    sent = pixels.select("image_id", *values, F.explode(F.get(taps, F.col("x"))).alias("cx"), "y").select("*", F.explode(F.get(taps, F.col("y"))).alias("cy"))
+    weight = F.col("cx.f") * F.col("cy.f")
+    return sent.groupBy("image_id", F.col("cx.c").alias("x"), F.col("cy.c").alias("y")).agg(*(F.sum(weight * F.col(v)).alias(v) for v in values))
 
 
 def resize_area(pixels: DataFrame, source: int, target: int, values: list[str]) -> DataFrame:

@@ -56,3 +56,17 @@ def test_reference_distance_compares_repeated_pairs_once(spark, monkeypatch, sou
             own, other = lab[tuple(int(v) for v in rgb[i, *at])], lab[PALETTE[(i + cell[0] * cell[1]) % 3][1:]]
             far.append(color.e2000_matrix(own[None], other[None])[0, 0])
         assert got[i] == pytest.approx(np.mean(far))
+
+
+@pytest.mark.parametrize(("source", "target"), [(4, 7), (4, 3), (4, 1), (1, 3)])
+def test_bilinear_needs_no_join(spark, source, target):
+    pixels, rgb = images(spark, side=source)
+    out = raster.resize_bilinear(pixels, source, target, ["r", "g", "b"])
+    assert "Join" not in plan(out)
+    got = {(r.image_id, r.x, r.y): (r.r, r.g, r.b) for r in out.collect()}
+    assert len(got) == 3 * target * target
+    held = lambda v: max(0, min(source - 1, int(v)))
+    for (i, gx, gy), value in got.items():
+        (x, fx), (y, fy) = ((np.floor(a), a - np.floor(a)) for a in ((g + 0.5) * source / target - 0.5 for g in (gx, gy)))
+        expected = sum(u * v * rgb[i, held(p), held(q)] for p, u in ((x, 1 - fx), (x + 1, fx)) for q, v in ((y, 1 - fy), (y + 1, fy)))
+        assert value == pytest.approx(tuple(expected))
