@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import scalars
-from tessella.operators import cleanup, kernels, raster
+from tessella.operators import cleanup, kernels
 
 MOST_PIXELS = 1 << 22
 #: What is foreground; weights of wrong sides, of the boundary's distance, of lonely and of single-sided cells, and of topology.
@@ -26,6 +26,8 @@ THRESHOLD, WRONG, BOUNDARY, LONELY, SINGLE, TOPOLOGY = 0.5, 0.35, 0.25, 0.8, 0.1
 #: Distances count up to FAR; cells within NEAR of the boundary, or covered in part, may flip; so many sweeps may be asked for.
 FAR, NEAR, PART, MOST_SWEEPS = 2.0, 1.5, (0.05, 0.95), 32
 EPSILON = 1e-9
+#: Fixed value: cells so near to the boundary's distance are compared with a variant's own boundary.
+BAND = 1.25
 
 _CELLS = "active array<boolean>, coverage array<float>, distance array<float>, protected array<boolean>"
 SCHEMA = f"image_id long, key string, width int, height int, {_CELLS}, allocated array<struct<landmark_id: string, x: int, y: int, cells: int>>, reference_components int, components int, reference_holes int, holes int, edits int, energy_before double, energy_after double"
@@ -50,15 +52,16 @@ def _among(count: np.ndarray, distance: np.ndarray) -> np.ndarray:
 
 def topology(active: np.ndarray) -> tuple[int, int]:
     """(components over sides, holes: background over sides and corners that doesn't reach the border)."""
-    # A component's name is the place of its first cell; the ring around the mask joins all ground that isn't a hole.
-    named = lambda ids: int((ids.ravel() == np.arange(ids.size)).sum())
-    ground = np.where(np.pad(active, 1), -1, 0)
-    return named(cleanup.component_ids(np.where(active, 0, -1))), named(cleanup.component_ids(ground, diagonal=True)) - 1
+    # A component's name is the place of its first cell. Cells less shared sides plus full squares of four are components less holes.
+    parts = int((cleanup.component_ids(np.where(active, 0, -1)).ravel() == np.arange(active.size)).sum())
+    across = active[:, :-1] & active[:, 1:]
+    whole = np.count_nonzero(active) - np.count_nonzero(across) - np.count_nonzero(active[:-1] & active[1:]) + np.count_nonzero(across[:-1] & across[1:])
+    return parts, parts - int(whole)
 
 
-def energy(active: np.ndarray, coverage: np.ndarray, distance: np.ndarray, components: int, holes: int) -> float:
-    """Of a whole mask; components and holes are those that it should have."""
-    parts, gaps = topology(active)
+def energy(active: np.ndarray, coverage: np.ndarray, distance: np.ndarray, components: int, holes: int, found: tuple[int, int] | None = None) -> float:
+    """Of a whole mask; components and holes are those that it should have, found is the mask's topology if it is known."""
+    parts, gaps = topology(active) if found is None else found
     return float(_own(active, coverage, distance).sum() + (active * _among(sides(active), distance)).sum()) + TOPOLOGY * (abs(parts - components) + abs(gaps - holes))
 
 
@@ -85,13 +88,15 @@ def boundary_band(active: np.ndarray) -> np.ndarray:
     return rows[:, :-2] | rows[:, 1:-1] | rows[:, 2:]
 
 
-def refined(active: np.ndarray, coverage: np.ndarray, distance: np.ndarray, protected: np.ndarray, components: int, holes: int, sweeps: int) -> tuple[np.ndarray, int]:
-    """(mask, flips) after at most so many sweeps over the cells near the boundary of the first mask."""
+def refined(active: np.ndarray, coverage: np.ndarray, distance: np.ndarray, protected: np.ndarray, components: int, holes: int, sweeps: int, found: tuple[int, int] | None = None) -> tuple[np.ndarray, int]:
+    """(mask, flips) after at most so many sweeps over the cells near the boundary of the first mask, whose topology is found, if it is known."""
     active = active.copy()
+    if not sweeps:
+        return active, 0
     candidate = boundary_band(active) | ((coverage > PART[0]) & (coverage < PART[1])) | (np.abs(distance) <= NEAR)
     order = np.flatnonzero((candidate & ~protected).ravel())
     changes = flip_changes(active, coverage, distance)
-    parts, gaps = topology(active)
+    parts, gaps = topology(active) if found is None else found
     flips = 0
     for _ in range(sweeps):
         before, at = flips, -1
@@ -192,12 +197,13 @@ def variant(values: np.ndarray, field: np.ndarray, asked: dict) -> dict:
     distance = projected(field, crop, fit, width, height)
     protected, allocated, edits = _allocated(asked["marks"] or [], crop, fit, active)
     own = coverage.astype(np.float64), distance.astype(np.float64)
-    before = energy(active, *own, components, holes)
-    after, flips = refined(active, *own, protected, components, holes, asked["sweeps"])
-    parts, gaps = topology(after)
+    found = topology(active) if edits else (components, holes)
+    before = energy(active, *own, components, holes, found)
+    after, flips = refined(active, *own, protected, components, holes, asked["sweeps"], found)
+    parts, gaps = topology(after) if flips else found
     return {
         "image_id": asked["image_id"], "key": asked["key"], "width": width, "height": height, "active": after.ravel(), "coverage": coverage.ravel(), "distance": distance.ravel(), "protected": protected.ravel(), "allocated": allocated,
-        "reference_components": components, "components": parts, "reference_holes": holes, "holes": gaps, "edits": edits + flips, "energy_before": before, "energy_after": energy(after, *own, components, holes),
+        "reference_components": components, "components": parts, "reference_holes": holes, "holes": gaps, "edits": edits + flips, "energy_before": before, "energy_after": energy(after, *own, components, holes, (parts, gaps)),
     }
 
 
@@ -273,19 +279,25 @@ def variant_cells(variants: DataFrame) -> DataFrame:
     return flat.select("key", "image_id", (F.col("place") % F.col("width")).cast("int").alias("x"), F.floor(F.col("place") / F.col("width")).cast("int").alias("y"), "c.*")
 
 
+def _kept(active: list, coverage: list, distance: list, width: int) -> tuple[float, float, float, float]:
+    """How one variant keeps its shape; rows come in small pickled batches, so that few variants are held at once."""
+    on = np.array(active, bool).reshape(-1, width)
+    cover, far = np.array(coverage, np.float64).reshape(on.shape), np.abs(np.array(distance, np.float64)).reshape(on.shape)
+    near, band, edge = far <= BAND, boundary_band(on), on & (sides(on) < 4)
+    either, high = np.count_nonzero(near | band), np.maximum(cover, on).sum()
+    mean = far[edge].mean() / max(1.0, np.hypot(*on.shape)) if edge.any() else 0.0
+    return float(np.count_nonzero(near & band) / either if either else 1.0), float(min(1.0, mean)), float(np.minimum(cover, on).sum() / high if high > 0 else 1.0), float(on.mean())
+
+
 def shape_scores(variants: DataFrame) -> DataFrame:
-    """key, image_id, and how well each variant keeps its shape: boundary_iou, boundary_distance, coverage_iou, occupancy, topology and structure."""
-    cells = variant_cells(variants).drop("image_id").withColumnRenamed("key", "image_id")
-    solid = cells.select(*raster.CELL, F.col("active").cast("double").alias("v"))
-    fits = raster.boundary_fit(solid, cells.select(*raster.CELL, F.col("distance").cast("double").alias("distance")))
-    covers = raster.coverage_iou(cells.select(*raster.CELL, F.col("coverage").cast("double").alias("v")), solid)
-    counts = cells.groupBy("image_id").agg(F.count(F.when(F.col("active"), 1)).alias("occupied"))
-    key = lambda df, *columns: df.select(F.col("image_id").alias("key"), *columns)
-    out = variants.join(key(fits, F.col("iou").alias("boundary_iou"), F.col("distance").alias("boundary_distance")), "key").join(key(covers, F.col("iou").alias("coverage_iou")), "key").join(key(counts, "occupied"), "key")
+    """key, image_id, and how well each variant keeps its shape: boundary_iou, boundary_distance, coverage_iou, occupancy, topology and structure.
+
+    A variant's row holds its cells, so scores need no shuffle, and the variants are made once.
+    """
+    kept = F.udf(_kept, "struct<boundary_iou: double, boundary_distance: double, coverage_iou: double, occupancy: double>", useArrow=False)
     wrong = F.abs(F.col("reference_components") - F.col("components")) + F.abs(F.col("reference_holes") - F.col("holes"))
-    kept = 1 - F.least(F.lit(1.0), wrong * 0.25)
-    told = out.withColumn("topology", kept)
-    return told.select("key", "image_id", "width", "height", "boundary_iou", "boundary_distance", "coverage_iou", (F.col("occupied") / (F.col("width") * F.col("height"))).alias("occupancy"), "topology", (F.col("boundary_iou") * 0.4 + F.col("coverage_iou") * 0.4 + F.col("topology") * 0.2).alias("structure"))
+    told = variants.select("key", "image_id", "width", "height", (1 - F.least(F.lit(1.0), wrong * 0.25)).alias("topology"), kept("active", "coverage", "distance", "width").alias("s"))
+    return told.select("key", "image_id", "width", "height", "s.*", "topology", (F.col("s.boundary_iou") * 0.4 + F.col("s.coverage_iou") * 0.4 + F.col("topology") * 0.2).alias("structure"))
 
 
 class ShapeVariants:

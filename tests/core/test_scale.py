@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions import color
-from tessella.operators import generate, measures, raster
+from tessella.operators import generate, measures, raster, shapes
 
 
 def plan(df):
@@ -70,3 +70,15 @@ def test_bilinear_needs_no_join(spark, source, target):
         (x, fx), (y, fy) = ((np.floor(a), a - np.floor(a)) for a in ((g + 0.5) * source / target - 0.5 for g in (gx, gy)))
         expected = sum(u * v * rgb[i, held(p), held(q)] for p, u in ((x, 1 - fx), (x + 1, fx)) for q, v in ((y, 1 - fy), (y + 1, fy)))
         assert value == pytest.approx(tuple(expected))
+
+
+def test_scores_of_variants_make_each_once_without_a_join(spark):
+    masks = spark.createDataFrame([(i, x, y, float((x - 3) ** 2 + (y - 3) ** 2 < 9 + i)) for i in range(3) for x in range(8) for y in range(8)], "image_id long, x int, y int, v double")
+    asked = shapes.keyed(spark.createDataFrame([(i, 0.0, 0.0, 8.0, 8.0, 6, 6, 1) for i in range(3)], "image_id long, cx double, cy double, cw double, ch double, width int, height int, sweeps int"))
+    made = shapes.rasterised(masks, asked)
+    out = shapes.shape_scores(made)
+    assert "Join" not in plan(out) and plan(out).count("FlatMapCoGroupsInArrow") == 1
+    got = {r.image_id: r for r in out.collect()}
+    for r in made.collect():
+        on, cover = np.array(r.active), np.array(r.coverage)
+        assert got[r.image_id].occupancy == pytest.approx(on.mean()) and got[r.image_id].coverage_iou == pytest.approx(np.minimum(on, cover).sum() / np.maximum(on, cover).sum())
