@@ -7,11 +7,14 @@ Numbers are the shortest digits that `cast` to text gives, without a trailing `.
 from __future__ import annotations
 
 from collections.abc import Callable
+from json import dumps
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessella.functions import identities
+
 #: Control characters that JSON writes with a letter.
 LETTERS = {"\b": "\\b", "\t": "\\t", "\n": "\\n", "\f": "\\f", "\r": "\\r"}
 CONTROLS = {chr(c): LETTERS.get(chr(c), f"\\u{c:04x}") for c in range(32)}
@@ -25,27 +28,31 @@ def text(value: Column) -> Column:
     return F.concat(F.lit('"'), F.when(value.rlike("[\\x00-\\x1F]"), escaped).otherwise(plain), F.lit('"'))
 
 
-def number(value: Column) -> Column:
-    """A double as JSON; `null` if it isn't finite."""
-    written = F.abs(value).cast("string")
-    mantissa, power = F.substring_index(written, "E", 1), F.coalesce(F.regexp_extract(written, "E(-?[0-9]+)$", 1).try_cast("int"), F.lit(0))
-    whole = F.substring_index(mantissa, ".", 1)
-    every = F.concat(whole, F.when(F.contains(mantissa, F.lit(".")), F.substring_index(mantissa, ".", -1)).otherwise(""))
-    leading = F.length(F.regexp_extract(every, "^0*", 0))
-    digits = F.regexp_replace(F.regexp_replace(every, "^0+", ""), "0+$", "")
-    n, k = F.length(whole) + power - leading, F.length(digits)  # the value is 0.digits times 10 to the n
+def _exponential(written: Column) -> Column:
+    """A positive number that `cast` writes with an exponent (from 1e7 on, below 1e-3)."""
     zeros = lambda count: F.repeat(F.lit("0"), count)
-    fraction = F.when(k > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), k))).otherwise("")
-    scientific = F.concat(F.substring(digits, 1, 1), fraction, F.when(n > 0, "e+").otherwise("e-"), F.abs(n - 1).cast("string"))
-    positive = (
-        F.when(k == 0, "0")
-        .when((k <= n) & (n <= 21), F.concat(digits, zeros(n - k)))
-        .when((n > 0) & (n <= 21), F.concat(F.substring(digits, F.lit(1), n), F.lit("."), F.substring(digits, n + 1, k)))
-        .when((n > -6) & (n <= 0), F.concat(F.lit("0."), zeros(-n), digits))
-        .otherwise(scientific)
-    )
-    finite = ~F.isnan(value) & (F.abs(value) < float("inf"))
-    return F.when(finite, F.concat(F.when((value < 0) & (k > 0), "-").otherwise(""), positive)).otherwise("null")
+
+    def one(p: Column) -> Column:
+        digits, n = p.digits, p.power + 1  # the value is 0.digits times 10 to the n
+        k = F.length(digits)
+        fraction = F.when(k > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), k))).otherwise("")
+        scientific = F.concat(F.substring(digits, 1, 1), fraction, F.when(n > 0, "e+").otherwise("e-"), F.abs(n - 1).cast("string"))
+        return (
+            F.when((k <= n) & (n <= 21), F.concat(digits, zeros(n - k)))
+            .when((n > 0) & (n <= 21), F.concat(F.substring(digits, F.lit(1), n), F.lit("."), F.substring(digits, n + 1, k)))
+            .when((n > -6) & (n <= 0), F.concat(F.lit("0."), zeros(-n), digits))
+            .otherwise(scientific)
+        )
+
+    digits = F.rtrim(F.replace(F.substring_index(written, "E", 1), F.lit("."), F.lit("")), F.lit("0"))
+    return identities.bound(F.struct(digits.alias("digits"), F.substring_index(written, "E", -1).try_cast("int").alias("power")), one)
+
+
+def number(value: Column) -> Column:
+    """A double as JSON; `null` if it isn't finite. The value and its text are made once each: most numbers need no more than their last zeros cut."""
+    positive = lambda written: F.when(F.contains(written, F.lit("E")), _exponential(written)).otherwise(F.rtrim(F.rtrim(written, F.lit("0")), F.lit(".")))
+    finite = lambda v: ~F.isnan(v) & (F.abs(v) < float("inf"))
+    return identities.bound(value, lambda v: F.when(finite(v), F.concat(F.when(v < 0, "-").otherwise(""), identities.bound(F.abs(v).cast("string"), positive))).otherwise("null"))
 
 
 def _joined(parts: Column, opening: str, closing: str) -> Column:
@@ -57,7 +64,7 @@ def json(value: Column, kind: T.DataType, omit: bool = False) -> Column:
     inner: Callable[[Column, T.DataType], Column] = lambda v, k: json(v, k, omit)
     if isinstance(kind, T.StructType):
         fields = sorted(kind.fields, key=lambda f: f.name.encode("utf-16-be"))
-        parts = [F.concat(text(F.lit(f.name)), F.lit(":"), inner(value.getField(f.name), f.dataType)) for f in fields]
+        parts = [F.concat(F.lit(dumps(f.name, ensure_ascii=False) + ":"), inner(value.getField(f.name), f.dataType)) for f in fields]
         kept = F.array_compact(F.array(*(F.when(value.getField(f.name).isNotNull(), p) if omit else p for f, p in zip(fields, parts, strict=True)))) if fields else F.array().cast("array<string>")
         out = F.when(value.isNotNull(), _joined(kept, "{", "}"))
     elif isinstance(kind, T.MapType):

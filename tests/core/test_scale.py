@@ -1,11 +1,14 @@
 """Steps whose work grew faster than their input: how many rows they make, and that their results stay the same."""
 
+import json
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.functions import color
+from tessella.functions import canonical, color
 from tessella.operators import generate, measures, raster, shapes
+from tessella.plans import catalogue
 
 
 def plan(df):
@@ -82,3 +85,20 @@ def test_scores_of_variants_make_each_once_without_a_join(spark):
     for r in made.collect():
         on, cover = np.array(r.active), np.array(r.coverage)
         assert got[r.image_id].occupancy == pytest.approx(on.mean()) and got[r.image_id].coverage_iou == pytest.approx(np.minimum(on, cover).sum() / np.maximum(on, cover).sum())
+
+
+def test_a_number_is_made_and_written_once(spark):
+    made = plan(spark.range(1).select(canonical.number(F.sqrt("id")).alias("j")))
+    assert made.count("SQRT(") == 1
+    assert made.count("as string") == 2  # the number's and its exponent's
+
+
+def test_nested_identities_spread_a_small_file(spark, tmp_path):
+    rows = [(i, f"na{'\n' * (i % 2)}me {i}", "Brand#1", "SMALL TIN", i, 10.0 ** (i - 10)) for i in range(40)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    out = catalogue.QUERIES["nested_identities"](spark, str(tmp_path))
+    assert "RepartitionByExpression [p_partkey" in plan(out)
+    found = {r.id: json.loads(r.canonical) for r in out.collect()}
+    assert found == {
+        i: {"box": {"container": name, "price": price}, "labels": {"brand": brand, "maker": None if i % 4 == 0 else kind}, "odd": i % 2 == 1, "size": size, "words": [["SMALL", 1.25], ["TIN", 0.75]]} for i, name, brand, kind, size, price in rows
+    }
