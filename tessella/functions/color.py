@@ -129,7 +129,40 @@ def composited(channel: Column, alpha: Column, background: Column) -> Column:
     return rounded(channel * alpha / 255.0 + background * (1 - alpha / 255.0))
 
 
-# Whole palettes: distances of many colours to many, for kernels over Arrow batches
+# Many colours at once, for kernels over Arrow batches
+
+#: A matrix of distances is made so many at a time, so that its steps stay in a processor's cache.
+AT_ONCE = 1 << 15
+
+
+def lab_rows(rgb: np.ndarray) -> np.ndarray:
+    """l, a, b of each row (r, g, b), as `lab` gives them."""
+    v, d = rgb / 255.0, 6.0 / 29.0
+    channels = np.where(v <= 0.04045, v / 12.92, ((v + 0.055) / 1.055) ** 2.4).T
+    around = [sum(c * k for c, k in zip(channels, row, strict=True)) / w for row, w in zip(XYZ, WHITE, strict=True)]
+    fx, fy, fz = (np.where(t > d**3, np.cbrt(t), t / (3 * d * d) + 4.0 / 29.0) for t in around)
+    return np.stack([116 * fy - 16, 500 * (fx - fy), 200 * (fy - fz)], axis=1)
+
+
+def luminance_rows(rgb: np.ndarray) -> np.ndarray:
+    return rgb[:, 0] * LUMINANCE[0] + rgb[:, 1] * LUMINANCE[1] + rgb[:, 2] * LUMINANCE[2]
+
+
+def styled_rows(rgb: np.ndarray, style: str) -> np.ndarray:
+    """`styled` of each row (r, g, b)."""
+    contrast, brightness, saturation, _, _ = STYLES[style]
+    base = np.clip(np.floor((rgb - 128) * contrast + 128 + brightness + 0.5), 0, 255)
+    light = luminance_rows(base)[:, None]
+    return np.clip(np.floor(light + (base - light) * saturation + 0.5), 0, 255).astype(np.int64)
+
+
+def hue_rows(rgb: np.ndarray) -> np.ndarray:
+    """The number of each row's `hue_bucket`, -1 for neutral ones."""
+    r, g, b = rgb.T
+    top, low = rgb.max(axis=1), rgb.min(axis=1)
+    chroma = np.maximum(1, top - low).astype(np.float64)
+    hue = np.where(top == r, ((g - b) / chroma + 6) % 6, np.where(top == g, (b - r) / chroma + 2, (r - g) / chroma + 4))
+    return np.where(top - low < 22, -1, np.floor(hue)).astype(np.int64)
 
 
 def e76_matrix(own: np.ndarray, others: np.ndarray) -> np.ndarray:
@@ -139,7 +172,10 @@ def e76_matrix(own: np.ndarray, others: np.ndarray) -> np.ndarray:
 
 def e2000_matrix(own: np.ndarray, others: np.ndarray) -> np.ndarray:
     """CIEDE2000 with unit weights of each row (l, a, b) of own to each of others, as `delta_e2000` gives it."""
-    return _e2000(*(own.T[:, :, None]), *(others.T[:, None, :]))
+    out, step = np.empty((len(own), len(others))), max(1, AT_ONCE // max(1, len(others)))
+    for a in range(0, len(own), step):
+        out[a : a + step] = _e2000(*(own[a : a + step].T[:, :, None]), *(others.T[:, None, :]))
+    return out
 
 
 def e2000_rows(own: np.ndarray, others: np.ndarray) -> np.ndarray:
@@ -148,20 +184,37 @@ def e2000_rows(own: np.ndarray, others: np.ndarray) -> np.ndarray:
 
 
 def _e2000(l1: np.ndarray, a1: np.ndarray, b1: np.ndarray, l2: np.ndarray, a2: np.ndarray, b2: np.ndarray) -> np.ndarray:
-    cos = lambda d: np.cos(np.radians(d))
-    high = lambda c: np.sqrt(c**7 / (c**7 + 25.0**7))
-    grow = 1.5 - 0.5 * high((np.hypot(a1, b1) + np.hypot(a2, b2)) / 2)
+    length = lambda a, b: np.sqrt(a * a + b * b)
+
+    def high(c: np.ndarray) -> np.ndarray:
+        seventh = c * c
+        seventh = seventh * seventh * seventh * c
+        return np.sqrt(seventh / (seventh + 25.0**7))
+
+    grow = 1.5 - 0.5 * high((length(a1, b1) + length(a2, b2)) / 2)
     a1, a2 = a1 * grow, a2 * grow
-    c1, c2 = np.hypot(a1, b1), np.hypot(a2, b2)
-    h1, h2 = (np.degrees(np.arctan2(b, a)) % 360 for a, b in ((a1, b1), (a2, b2)))
-    gray, gap, total = c1 * c2 == 0, h2 - h1, h1 + h2
-    turn = np.where(gray, 0, np.where(np.abs(gap) <= 180, gap, np.where(gap > 0, gap - 360, gap + 360)))
-    h = np.where(gray, total, np.where(np.abs(gap) <= 180, total / 2, np.where(total < 360, (total + 360) / 2, (total - 360) / 2)))
+    c1, c2 = length(a1, b1), length(a2, b2)
+    both = c1 * c2
+    h1, h2 = (np.arctan2(b, a) for a, b in ((a1, b1), (a2, b2)))
+    h1, h2 = (h + (h < 0) * (2 * np.pi) for h in (h1, h2))
+    gray, gap, total = both == 0, h2 - h1, h1 + h2
+    wide, over = np.abs(gap) > np.pi, total >= 2 * np.pi
+    turn = np.where(wide, gap - np.copysign(2 * np.pi, gap), gap)
+    h = np.where(wide, total / 2 + np.where(over, -np.pi, np.pi), total / 2)
+    if gray.any():
+        turn, h = np.where(gray, 0.0, turn), np.where(gray, total, h)
     c, fifty = (c1 + c2) / 2, ((l1 + l2) / 2 - 50) ** 2
-    t = 1 - 0.17 * cos(h - 30) + 0.24 * cos(2 * h) + 0.32 * cos(3 * h + 6) - 0.2 * cos(4 * h - 63)
-    rotation = -2 * high(c) * np.sin(np.radians(60 * np.exp(-(((h - 275) / 25) ** 2))))
+    # Cosines of multiples of the hue from its own cosine and sine.
+    x, y = np.cos(h), np.sin(h)
+    x2, y2 = 2 * x * x - 1, 2 * x * y
+    x3, y3 = x2 * x - y2 * y, y2 * x + x2 * y
+    x4, y4 = 2 * x2 * x2 - 1, 2 * x2 * y2
+    shift = lambda k, p, q, degrees: k * (math.cos(math.radians(degrees)) * p - math.sin(math.radians(degrees)) * q)
+    t = 1 - shift(0.17, x, y, -30) + 0.24 * x2 + shift(0.32, x3, y3, 6) - shift(0.2, x4, y4, -63)
+    bend = (h - math.radians(275)) / math.radians(25)
+    rotation = -2 * high(c) * np.sin(math.radians(60) * np.exp(-bend * bend))
     dl, dc = (l2 - l1) / (1 + 0.015 * fifty / np.sqrt(20 + fifty)), (c2 - c1) / (1 + 0.045 * c)
-    dh = 2 * np.sqrt(c1 * c2) * np.sin(np.radians(turn / 2)) / (1 + 0.015 * c * t)
+    dh = 2 * np.sqrt(both) * np.sin(turn / 2) / (1 + 0.015 * c * t)
     return np.sqrt(np.maximum(dl * dl + dc * dc + dh * dh + rotation * dc * dh, 0))
 
 

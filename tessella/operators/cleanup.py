@@ -35,11 +35,14 @@ class Penalties:
 
 
 def component_ids(values: np.ndarray, diagonal: bool = False) -> np.ndarray:
-    """For each cell the smallest place (row by row) in its region of equal values, over sides or also corners; cells below 0 are outside, -1."""
+    """For each cell the smallest place (row by row) in its region of equal values, over sides or also corners; cells below 0 are outside, -1.
+
+    values: one grid, or several of one size, (grids, height, width).
+    """
     places = np.arange(values.size).reshape(values.shape)
-    ends = [(np.s_[:, :-1], np.s_[:, 1:]), (np.s_[:-1], np.s_[1:])]
+    ends = [(np.s_[..., :, :-1], np.s_[..., :, 1:]), (np.s_[..., :-1, :], np.s_[..., 1:, :])]
     if diagonal:
-        ends += [(np.s_[:-1, :-1], np.s_[1:, 1:]), (np.s_[:-1, 1:], np.s_[1:, :-1])]
+        ends += [(np.s_[..., :-1, :-1], np.s_[..., 1:, 1:]), (np.s_[..., :-1, 1:], np.s_[..., 1:, :-1])]
     like = [values[a] == values[b] for a, b in ends]
     one, other = (np.concatenate([places[pair[k]][same] for pair, same in zip(ends, like, strict=True)]) for k in (0, 1))
     root = np.arange(values.size)
@@ -136,6 +139,51 @@ def cleaned(cells: DataFrame, protected: DataFrame | None = None, penalties: Pen
     return out.select("image_id", "x", "y", "ord", "protected", "component", "size", *PASSES)
 
 
+def cleaned_grids(labels: np.ndarray, protected: np.ndarray, penalties: Penalties) -> np.ndarray:
+    """Labels after the three passes, as `cleaned` gives them, of grids of one size in memory: (grids, height, width), -1 outside."""
+    count, height, width = labels.shape
+
+    def around(grid: np.ndarray, dx: int, dy: int, outside: int = -1) -> np.ndarray:
+        wide = np.full((count, height + 2, width + 2), outside, grid.dtype)
+        wide[:, 1:-1, 1:-1] = grid
+        return wide[:, 1 + dy : 1 + dy + height, 1 + dx : 1 + dx + width]
+
+    inside, ids = labels >= 0, component_ids(labels)
+    size = np.bincount(ids[inside], minlength=labels.size)
+    spared = np.zeros(labels.size, bool)
+    spared[ids[inside & protected]] = True
+    small = inside & (size[ids] < penalties.least_region) & ~spared[ids]
+    regions = labels
+    if small.any():
+        names, number = np.unique(ids[small], return_inverse=True)
+        votes = np.zeros((len(names), int(labels.max()) + 1), np.int64)
+        for dx, dy in SIDES:
+            other = around(labels, dx, dy)[small]
+            counts = (other >= 0) & (around(ids, dx, dy)[small] != names[number])
+            np.add.at(votes, (number[counts], other[counts]), 1)
+        top = votes.argmax(axis=1)  # ties to the smaller label
+        moves = penalties.isolated * votes.max(axis=1) > size[names]
+        regions = labels.copy()
+        regions[small] = np.where(moves[number], top[number], labels[small])
+    left, right, above, below = (around(regions, dx, dy) for dx, dy in SIDES)
+    inner = inside & ~protected & (left >= 0) & (right >= 0) & (above >= 0) & (below >= 0)
+    across, along = (inner & (a == b) & (a != regions) for a, b in ((left, right), (above, below)))
+    same = left == above
+    takes = (across | along) & (~across | ~along | same) & (penalties.stripe * np.where(across & along & same, 2, 1) > 0.5)
+    stripes = np.where(takes & (penalties.stripe > 0), np.where(across, left, above), regions)
+    near = np.stack([around(stripes, dx, dy) for dx, dy in AROUND])
+    times = lambda v: (near == v).sum(axis=0)
+    dominant = np.full(labels.shape, -1)
+    for k in (2, 1, 0):
+        dominant = np.where((near[k] >= 0) & (times(near[k]) >= 6), near[k], dominant)
+    like = near == stripes
+    sides = sum(like[k].astype(np.int64) for k, (dx, dy) in enumerate(AROUND) if not dx or not dy)
+    core = np.zeros(labels.shape, bool)
+    core[:, 1:-1, 1:-1] = True
+    moves = core & inside & ~protected & (dominant >= 0) & (dominant != stripes) & (sides <= 1) & (penalties.alias * (times(dominant) - like.sum(axis=0)) > 1)
+    return np.where(moves & (penalties.alias > 0), dominant, stripes)
+
+
 def final_grid(frame: DataFrame) -> DataFrame:
     """image_id, x, y and ord after the last pass."""
     return frame.select("image_id", "x", "y", F.col(PASSES[-1]).alias("ord"))

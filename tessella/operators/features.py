@@ -6,12 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import color, scalars
 from tessella.functions.color import clamped
-from tessella.operators import kernels, planning
+from tessella.operators import planning
 
 #: How a kind is measured, its weight, and the least coverage, purity, connectivity, contrast and boundary of a hard one.
 PROFILES = {
@@ -45,10 +45,14 @@ def _squares(landmarks: DataFrame, radius: Column) -> DataFrame:
     return wide.select("*", axis.alias("dy")).withColumns({"cx": F.col("x") + F.col("dx"), "cy": F.col("y") + F.col("dy")})
 
 
+def held_cells(landmarks: DataFrame) -> DataFrame:
+    """image_id, x, y of the cells in the squares of enforced landmarks, active or not."""
+    return _squares(landmarks.where(enforced()).select("image_id", "x", "y", "grid_radius"), F.col("grid_radius")).select("image_id", F.col("cx").alias("x"), F.col("cy").alias("y"))
+
+
 def protected_cells(landmarks: DataFrame, active: DataFrame, others: DataFrame | None = None) -> DataFrame:
     """image_id, x, y of active cells in the squares of enforced landmarks, and of others (cells protected for another reason); each once."""
-    square = _squares(landmarks.where(enforced()).select("image_id", "x", "y", "grid_radius"), F.col("grid_radius")).select("image_id", F.col("cx").alias("x"), F.col("cy").alias("y"))
-    held = square.join(active.select("image_id", "x", "y"), ["image_id", "x", "y"], "left_semi")
+    held = held_cells(landmarks).join(active.select("image_id", "x", "y"), ["image_id", "x", "y"], "left_semi")
     return (held if others is None else held.union(others.select("image_id", "x", "y"))).distinct()
 
 
@@ -85,15 +89,32 @@ def budget_scores(rows: DataFrame) -> DataFrame:
 
 
 def _connected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The share of a feature's matching cells that its centre reaches over sides."""
+    """The column matching replaced by connectivity: the share of a feature's matching cells that its centre reaches over sides."""
     for batch in batches:
-        shares = []
-        for r, cells in zip(batch.column("grid_radius").to_pylist(), batch.column("matching").to_pylist(), strict=True):
-            open_ = np.zeros((2 * r + 1, 2 * r + 1), bool)
-            for c in cells:
-                open_[c["dy"] + r, c["dx"] + r] = True
-            shares.append(float(kernels.flood(open_, (r, r)).sum() / open_.sum()) if open_[r, r] else 0.0)
-        yield pa.RecordBatch.from_arrays([batch.column("image_id"), batch.column("landmark_id"), pa.array(shares, pa.float64())], names=["image_id", "landmark_id", "connectivity"])
+        radii, lists = batch.column("grid_radius").to_numpy(), batch.column("matching")
+        row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+        dx, dy = (lists.flatten().field(c).to_numpy() for c in ("dx", "dy"))
+        shares = np.zeros(len(lists))
+        for r in np.unique(radii).tolist():
+            own = radii == r
+            at = own[row]
+            open_ = np.zeros((int(own.sum()), 2 * r + 3, 2 * r + 3), bool)  # closed at the rim
+            open_[(np.cumsum(own) - 1)[row[at]], dy[at] + r + 1, dx[at] + r + 1] = True
+            reached = np.zeros_like(open_)
+            reached[:, r + 1, r + 1] = open_[:, r + 1, r + 1]
+            while True:
+                wide = reached.copy()
+                wide[:, 1:] |= reached[:, :-1]
+                wide[:, :-1] |= reached[:, 1:]
+                wide[:, :, 1:] |= reached[:, :, :-1]
+                wide[:, :, :-1] |= reached[:, :, 1:]
+                wide &= open_
+                if (wide == reached).all():
+                    break
+                reached = wide
+            shares[own] = reached.sum(axis=(1, 2)) / np.maximum(1, open_.sum(axis=(1, 2)))
+        kept = [n for n in batch.schema.names if n not in ("grid_radius", "matching")]
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(shares, pa.float64())], names=[*kept, "connectivity"])
 
 
 def evaluated(landmarks: DataFrame, cells: DataFrame, pixels: DataFrame, palette: DataFrame) -> DataFrame:
@@ -109,10 +130,13 @@ def evaluated(landmarks: DataFrame, cells: DataFrame, pixels: DataFrame, palette
     seen = landmarks.where("confidence > 0")
     square = _squares(seen.select(*key, "x", "y", "grid_radius"), F.col("grid_radius") + 1).select(*key, "grid_radius", "dx", "dy", F.col("cx").alias("x"), F.col("cy").alias("y"))
     around = square.join(cells, ["image_id", "x", "y"])
-    centers = around.where("dx = 0 and dy = 0").select(*key, F.col("ord").alias("center"), F.col("region").alias("center_region"))
-    own = around.join(centers, key).withColumn("inside", (F.abs("dx") <= F.col("grid_radius")) & (F.abs("dy") <= F.col("grid_radius"))).withColumn("same", F.col("ord") == F.col("center"))
-    carriers = own.where("not inside and region is not null").groupBy(*key, "region").agg(F.count("*").alias("n")).groupBy(*key).agg((-F.max(F.struct("n", (-F.col("region")).alias("r")))["r"]).alias("carrier"))
-    told = own.join(carriers, key, "left").withColumn("carrier", F.coalesce("carrier", "center_region")).join(F.broadcast(pairs), ["center", "ord"], "left")
+    # A landmark's cells are dealt once; what all of them share comes from windows over them.
+    whole, region = Window.partitionBy(*key), Window.partitionBy(*key, "region")
+    middle, outer = (F.col("dx") == 0) & (F.col("dy") == 0), ~F.col("inside") & F.col("region").isNotNull()
+    own = around.withColumn("inside", (F.abs("dx") <= F.col("grid_radius")) & (F.abs("dy") <= F.col("grid_radius")))
+    own = own.withColumns({"center": F.max(F.when(middle, F.col("ord"))).over(whole), "center_region": F.max(F.when(middle, F.col("region"))).over(whole), "n": F.count(F.when(outer, 1)).over(region)}).where("center is not null")
+    carrier = -F.max(F.when(outer, F.struct("n", (-F.col("region")).alias("r")))).over(whole)["r"]
+    told = own.withColumn("same", F.col("ord") == F.col("center")).withColumn("carrier", F.coalesce(carrier, "center_region")).join(F.broadcast(pairs), ["center", "ord"], "left")
     ring = ~F.col("inside")
     neighbour = ring & (F.col("carrier").isNull() | F.col("region").eqNullSafe(F.col("carrier")))
     matching = F.col("inside") & F.col("same")
@@ -120,9 +144,10 @@ def evaluated(landmarks: DataFrame, cells: DataFrame, pixels: DataFrame, palette
         F.sum(F.col("inside").cast("int")).alias("cells"), F.sum(matching.cast("int")).alias("area"), F.avg(F.when(neighbour, F.coalesce("far", F.lit(0.0)))).alias("far"), F.avg(F.when(ring, (~F.col("same")).cast("int"))).alias("boundary"),
         F.collect_list(F.when(matching, F.struct("dx", "dy"))).alias("matching"),
     )
-    connected = sums.select(*key, "grid_radius", "matching").mapInArrow(_connected, "image_id long, landmark_id string, connectivity double")
+    kept = sums.drop("grid_radius", "matching")
+    connected = sums.mapInArrow(_connected, kept.withColumn("connectivity", F.lit(0.0)).schema)
     source = landmarks.select(*key, "x", "y").join(pixels, ["image_id", "x", "y"]).select(*key, color.lab(*map(F.col, "rgb")).alias("source"))
-    out = seen.join(sums.drop("grid_radius", "matching"), key, "left").join(connected, key, "left").join(source, key, "left").join(F.broadcast(lab.withColumnRenamed("ord", "center")), "center", "left")
+    out = seen.join(connected, key, "left").join(source, key, "left").join(F.broadcast(lab.withColumnRenamed("ord", "center")), "center", "left")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     least = F.when(F.col("grid_radius") == 0, 1).otherwise(F.greatest(F.lit(2), F.ceil(F.col("cells") * 0.4)))
     out = out.withColumns({

@@ -1,19 +1,22 @@
 """Patterns from images: for each image, canvas and style a candidate; candidates are measured, scored and ranked.
 
-A candidate is an image of its own to the grid operators: its id takes the place of the image's, so every step is the plan
-that these operators make, over many images at once.
+A candidate is an image of its own to the grid operators: its id takes the place of the image's. Rasters are made of pixels
+that stream past their frames; candidates are dealt by raster and stream through their steps, many of one size side by side.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions import color, scalars
 from tessella.functions.color import STYLES
-from tessella.operators import cleanup, editing, features, measures, planning, raster, relaxation, resize
+from tessella.operators import cleanup, editing, features, kernels, measures, planning, raster, relaxation, resize
 from tessella.operators.raster import CELL
 
 #: What a baseline resolves to: resize method, colour distance, whether grids are cleaned, and whether labels are smoothed.
@@ -43,7 +46,7 @@ def candidates(frames: DataFrame, pixels: DataFrame, palette: DataFrame, options
     x, y (pixels), confidence, priority, grid_radius, symmetry_group; hard ones are spared by smoothing and clean-up, all weigh
     colours around them, and a candidate that hides a hard one isn't valid.
     """
-    method, metric, cleans, smooths = BASELINES[options.baseline]
+    method, _, cleans, _ = BASELINES[options.baseline]
     styles, sizes = options.resolved()
     colors = raster.palette_rows(palette)
     size = F.explode(F.array(*(F.struct(F.lit(w).alias("tw"), F.lit(h).alias("th")) for w, h in sizes)))
@@ -51,51 +54,35 @@ def candidates(frames: DataFrame, pixels: DataFrame, palette: DataFrame, options
     # One raster for each image and canvas: its number stands for the image while it is made.
     canvas = F.element_at(F.create_map(*(F.lit(v) for k, (w, h) in enumerate(sizes) for v in (f"{w}x{h}", k))), F.concat_ws("x", "tw", "th"))
     numbered = variants.withColumns({"own": F.col("image_id"), "image_id": F.col("image_id") * len(sizes) + canvas})
-    spread = pixels.join(numbered.select(F.col("own"), F.col("image_id").alias("number")), pixels["image_id"] == F.col("own")).select(F.col("number").alias("image_id"), "x", "y", "r", "g", "b", "a")
-    made = resize.resized(numbered, spread).where("active")
-    # Each style of it is a candidate.
-    each = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), color.styled(*map(F.col, "rgb"), s).alias("c")) for k, s in enumerate(styles))))
-    styled = made.select("image_id", "x", "y", F.struct(*"rgb").alias("raw"), each.alias("s"))
-    styled = styled.select((F.col("image_id") * len(styles) + F.col("s.k")).alias("image_id"), "x", "y", "raw", "s.c.*")
-    if smooths:
-        # Two levels of lightness for the simple style, three for others.
-        of = lambda rows, n: raster.value_levels(rows.select("image_id", "x", "y", *"rgb"), n)
-        plain = F.col("image_id") % len(styles) == styles.index("simple") if "simple" in styles else F.lit(False)
-        levelled = of(styled.where(~plain), 3).union(of(styled.where(plain), 2))
-        styled = levelled.join(styled.select("image_id", "x", "y", "raw"), CELL)
-    marks = protected = None
+    made = resize.resized(numbered, pixels).where("active").drop("active")
+    marks = None
     if landmarks is not None:
-        marks = _placed(landmarks, resize.fitted(numbered), len(styles))
-        weights = planning.importance_weights(styled.select(*CELL, F.lit(0.0).alias("importance")), marks)
-        protected = features.protected_cells(marks, styled.select(*CELL)) if cleans else None
-        styled = styled.join(weights, CELL)
-    styled = _settled(styled)
-    limits = [color.style_color_limit(min(options.max_colors, len(colors)), s) for s in styles]
-    limit = F.element_at(F.array(*map(F.lit, limits)), (F.col("image_id") % len(styles) + 1).cast("int"))
-    assigned, chosen = _assigned(styled, colors, metric, limit, max(limits), rgb=options.baseline == "a0")
-    if smooths:
-        held = styled.join(assigned, CELL).join(chosen, "image_id")
-        if protected is not None:
-            held = held.join(protected.withColumn("protected", F.lit(True)), CELL, "left").withColumnRenamed("weight", "importance")
-        assigned = relaxation.relaxed(held, colors)
-    if cleans:
-        late = 1.0 if options.baseline == "mvp" else 0.0
-        assigned = cleanup.final_grid(cleanup.cleaned(assigned, protected, cleanup.Penalties(stripe=late, alias=late)))
-    assigned = _settled(assigned)
-    both = styled.join(assigned, CELL)
-    out = measures.measured(both.select(*CELL, "ord", F.struct(*"rgb").alias("plan"), F.col("raw").alias("source")), colors)
+        # Where landmarks are doesn't hang on the style, nor do the cells that they lift and protect.
+        marks, spots = (_placed(landmarks, resize.fitted(numbered), n) for n in (len(styles), 1))
+        made = made.join(planning.lifted_cells(spots), CELL, "left").withColumn("weight", planning.cell_weight(F.lit(0.0))).drop("lift")
+        if cleans:
+            held = features.held_cells(spots).distinct().withColumn("protected", F.lit(True))
+            made = made.join(held, CELL, "left").withColumn("protected", F.coalesce("protected", F.lit(False)))
+    # Each style of a raster is a candidate; those of one raster stay in its partition.
+    dealt = made.where("image_id is not null").repartition("image_id").select("*", F.explode(F.sequence(F.lit(0), F.lit(len(styles) - 1))).alias("k"))
+    number = (F.col("image_id") * len(styles) + F.col("k")).cast("long").alias("image_id")
+    more = [c for c in ("weight", "protected") if c in made.columns]
+    streamed = dealt.select(number, "x", "y", *"rgb", *more).sortWithinPartitions("image_id", "y", "x").mapInArrow(_patterned(colors, options, styles), _PATTERNED)
+    both = _settled(streamed.select(*CELL, "ord", F.struct(*(F.col(f"plan_{c}").alias(c) for c in "rgb")).alias("plan"), F.struct(*"rgb").alias("raw")))
+    assigned = both.select(*CELL, "ord")
+    out = measures.measured(both.select(*CELL, "ord", "plan", F.col("raw").alias("source")), colors)
     out = out.join(_reference(frames, pixels, resize.fitted(numbered), assigned, colors, len(sizes) * len(styles), len(styles)), "image_id")
     if marks is None:
         out = out.withColumns({"feature": F.lit(0.0), "confidence": F.lit(0.0), "valid": F.lit(True), "reasons": F.lit("")})
     else:
         at_marks = both.select(*CELL, "raw.*")
         cells = assigned.withColumn("region", F.lit(None).cast("int"))
-        seen = features.visibility(features.evaluated(marks, cells, at_marks, palette)).select("image_id", F.col("score").alias("feature"), "confidence", "valid", "reasons")
+        seen = features.visibility(_settled(features.evaluated(_settled(marks), cells, at_marks, palette))).select("image_id", F.col("score").alias("feature"), "confidence", "valid", "reasons")
         out = out.join(seen, "image_id", "left").fillna(0.0, ["feature", "confidence"]).fillna("", ["reasons"]).withColumn("valid", F.coalesce("valid", F.lit(True)))
     number, k = F.floor(F.col("image_id") / len(styles)), F.col("image_id") % len(styles)
     style = F.element_at(F.array(*map(F.lit, styles)), (k + 1).cast("int"))
     named = out.select(F.floor(number / len(sizes)).cast("long").alias("own"), F.element_at(F.array(*(F.lit(f"{w}x{h}") for w, h in sizes)), (number % len(sizes) + 1).cast("int")).alias("size"), style.alias("style"), *out.columns)
-    return assigned, named.withColumnRenamed("image_id", "candidate").withColumnRenamed("own", "image_id")
+    return assigned, _settled(named.withColumnRenamed("image_id", "candidate").withColumnRenamed("own", "image_id"))
 
 
 def _placed(landmarks: DataFrame, fitted: DataFrame, styles: int) -> DataFrame:
@@ -133,17 +120,66 @@ def _settled(df: DataFrame) -> DataFrame:
     return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
 
 
-def _assigned(styled: DataFrame, colors: list[dict], metric: str, limit, most: int, rgb: bool) -> tuple[DataFrame, DataFrame]:
-    """(each cell's nearest among its candidate's chosen colours, image_id and chosen). limit: of each candidate, at most `most`."""
-    ranks = raster.greedy_order(styled.select("image_id", "x", "y", *"rgb", *(["weight"] if "weight" in styled.columns else [])), colors, most, metric)
-    chosen = ranks.select("image_id", F.when(limit >= len(colors), F.array(*(F.lit(p["ord"]) for p in colors))).otherwise(F.slice("ords", 1, limit)).alias("chosen"))
-    both = styled.withColumn("lab", color.lab(*map(F.col, "rgb"))).join(chosen, "image_id")
-    if not rgb:
-        return raster.nearest(both, colors, metric), chosen
-    known = F.array(*(F.struct(*(F.lit(p[c]).alias(f"c{c}") for c in "rgb"), F.lit(p["ord"]).alias("ord")) for p in colors))
-    square = lambda c: sum((F.col(k) - c[f"c{k}"]) * (F.col(k) - c[f"c{k}"]) for k in "rgb")
-    best = F.array_min(F.transform(F.filter(known, lambda c: F.array_contains("chosen", c["ord"])), lambda c: F.struct(square(c).cast("double").alias("d"), c["ord"].alias("ord"))))
-    return both.select("image_id", "x", "y", best["ord"].alias("ord")), chosen
+_PATTERNED = "image_id long, x int, y int, r int, g int, b int, ord int, plan_r int, plan_g int, plan_b int"
+#: Numbers of a matrix of distances that a task makes at least, of whole candidates, so that candidates of one size meet.
+AT_ONCE = 1_200_000
+
+
+def _patterned(palette: list[dict], options: Options, styles: tuple[str, ...]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow over a raster's cells sorted by candidate: the candidate's style, levels of lightness, the colours that a candidate may use, each cell's nearest of these, smoothing and clean-up.
+
+    All these look at distances of the same cells to the same colours, so the distances are made once. The rows keep their order.
+    """
+    _, metric, cleans, smooths = BASELINES[options.baseline]
+    palette = sorted(palette, key=lambda p: p["ord"])
+    ords, labs = np.array([p["ord"] for p in palette], np.int64), raster.palette_labs(palette)
+    known = np.array([[p[c] for c in "rgb"] for p in palette], np.int64).reshape(-1, 3)
+    limits = np.array([color.style_color_limit(min(options.max_colors, len(palette)), s) for s in styles])
+    # Two levels of lightness for the simple style, three for others.
+    levels = np.array([2 if s == "simple" else 3 for s in styles])
+    late = 1.0 if options.baseline == "mvp" else 0.0
+    penalties = cleanup.Penalties(stripe=late, alias=late)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in relaxation.whole_images(batches, AT_ONCE // max(1, len(palette))):
+            ids = table.column("image_id").to_numpy()
+            turns = np.concatenate([[0], np.flatnonzero(np.diff(ids)) + 1])
+            cells = np.diff([*turns, len(ids)])
+            if cells.max() > kernels.MOST_CELLS:
+                raise ValueError(f"a grid has at most {kernels.MOST_CELLS} cells")
+            image, style = np.repeat(np.arange(len(turns)), cells), ids[turns] % len(styles)
+            raw = np.stack([table.column(c).to_numpy() for c in "rgb"], axis=1).astype(np.int64)
+            rgb = np.empty_like(raw)
+            for k, name in enumerate(styles):
+                rgb[(style == k)[image]] = color.styled_rows(raw[(style == k)[image]], name)
+            if smooths:
+                rgb = raster.levelled(image, rgb, levels[style][image])
+            own = color.lab_rows(rgb)
+            far, weight = color.MATRICES[metric](own, labs), relaxation._numbers(table, "weight", 1.0)
+            picks = raster.greedy_picks(far, weight, turns, int(limits.max()))
+            allowed = np.zeros((len(turns), len(ords)), bool)
+            np.put_along_axis(allowed, picks, np.arange(picks.shape[1]) < limits[style][:, None], axis=1)
+            allowed[limits[style] >= len(ords)] = True
+            cost = ((rgb[:, None] - known) ** 2).sum(axis=2).astype(np.float64) if options.baseline == "a0" else far
+            cost = np.where(allowed[image], cost, np.inf)
+            labels = cost.argmin(axis=1)
+            protected = relaxation._numbers(table, "protected", False).astype(bool)
+            if smooths:
+                cost *= (relaxation.OWN + relaxation.LIFT * weight)[:, None]
+            if smooths or cleans:
+                for rows, nth, y, x, shape in relaxation._stacks(table):
+                    at = (nth, y, x)
+                    grid = lambda values, outside: relaxation._grid(rows, at, shape, values, outside)  # noqa: E731, B023
+                    now = grid(labels, -1)
+                    if smooths:
+                        now, _ = relaxation.smoothed(grid(own, 0.0), now, grid(cost, 0.0), grid(~protected, False))
+                    if cleans:
+                        now = cleanup.cleaned_grids(now, grid(protected, False), penalties)
+                    labels[rows] = now[at]
+            values = [pa.array(ords[labels], pa.int32()), *(pa.array(c, pa.int32()) for c in rgb.T)]
+            yield from pa.table([*(table.column(c) for c in (*CELL, *"rgb")), *values], names=[c.split()[0] for c in _PATTERNED.split(", ")]).to_batches()
+
+    return run
 
 
 def ranked(measured: DataFrame, options: Options, frames: DataFrame | None = None) -> DataFrame:

@@ -50,14 +50,23 @@ def region_ids(regions: DataFrame, least: float = 0.4) -> DataFrame:
     return strong.groupBy("image_id", "x", "y").agg(F.max(F.struct("s", (-F.col("ord")).alias("ord"))).alias("top")).select("image_id", "x", "y", (-F.col("top.ord")).alias("region"))
 
 
-def importance_weights(importance: DataFrame, landmarks: DataFrame) -> DataFrame:
-    """image_id, x, y, weight: 0.75 + 1.25 * importance, lifted in the squares around landmarks."""
+def lifted_cells(landmarks: DataFrame) -> DataFrame:
+    """image_id, x, y, lift: the cells of the squares around landmarks, and the largest lift of each."""
     axis = F.sequence(-F.col("grid_radius"), F.col("grid_radius"))
     lift = 1 + F.when(F.col("priority") == "hard", 2.0).otherwise(1.0) * F.col("confidence")
     spots = landmarks.select("image_id", "x", "y", "grid_radius", lift.alias("lift"), F.explode(axis).alias("dx")).select("*", F.explode(axis).alias("dy"))
-    spots = spots.select("image_id", (F.col("x") + F.col("dx")).alias("x"), (F.col("y") + F.col("dy")).alias("y"), "lift").groupBy("image_id", "x", "y").agg(F.max("lift").alias("lift"))
-    base = 0.75 + 1.25 * F.col("importance")
-    return importance.join(spots, ["image_id", "x", "y"], "left").select("image_id", "x", "y", F.greatest(base, F.coalesce("lift", base)).alias("weight"))
+    return spots.select("image_id", (F.col("x") + F.col("dx")).alias("x"), (F.col("y") + F.col("dy")).alias("y"), "lift").groupBy("image_id", "x", "y").agg(F.max("lift").alias("lift"))
+
+
+def cell_weight(importance: Column) -> Column:
+    """A cell's weight by its importance and its column lift, null outside all squares of landmarks."""
+    base = 0.75 + 1.25 * importance
+    return F.greatest(base, F.coalesce("lift", base))
+
+
+def importance_weights(importance: DataFrame, landmarks: DataFrame) -> DataFrame:
+    """image_id, x, y, weight: 0.75 + 1.25 * importance, lifted in the squares around landmarks."""
+    return importance.join(lifted_cells(landmarks), ["image_id", "x", "y"], "left").select("image_id", "x", "y", cell_weight(F.col("importance")).alias("weight"))
 
 
 def ranked(candidates: DataFrame, most: int = 5) -> DataFrame:

@@ -223,20 +223,26 @@ def greedy_order(pixels: DataFrame, palette: list[dict], k: int, metric: str = "
     def chosen(key: tuple, group: pa.Table) -> pa.Table:
         x, y, w, *lab = (group.column(c).to_numpy() for c in ("x", "y", "weight", "l", "a", "b"))
         order = np.lexsort((x, y))
-        d = np.ascontiguousarray(distances(np.stack(lab, axis=1)[order], labs).T)
-        w, best = w[order], np.full(len(w), np.inf)
-        picked: list[int] = []
-        for _ in range(min(k, len(ords))):
-            cost = np.round((np.minimum(best, d) * w).sum(axis=1), 6)
-            cost[picked] = np.inf
-            i = int(cost.argmin())  # the first of equal ones, by ord
-            picked.append(i)
-            best = np.minimum(best, d[i])
+        picked = greedy_picks(distances(np.stack(lab, axis=1)[order], labs), w[order], np.array([0]), k)[0]
         return pa.table({"image_id": pa.array([key[0].as_py()], pa.int64()), "ords": pa.array([ords[picked].tolist()], pa.list_(pa.int32()))})
 
     return rows.groupBy("image_id").applyInArrow(chosen, "image_id long, ords array<int>")
 
 
+def greedy_picks(far: np.ndarray, weight: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
+    """(images, k): of each image (the rows from each start on) the columns that are added one by one. far: of each row to each colour; weights aren't negative."""
+    image = np.repeat(np.arange(len(starts)), np.diff([*starts, len(far)]))
+    best, taken, picks = np.full(len(far), np.inf), np.zeros((len(starts), far.shape[1]), bool), []
+    weighed, least = far * weight[:, None], np.empty(far.shape)
+    for _ in range(min(k, far.shape[1])):
+        cost = np.round(np.add.reduceat(np.minimum(best[:, None], weighed, out=least), starts, axis=0), 6)
+        cost[taken] = np.inf
+        picks.append(cost.argmin(axis=1))  # the first of equal ones, by ord
+        taken[np.arange(len(starts)), picks[-1]] = True
+        best = np.minimum(best, weighed[np.arange(len(far)), picks[-1][image]])
+    return np.stack(picks, axis=1)
+
+
 # Grid quality and clean-up
 
 
@@ -378,3 +384,21 @@ def value_levels(pixels: DataFrame, levels: int = 3) -> DataFrame:
     best = F.array_min(F.array(*(F.struct(F.abs(F.col(f"level{k}") - F.col("l")).alias("d"), F.lit(k).alias("k"), F.col(f"level{k}").alias("t")) for k in range(levels))))
     delta = F.when(F.col("n") < levels, 0.0).otherwise(best["t"] - F.col("l"))
     return near.select(*CELL, *(clamped(rounded(F.col(c) + delta), 0, 255).cast("int").alias(c) for c in "rgb"))
+
+
+def levelled(image: np.ndarray, rgb: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """`value_levels` of rows in memory. image: the number of each row's image; levels: how many its image has."""
+    light, hue = color.luminance_rows(rgb), color.hue_rows(rgb)
+    order = np.lexsort((light, hue, image))
+    new = np.concatenate([[True], (np.diff(image[order]) != 0) | (np.diff(hue[order]) != 0)])
+    starts = np.flatnonzero(new)
+    start, n = np.empty(len(rgb), np.int64), np.empty(len(rgb), np.int64)
+    group = np.cumsum(new) - 1
+    start[order], n[order] = starts[group], np.diff([*starts, len(rgb)])[group]
+    least, delta, ranked = np.full(len(rgb), np.inf), np.zeros(len(rgb)), light[order]
+    for k in range(int(levels.max())):
+        at = start + np.floor((n - 1) * (k / (levels - 1)) + 0.5).astype(np.int64)
+        target = ranked[np.where(k < levels, at, start)]
+        closer = (k < levels) & (np.abs(target - light) < least)
+        least, delta = np.where(closer, np.abs(target - light), least), np.where(closer, target - light, delta)
+    return np.clip(np.floor(rgb + np.where(n < levels, 0.0, delta)[:, None] + 0.5), 0, 255).astype(np.int64)

@@ -27,22 +27,23 @@ OWN, LIFT, UNIT, EDGE = 0.75, 0.55, 16.0, 60.0
 ADAPT_SCALE, LEAVING, ADAPT_SWEEPS = 45.0, 0.35, 4
 
 
-def whole_images(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Rows sorted by image, in tables of whole images; the image that a batch ends in goes to the next table."""
+def whole_images(batches: Iterator[pa.RecordBatch], least: int = 0, most: int = kernels.MOST_CELLS) -> Iterator[pa.Table]:
+    """Rows sorted by image, in tables of whole images and at least so many rows (but the last); the image that a batch ends in goes to the next table."""
     rest: list[pa.RecordBatch] = []
     for batch in batches:
+        if not batch.num_rows:
+            continue
         ids = batch.column("image_id").to_numpy()
         turns = np.flatnonzero(np.diff(ids)) + 1
         if rest and rest[-1].column("image_id")[-1].as_py() != ids[0]:
             turns = np.concatenate([[0], turns])
-        if len(turns):
-            cut = int(turns[-1])
+        if len(turns) and sum(b.num_rows for b in rest) + (cut := int(turns[-1])) >= least:
             yield pa.Table.from_batches([*rest, batch.slice(0, cut)]).combine_chunks()
             rest = []
             batch = batch.slice(cut)
         rest.append(batch)
-        if sum(b.num_rows for b in rest) > kernels.MOST_CELLS and rest[0].column("image_id")[0] == rest[-1].column("image_id")[-1]:
-            raise ValueError(f"a grid has at most {kernels.MOST_CELLS} cells")
+        if sum(b.num_rows for b in rest) > most and rest[0].column("image_id")[0] == rest[-1].column("image_id")[-1]:
+            raise ValueError(f"a grid has at most {most} cells")
     if rest:
         yield pa.Table.from_batches(rest).combine_chunks()
 
@@ -86,6 +87,12 @@ def settled(labels: np.ndarray, cost: np.ndarray, right: np.ndarray, down: np.nd
     return wide[:, 1:-1, 1:-1], np.stack(levels, axis=1)
 
 
+def smoothed(own: np.ndarray, labels: np.ndarray, cost: np.ndarray, free: np.ndarray, coherence: float = 1.15, edge: float = 0.8, sweeps: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """`settled`, where a side weighs less the more the two cells' own colours (images, height, width, Lab) differ."""
+    far = lambda a, b: coherence * UNIT * (1 - edge * np.clip(np.sqrt(((a - b) ** 2).sum(axis=-1)) / EDGE, 0, 1))
+    return settled(labels, cost, far(own[:, :, :-1], own[:, :, 1:]), far(own[:, :-1], own[:, 1:]), free, sweeps)
+
+
 def energy(labels: np.ndarray, cost: np.ndarray, right: np.ndarray, down: np.ndarray) -> np.ndarray:
     """Of each image: the costs of its labels and the weights of sides between unlike ones."""
     inside = labels >= 0
@@ -149,10 +156,8 @@ def relaxed(cells: DataFrame, palette: list[dict], coherence: float = 1.15, edge
             after, levels, named = np.zeros(len(labels), np.int64), [], []
             for rows, image, y, x, shape in _stacks(table):
                 at = (image, y, x)
-                grid = _grid(rows, at, shape, own, 0.0)
-                far = lambda a, b: coherence * UNIT * (1 - edge * np.clip(np.sqrt(((a - b) ** 2).sum(axis=-1)) / EDGE, 0, 1))
-                start = _grid(rows, at, shape, labels, -1)
-                out, steps = settled(start, _grid(rows, at, shape, cost, 0.0), far(grid[:, :, :-1], grid[:, :, 1:]), far(grid[:, :-1], grid[:, 1:]), _grid(rows, at, shape, free, False), sweeps)
+                of = lambda values, outside: _grid(rows, at, shape, values, outside)
+                out, steps = smoothed(of(own, 0.0), of(labels, -1), of(cost, 0.0), of(free, False), coherence, edge, sweeps)
                 after[rows] = out[at]
                 levels.append(steps)
                 named.append(table.column("image_id").to_numpy()[rows[np.searchsorted(image, np.arange(shape[0]))]])

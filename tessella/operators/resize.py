@@ -2,22 +2,79 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions import color, scalars
 
 WHITE = (255, 255, 255)
+#: How a cell is made: of the nearest pixel, of the four around its centre, or of all that it covers.
+NEAREST, LINEAR, COVERED = range(3)
+_GEOMETRY = ("width", "height", "how", *(f"{s}{n}" for s in "cf" for n in "xywh"))
+#: Pairs of a pixel and a cell are weighed so many at a time.
+AT_ONCE = 1 << 20
+
+
+def _taps(at: dict[str, np.ndarray], axis: str, side: str) -> tuple[np.ndarray, ...]:
+    """(image, source place, cell, weight) along one axis of each image, sorted by image and place. at: geometry, one value an image."""
+    of = lambda n: at[n].astype(np.int64)
+    cells = of(f"f{side}")
+    image = np.repeat(np.arange(len(cells)), cells)
+    local = np.arange(len(image)) - np.repeat(np.cumsum(cells) - cells, cells)
+    start, size, how = of(f"c{axis}")[image], of(f"c{side}")[image], of("how")[image]
+    center = start + (local + 0.5) * size / cells[image] - 0.5
+    step = size / cells[image]
+    low, high = start + local * step, np.minimum(start + size, start + (local + 1) * step)
+    first = np.floor(np.select([how == NEAREST, how == LINEAR], [center + 0.5, center], low)).astype(np.int64)
+    count = np.select([how == NEAREST, how == LINEAR], [1, 2], np.ceil(high).astype(np.int64) - first)
+    tap = np.repeat(np.arange(len(image)), count)
+    nth = np.arange(len(tap)) - np.repeat(np.cumsum(count) - count, count)
+    place, share = first[tap] + nth, (center - first)[tap]
+    covered = np.minimum(high[tap], place + 1) - np.maximum(low[tap], place)
+    weight = np.select([how[tap] == NEAREST, how[tap] == LINEAR], [1.0, np.where(nth == 0, 1 - share, share)], covered)
+    image = image[tap]
+    place = np.clip(place, 0, of({"w": "width", "h": "height"}[side])[image] - 1)
+    order = np.lexsort((place, image))
+    return image[order], place[order], (of(f"f{axis}")[image] + local[tap])[order], weight[order]
 
 
-def _taps(center: Column, low: Column, high: Column) -> Column:
-    """array<struct<p, f>>: source places along one axis and their weights."""
-    tap = lambda p, f: F.struct(p.cast("int").alias("p"), f.alias("f"))
-    first = F.floor(center)
-    nearest, linear = F.array(tap(F.floor(center + 0.5), F.lit(1.0))), F.array(tap(first, 1 - (center - first)), tap(first + 1, center - first))
-    covered = F.transform(F.sequence(F.floor(low).cast("int"), F.ceil(high).cast("int") - 1), lambda p: tap(p, F.least(high, p + 1) - F.greatest(low, p)))
-    enlarges = (F.col("c.width") < F.col("f.width")) | (F.col("c.height") < F.col("f.height"))
-    return F.when(F.col("method") == "nearest", nearest).when((F.col("method") == "bilinear") | enlarges, linear).otherwise(covered)
+def _sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of weights and weighted colours in the cells that a batch's pixels touch; an image's sums may come in parts."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        names = batch.column("image_id").dictionary_encode()
+        image = names.indices.to_numpy()
+        first = np.unique(image, return_index=True)[1]
+        at = {n: batch.column(n).to_numpy()[first] for n in _GEOMETRY}
+        rgb = [batch.column(c).to_numpy() for c in "rgb"]
+        found = []
+        for axis, side in (("x", "w"), ("y", "h")):
+            own, place, cell, weight = _taps(at, axis, side)
+            stride = int(place.max()) + 2
+            keys, wanted = own * stride + place, image * stride + np.minimum(batch.column(axis).to_numpy().astype(np.int64), stride - 1)
+            begin = np.searchsorted(keys, wanted)
+            found.append((begin, np.searchsorted(keys, wanted, "right") - begin, cell, weight))
+        (bx, nx, cx, wx), (by, ny, cy, wy) = found
+        touched = np.cumsum(nx * ny)
+        cut = np.searchsorted(touched, np.arange(AT_ONCE, int(touched[-1]) + AT_ONCE, AT_ONCE)) + 1
+        for a, b in zip([0, *cut], [*cut, len(nx)], strict=True):
+            n = (nx * ny)[a:b]
+            row = np.repeat(np.arange(a, a + len(n)), n)
+            nth = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            if not len(row):
+                continue
+            tx, ty = bx[row] + nth // ny[row], by[row] + nth % ny[row]
+            wide, high = int(cx.max()) + 1, int(cy.max()) + 1
+            cell, number = np.unique((image[row].astype(np.int64) * high + cy[ty]) * wide + cx[tx], return_inverse=True)
+            weight = wx[tx] * wy[ty]
+            sums = [np.bincount(number, weight if c is None else weight * c[row], len(cell)) for c in (None, *rgb)]
+            values = [names.dictionary.take(pa.array(cell // (high * wide))), pa.array(cell % wide, pa.int32()), pa.array(cell // wide % high, pa.int32()), *(pa.array(v) for v in sums)]
+            yield pa.RecordBatch.from_arrays(values, names=["image_id", "gx", "gy", "weight", *"rgb"])
 
 
 def fitted(frames: DataFrame) -> DataFrame:
@@ -30,25 +87,22 @@ def resized(frames: DataFrame, pixels: DataFrame, background: tuple[int, int, in
     """image_id, x, y, active, r, g, b: each frame's canvas by its method (nearest, bilinear, area; what enlarges is bilinear).
 
     Pixels (r, g, b, a) lie over the background before they are mixed; cells outside the fit are background and not active.
-    Each active cell asks for the few pixels that it covers by an equi-join on (image, x, y).
+    A frame shows the pixels of its image, or of the image that its column own names, if there. Each pixel is sent to the cells
+    that it touches, those of a batch together, and only sums of cells are shuffled.
     """
-    flat = pixels.select("image_id", "x", "y", *(color.composited(F.col(c), F.col("a"), F.lit(float(back))).alias(c) for c, back in zip("rgb", background, strict=True)))
-    axis = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    cells = fitted(frames).select("*", axis("tw").alias("gx")).select("*", axis("th").alias("gy"))
-    point = scalars.source_point(F.col("c"), F.col("f"), F.col("gx"), F.col("gy"))
-    cells = cells.withColumn("s", point)
-
-    def edges(g: str, origin: str, side: str) -> tuple[Column, Column]:
-        start, size = F.col(f"c.{origin}"), F.col(f"c.{side}")
-        step = size / F.col(f"f.{side}")
-        local = F.col(g) - F.col(f"f.{origin}")
-        return start + local * step, F.least(start + size, start + (local + 1) * step)
-
-    active = cells.where("s is not null").select("image_id", "gx", "gy", "width", "height", _taps(F.col("s.x"), *edges("gx", "x", "width")).alias("tx"), _taps(F.col("s.y"), *edges("gy", "y", "height")).alias("ty"))
-    asked = active.select("image_id", "gx", "gy", "width", "height", F.explode("tx").alias("tx"), "ty").select("*", F.explode("ty").alias("t"))
-    held = lambda p, n: F.greatest(F.lit(0), F.least(F.col(n) - 1, p)).cast("int")
-    asked = asked.select("image_id", "gx", "gy", held(F.col("tx.p"), "width").alias("x"), held(F.col("t.p"), "height").alias("y"), (F.col("tx.f") * F.col("t.f")).alias("weight"))
-    sums = asked.join(flat, ["image_id", "x", "y"]).groupBy("image_id", "gx", "gy").agg(F.sum("weight").alias("weight"), *(F.sum(F.col("weight") * F.col(c)).alias(c) for c in "rgb"))
-    mixed = sums.select("image_id", "gx", "gy", *(color.rounded(F.round(F.col(c) / F.col("weight"), 9)).alias(c) for c in "rgb"))  # ties don't hang on the order of the sum
-    out = cells.select("image_id", "gx", "gy", F.col("s").isNotNull().alias("active")).join(mixed, ["image_id", "gx", "gy"], "left")
-    return out.select("image_id", F.col("gx").alias("x"), F.col("gy").alias("y"), "active", *(F.coalesce(F.col(c), F.lit(back)).cast("int").alias(c) for c, back in zip("rgb", background, strict=True)))
+    placed = fitted(frames)
+    how = F.when(F.col("method") == "nearest", NEAREST).when((F.col("method") == "bilinear") | (F.col("c.width") < F.col("f.width")) | (F.col("c.height") < F.col("f.height")), LINEAR).otherwise(COVERED)
+    sides = [(f"{s}{n}", F.col(f"{s}.{long}")) for s in "cf" for n, long in (("x", "x"), ("y", "y"), ("w", "width"), ("h", "height"))]
+    known = {"width": F.col("width"), "height": F.col("height"), "how": how} | dict(sides)
+    geometry = placed.select(F.col("own" if "own" in frames.columns else "image_id").alias("source"), "image_id", *(known[n].cast("int").alias(n) for n in _GEOMETRY))
+    # A null channel adds nothing to a sum.
+    flat = pixels.where("x is not null and y is not null").select(F.col("image_id").alias("source"), "x", "y", *(F.coalesce(color.composited(F.col(c), F.col("a"), F.lit(float(back))).cast("double"), F.lit(0.0)).alias(c) for c, back in zip("rgb", background, strict=True)))
+    kind = frames.select("image_id").schema[0].dataType.simpleString()
+    parts = flat.join(geometry, "source").select("image_id", "x", "y", *"rgb", *_GEOMETRY).mapInArrow(_sent, f"image_id {kind}, gx int, gy int, weight double, r double, g double, b double")
+    axis = lambda n: F.explode(F.sequence(F.lit(0), (F.col(n) - 1).cast("int")))
+    cells = placed.select("image_id", "tw", "th", "f", axis("tw").alias("gx")).select("*", axis("th").alias("gy"))
+    inside = (F.col("gx") >= F.col("f.x")) & (F.col("gy") >= F.col("f.y")) & (F.col("gx") < F.col("f.x") + F.col("f.width")) & (F.col("gy") < F.col("f.y") + F.col("f.height"))
+    both = cells.select("image_id", "gx", "gy", inside.alias("active")).unionByName(parts, allowMissingColumns=True)
+    sums = both.groupBy("image_id", F.col("gx").alias("x"), F.col("gy").alias("y")).agg(F.max("active").alias("active"), *(F.sum(c).alias(c) for c in ("weight", *"rgb")))
+    mixed = lambda c: color.rounded(F.round(F.col(c) / F.nullif(F.col("weight"), F.lit(0.0)), 9))  # noqa: E731  # ties don't hang on the order of the sum
+    return sums.where("active is not null").select("image_id", "x", "y", "active", *(F.coalesce(mixed(c), F.lit(back)).cast("int").alias(c) for c, back in zip("rgb", background, strict=True)))
