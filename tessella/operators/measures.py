@@ -64,8 +64,11 @@ def quality(labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return alone.sum(axis=(1, 2)), stripe.sum(axis=(1, 2))
 
 
-def measured(cells: DataFrame, palette: list[dict]) -> DataFrame:
-    """One row a candidate (see _MEASURED). cells: image_id, x, y, ord, and the colours plan and source (structs of r, g, b) that it stands for."""
+def measured(cells: DataFrame, palette: list[dict], dealt: bool = False) -> DataFrame:
+    """One row a candidate (see _MEASURED). cells: image_id, x, y, ord, and the colours plan and source (structs of r, g, b) that it stands for.
+
+    dealt: each candidate's rows follow one another in one partition, as a stream over rasters leaves them, so they aren't dealt and sorted again.
+    """
     palette = sorted(palette, key=lambda p: p["ord"])
     ords, known = np.array([p["ord"] for p in palette], np.int64), raster.palette_labs(palette)
 
@@ -90,7 +93,7 @@ def measured(cells: DataFrame, palette: list[dict]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names=[c.split()[0] for c in _MEASURED.split(", ")])
 
     flat = cells.select(F.col("image_id").cast("long").alias("image_id"), F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), "ord", *(F.col(f"{k}.{c}").alias(f"{k}_{c}") for k in ("plan", "source") for c in "rgb"))
-    return relaxation._sorted(flat).mapInArrow(run, _MEASURED)
+    return (flat.where("image_id is not null") if dealt else relaxation._sorted(flat)).mapInArrow(run, _MEASURED)
 
 
 @lru_cache(maxsize=4096)

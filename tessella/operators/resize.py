@@ -88,7 +88,7 @@ def resized(frames: DataFrame, pixels: DataFrame, background: tuple[int, int, in
 
     Pixels (r, g, b, a) lie over the background before they are mixed; cells outside the fit are background and not active.
     A frame shows the pixels of its image, or of the image that its column own names, if there. Each pixel is sent to the cells
-    that it touches, those of a batch together, and only sums of cells are shuffled.
+    that it touches, those of a batch together, and only sums of cells are shuffled. The result is dealt by image_id, and sorted by y and x.
     """
     placed = fitted(frames)
     how = F.when(F.col("method") == "nearest", NEAREST).when((F.col("method") == "bilinear") | (F.col("c.width") < F.col("f.width")) | (F.col("c.height") < F.col("f.height")), LINEAR).otherwise(COVERED)
@@ -99,10 +99,13 @@ def resized(frames: DataFrame, pixels: DataFrame, background: tuple[int, int, in
     flat = pixels.where("x is not null and y is not null").select(F.col("image_id").alias("source"), "x", "y", *(F.coalesce(color.composited(F.col(c), F.col("a"), F.lit(float(back))).cast("double"), F.lit(0.0)).alias(c) for c, back in zip("rgb", background, strict=True)))
     kind = frames.select("image_id").schema[0].dataType.simpleString()
     parts = flat.join(geometry, "source").select("image_id", "x", "y", *"rgb", *_GEOMETRY).mapInArrow(_sent, f"image_id {kind}, gx int, gy int, weight double, r double, g double, b double")
-    axis = lambda n: F.explode(F.sequence(F.lit(0), (F.col(n) - 1).cast("int")))
-    cells = placed.select("image_id", "tw", "th", "f", axis("tw").alias("gx")).select("*", axis("th").alias("gy"))
+    # Frames and sums are dealt by frame, as whoever streams through rasters needs them; a frame's row becomes its cells after that.
+    dealt = placed.select("image_id", "tw", "th", "f").unionByName(parts, allowMissingColumns=True).repartition("image_id")
+    axis = lambda size, own: F.explode(F.coalesce(F.sequence(F.lit(0), (F.col(size) - 1).cast("int")), F.array(own))).alias(own)
+    both = dealt.select("image_id", "th", "f", axis("tw", "gx"), "gy", "weight", *"rgb").select("image_id", "f", "gx", axis("th", "gy"), "weight", *"rgb")
     inside = (F.col("gx") >= F.col("f.x")) & (F.col("gy") >= F.col("f.y")) & (F.col("gx") < F.col("f.x") + F.col("f.width")) & (F.col("gy") < F.col("f.y") + F.col("f.height"))
-    both = cells.select("image_id", "gx", "gy", inside.alias("active")).unionByName(parts, allowMissingColumns=True)
-    sums = both.groupBy("image_id", F.col("gx").alias("x"), F.col("gy").alias("y")).agg(F.max("active").alias("active"), *(F.sum(c).alias(c) for c in ("weight", *"rgb")))
+    # The largest of structs is found in sorted groups, in the order that streams need; hash maps of single values held a partition twice.
+    groups = both.groupBy("image_id", F.col("gy").alias("y"), F.col("gx").alias("x"))
+    sums = groups.agg(F.max(F.struct(inside.alias("active"))).alias("at"), *(F.sum(c).alias(c) for c in ("weight", *"rgb"))).withColumn("active", F.col("at.active"))
     mixed = lambda c: color.rounded(F.round(F.col(c) / F.nullif(F.col("weight"), F.lit(0.0)), 9))  # noqa: E731  # ties don't hang on the order of the sum
     return sums.where("active is not null").select("image_id", "x", "y", "active", *(F.coalesce(mixed(c), F.lit(back)).cast("int").alias(c) for c, back in zip("rgb", background, strict=True)))
