@@ -111,10 +111,13 @@ def _reference(frames: DataFrame, pixels: DataFrame, fitted: DataFrame, assigned
     small = (F.col("c.width") <= side) & (F.col("c.height") <= side)
     wanted = full.withColumns({"tw": F.when(small, F.col("c.width")).otherwise(side).cast("int"), "th": F.when(small, F.col("c.height")).otherwise(side).cast("int"), "method": F.when(small, "nearest").otherwise("area")})
     seen = resize.resized(wanted.drop("c", "f"), pixels).where("active")
-    laid = full.select(F.col("image_id").alias("own"), *(F.when(small, F.col(f"c.{n}")).otherwise(0).alias(f"r{n}") for n in "xy"), *(F.col(f"f.{n}").alias(f"r{n[0]}") for n in ("width", "height")))
-    fits = fitted.select("own", F.col("image_id").alias("number"), *(F.col(f"f.{n}").alias(f"f{n[0]}") for n in ("x", "y", "width", "height"))).join(laid, "own")
-    cells = assigned.withColumn("number", F.floor(F.col("image_id") / styles)).join(fits, "number")
-    beside = measures.beside_reference(seen, cells.select(F.floor(F.col("image_id") / each).alias("image_id"), F.col("image_id").alias("candidate"), "x", "y", "ord", "fx", "fy", "fw", "fh", "rx", "ry", "rw", "rh"), colors)
+    # What is the same for all cells of a candidate goes ahead of them in one row: where the crop lies on its canvas and on the raster.
+    laid = resize.fitted(fitted.withColumns({"own_fit": F.col("f"), "tw": side, "th": side}))
+    candidate = F.explode(F.sequence(F.col("image_id") * styles, F.col("image_id") * styles + (styles - 1))).alias("candidate")
+    places = [*(F.col(f"own_fit.{n}").alias(f"f{c}") for n, c in (("x", "x"), ("y", "y"), ("width", "w"), ("height", "h"))), *(F.when(small, F.col(f"c.{n}")).otherwise(0).alias(f"r{n}") for n in "xy"), *(F.col(f"f.{n}").alias(f"r{n[0]}") for n in ("width", "height"))]
+    fits = laid.select(F.col("own").alias("image_id"), candidate, *places)
+    cells = assigned.select(F.floor(F.col("image_id") / each).alias("image_id"), F.col("image_id").alias("candidate"), "x", "y", "ord").unionByName(fits, allowMissingColumns=True)
+    beside = measures.beside_reference(seen, cells, colors)
     return beside.select(F.col("candidate").alias("image_id"), F.col("distance").alias("reference"), F.col("agreement").alias("reference_edges"))
 
 

@@ -131,8 +131,8 @@ def beside_reference(reference: DataFrame, cells: DataFrame, palette: list[dict]
     """image_id, candidate, distance and agreement of each candidate with its image's reference raster.
 
     reference: image_id, x, y, r, g, b of active cells (they fill a rectangle). cells: image_id, candidate, x, y, ord, and the place of the
-    candidate's canvas that the same crop fills (fx, fy, fw, fh). 0 and 1 for a candidate without cells under the reference.
-    With columns rx, ry, rw, rh in cells, the reference is a crop of pixels that starts at (rx, ry), and its raster repeats the nearest of them on rw x rh cells.
+    candidate's canvas that the same crop fills (fx, fy, fw, fh), in all its rows or in one without a cell (ord null). 0 and 1 for a candidate
+    without cells under the reference. With columns rx, ry, rw, rh in cells, the reference is a crop of pixels that starts at (rx, ry), and its raster repeats the nearest of them on rw x rh cells.
     """
     palette = sorted(palette, key=lambda p: p["ord"])
     ords, known = np.array([p["ord"] for p in palette], np.int64), raster.palette_labs(palette)
@@ -141,13 +141,13 @@ def beside_reference(reference: DataFrame, cells: DataFrame, palette: list[dict]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in relaxation.whole_images(batches, AT_ONCE, sys.maxsize):
             v = {c: table.column(c).fill_null(0).to_numpy() for c in table.column_names}
-            ids, kind = v["image_id"], v["kind"]
+            ids, kind, made = v["image_id"], v["kind"], table.column("ord").is_valid().to_numpy()
             pixel = np.flatnonzero(kind == 0)
             labs = color.lab_rows(np.stack([v[c][pixel] for c in "rgb"], axis=1))
             far, labels = color.e2000_matrix(labs, known), np.searchsorted(ords, v["ord"])
             out: list[tuple] = []
             turns = np.flatnonzero((np.diff(ids) != 0) | (np.diff(v["candidate"]) != 0) | (np.diff(kind) != 0)) + 1
-            parts = list(zip([0, *turns.tolist()], [*turns.tolist(), len(ids)], strict=True))
+            parts = [(a, b) for a, b in zip([0, *turns.tolist()], [*turns.tolist(), len(ids)], strict=True) if kind[a] == 0 or made[b - 1]]
             place, nth = None, 0
             for k, (a, b) in enumerate(parts):
                 if kind[a] == 0:
@@ -159,7 +159,7 @@ def beside_reference(reference: DataFrame, cells: DataFrame, palette: list[dict]
                     continue
                 if place is None or shown != ids[a]:
                     continue  # without a reference
-                waiting.append((a, b))
+                waiting.append((a + int(np.count_nonzero(~made[a:b])), b))
                 # Candidates that follow one another with one fit are looked at together.
                 fit = tuple(int(v[c][a]) for c in ("fx", "fy", "fw", "fh"))
                 if k + 1 < len(parts):
@@ -184,5 +184,6 @@ def beside_reference(reference: DataFrame, cells: DataFrame, palette: list[dict]
     fits = ("fx", "fy", "fw", "fh", *(("rx", "ry", "rw", "rh") if repeats else ()))
     left = reference.select(image, F.lit(0).alias("kind"), *none("long", "candidate"), *whole("x", "y", *"rgb"), *none("int", "ord", *fits))
     right = cells.select(image, F.lit(1).alias("kind"), F.col("candidate").cast("long").alias("candidate"), *whole("x", "y"), *none("int", *"rgb"), *whole("ord", *fits))
-    both = left.union(right).where("image_id is not null").repartition("image_id").sortWithinPartitions("image_id", "kind", "candidate")
+    # A row without a cell, which has the fit, comes first of its candidate's.
+    both = left.union(right).where("image_id is not null").repartition("image_id").sortWithinPartitions("image_id", "kind", "candidate", "ord")
     return both.mapInArrow(run, "image_id long, candidate long, distance double, agreement double")

@@ -67,3 +67,28 @@ def test_measures_of_dealt_cells_need_no_shuffle(spark):
     dealt = measures.measured(cells.coalesce(1), colors, dealt=True)
     assert exchanges(dealt) == 0
     assert sorted(dealt.collect()) == sorted(measures.measured(cells, colors).collect())
+
+
+def test_a_candidates_fit_goes_ahead_of_its_cells(spark):
+    rng = np.random.default_rng(8)
+    colors = raster.palette_rows(spark.createDataFrame(PALETTE, "ord int, r int, g int, b int"))
+    seen = spark.createDataFrame([(i, x, y, *map(int, rng.integers(0, 256, 3))) for i in (-1, 0, 2) for x in range(5) for y in range(4)], "image_id long, x int, y int, r int, g int, b int")
+    fits = {(i, 4 * i + k): (k % 2, 0, 2 + k // 2, 3, i % 2, 0, 9, 7) for i in (-1, 0, 1, 2) for k in range(4)}  # the third image has no reference
+    made = [(*key, x, y, int(rng.integers(1, 5))) for key, f in fits.items() if key[1] % 4 != 2 or key[0] for x in range(f[0], f[0] + f[2]) for y in range(3) if rng.random() < 0.9]
+    names = ("fx", "fy", "fw", "fh", "rx", "ry", "rw", "rh")
+    cells = spark.createDataFrame(made, "image_id long, candidate long, x int, y int, ord int")
+    ahead = spark.createDataFrame([(*key, *f) for key, f in fits.items()], f"image_id long, candidate long, {', '.join(f'{n} int' for n in names)}")
+    expected = sorted(measures.beside_reference(seen, cells.join(ahead, ["image_id", "candidate"]), colors).collect())
+    assert len(expected) == 11 and len({r.distance for r in expected}) > 5
+    for more in (ahead, ahead.union(ahead)):
+        assert sorted(measures.beside_reference(seen, cells.unionByName(more, allowMissingColumns=True), colors).collect()) == expected
+
+
+def test_candidates_cells_meet_their_reference_without_a_join(spark, joins, monkeypatch):
+    asked, beside = [], measures.beside_reference
+    monkeypatch.setattr(measures, "beside_reference", lambda reference, cells, colors: (asked.append(cells), beside(reference, cells, colors))[-1])
+    frames, pixels, palette = inputs(spark)
+    cells, measured = generate.candidates(frames, pixels, palette, generate.Options(((4, 3), (2, 2)), max_colors=3, baseline="a0"))
+    assert exchanges(asked[0]) == 0 and "Join" not in asked[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert asked[0].where("ord is not null").count() == cells.count()
+    assert measured.where("reference is not null").count() == 10  # an image without pixels is background, its reference too
